@@ -169,10 +169,11 @@ def oracle(templates=TEMPLATES) -> str:
 WITH cut AS (
   SELECT 'd' AS kind, doc_id, NULL AS license, {cut} AS w FROM documents
   UNION ALL SELECT 't', NULL, license, {cut} FROM (VALUES {rows}) AS v(license, text)),
-spread AS (SELECT kind, doc_id, license, unnest(w) AS word, generate_subscripts(w, 1) AS at FROM cut WHERE len(w) >= {SHINGLE}),
+spread AS (SELECT kind, doc_id, license, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM cut WHERE len(w) >= {SHINGLE}),
 shingled AS (
   SELECT kind, doc_id, license, concat_ws(' ', word, {leads}) AS s
-  FROM spread QUALIFY lead(word, {SHINGLE - 1}) OVER o IS NOT NULL WINDOW o AS (PARTITION BY kind, doc_id, license ORDER BY at)),
+  FROM spread WINDOW o AS (PARTITION BY kind, doc_id, license ORDER BY pos)
+  QUALIFY lead(word, {SHINGLE - 1}) OVER o IS NOT NULL),
 t AS (SELECT DISTINCT license, s FROM shingled WHERE kind = 't'),
 sizes AS (SELECT license, count(*) AS n FROM t GROUP BY license),
 shared AS (
