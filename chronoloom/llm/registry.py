@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, secrets
+from . import decontamination, licenses, mixing, secrets, simhash
 from .common import read
 
 
@@ -10,6 +10,14 @@ def op1_license_scan(spark, sf_dir):
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def op4_simhash_near_dedup(spark, sf_dir):
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark, sf_dir):
+    return decontamination.digest(decontamination.match(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
+
+
 def op9_mixing(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -19,8 +27,8 @@ def op10_secret_scan(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op9_mixing, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_license_scan, op4_simhash_near_dedup, op6_decontamination, op9_mixing, op10_secret_scan)}
 
 
 def oracle_sql() -> dict:
-    return {"op1_license_scan": licenses.oracle(), "op9_mixing": mixing.ORACLE}
+    return {"op1_license_scan": licenses.oracle(), "op6_decontamination": decontamination.ORACLE, "op9_mixing": mixing.ORACLE}
