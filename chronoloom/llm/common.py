@@ -64,3 +64,20 @@ def crc_fold(doc_id: Column, folds: int) -> Column:
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, however often body uses it."""
     return F.transform(F.array(value), lambda bound: body(bound))[0]
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, bound: int) -> DataFrame:
+    """doc_id, text, label for at most ``bound`` labelled documents of each label, never of fold 0.
+
+    The sample is the documents whose ids have the least digests, so it doesn't depend on partitions; its ids are
+    bounded by the parameter and may be broadcast. A document with two labels counts as its lower one.
+    """
+    marked = labels.select(labels["doc_id"].alias("id"), labels[label].cast("int").alias("label"))
+    marked = marked.where(F.col("id").isNotNull() & F.col("label").isNotNull() & (crc_fold(F.col("id"), folds) != 0))
+    marked = marked.groupBy("id").agg(F.min("label").alias("label")).withColumn("digest", F.xxhash64("id"))
+    picked = None
+    for value in (0, 1):
+        part = marked.where(F.col("label") == value).orderBy("digest", "id").limit(bound)
+        picked = part if picked is None else picked.union(part)
+    texts = docs.select("doc_id", text_of(docs).alias("text"))
+    return texts.join(F.broadcast(picked), texts["doc_id"] == picked["id"]).select("doc_id", "text", "label")

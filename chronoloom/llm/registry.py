@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, licenses, mixing, secrets, simhash
+from . import decontamination, licenses, mixing, quality, secrets, simhash, toxicity
 from .common import read
 
 
@@ -10,6 +10,10 @@ def op1_license_scan(spark, sf_dir):
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark, sf_dir):
+    return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -18,6 +22,10 @@ def op6_decontamination(spark, sf_dir):
     return decontamination.digest(decontamination.match(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
+def op7_quality_crf(spark, sf_dir):
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_mixing(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -27,7 +35,7 @@ def op10_secret_scan(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op4_simhash_near_dedup, op6_decontamination, op9_mixing, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_license_scan, op2_toxicity, op4_simhash_near_dedup, op6_decontamination, op7_quality_crf, op9_mixing, op10_secret_scan)}
 
 
 def oracle_sql() -> dict:
