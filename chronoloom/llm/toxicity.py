@@ -35,7 +35,7 @@ GRADES = 3
 STEPS = 150
 SHRINK = 60
 PENALTY = 2e-3
-THRESHOLD = 0.5
+THRESHOLD = 0.4
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _WORD = re.compile(rb"[a-z\x80-\xff]+")
