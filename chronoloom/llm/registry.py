@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, licenses, mixing, quality, secrets, simhash, toxicity
+from . import decontamination, licenses, media, mixing, quality, secrets, simhash, toxicity
 from .common import read
 
 
@@ -26,6 +26,10 @@ def op7_quality_crf(spark, sf_dir):
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op8_media_columns(spark, sf_dir):
+    return media.digest(media.encode(read(spark, sf_dir, "documents")))
+
+
 def op9_mixing(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_secret_scan(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_toxicity, op4_simhash_near_dedup, op6_decontamination, op7_quality_crf, op9_mixing, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_license_scan, op2_toxicity, op4_simhash_near_dedup, op6_decontamination, op7_quality_crf, op8_media_columns, op9_mixing, op10_secret_scan)}
 
 
 def oracle_sql() -> dict:
