@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, licenses, media, mixing, quality, secrets, simhash, toxicity
+from . import decontamination, licenses, media, mixing, quality, secrets, simhash, suffix_tree, toxicity
 from .common import read
 
 
@@ -18,6 +18,10 @@ def op4_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op5_suffix_tree_scoring(spark, sf_dir):
+    return suffix_tree.score(read(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark, sf_dir):
     return decontamination.digest(decontamination.match(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
@@ -39,7 +43,7 @@ def op10_secret_scan(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_toxicity, op4_simhash_near_dedup, op6_decontamination, op7_quality_crf, op8_media_columns, op9_mixing, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_license_scan, op2_toxicity, op4_simhash_near_dedup, op5_suffix_tree_scoring, op6_decontamination, op7_quality_crf, op8_media_columns, op9_mixing, op10_secret_scan)}
 
 
 def oracle_sql() -> dict:
