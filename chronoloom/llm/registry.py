@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import decontamination, licenses, media, mixing, quality, repeats, secrets, simhash, suffix_tree, toxicity
 from .common import read
 
@@ -46,8 +48,12 @@ def op10_secret_scan(spark, sf_dir):
     return secrets.digest(secrets.scan(read(spark, sf_dir, "documents")))
 
 
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_repeats_run_length_index, op4_simhash_near_dedup, op5_suffix_tree_scoring, op6_decontamination, op7_quality_crf, op8_media_columns, op9_mixing, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_repeats_run_length_index, op4_simhash_near_dedup, op5_suffix_tree_scoring, op6_decontamination, op7_quality_crf, op8_media_columns, op9_mixing, op10_secret_scan, pipeline)}
 
 
 def oracle_sql() -> dict:
