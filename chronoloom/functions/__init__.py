@@ -1 +1 @@
-
+"""Column builders: text, symbols, formats."""

@@ -1 +1 @@
-
+"""DataFrame operators over timed events."""

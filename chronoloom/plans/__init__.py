@@ -1 +1 @@
-
+"""Queries, pipelines and the registry of plug-ins."""

@@ -1 +1 @@
-
+"""Readers and adapters."""
