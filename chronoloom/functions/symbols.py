@@ -74,7 +74,7 @@ def emits_bass(symbol: Column, letter: Column) -> Column:
 
 
 def pitch_letter(number: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(p) for p in PITCHES]), number + 1)
+    return F.when(number.isNotNull(), F.element_at(F.array(*[F.lit(p) for p in PITCHES]), number + 1))
 
 
 def same_triad(a: Column, b: Column) -> Column:

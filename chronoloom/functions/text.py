@@ -91,7 +91,7 @@ def proportional_offset(fraction: Column, length: Column) -> Column:
 def bracketed(document: Column) -> Column:
     """Contents of [..] in order, trimmed, lines of directives {..} left out."""
     lines = F.filter(F.split(document, "\n"), lambda x: ~x.rlike(r"^\s*\{[^}]*\}\s*$"))
-    return F.transform(F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(r"\[([^\[\]]+)\]"), F.lit(1)))), F.trim)
+    return F.transform(F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(r"\[([^\[\]]+)\]"), F.lit(1)))), lambda s: F.trim(s))
 
 
 #: Shapes of links that hold an id of eleven characters (fixed values).

@@ -34,33 +34,33 @@ def lagged(df: DataFrame, key: list[str], order: list[str], values: dict[str, st
     """The previous row's columns: ``values`` maps new names to existing columns. df must carry blocks of order[0]."""
     w = _inside(key, order)
     last = F.max(F.struct(*order, *[F.col(c).alias(f"__v_{n}") for n, c in values.items()]))
-    before = F.last("__last", True).over(_across(key).rowsBetween(Window.unboundedPreceding, -1))
-    summary = _summary(df, key, [last.alias("__last")], [before.alias("__before")])
+    before = F.last("__blk_last", True).over(_across(key).rowsBetween(Window.unboundedPreceding, -1))
+    summary = _summary(df, key, [last.alias("__blk_last")], [before.alias("__blk_before")])
     at = F.row_number().over(w)
-    out = df.withColumn("__at", at).withColumns({f"__in_{n}": F.lag(c).over(w) for n, c in values.items()}).join(summary, [*key, BLOCK])
-    picked = {n: F.when(F.col("__at") > 1, F.col(f"__in_{n}")).otherwise(F.col("__before")[f"__v_{n}"]) for n in values}
-    return out.withColumns(picked).drop("__at", "__before", *[f"__in_{n}" for n in values])
+    out = df.withColumn("__blk_at", at).withColumns({f"__in_{n}": F.lag(c).over(w) for n, c in values.items()}).join(summary, [*key, BLOCK])
+    picked = {n: F.when(F.col("__blk_at") > 1, F.col(f"__in_{n}")).otherwise(F.col("__blk_before")[f"__v_{n}"]) for n in values}
+    return out.withColumns(picked).drop("__blk_at", "__blk_before", *[f"__in_{n}" for n in values])
 
 
 def led(df: DataFrame, key: list[str], order: list[str], values: dict[str, str]) -> DataFrame:
     """The next row's columns."""
     w = _inside(key, order)
     first = F.min(F.struct(*order, *[F.col(c).alias(f"__v_{n}") for n, c in values.items()]))
-    after = F.first("__first", True).over(_across(key).rowsBetween(1, Window.unboundedFollowing))
-    summary = _summary(df, key, [first.alias("__first")], [after.alias("__after")])
+    after = F.first("__blk_first", True).over(_across(key).rowsBetween(1, Window.unboundedFollowing))
+    summary = _summary(df, key, [first.alias("__blk_first")], [after.alias("__blk_after")])
     last = F.lead(F.lit(True), 1, False).over(w)
-    out = df.withColumn("__more", last).withColumns({f"__in_{n}": F.lead(c).over(w) for n, c in values.items()}).join(summary, [*key, BLOCK])
-    picked = {n: F.when(F.col("__more"), F.col(f"__in_{n}")).otherwise(F.col("__after")[f"__v_{n}"]) for n in values}
-    return out.withColumns(picked).drop("__more", "__after", *[f"__in_{n}" for n in values])
+    out = df.withColumn("__blk_more", last).withColumns({f"__in_{n}": F.lead(c).over(w) for n, c in values.items()}).join(summary, [*key, BLOCK])
+    picked = {n: F.when(F.col("__blk_more"), F.col(f"__in_{n}")).otherwise(F.col("__blk_after")[f"__v_{n}"]) for n in values}
+    return out.withColumns(picked).drop("__blk_more", "__blk_after", *[f"__in_{n}" for n in values])
 
 
 def running_sum(df: DataFrame, key: list[str], order: list[str], value: Column, name: str) -> DataFrame:
     """Sum of value up to and with the row."""
-    marked = df.withColumn("__value", value)
-    before = F.coalesce(F.sum("__total").over(_across(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    summary = _summary(marked, key, [F.sum("__value").alias("__total")], [before.alias("__before")])
-    inside = F.sum("__value").over(_inside(key, order).rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("__inside", inside).join(summary, [*key, BLOCK]).withColumn(name, F.col("__inside") + F.col("__before")).drop("__value", "__inside", "__before")
+    marked = df.withColumn("__blk_value", value)
+    before = F.coalesce(F.sum("__blk_total").over(_across(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    summary = _summary(marked, key, [F.sum("__blk_value").alias("__blk_total")], [before.alias("__blk_before")])
+    inside = F.sum("__blk_value").over(_inside(key, order).rowsBetween(Window.unboundedPreceding, 0))
+    return marked.withColumn("__blk_inside", inside).join(summary, [*key, BLOCK]).withColumn(name, F.col("__blk_inside") + F.col("__blk_before")).drop("__blk_value", "__blk_inside", "__blk_before")
 
 
 def numbered(df: DataFrame, key: list[str], order: list[str], name: str) -> DataFrame:
