@@ -35,8 +35,8 @@ from .common import crc_fold, text_of, written
 
 FOLDS = 10
 DEPTH = 5
-P_MIN = 2e-5
-DIVERGENCE = 2e-7
+P_MIN = 5e-6
+DIVERGENCE = 3e-8
 KAPPA = 4.0
 FREQUENT = 5_000_000
 BATCH = 8 << 20
@@ -138,23 +138,26 @@ def automaton(rows) -> tuple[np.ndarray, np.ndarray]:
     number = {(int(a), int(b)): i for i, (a, b) in enumerate(zip(d, ctx))}
     index = np.array([number[(int(a), int(b))] for a, b in zip(rows["d"], rows["ctx"])])
     step = np.zeros((len(d), 256), np.int32)
-    p = np.zeros((len(d), 256))
-    counts = np.zeros((len(d), 256))
-    counts[index, rows["sym"].to_numpy(int)] = rows["n"].to_numpy()
-    totals = counts.sum(1, keepdims=True)
+    p = np.zeros((len(d), 256), np.float32)
+    symbol, n = rows["sym"].to_numpy(int), rows["n"].to_numpy()
     parent = np.array([number[(int(a) - 1, int(b) & _mask(int(a) - 1))] if a else 0 for a, b in zip(d, ctx)])
-    for depth in range(DEPTH + 1):
-        at = np.flatnonzero(d == depth)
-        before = p[parent[at]] if depth else np.full((len(at), 256), 1 / 256)
-        smoothed = (counts[at] + KAPPA * before) / (totals[at] + KAPPA)
-        p[at] = np.where(kept[at, None] | (depth == 0), smoothed, before)
+    for depth in range(DEPTH + 1):  # states of one depth stand together
+        first, last = np.searchsorted(d, [depth, depth + 1])
+        counts = np.zeros((last - first, 256), np.float32)
+        mine = (index >= first) & (index < last)
+        counts[index[mine] - first, symbol[mine]] = n[mine]
+        before = p[parent[first:last]] if depth else np.full((last - first, 256), 1 / 256, np.float32)
+        smooth = np.flatnonzero(kept[first:last] | (depth == 0))
+        total = counts[smooth].sum(1, keepdims=True, dtype=np.float64).astype(np.float32)
+        before[smooth] = (counts[smooth] + np.float32(KAPPA) * before[smooth]) / (total + np.float32(KAPPA))
+        p[first:last] = before
         if depth:
-            step[at] = step[parent[at]]  # what the shorter history knows
+            step[first:last] = step[parent[first:last]]  # what the shorter history knows
         longer = np.flatnonzero(d == depth + 1)
         if len(longer):
             stem = np.array([number[(depth, int(c) >> 8)] for c in ctx[longer]])
             step[stem, ctx[longer] & 255] = longer
-    return step, np.log10(p).astype(np.float32)
+    return step, np.log10(p, out=p)
 
 
 def walk(texts: list[bytes], step: np.ndarray, logs: np.ndarray) -> np.ndarray:
