@@ -57,4 +57,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_license_scan": licenses.oracle(), "op6_decontamination": decontamination.ORACLE, "op9_mixing": mixing.ORACLE}
+    return {"op1_license_scan": licenses.oracle(), "op6_decontamination": decontamination.ORACLE, "op9_mixing": mixing.ORACLE, "op10_secret_scan": secrets.oracle()}

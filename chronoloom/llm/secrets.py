@@ -196,3 +196,62 @@ def redacted(text: Column, spans: Column, mask: str = "[secret]") -> Column:
 
     done = F.aggregate(spans, start, step)
     return F.when(F.size(spans) > 0, F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))).otherwise(text)
+
+
+def _quoted(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+def oracle(fdr: float = FDR) -> str:
+    """The same rows in SQL for DuckDB, over relations of matches and characters."""
+    sources = []
+    for number, (pattern, keep) in enumerate((
+        (ASSIGN, f"length(regexp_extract(m, '{_quoted(ASSIGN)}', 2)) >= 6"),
+        (ACCESS, "length(m) >= 20"),
+        (HEX, "length(m) >= 24"),
+        ("[A-Za-z0-9+/_=-]{20,}", "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')"),
+    )):
+        rx = _quoted(pattern)
+        sources.append(f"SELECT rid, {number} AS k, s, e, m FROM (SELECT rid, m, CAST(before + length(g) AS BIGINT) AS s, CAST(before + length(g) + length(m) AS BIGINT) AS e FROM ("
+                       f"SELECT rid, m, g, coalesce(sum(length(m) + length(g)) OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ("
+                       f"SELECT rid, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS g, generate_subscripts(ms, 1) AS pos FROM ("
+                       f"SELECT rid, regexp_extract_all(t, '{rx}') AS ms, string_split_regex(t, '{rx}') AS gs FROM d WHERE regexp_matches(t, '{rx}'))))) WHERE {keep}")
+    encoding = "CASE " + " ".join(f"WHEN regexp_full_match(m, '{chars}') THEN {i}" for i, (_, chars, _, _) in enumerate(ENCODINGS[:-1])) + f" ELSE {len(ENCODINGS) - 1} END"
+    sizes = ", ".join(f"({i}, {float(k)}::DOUBLE, {depart}::DOUBLE)" for i, (_, _, k, depart) in enumerate(ENCODINGS))
+    names = ", ".join(f"'{k}'" for k in KINDS)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+matches AS ({' UNION ALL '.join(sources)}),
+tokens AS (SELECT rid, s, e, m, length(m)::DOUBLE AS n, {encoding} AS encoding FROM matches WHERE k = 3),
+chars AS (SELECT rid, s, unnest(list_transform(string_split(m, ''), lambda c: unicode(c))) AS code, generate_subscripts(string_split(m, ''), 1) AS pos FROM tokens),
+squares AS (SELECT rid, s, sum(c * c)::DOUBLE AS squares FROM (SELECT rid, s, code, count(*) AS c FROM chars GROUP BY ALL) GROUP BY ALL),
+moved AS (
+  SELECT rid, s, code - avg(code) OVER (PARTITION BY rid, s) AS v, lead(code) OVER o - avg(code) OVER (PARTITION BY rid, s) AS w,
+         CASE WHEN code BETWEEN 48 AND 57 THEN 1 ELSE 0 END AS digit, CASE WHEN lead(code) OVER o BETWEEN 48 AND 57 THEN 1 WHEN lead(code) OVER o IS NOT NULL THEN 0 END AS next_digit
+  FROM chars WINDOW o AS (PARTITION BY rid, s ORDER BY pos)),
+sums AS (SELECT rid, s, sum(v * v) AS power, coalesce(sum(v * w), 0) AS lagged, sum(digit)::DOUBLE AS digits, count(*) FILTER (digit <> next_digit) + 1.0::DOUBLE AS runs FROM moved GROUP BY ALL),
+stats AS (
+  SELECT t.*, ((k - 1 + n * depart) - (k / n * squares - n)) / sqrt(2 * (k - 1) + 4 * n * depart) AS z_chi, (runs - 3) / sqrt(1 + n / 20) AS z_runs,
+         (runs - (2 * digits * (n - digits) / n + 1)) / sqrt(greatest(0.25::DOUBLE, 2 * digits * (n - digits) * (2 * digits * (n - digits) - n) / (n * n * (n - 1)))) AS random_runs,
+         CASE WHEN power > 0 THEN lagged / power * sqrt(n) ELSE 99.0 END AS serial
+  FROM tokens t JOIN squares USING (rid, s) JOIN sums USING (rid, s) JOIN (VALUES {sizes}) v(encoding, k, depart) USING (encoding)),
+tested AS (
+  SELECT rid, s, e, encoding * 6 + least(5, floor(log2(n / 20)))::INT AS stratum,
+         CASE WHEN abs(random_runs) <= {GATE_Z} AND abs(serial) <= {GATE_Z} THEN greatest(0, least({BINS}, floor(-20 * log10(greatest(
+           1 - 1 / (1 + exp(-(1.5976::DOUBLE * z + 0.070565::DOUBLE * z * z * z))), 1e-30)))))::INT ELSE 0 END AS bin
+  FROM (SELECT *, (z_chi + z_runs) / sqrt(2.0::DOUBLE) AS z FROM stats)),
+counts AS (SELECT stratum, bin, count(*) AS n FROM tested GROUP BY ALL),
+ranked AS (SELECT *, sum(n) OVER (PARTITION BY stratum ORDER BY bin DESC) AS at_least, sum(n) OVER (PARTITION BY stratum) AS every FROM counts),
+limits AS (SELECT stratum, min(bin) AS least_bin FROM ranked WHERE bin > 0 AND pow(10.0::DOUBLE, -bin / 20) <= {fdr}::DOUBLE * at_least / every GROUP BY stratum),
+found AS (
+  SELECT rid, k, s, e FROM matches WHERE k < 3
+  UNION ALL SELECT t.rid, 3, t.s, t.e FROM tested t JOIN limits USING (stratum)
+  WHERE bin >= least_bin AND NOT EXISTS (SELECT 1 FROM matches b WHERE b.k < 3 AND b.rid = t.rid AND b.s < t.e AND t.s < b.e)),
+named AS (SELECT rid, k, s, e, list_value({names})[k + 1] || ':' || s || ':' || e AS name FROM found),
+grouped AS (
+  SELECT rid, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS c, count(*) FILTER (k = 2) AS h,
+         string_agg(name, ',' ORDER BY s, k, e) FILTER (k < 3) AS base, string_agg(name, ',' ORDER BY s, k, e) AS spans
+  FROM named GROUP BY rid)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN grouped USING (rid)
+"""
