@@ -52,31 +52,38 @@ def hashed(text: bytes) -> np.ndarray:
     return np.unique(np.fromiter(map(zlib.crc32, text_features), np.int64, len(text_features)) & ((1 << BITS) - 1))
 
 
-def grades(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+def grades(flat: np.ndarray, owner: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Derived training grades: 0 for clean documents, tertiles of evidence for toxic ones."""
-    flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     hot = np.bincount(flat, toxic[owner], 1 << BITS)
     every = np.bincount(flat, minlength=1 << BITS)
     n1, n0 = toxic.sum(), (1 - toxic).sum()
     odds = np.log((hot + 0.5) / (n1 + 1)) - np.log((every - hot + 0.5) / (n0 + 1))
-    evidence = np.bincount(owner, np.where(every[flat] >= MIN_DF, np.maximum(odds[flat], 0), 0), len(rows))
+    odds = np.where(every >= MIN_DF, np.maximum(odds, 0), 0)
+    evidence = np.bincount(owner, odds[flat], len(toxic))
     cuts = np.quantile(evidence[toxic == 1], [1 / 3, 2 / 3])
     return np.where(toxic == 1, 1 + np.searchsorted(cuts, evidence, side="right"), 0)
 
 
 def fit(rows: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray) -> dict:
     """Weights and thresholds by Adam on the ordinal likelihood, with a quadratic penalty."""
-    y = grades(rows, toxic)
-    flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    used, column = np.unique(flat, return_inverse=True)
-    frequent = np.bincount(column) >= MIN_DF
-    keep = frequent[column]
-    kept = np.flatnonzero(frequent)
-    renumber = np.full(len(used), -1)
-    renumber[kept] = np.arange(len(kept))
-    column, owner, used = renumber[column[keep]], owner[keep], used[kept]
+    flat = np.concatenate(rows).astype(np.int32)
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    frequent = (np.bincount(flat, minlength=1 << BITS) >= MIN_DF)[flat]
+    flat, owner = flat[frequent], owner[frequent]
+    del frequent
+    y = grades(flat, owner, toxic)
+    used = np.unique(flat)
+    column = np.searchsorted(used, flat).astype(np.int32)
+    del flat
     n, k = len(rows), len(used)
     df = np.bincount(column, minlength=k)
+    # Sums over documents and over features by sorted runs, without wide copies.
+    sizes = np.bincount(owner, minlength=n)
+    filled = np.flatnonzero(sizes)
+    row_starts = (np.cumsum(sizes) - sizes)[filled]
+    owner_by_column = owner[np.argsort(column, kind="stable")]
+    column_starts = np.cumsum(df) - df
+    del owner
     size = np.sqrt(df / (df + SHRINK))  # a rare word's weight is held back: it is easily learned by heart
     theta = np.zeros(k + GRADES)  # weights, first threshold, logs of the steps to the next ones
     theta[k] = 2.0
@@ -84,7 +91,8 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray) -> dict:
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for step in range(1, STEPS + 1):
         cuts = theta[k] + np.append(0, np.cumsum(np.exp(theta[k + 1 :])))
-        z = np.bincount(owner, (size * theta[:k])[column], n)
+        z = np.zeros(n)
+        z[filled] = np.add.reduceat((size * theta[:k]).astype(np.float32)[column], row_starts)
         above = np.concatenate([np.ones((n, 1)), sigmoid(z[:, None] - cuts), np.zeros((n, 1))], 1)  # P(y >= g)
         p = np.maximum(above[np.arange(n), y] - above[np.arange(n), y + 1], 1e-12)
         slope = above * (1 - above)
@@ -94,7 +102,7 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray) -> dict:
         by_cut[np.arange(n), y] -= weight * upper / p
         by_cut[np.arange(n), y + 1] += weight * lower / p
         dcut = by_cut[:, 1:-1].sum(0)
-        gradient = np.concatenate([size * np.bincount(column, dz[owner], k), [dcut.sum()], np.exp(theta[k + 1 :]) * np.cumsum(dcut[::-1])[::-1][1:]]) / weight.sum()
+        gradient = np.concatenate([size * np.add.reduceat(dz.astype(np.float32)[owner_by_column], column_starts), [dcut.sum()], np.exp(theta[k + 1 :]) * np.cumsum(dcut[::-1])[::-1][1:]]) / weight.sum()
         gradient[:k] -= PENALTY * theta[:k]
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         theta += 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -116,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | fl
         return counts.get(1, 0) / max(1, sum(counts.values()))
     shares = np.array([counts[0], counts[1]]) / (counts[0] + counts[1])
     weight = (np.sqrt(shares) / np.bincount(toxic))[toxic] * len(toxic)
-    return fit([np.frombuffer(x, np.int32).astype(np.int64) for x in got["x"]], toxic, weight)
+    return fit([np.frombuffer(x, np.int32) for x in got["x"]], toxic, weight)
 
 
 def score_batch(texts: list[bytes], model: dict | float, table: np.ndarray | None) -> np.ndarray:
