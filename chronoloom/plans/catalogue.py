@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import textual, timed
+from . import details, textual, timed
 
-MODULES = (timed, textual)
+MODULES = (timed, textual, details)
 QUERIES = {name: f for m in MODULES for name, f in vars(m).items() if name.startswith("q_")}
 ORACLES = {name: getattr(m, name.upper()) for m in MODULES for name in vars(m) if name.startswith("q_") and hasattr(m, name.upper())}
