@@ -39,7 +39,7 @@ P_MIN = 5e-6
 DIVERGENCE = 3e-8
 KAPPA = 4.0
 FREQUENT = 5_000_000
-BATCH = 8 << 20
+BATCH = 6 << 20
 PIECE = 1024
 END = b"\n"
 
@@ -57,15 +57,19 @@ def _mask(n: int) -> int:
 def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the (DEPTH + 1)-grams that end at each symbol of the texts, newest byte lowest; with their counts."""
     lead = b" " * DEPTH
-    data = np.frombuffer(b"".join(lead + t for t in texts), np.uint8).astype(np.uint64)
+    data = np.frombuffer(b"".join(lead + t for t in texts), np.uint8)
     code = np.zeros(max(0, len(data) - DEPTH), np.uint64)
     for k in range(DEPTH, -1, -1):  # oldest first
-        code = (code << np.uint64(8)) | data[DEPTH - k : len(data) - k]
+        np.left_shift(code, np.uint64(8), out=code)
+        np.bitwise_or(code, data[DEPTH - k : len(data) - k], out=code)
     sizes = np.array([len(t) + DEPTH for t in texts])
     starts = np.append(0, np.cumsum(sizes)[:-1])
     inside = np.ones(len(data), bool)
     inside[(starts[:, None] + np.arange(DEPTH)).ravel()] = False  # the lead is context only
-    return np.unique(code[inside[DEPTH:]], return_counts=True)
+    code = code[inside[DEPTH:]]
+    code.sort()
+    heads = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+    return code[heads], np.diff(np.append(heads, len(code)))
 
 
 def gather(train: DataFrame) -> DataFrame:
@@ -157,7 +161,8 @@ def automaton(rows) -> tuple[np.ndarray, np.ndarray]:
         if len(longer):
             stem = np.array([number[(depth, int(c) >> 8)] for c in ctx[longer]])
             step[stem, ctx[longer] & 255] = longer
-    return step, np.log10(p, out=p)
+    small = step.astype(np.uint16) if len(d) <= 1 << 16 else step
+    return small, np.log10(p, out=p)
 
 
 def walk(texts: list[bytes], step: np.ndarray, logs: np.ndarray) -> np.ndarray:
