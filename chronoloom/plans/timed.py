@@ -443,3 +443,9 @@ def q_section_labels(spark, sf):
 Q_SECTION_LABELS = """
 WITH n AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM conversations)
 SELECT conv_id, turn, CASE WHEN n % 2 = 0 THEN 'Verse ' || (n // 2 + 1) WHEN n // 2 > 0 THEN 'Chorus ' || (n // 2 + 1) ELSE 'Chorus' END AS label FROM n"""
+
+
+def q_beat_continuity(spark, sf):
+    from ..operators.continuity import continuity
+
+    return continuity(a.beats(spark, sf), a.downbeats(spark, sf), KEY).select("track_id", F.round("amlt", 9).alias("amlt"))
