@@ -104,8 +104,8 @@ def gather(train: DataFrame) -> DataFrame:
     return train.mapInArrow(counted, "kind tinyint, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def contexts(grams: DataFrame, total: int) -> list:
-    """Rows (d, ctx, sym, n, kept) of all states: the retained contexts and their parts. Bounded by P_MIN."""
+def contexts(grams: DataFrame, total: int) -> pa.Table:
+    """Sorted rows (d, ctx, sym, n, kept) of all states: the retained contexts and their parts. Bounded by P_MIN."""
     by_depth = None
     for d in range(DEPTH + 1):
         part = grams.select(
@@ -129,43 +129,54 @@ def contexts(grams: DataFrame, total: int) -> list:
     states = kept.select(F.explode(F.array_compact(F.array(*parts))).alias("s")).select("s.d", "s.ctx").distinct()
     root = found.sparkSession.createDataFrame([(0, 0)], "d int, ctx long")
     states = states.union(root).distinct().join(kept.select("d", "ctx", F.lit(True).alias("kept")), ["d", "ctx"], "left")
-    return found.join(states, ["d", "ctx"]).select("d", "ctx", "sym", "n", F.coalesce("kept", F.lit(False)).alias("kept")).toPandas()
-
-
-def automaton(rows) -> tuple[np.ndarray, np.ndarray]:
-    """Next states and log10 probabilities, one row of 256 per state; state 0 is the root."""
-    rows = rows.sort_values(["d", "ctx", "sym"], kind="stable")
-    heads = rows.drop_duplicates(["d", "ctx"]).sort_values(["d", "ctx"], kind="stable")
-    d, ctx, kept = heads["d"].to_numpy(int), heads["ctx"].to_numpy(np.int64), heads["kept"].to_numpy(bool)
-    if not len(d):
-        return np.zeros((1, 256), np.int32), np.full((1, 256), -np.log10(256.0), np.float32)
-    number = {(int(a), int(b)): i for i, (a, b) in enumerate(zip(d, ctx))}
-    index = np.array([number[(int(a), int(b))] for a, b in zip(rows["d"], rows["ctx"])])
-    step = np.zeros((len(d), 256), np.int32)
-    p = np.zeros((len(d), 256), np.float32)
-    symbol, n = rows["sym"].to_numpy(int), rows["n"].to_numpy()
-    parent = np.array([number[(int(a) - 1, int(b) & _mask(int(a) - 1))] if a else 0 for a, b in zip(d, ctx)])
-    for depth in range(DEPTH + 1):  # states of one depth stand together
-        first, last = np.searchsorted(d, [depth, depth + 1])
-        counts = np.zeros((last - first, 256), np.float32)
-        mine = (index >= first) & (index < last)
-        counts[index[mine] - first, symbol[mine]] = n[mine]
-        before = p[parent[first:last]] if depth else np.full((last - first, 256), 1 / 256, np.float32)
-        smooth = np.flatnonzero(kept[first:last] | (depth == 0))
-        total = counts[smooth].sum(1, keepdims=True, dtype=np.float64).astype(np.float32)
-        before[smooth] = (counts[smooth] + np.float32(KAPPA) * before[smooth]) / (total + np.float32(KAPPA))
-        p[first:last] = before
+    return found.join(states, ["d", "ctx"]).select("d", "ctx", "sym", "n", F.coalesce("kept", F.lit(False)).alias("kept")).orderBy("d", "ctx", "sym").toArrow()
+
+
+def automaton(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Next states and log10 probabilities, a row per state (0: the root) and a column per byte seen in training; and every byte's column.
+
+    Bytes never seen share the last column: they are equally likely everywhere, and lead to the root.
+    """
+    depth_of, code, symbol, n, keeps = (rows.column(c).to_numpy() for c in ("d", "ctx", "sym", "n", "kept"))
+    seen = np.unique(symbol)
+    width = min(256, len(seen) + 1)
+    column = np.full(256, width - 1, np.uint8)
+    column[seen] = np.arange(len(seen))
+    if not len(code):
+        return np.zeros((1, 1), np.int32), np.full((1, 1), -np.log10(256.0), np.float32), column
+    head = np.append(True, (depth_of[1:] != depth_of[:-1]) | (code[1:] != code[:-1]))
+    index = np.cumsum(head) - 1
+    d, ctx, kept = depth_of[head], code[head], keeps[head]
+    bounds = np.searchsorted(d, np.arange(DEPTH + 3))
+
+    def number(depth: int, wanted: np.ndarray) -> np.ndarray:
+        """States of one depth by their contexts, which are sorted."""
+        return bounds[depth] + np.searchsorted(ctx[bounds[depth] : bounds[depth + 1]], wanted)
+
+    step = np.zeros((len(d), width), np.uint16 if len(d) <= 1 << 16 else np.int32)
+    p = np.empty((len(d), width), np.float32)
+    for depth in range(DEPTH + 1):
+        first, last = bounds[depth], bounds[depth + 1]
         if depth:
-            step[first:last] = step[parent[first:last]]  # what the shorter history knows
-        longer = np.flatnonzero(d == depth + 1)
-        if len(longer):
-            stem = np.array([number[(depth, int(c) >> 8)] for c in ctx[longer]])
-            step[stem, ctx[longer] & 255] = longer
-    small = step.astype(np.uint16) if len(d) <= 1 << 16 else step
-    return small, np.log10(p, out=p)
-
-
-def walk(texts: list[bytes], step: np.ndarray, logs: np.ndarray) -> np.ndarray:
+            parent = number(depth - 1, ctx[first:last] & _mask(depth - 1))
+            p[first:last] = p[parent]
+            step[first:last] = step[parent]  # what the shorter history knows
+        else:
+            p[0] = 1 / 256
+        mine = slice(*np.searchsorted(index, [first, last]))
+        counts = np.zeros((last - first, width), np.float32)
+        counts[index[mine] - first, column[symbol[mine]]] = n[mine]
+        total = counts.sum(1, keepdims=True)
+        counts += np.float32(KAPPA) * p[first:last]
+        counts /= total + np.float32(KAPPA)
+        smooth = kept[first:last] | (depth == 0)
+        p[first:last][smooth] = counts[smooth]
+        longer = np.arange(last, bounds[depth + 2])
+        step[number(depth, ctx[longer] >> 8), column[ctx[longer] & 255]] = longer
+    return step, np.log10(p, out=p), column
+
+
+def walk(texts: list[bytes], step: np.ndarray, logs: np.ndarray, column: np.ndarray) -> np.ndarray:
     """log10 probability of every text."""
     lead = b" " * DEPTH
     pieces, owner = [], []
@@ -180,13 +191,13 @@ def walk(texts: list[bytes], step: np.ndarray, logs: np.ndarray) -> np.ndarray:
     table = np.zeros((len(pieces), width), np.uint8)
     filled = np.arange(width) < lengths[order][:, None]
     table[filled] = np.frombuffer(b"".join(pieces[i] for i in order), np.uint8)
-    columns = np.ascontiguousarray(table.T).astype(np.int64)
+    columns = column[np.ascontiguousarray(table.T)]
     going = np.searchsorted(-lengths[order], -np.arange(1, width + 1), side="right")
-    flat_step, flat_logs = step.ravel(), logs.ravel()
+    flat_step, flat_logs, symbols = step.ravel(), logs.ravel(), np.int64(step.shape[1])
     state, total = np.zeros(len(pieces), np.int64), np.zeros(len(pieces))
     for t in range(width):
         n = going[t]
-        at = state[:n] * 256 + columns[t, :n]
+        at = state[:n] * symbols + columns[t, :n]
         if t >= DEPTH:
             total[:n] += flat_logs[at]
         state[:n] = flat_step[at]
@@ -200,13 +211,14 @@ def score(docs: DataFrame) -> DataFrame:
     counts = written(gather(texts.where(~F.col("held_out")).select("text")), "counts")
     sums = {r["kind"]: (r["all"], r["distinct"]) for r in counts.groupBy("kind").agg(F.sum("n").alias("all"), F.count("*").alias("distinct")).collect()}
     n_train, distinct = sums.get(1, (0, 0))
-    step, logs = automaton(contexts(counts.where("kind = 0").select("key", "n"), sums.get(0, (0, 0))[0]))
-    frequent = counts.where((F.col("kind") == 1) & (F.col("n") * FREQUENT >= n_train)).select("key", "n").toPandas().sort_values("key")  # FREQUENT rows at most
-    shared = spark.sparkContext.broadcast((step, logs, frequent["key"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64)))
+    tree = automaton(contexts(counts.where("kind = 0").select("key", "n"), sums.get(0, (0, 0))[0]))
+    frequent = counts.where((F.col("kind") == 1) & (F.col("n") * FREQUENT >= n_train)).select("key", "n").orderBy("key").toArrow()  # FREQUENT rows at most
+    shared = spark.sparkContext.broadcast((tree, frequent.column("key").to_numpy(), frequent.column("n").to_numpy()))
+    del tree, frequent
     floor = float(np.log10(n_train + 0.1 * (distinct + 1)))
 
     def scored(batches):
-        step, logs, keys, numbers = shared.value
+        tree, keys, numbers = shared.value
 
         def rows(part):
             uid, ids, raw, held = part
@@ -229,7 +241,7 @@ def score(docs: DataFrame) -> DataFrame:
             rare = ~known[flat]
             tails = np.append(0, np.cumsum(np.add.reduceat(rare.astype(np.int64), starts))).astype(np.int32)
             tail = pa.ListArray.from_arrays(pa.array(tails), pa.array(hashes[flat[rare]]))
-            columns = [pa.array(uid, pa.int64()), pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(sizes), pa.array(n_known), pa.array(base), pa.array(walk(joined, step, logs)), tail]
+            columns = [pa.array(uid, pa.int64()), pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(sizes), pa.array(n_known), pa.array(base), pa.array(walk(joined, *tree)), tail]
             return pa.RecordBatch.from_arrays(columns, ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "tail"])
 
         part, size = ([], [], [], []), 0

@@ -43,10 +43,11 @@ def test_states_are_longest_suffixes_and_distributions_sum_to_one(spark, monkeyp
     keys, counts = suffix_tree._grams(texts)
     grams = spark.createDataFrame(list(zip(keys.astype(np.int64).tolist(), counts.tolist())), "key long, n long")
     rows = suffix_tree.contexts(grams, int(counts.sum()))
-    step, logs = suffix_tree.automaton(rows)
-    assert np.allclose((10.0 ** logs.astype(float)).sum(1), 1, atol=1e-4)
-    names = sorted({(int(d), int(c)) for d, c in zip(rows["d"], rows["ctx"])})
-    kept = {(int(d), int(c)) for d, c, k in zip(rows["d"], rows["ctx"], rows["kept"]) if k}
+    step, logs, column = suffix_tree.automaton(rows)
+    assert np.allclose((10.0 ** logs[:, column].astype(float)).sum(1), 1, atol=1e-4)
+    states = [(r["d"], r["ctx"], r["kept"]) for r in rows.to_pylist()]
+    names = sorted({(d, c) for d, c, _ in states})
+    kept = {(d, c) for d, c, k in states if k}
     assert any(d == suffix_tree.DEPTH for d, _ in kept) and len(names) > 10
     # Brute force: look for the longest retained suffix at every position.
     number = {n: i for i, n in enumerate(names)}
@@ -56,18 +57,19 @@ def test_states_are_longest_suffixes_and_distributions_sum_to_one(spark, monkeyp
             for d in range(suffix_tree.DEPTH, -1, -1):
                 name = (d, int.from_bytes(padded[at - d : at], "big"))
                 if name in kept or d == 0:
-                    total += logs[number[name], padded[at]]
+                    total += logs[number[name], column[padded[at]]]
                     break
-        assert math.isclose(suffix_tree.walk([t], step, logs)[0], total, rel_tol=1e-5)
+        assert math.isclose(suffix_tree.walk([t], step, logs, column)[0], total, rel_tol=1e-5)
 
 
 def test_pieces_do_not_matter(monkeypatch):
     rng = np.random.default_rng(0)
     step, logs = np.zeros((1, 256), np.int32), rng.normal(size=(1, 256)).astype(np.float32)
     texts = [b"x" * 10, b"abc" * 700, b"\n"]
-    whole = suffix_tree.walk(texts, step, logs)
+    column = np.arange(256, dtype=np.uint8)
+    whole = suffix_tree.walk(texts, step, logs, column)
     monkeypatch.setattr(suffix_tree, "PIECE", 7)
-    assert np.allclose(whole, suffix_tree.walk(texts, step, logs), rtol=1e-6)
+    assert np.allclose(whole, suffix_tree.walk(texts, step, logs, column), rtol=1e-6)
 
 
 def test_model_beats_base_on_held_out_texts(spark):
