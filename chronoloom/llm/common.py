@@ -81,3 +81,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
         picked = part if picked is None else picked.union(part)
     texts = docs.select("doc_id", text_of(docs).alias("text"))
     return texts.join(F.broadcast(picked), texts["doc_id"] == picked["id"]).select("doc_id", "text", "label")
+
+
+#: Elements of one block of a running combination.
+RUN_BLOCK = 1024
+
+
+def running(values: Column, combine) -> Column:
+    """Running combination (an associative function) of an int array: inside blocks, then over blocks, so that no long array is copied per element."""
+    none = F.array().cast("array<int>")
+
+    def fold(items: Column, value) -> Column:
+        return F.aggregate(items, none, lambda acc, x: F.array_append(acc, F.when(F.size(acc) > 0, combine(F.get(acc, F.size(acc) - 1), value(x))).otherwise(value(x))))
+
+    def carried(inner: Column) -> Column:
+        ends = fold(inner, lambda block: F.element_at(block, -1))
+        return let(ends, lambda e: F.flatten(F.transform(inner, lambda block, i: F.when(i > 0, F.transform(block, lambda v: combine(F.get(e, i - 1), v))).otherwise(block))))
+
+    starts = lambda v: F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(v)), F.lit(RUN_BLOCK))
+    return let(values, lambda v: F.when(F.size(v) > 0, let(F.transform(starts(v), lambda at: fold(F.slice(v, at, F.lit(RUN_BLOCK)), lambda x: x)), carried)).otherwise(none))

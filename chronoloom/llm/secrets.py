@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import let, running, text_of
 
 #: The contract's patterns (fixed values); group 2 of assign is the secret itself.
 ASSIGN = (
@@ -53,18 +53,15 @@ BINS = 400
 
 def _spans(text: Column, pattern: str, keep) -> Column:
     """Array of (start, end) of the pattern's matches that pass keep(match), from the pieces between matches."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.arrays_zip(found.alias("m"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("g"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,t:string>>").alias("got"))
+    none = F.array().cast("array<struct<s:int,e:int,t:string>>")
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["g"])
-        end = start + F.length(x["m"])
-        span = F.struct(start.alias("s"), end.alias("e"), x["m"].alias("t"))
-        return F.struct(end.alias("at"), F.when(keep(x["m"]), F.array_append(acc["got"], span)).otherwise(acc["got"]).alias("got"))
+    def placed(found: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        ends = running(F.zip_with(gaps, found, lambda g, m: F.length(g) + F.length(m)), lambda a, b: a + b)
+        spans = F.zip_with(found, ends, lambda m, e: F.struct((e - F.length(m)).alias("s"), e.alias("e"), m.alias("t")))
+        return F.filter(spans, lambda x: keep(x["t"]))
 
-    spans = F.aggregate(pieces, empty, step, lambda acc: acc["got"])
-    return F.when(text.rlike(pattern), spans).otherwise(empty["got"])
+    return F.when(text.rlike(pattern), let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)).otherwise(none)
 
 
 def _normal_cdf(z: Column) -> Column:
@@ -186,16 +183,17 @@ def digest(found: DataFrame) -> DataFrame:
 
 def redacted(text: Column, spans: Column, mask: str = "[secret]") -> Column:
     """The text with every span replaced by the mask; overlapping spans by one mask."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc, x):
-        clear = F.greatest(x["s"], acc["at"]) - acc["at"]
-        piece = F.substring(text, acc["at"] + 1, clear)
-        fresh = x["s"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(fresh, F.concat(acc["out"], piece, F.lit(mask))).otherwise(acc["out"]).alias("out"))
+    def masked(ends: Column) -> Column:
+        def piece(x: Column, i: Column) -> Column:
+            last = F.when(i > 0, F.get(ends, i - 1)).otherwise(0)
+            return F.when(x["s"] >= last, F.concat(F.substring(text, last + 1, x["s"] - last), F.lit(mask))).otherwise("")
 
-    done = F.aggregate(spans, start, step)
-    return F.when(F.size(spans) > 0, F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))).otherwise(text)
+        tail = F.substring(text, F.element_at(ends, -1) + 1, F.length(text))
+        return F.concat(F.array_join(F.transform(spans, piece), ""), tail)
+
+    ends = running(F.transform(spans, lambda x: x["e"]), lambda a, b: F.greatest(a, b))
+    return F.when(F.size(spans) > 0, let(ends, masked)).otherwise(text)
 
 
 def _quoted(pattern: str) -> str:

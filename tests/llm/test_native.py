@@ -85,3 +85,9 @@ def test_mixing_clamps(spark):
     rows = [(i, "w " * 10, "en", s, 0) for i, s in enumerate(["a"] * 20 + ["b"] * 2 + ["c"] * 1)]
     by = {r["source"]: (r["target"], r["source_size"]) for r in mixing.mix(spark.createDataFrame(rows, DOC), keep=("source",)).collect()}
     assert by == {"a": (140.0, 200), "b": (60.0, 20), "c": (30.0, 10)}
+
+
+def test_very_many_matches(spark):
+    text = "token=abcdef " * 50_000
+    row = secrets.digest(secrets.scan(docs_frame(spark, [text]))).first()
+    assert row["n_assign"] == 50_000 and row["spans"].endswith(f"assign:{len(text) - 13}:{len(text) - 1}")
