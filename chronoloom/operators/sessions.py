@@ -36,32 +36,37 @@ def gap_sessions(words: DataFrame, key: list[str], threshold: Column, name: str
     return blocks.running_sum(kept, key, ["t0", "idx"], cut, name).drop("__last_end", blocks.BLOCK)
 
 
-def summarised(words: DataFrame, key: list[str], session: list[str]) -> DataFrame:
-    """One row per session: first start, the last word's end, number of words."""
-    return words.groupBy(*key, *session).agg(F.min("t0").alias("t0"), F.max(F.struct("t0", "idx", "t1"))["t1"].alias("t1"), F.count("*").alias("n_words"))
+def summarised(words: DataFrame, key: list[str], session: list[str], *more: Column) -> DataFrame:
+    """One row per session: first start, the last word's end, number of words, and further aggregates."""
+    return words.groupBy(*key, *session).agg(F.min("t0").alias("t0"), F.max(F.struct("t0", "idx", "t1"))["t1"].alias("t1"), F.count("*").alias("n_words"), *more)
 
 
 def sections(blocks_: DataFrame, durations: DataFrame, key: list[str]) -> DataFrame:
-    """Intro, verses and choruses in turn, breaks and outro over a track's blocks (block, t0, t1).
+    """Intro, verses and choruses in turn, breaks and outro over a track's blocks (block, t0, t1, threshold).
 
-    durations: key, duration, threshold. Rows: key, kind, label, t0, t1, seq (order in the track). A track without
+    durations: key, duration. Rows: key, kind, label, t0, t1, seq (order in the track). A track without
     blocks is one instrumental; a duration of 0 or less gives nothing.
     """
-    tracks = durations.where("duration > 0")
     w = Window.partitionBy(*key).orderBy("block")
-    placed = blocks_.join(tracks, key)
-    placed = placed.withColumn("last_end", F.lag("t1").over(w)).withColumn("n", F.row_number().over(w) - 1)
-    odd = F.col("n") % 2 == 1
-    nth = F.floor(F.col("n") / 2) + 1
-    verse = placed.select(*key, F.when(odd, "chorus").otherwise("verse").alias("kind"), nth.alias("nth"), "t0", "t1")
-    rest = placed.where((F.col("n") > 0) & (F.col("t0") - F.col("last_end") > F.col("threshold")))
-    rest = rest.select(*key, F.lit("instrumental").alias("kind"), F.row_number().over(w).cast("long").alias("nth"), F.col("last_end").alias("t0"), F.col("t0").alias("t1"))
-    ends = placed.groupBy(*key, "duration", "threshold").agg(F.min("t0").alias("first"), F.max(F.struct("block", "t1"))["t1"].alias("last"))
-    one = F.lit(1).cast("long").alias("nth")
-    intro = ends.where("first > threshold").select(*key, F.lit("intro").alias("kind"), one, F.lit(0).cast("long").alias("t0"), F.col("first").alias("t1"))
-    outro = ends.where("duration - last > threshold").select(*key, F.lit("outro").alias("kind"), one, F.col("last").alias("t0"), F.col("duration").alias("t1"))
-    silent = tracks.join(blocks_.select(*key).distinct(), key, "left_anti").select(*key, F.lit("instrumental").alias("kind"), one, F.lit(0).cast("long").alias("t0"), F.col("duration").alias("t1"))
-    every = verse.unionByName(rest).unionByName(intro).unionByName(outro).unionByName(silent)
+    placed = durations.where("duration > 0").select(*key, "duration").join(blocks_.select(*key, "block", "t0", "t1", "threshold"), key, "left")
+    placed = placed.withColumns({"last_end": F.lag("t1").over(w), "n": F.row_number().over(w) - 1, "next": F.lead("block").over(w)})
+    far = F.col("t0") - F.col("last_end") > F.col("threshold")
+    placed = placed.withColumn("breaks", F.sum(F.when((F.col("n") > 0) & far, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+
+    def row(when, kind, nth, t0, t1):
+        return F.when(when, F.struct(kind.alias("kind"), nth.cast("long").alias("nth"), t0.alias("t0"), t1.alias("t1")))
+
+    some, start, end = F.col("block").isNotNull(), F.col("t0"), F.col("t1")
+    # What a block brings along: itself, the break before it, the track's beginning before the first and end after the last one.
+    rows = F.array(
+        row(some, F.when(F.col("n") % 2 == 1, "chorus").otherwise("verse"), F.floor(F.col("n") / 2) + 1, start, end),
+        row(some & (F.col("n") > 0) & far, F.lit("instrumental"), F.col("breaks"), F.col("last_end"), start),
+        row(some & (F.col("n") == 0) & (start > F.col("threshold")), F.lit("intro"), one, zero, start),
+        row(some & F.col("next").isNull() & (F.col("duration") - end > F.col("threshold")), F.lit("outro"), one, end, F.col("duration")),
+        row(~some, F.lit("instrumental"), one, zero, F.col("duration")),
+    )
+    every = placed.select(*key, F.explode(F.array_compact(rows)).alias("s")).select(*key, "s.*")
     numbered = every.withColumn("seq", F.row_number().over(Window.partitionBy(*key).orderBy("t0", "t1", "kind")))
     return numbered.select(*key, "kind", section_label(F.col("kind"), F.col("nth")).alias("label"), "t0", "t1", "seq")
 

@@ -37,18 +37,16 @@ def strict(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     return df.where(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit("a row breaks a rule: " + ", ".join(checks))).cast("boolean")))
 
 
-def split_failures(df: DataFrame, reasons: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
-    """Rows without a reason to fail, and rows with their first reason; a bad row never stops the others."""
-    first = F.coalesce(*[F.when(bad, F.lit(name)) for name, bad in reasons.items()])
-    marked = df.withColumn("reason", first)
-    return marked.where("reason IS NULL").drop("reason"), marked.where("reason IS NOT NULL")
-
-
-def rollup(scores: DataFrame, failures: DataFrame, skipped: int = 0) -> DataFrame:
-    """Mean score (0.0 without any), attempted = scored + failed, skipped."""
-    a = scores.agg(F.coalesce(F.avg("score"), F.lit(0.0)).alias("mean_score"), F.count("*").alias("scored"))
-    b = failures.agg(F.count("*").alias("failed"))
-    return a.join(b, F.lit(True)).select("mean_score", (F.col("scored") + F.col("failed")).alias("attempted"), "failed", F.lit(skipped).alias("skipped"))
+def with_reason(df: DataFrame, reasons: dict[str, Column]) -> DataFrame:
+    """Adds the first reason for which a row fails, null where it doesn't; a bad row never stops the others."""
+    return df.withColumn("reason", F.coalesce(*[F.when(bad, F.lit(name)) for name, bad in reasons.items()]))
+
+
+def rollup(marked: DataFrame, skipped: int = 0) -> DataFrame:
+    """Mean score of rows without a reason to fail (0.0 without any), attempted, failed, skipped; one pass."""
+    failed = F.count("reason")
+    mean = F.coalesce(F.avg(F.when(F.col("reason").isNull(), F.col("score"))), F.lit(0.0))
+    return marked.agg(mean.alias("mean_score"), F.count("*").alias("attempted"), failed.alias("failed")).withColumn("skipped", F.lit(skipped))
 
 
 def beat_agreement(reference: DataFrame, estimate: DataFrame, key: list[str], tolerance: int = 70_000, trim: int = 0) -> DataFrame:

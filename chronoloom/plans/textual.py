@@ -327,8 +327,8 @@ Q_CACHE_MISS = "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT d
 
 def q_failures(spark, sf):
     joined = a.table(spark, sf, "documents").join(a.table(spark, sf, "labels"), "doc_id")
-    _, bad = validate.split_failures(joined, {"empty": F.length(F.coalesce("text", F.lit(""))) == 0, "low quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1})
-    return bad.select("doc_id", "reason")
+    marked = validate.with_reason(joined, {"empty": F.length(F.coalesce("text", F.lit(""))) == 0, "low quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1})
+    return marked.where("reason IS NOT NULL").select("doc_id", "reason")
 
 
 Q_FAILURES = "SELECT doc_id, CASE WHEN length(coalesce(text, '')) = 0 THEN 'empty' WHEN quality = 0 THEN 'low quality' ELSE 'toxic' END AS reason FROM documents JOIN labels USING (doc_id) WHERE length(coalesce(text, '')) = 0 OR quality = 0 OR toxic = 1"

@@ -54,9 +54,8 @@ SELECT track_id, block, line, min(t0) AS t0, arg_max(t1, (t0, idx)) AS t1, count
 
 
 def q_sections(spark, sf):
-    words = a.words(spark, sf)
-    tracks = a.durations(spark, sf).join(_thresholds(spark, sf, words), KEY, "left").select("track_id", "duration", F.coalesce("section_gap", F.lit(12.0 * HOUR)).alias("threshold"))
-    return sessions.sections(q_gap_blocks(spark, sf), tracks, KEY)
+    found = sessions.summarised(_sessions(spark, sf), KEY, ["block"], F.max("section_gap").alias("threshold"))
+    return sessions.sections(found, a.durations(spark, sf), KEY)
 
 
 Q_SECTIONS = (
@@ -398,9 +397,7 @@ Q_SEVERITY_TOPK = "WITH " + _WCSR + f" SELECT track_id, score, {_SEVERITY} AS se
 
 
 def q_report_rollup(spark, sf):
-    scores = q_wcsr(spark, sf)
-    good, bad = validate.split_failures(scores, {"too_low": F.col("score") < 0.3})
-    return validate.rollup(good, bad).select(F.round("mean_score", 6).alias("mean_score"), "attempted", "failed", "skipped")
+    return validate.rollup(validate.with_reason(q_wcsr(spark, sf), {"too_low": F.col("score") < 0.3})).select(F.round("mean_score", 6).alias("mean_score"), "attempted", "failed", "skipped")
 
 
 Q_REPORT_ROLLUP = "WITH " + _WCSR + " SELECT round(coalesce(avg(score) FILTER (score >= 0.3), 0.0), 6) AS mean_score, count(*) AS attempted, count(*) FILTER (score < 0.3) AS failed, 0 AS skipped FROM wcsr"

@@ -130,8 +130,8 @@ def test_gap_sessions_break_strictly_beyond_the_threshold(spark):
 
 def sectioned(spark, spans, duration, threshold=4.0):
     marked = sessions.gap_sessions(words(spark, *spans), KEY, F.lit(threshold * S), width=S)
-    tracks = frame(spark, [("t", int(duration * S), threshold * S)], "duration bigint, threshold double")
-    found = sessions.sections(sessions.summarised(marked, KEY, ["block"]), tracks, KEY)
+    tracks = frame(spark, [("t", int(duration * S))], "duration bigint")
+    found = sessions.sections(sessions.summarised(marked, KEY, ["block"], F.lit(threshold * S).alias("threshold")), tracks, KEY)
     return [(r["label"], r["t0"] / S, r["t1"] / S) for r in found.orderBy("seq").collect()]
 
 
