@@ -1,8 +1,10 @@
-"""Ordered operators that do not need a whole key in one task.
+"""Ordered operators, with a way to split hot keys.
 
-A key's rows are split into time blocks. What a row needs from its own block comes from a window over (key, block); what it
-needs from all earlier or later blocks comes from a summary with one row per block. A key that holds a third of all rows
-is thereby spread over its blocks, and results don't depend on the width of the blocks.
+Without blocks (the default), these are windows over the key: one shuffle, one sort, streamed through a task. Where single keys may
+hold a large share of all rows, ``with_block`` splits them into time blocks: what a row needs from its own block comes from a
+window over (key, block), what it needs from earlier or later blocks from a summary with one row per block. That
+spreads a hot key over its blocks at the price of computing the input twice, so materialise an expensive one before. Results do
+not depend on blocks.
 """
 
 from __future__ import annotations
@@ -13,15 +15,21 @@ from pyspark.sql import functions as F
 BLOCK = "__block"
 
 
-def with_block(df: DataFrame, time: str, width: int) -> DataFrame:
-    """Adds the number of the row's time block."""
-    return df.withColumn(BLOCK, F.floor(F.col(time) / F.lit(width)))
+def with_block(df: DataFrame, time: str, width: int | None) -> DataFrame:
+    """Adds the number of the row's time block, if there is to be one."""
+    return df if width is None else df.withColumn(BLOCK, F.floor(F.col(time) / F.lit(width)))
 
 
 def _inside(key: list[str], order: list) -> Window:
     return Window.partitionBy(*key, BLOCK).orderBy(*order)
 
 
+def _up_and_down(part: Window, order: list[str]) -> tuple[Window, Window]:
+    """Frames up to a row from either end; a frame that shrinks from the front would be computed anew for every row."""
+    frame = (Window.unboundedPreceding, 0)
+    return part.orderBy(*order).rowsBetween(*frame), part.orderBy(*[F.col(c).desc() for c in order]).rowsBetween(*frame)
+
+
 def _across(key: list[str]) -> Window:
     return Window.partitionBy(*key).orderBy(BLOCK)
 
@@ -31,7 +39,10 @@ def _summary(df: DataFrame, key: list[str], aggregates: list[Column], derived: l
 
 
 def lagged(df: DataFrame, key: list[str], order: list[str], values: dict[str, str]) -> DataFrame:
-    """The previous row's columns: ``values`` maps new names to existing columns. df must carry blocks of order[0]."""
+    """The previous row's columns: ``values`` maps new names to existing columns. Blocks, if any, are those of order[0]."""
+    if BLOCK not in df.columns:
+        w = Window.partitionBy(*key).orderBy(*order)
+        return df.withColumns({n: F.lag(c).over(w) for n, c in values.items()})
     w = _inside(key, order)
     last = F.max(F.struct(*order, *[F.col(c).alias(f"__v_{n}") for n, c in values.items()]))
     before = F.last("__blk_last", True).over(_across(key).rowsBetween(Window.unboundedPreceding, -1))
@@ -44,6 +55,9 @@ def lagged(df: DataFrame, key: list[str], order: list[str], values: dict[str, st
 
 def led(df: DataFrame, key: list[str], order: list[str], values: dict[str, str]) -> DataFrame:
     """The next row's columns."""
+    if BLOCK not in df.columns:
+        w = Window.partitionBy(*key).orderBy(*order)
+        return df.withColumns({n: F.lead(c).over(w) for n, c in values.items()})
     w = _inside(key, order)
     first = F.min(F.struct(*order, *[F.col(c).alias(f"__v_{n}") for n, c in values.items()]))
     after = F.first("__blk_first", True).over(_across(key).rowsBetween(1, Window.unboundedFollowing))
@@ -56,6 +70,8 @@ def led(df: DataFrame, key: list[str], order: list[str], values: dict[str, str])
 
 def running_sum(df: DataFrame, key: list[str], order: list[str], value: Column, name: str) -> DataFrame:
     """Sum of value up to and with the row."""
+    if BLOCK not in df.columns:
+        return df.withColumn(name, F.sum(value).over(Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     marked = df.withColumn("__blk_value", value)
     before = F.coalesce(F.sum("__blk_total").over(_across(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     summary = _summary(marked, key, [F.sum("__blk_value").alias("__blk_total")], [before.alias("__blk_before")])
@@ -70,8 +86,10 @@ def numbered(df: DataFrame, key: list[str], order: list[str], name: str) -> Data
 
 def carried(df: DataFrame, key: list[str], order: list[str], points: list[str]) -> DataFrame:
     """For every struct column of points: the greatest value up to the row (prev_<name>) and the least from it on (next_<name>)."""
-    w = _inside(key, order)
-    up, down = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    if BLOCK not in df.columns:
+        up, down = _up_and_down(Window.partitionBy(*key), order)
+        return df.withColumns({f"prev_{c}": F.max(c).over(up) for c in points} | {f"next_{c}": F.min(c).over(down) for c in points})
+    up, down = _up_and_down(Window.partitionBy(*key, BLOCK), order)
     aggregates = [f(c).alias(f"__{n}_{c}") for c in points for n, f in (("max", F.max), ("min", F.min))]
     earlier, later = _across(key).rowsBetween(Window.unboundedPreceding, -1), _across(key).rowsBetween(1, Window.unboundedFollowing)
     derived = [F.max(f"__max_{c}").over(earlier).alias(f"__earlier_{c}") for c in points] + [F.min(f"__min_{c}").over(later).alias(f"__later_{c}") for c in points]

@@ -24,14 +24,15 @@ def place(
     beat_tolerance: int = 70_000,
     half_tolerance: int = 150_000,
     width: int = HOUR,
+    block: int | None = None,
 ) -> DataFrame:
     """Where each chord (t, idx) goes: key, idx, anchor, strategy, target (ordinal of syllable or word), distance.
 
     The anchor is the chord's time snapped to beats. In order: the first long syllable that holds the anchor; the closest stressed
     syllable within (strictly) ``stressed``; the closest syllable within ``any_``; the closest word within ``word``; else an orphan.
-    syllables: t0, t1, idx, stressed; words: t0, idx.
+    syllables: t0, t1, idx, stressed; words: t0, idx. width: of the range join's buckets; block: see blocks.
     """
-    anchored = snap(chords.select(*key, "t", "idx"), beats, key, "t", beat_tolerance, half_tolerance, width).select(*key, F.col("idx").alias("chord"), F.col("snapped").alias("t"))
+    anchored = snap(chords.select(*key, "t", "idx"), beats, key, "t", beat_tolerance, half_tolerance, block).select(*key, F.col("idx").alias("chord"), F.col("snapped").alias("t"))
     id_ = ["chord"]
     long_ones = syllables.where(F.col("t1") - F.col("t0") > long_syllable).select(*key, "t0", "t1", "idx")
     held = first_interval_at(anchored, long_ones, key, [*id_], width).select(*key, *id_, F.struct(F.lit(0).alias("rank"), F.lit(0).cast("long").alias("distance"), F.col("idx").cast("long").alias("idx")).alias("c"))
@@ -41,7 +42,7 @@ def place(
         found = nearest_within(anchored, df.select(*key, "t", "idx"), key, id_, tolerance)
         return found.select(*key, *id_, F.struct(F.lit(rank).alias("rank"), F.col("nearest.distance").alias("distance"), F.col("nearest.idx").cast("long").alias("idx")).alias("c"))
 
-    by_word = nearest(anchored, {"found": words.select(*key, F.col("t0").alias("t"), "idx")}, key, "t", width)
+    by_word = nearest(anchored, {"found": words.select(*key, F.col("t0").alias("t"), "idx")}, key, "t", block)
     far = F.abs(F.col("t") - F.col("found.t"))
     by_word = by_word.where(far < word).select(*key, *id_, F.struct(F.lit(3).alias("rank"), far.alias("distance"), F.col("found.idx").alias("idx")).alias("c"))
     every = held.unionByName(closest(starts.where("stressed"), 1, stressed)).unionByName(closest(starts, 2, any_)).unionByName(by_word)

@@ -9,14 +9,14 @@ from . import blocks
 from .nearest import HOUR, spread_intervals
 
 
-def onset_intervals(onsets: DataFrame, key: list[str], label: str, end_of_track: Column | None = None, none_label: str = "N", tail: int = 1_000_000, width: int = HOUR) -> DataFrame:
+def onset_intervals(onsets: DataFrame, key: list[str], label: str, end_of_track: Column | None = None, none_label: str = "N", tail: int = 1_000_000, block: int | None = None) -> DataFrame:
     """Half-open intervals between onsets (t, idx); boundaries labelled none end the one before and are dropped afterwards.
 
     The last interval ends with the track, or ``tail`` after its start; empty ones are dropped.
     """
     last = F.col("t") + F.lit(tail)
     last = F.coalesce(end_of_track, last) if end_of_track is not None else last
-    ahead = blocks.led(blocks.with_block(onsets, "t", width), key, ["t", "idx"], {"__after": "t"})
+    ahead = blocks.led(blocks.with_block(onsets, "t", block), key, ["t", "idx"], {"__after": "t"})
     out = ahead.withColumn("t0", F.col("t")).withColumn("t1", F.greatest(F.col("t"), F.coalesce("__after", last)))
     keep = (F.col(label) != none_label) & (F.col(label) != "") & (F.col("t1") > F.col("t0"))
     return out.where(keep).drop("t", "__after", blocks.BLOCK)
@@ -64,7 +64,7 @@ def equal_intervals(items: DataFrame, key: list[str], order: list[str], duration
     return items.withColumn("t0", at * duration / n).withColumn("t1", (at + 1) * duration / n)
 
 
-def refinement(left: DataFrame, right: DataFrame, key: list[str], width: int = HOUR) -> DataFrame:
+def refinement(left: DataFrame, right: DataFrame, key: list[str], block: int | None = None) -> DataFrame:
     """Common refinement of two labelled interval sets (t0, t1, label): key, t0, t1, left_label, right_label.
 
     Every boundary of either side cuts; a stretch carries the label of the interval begun last on each side.
@@ -79,7 +79,7 @@ def refinement(left: DataFrame, right: DataFrame, key: list[str], width: int = H
     cut = bounds
     for df, name in zip(marks, ("left_label", "right_label")):
         cut = cut.join(df, [*key, "t"], "left").withColumn(f"__{name}", F.when(F.col(name).isNotNull(), F.struct("t", F.col(name).alias("label")))).drop(name)
-    cut = blocks.with_block(cut, "t", width)
+    cut = blocks.with_block(cut, "t", block)
     cut = blocks.led(cut, key, ["t"], {"t1": "t"})
     cut = blocks.carried(cut, key, ["t"], ["__left_label", "__right_label"])
     return cut.where("t1 IS NOT NULL").select(*key, F.col("t").alias("t0"), "t1", F.col("prev___left_label.label").alias("left_label"), F.col("prev___right_label.label").alias("right_label"))

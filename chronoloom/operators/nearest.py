@@ -13,10 +13,10 @@ from . import blocks
 HOUR = 3_600_000_000
 
 
-def nearest(left: DataFrame, rights: dict[str, DataFrame], key: list[str], time: str, width: int = HOUR) -> DataFrame:
+def nearest(left: DataFrame, rights: dict[str, DataFrame], key: list[str], time: str, block: int | None = None) -> DataFrame:
     """Adds, per named right side (key, t, idx), a struct (t, idx) of its element nearest to the left row's time.
 
-    Right sides are united with the left rows and carried along in time blocks: no pair of rows is ever built.
+    Right sides are united with the left rows and carried along: no pair of rows is ever built. block: see blocks.
     """
     fields = left.columns
     united = left.select(*key, F.col(time).alias("__t"), F.lit(1).alias("__side"), F.struct(*fields).alias("__row"), *[F.lit(None).cast("struct<t:bigint,idx:bigint>").alias(f"__{n}") for n in rights])
@@ -26,7 +26,7 @@ def nearest(left: DataFrame, rights: dict[str, DataFrame], key: list[str], time:
         columns = [point.alias(f"__{n}") if n == name else F.lit(None).cast("struct<t:bigint,idx:bigint>").alias(f"__{n}") for n in rights]
         united = united.unionByName(unique.select(*key, F.col("t").alias("__t"), F.lit(0).alias("__side"), F.lit(None).cast(united.schema["__row"].dataType).alias("__row"), *columns))
     names = [f"__{n}" for n in rights]
-    found = blocks.carried(blocks.with_block(united, "__t", width), key, ["__t", "__side"], names).where("__side = 1")
+    found = blocks.carried(blocks.with_block(united, "__t", block), key, ["__t", "__side"], names).where("__side = 1")
 
     def nearer(c: str) -> Column:
         before, after, t = F.col(f"prev_{c}"), F.col(f"next_{c}"), F.col("__t")
@@ -35,24 +35,24 @@ def nearest(left: DataFrame, rights: dict[str, DataFrame], key: list[str], time:
     return found.select("__row.*", *[nearer(c).alias(c[2:]) for c in names])
 
 
-def midpoints(beats: DataFrame, key: list[str], width: int = HOUR) -> DataFrame:
+def midpoints(beats: DataFrame, key: list[str], block: int | None = None) -> DataFrame:
     """Half-way points between successive beats: key, t, idx (of the earlier beat)."""
-    ahead = blocks.led(blocks.with_block(beats, "t", width), key, ["t", "idx"], {"after": "t"})
+    ahead = blocks.led(blocks.with_block(beats, "t", block), key, ["t", "idx"], {"after": "t"})
     return ahead.where("after IS NOT NULL").select(*key, F.expr("(t + after) div 2").alias("t"), "idx")
 
 
-def snap(events: DataFrame, beats: DataFrame, key: list[str], time: str, beat_tolerance: int = 70_000, half_tolerance: int = 150_000, width: int = HOUR) -> DataFrame:
+def snap(events: DataFrame, beats: DataFrame, key: list[str], time: str, beat_tolerance: int = 70_000, half_tolerance: int = 150_000, block: int | None = None) -> DataFrame:
     """Tolerance ladder: the nearest beat, else the nearest half-beat, else the event's own time. Adds level and snapped."""
-    found = nearest(events, {"beat": beats.select(*key, "t", "idx"), "half": midpoints(beats, key, width)}, key, time, width)
+    found = nearest(events, {"beat": beats.select(*key, "t", "idx"), "half": midpoints(beats, key, block)}, key, time, block)
     near = lambda c, tolerance: F.abs(F.col(time) - F.col(c)["t"]) <= tolerance
     level = F.when(near("beat", beat_tolerance), "beat").when(near("half", half_tolerance), "8th").otherwise("unsnapped")
     snapped = F.when(near("beat", beat_tolerance), F.col("beat")["t"]).when(near("half", half_tolerance), F.col("half")["t"]).otherwise(F.col(time))
     return found.withColumns({"level": level, "snapped": snapped}).drop("beat", "half")
 
 
-def nearest_index(points: DataFrame, grid: DataFrame, key: list[str], width: int = HOUR) -> DataFrame:
+def nearest_index(points: DataFrame, grid: DataFrame, key: list[str], block: int | None = None) -> DataFrame:
     """Distinct grid indices nearest to any point."""
-    return nearest(points, {"found": grid}, key, "t", width).where("found IS NOT NULL").select(*key, F.col("found.idx").alias("idx")).distinct()
+    return nearest(points, {"found": grid}, key, "t", block).where("found IS NOT NULL").select(*key, F.col("found.idx").alias("idx")).distinct()
 
 
 def nearest_within(left: DataFrame, right: DataFrame, key: list[str], left_id: list[str], tolerance: int, strict: bool = True) -> DataFrame:

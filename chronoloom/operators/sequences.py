@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks
-from .nearest import HOUR
 
 
-def runs(frames: DataFrame, key: list[str], order: str, token: str, blank: Column | None = None, width: int = 4096) -> DataFrame:
+def runs(frames: DataFrame, key: list[str], order: str, token: str, blank: Column | None = None, block: int | None = None) -> DataFrame:
     """Maximal runs of one token in order: key, run, token, first, last (inclusive), n. Blank runs break others and are dropped."""
-    marked = blocks.lagged(blocks.with_block(frames, order, width), key, [order], {"__last": token, "__at": order})
+    marked = blocks.lagged(blocks.with_block(frames, order, block), key, [order], {"__last": token, "__at": order})
     new = F.when(F.col("__at").isNotNull() & F.col("__last").eqNullSafe(F.col(token)), 0).otherwise(1).cast("long")
     numbered = blocks.running_sum(marked, key, [order], new, "run")
     found = numbered.groupBy(*key, "run", token).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"))
@@ -23,16 +22,16 @@ def spans_to_words(spans: DataFrame, key: list[str], word: str, frame_us: int =
     return spans.groupBy(*key, word).agg((F.min("first") * frame_us).alias("t0"), ((F.max("last") + 1) * frame_us).alias("t1"))
 
 
-def measure_positions(beats: DataFrame, key: list[str], downbeat: Column, width: int = HOUR) -> DataFrame:
+def measure_positions(beats: DataFrame, key: list[str], downbeat: Column, block: int | None = None) -> DataFrame:
     """Position of every beat in its measure, from 1; a measure begins at a downbeat or with the track."""
-    counted = blocks.running_sum(blocks.with_block(beats, "t", width), key, ["t", "idx"], F.when(downbeat, 1).otherwise(0).cast("long"), "measure")
+    counted = blocks.running_sum(blocks.with_block(beats, "t", block), key, ["t", "idx"], F.when(downbeat, 1).otherwise(0).cast("long"), "measure")
     inside = Window.partitionBy(*key, "measure").orderBy("t", "idx")
     return counted.withColumn("position", F.row_number().over(inside)).drop(blocks.BLOCK)
 
 
-def not_increasing(beats: DataFrame, key: list[str], width: int = HOUR) -> DataFrame:
+def not_increasing(beats: DataFrame, key: list[str], block: int | None = None) -> DataFrame:
     """Elements (in order of idx) that are not later than the one before."""
-    kept = blocks.lagged(blocks.with_block(beats, "idx", width), key, ["idx"], {"previous": "t"})
+    kept = blocks.lagged(blocks.with_block(beats, "idx", block), key, ["idx"], {"previous": "t"})
     return kept.where("previous >= t").drop(blocks.BLOCK)
 
 
@@ -43,10 +42,10 @@ def pairs(items: DataFrame, key: list[str], idx: str, label: str) -> DataFrame:
     return found.withColumn("second", F.coalesce("second", "first"))
 
 
-def positional_zip(left: DataFrame, right: DataFrame, key: list[str], left_order: list[str], right_order: list[str], width: int = HOUR) -> DataFrame:
+def positional_zip(left: DataFrame, right: DataFrame, key: list[str], left_order: list[str], right_order: list[str], block: int | None = None) -> DataFrame:
     """Left and right rows of a key by position; the longer side's rest is left out."""
-    a = blocks.numbered(blocks.with_block(left, left_order[0], width), key, left_order, "position").drop(blocks.BLOCK)
-    b = blocks.numbered(blocks.with_block(right, right_order[0], width), key, right_order, "position").drop(blocks.BLOCK)
+    a = blocks.numbered(blocks.with_block(left, left_order[0], block), key, left_order, "position").drop(blocks.BLOCK)
+    b = blocks.numbered(blocks.with_block(right, right_order[0], block), key, right_order, "position").drop(blocks.BLOCK)
     return a.join(b, [*key, "position"])
 
 

@@ -6,17 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks
-from .nearest import HOUR
 from .stats import medians
 
 
-def gap_thresholds(words: DataFrame, key: list[str], rules: dict[str, tuple[float, int]], fallback: Column | None = None, width: int = HOUR) -> DataFrame:
+def gap_thresholds(words: DataFrame, key: list[str], rules: dict[str, tuple[float, int]], fallback: Column | None = None, block: int | None = None) -> DataFrame:
     """Per key and rule (multiplier, floor): max(multiplier * median positive gap, floor); the floor where there is no positive gap.
 
     fallback: optional column of the words' key (a beat period) used for keys with fewer than two words: the rule's
     floor is then raised to it. Gaps are between a word's end and the next one's start.
     """
-    ahead = blocks.led(blocks.with_block(words, "t0", width), key, ["t0", "idx"], {"__next": "t0"})
+    ahead = blocks.led(blocks.with_block(words, "t0", block), key, ["t0", "idx"], {"__next": "t0"})
     gaps = ahead.select(*key, (F.col("__next") - F.col("t1")).alias("gap")).where("gap > 0")
     base = words.groupBy(*key).agg(F.count("*").alias("__n"), *([F.max(fallback).alias("__fallback")] if fallback is not None else []))
     found = base.join(medians(gaps, key, "gap"), key, "left")
@@ -29,9 +28,9 @@ def gap_thresholds(words: DataFrame, key: list[str], rules: dict[str, tuple[floa
     return found.select(*key, *columns)
 
 
-def gap_sessions(words: DataFrame, key: list[str], threshold: Column, name: str = "block", width: int = HOUR) -> DataFrame:
+def gap_sessions(words: DataFrame, key: list[str], threshold: Column, name: str = "block", block: int | None = None) -> DataFrame:
     """Numbers sessions from 0: a new one where the start is more than the threshold after the previous word's end."""
-    kept = blocks.lagged(blocks.with_block(words, "t0", width), key, ["t0", "idx"], {"__last_end": "t1"})
+    kept = blocks.lagged(blocks.with_block(words, "t0", block), key, ["t0", "idx"], {"__last_end": "t1"})
     cut = F.when(F.col("t0") - F.col("__last_end") > threshold, 1).otherwise(0).cast("long")
     return blocks.running_sum(kept, key, ["t0", "idx"], cut, name).drop("__last_end", blocks.BLOCK)
 

@@ -43,11 +43,11 @@ def confidence(df: DataFrame, key: list[str], value: str) -> DataFrame:
     return found.join(df.groupBy(*key).agg(F.avg(value).alias("mean")), key)
 
 
-def tempo(beats: DataFrame, key: list[str], width: int, default_bpm: float = 60.0) -> DataFrame:
+def tempo(beats: DataFrame, key: list[str], block: int | None = None, default_bpm: float = 60.0) -> DataFrame:
     """Beat period (upper median of gaps, from a default tempo below two beats), tempo, and mean gap (1 s below two beats)."""
     from . import blocks
 
-    gaps = blocks.led(blocks.with_block(beats, "t", width), key, ["t", "idx"], {"__after": "t"}).where("__after IS NOT NULL").select(*key, (F.col("__after") - F.col("t")).alias("gap"))
+    gaps = blocks.led(blocks.with_block(beats, "t", block), key, ["t", "idx"], {"__after": "t"}).where("__after IS NOT NULL").select(*key, (F.col("__after") - F.col("t")).alias("gap"))
     period = order_statistics(gaps, key, "gap", {"period": F.floor(F.col("n") / 2)}).select(*key, "period")
     whole = beats.groupBy(*key).agg(F.count("*").alias("n_beats"), F.min("t").alias("first"), F.max("t").alias("last"))
     value = F.coalesce("period", F.lit(int(60e6 / default_bpm)))

@@ -49,16 +49,15 @@ def rollup(marked: DataFrame, skipped: int = 0) -> DataFrame:
     return marked.agg(mean.alias("mean_score"), F.count("*").alias("attempted"), failed.alias("failed")).withColumn("skipped", F.lit(skipped))
 
 
-def beat_agreement(reference: DataFrame, estimate: DataFrame, key: list[str], tolerance: int = 70_000, trim: int = 0) -> DataFrame:
+def beat_agreement(reference: DataFrame, estimate: DataFrame, key: list[str], tolerance: int = 70_000, trim: int = 0, block: int | None = None) -> DataFrame:
     """F-measure of two sets of beat times (t) per key: greedy one-to-one matches in order of time within the tolerance.
 
     Both sides are cut into islands at gaps wider than the tolerance, over which no match reaches; an island is small, and is matched in one pass.
     """
     from . import blocks
-    from .nearest import HOUR
 
     both = reference.select(*key, "t", F.lit(0).alias("side")).union(estimate.select(*key, "t", F.lit(1).alias("side"))).where(F.col("t") >= trim)
-    marked = blocks.lagged(blocks.with_block(both, "t", HOUR), key, ["t", "side"], {"__last": "t"})
+    marked = blocks.lagged(blocks.with_block(both, "t", block), key, ["t", "side"], {"__last": "t"})
     islands = blocks.running_sum(marked, key, ["t", "side"], F.when(F.col("t") - F.col("__last") > tolerance, 1).otherwise(0).cast("long"), "island")
 
     listed = islands.groupBy(*key, "island").agg(F.array_sort(F.collect_list(F.struct("t", "side"))).alias("all"))

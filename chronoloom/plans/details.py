@@ -121,7 +121,7 @@ def q_beat_confidence(spark, sf):
     """Order statistics of every track's beat gaps."""
     from ..operators import blocks
 
-    beats = blocks.led(blocks.with_block(a.beats(spark, sf), "t", a.DAY), KEY, ["t", "idx"], {"after": "t"})
+    beats = blocks.led(a.beats(spark, sf), KEY, ["t", "idx"], {"after": "t"})
     gaps = beats.where("after IS NOT NULL").select("track_id", (F.col("after") - F.col("t")).alias("gap"))
     n = F.col("n")
     return stats.order_statistics(gaps, KEY, "gap", {"upper_median": F.floor(n / 2), "p10": F.floor(n / 10)})

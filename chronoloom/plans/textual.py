@@ -93,7 +93,7 @@ _OFFSETS = "offsets AS (SELECT conv_id, turn, pos, word, CAST(coalesce(sum(lengt
 
 def _word_offsets(spark, sf):
     spread = _lines(spark, sf).select("conv_id", "turn", F.posexplode("words").alias("pos", "word")).withColumn("pos", F.col("pos") + 1)
-    found = blocks.running_sum(blocks.with_block(spread, "pos", 256), ["conv_id", "turn"], ["pos"], (F.length("word") + 1).cast("long"), "upto")
+    found = blocks.running_sum(spread, ["conv_id", "turn"], ["pos"], (F.length("word") + 1).cast("long"), "upto")
     return found.select("conv_id", "turn", "pos", "word", (F.col("upto") - F.length("word") - 1).alias("at_char"))
 
 

@@ -13,13 +13,13 @@ RULES = {"section_gap": (8.0, 12 * HOUR), "line_gap": (2.5, 3 * HOUR)}
 
 
 def _thresholds(spark, sf, words):
-    return sessions.gap_thresholds(words, KEY, RULES, width=a.DAY)
+    return sessions.gap_thresholds(words, KEY, RULES)
 
 
 def _sessions(spark, sf):
     words = a.words(spark, sf)
     marked = words.join(_thresholds(spark, sf, words), KEY)
-    return sessions.gap_sessions(marked, KEY, F.col("section_gap"), "block", a.DAY)
+    return sessions.gap_sessions(marked, KEY, F.col("section_gap"))
 
 
 def q_gap_blocks(spark, sf):
@@ -38,7 +38,7 @@ Q_GAP_BLOCKS = a.ctes("words") + "," + _GAPS + " SELECT * FROM sessions"
 
 def q_gap_lines(spark, sf):
     marked = _sessions(spark, sf).withColumnsRenamed({"t0": "t0", "t1": "t1"})
-    lines = sessions.gap_sessions(marked, [*KEY, "block"], F.col("line_gap"), "line", a.DAY)
+    lines = sessions.gap_sessions(marked, [*KEY, "block"], F.col("line_gap"), "line")
     return sessions.summarised(lines, KEY, ["block", "line"])
 
 
@@ -84,7 +84,7 @@ FROM every"""
 
 def q_onset_intervals(spark, sf):
     onsets = a.onsets(spark, sf).join(a.durations(spark, sf), KEY)
-    return intervals.onset_intervals(onsets, KEY, "label", F.col("duration"), width=a.DAY).select("track_id", "idx", "label", "t0", "t1")
+    return intervals.onset_intervals(onsets, KEY, "label", F.col("duration")).select("track_id", "idx", "label", "t0", "t1")
 
 
 _CHORDS = """
@@ -95,7 +95,7 @@ Q_ONSET_INTERVALS = a.ctes("onsets") + "," + _CHORDS + " SELECT track_id, idx, l
 
 
 def q_snap(spark, sf):
-    return nearest.snap(a.onsets(spark, sf).select("track_id", "idx", "t"), a.beats(spark, sf), KEY, "t", 2 * HOUR, 4 * HOUR, a.DAY)
+    return nearest.snap(a.onsets(spark, sf).select("track_id", "idx", "t"), a.beats(spark, sf), KEY, "t", 2 * HOUR, 4 * HOUR)
 
 
 def _nearest_sql(points: str, grid: str, name: str) -> str:
@@ -123,21 +123,21 @@ Q_SNAP = a.ctes("onsets", "beats") + "," + _SNAP + " SELECT * FROM snapped"
 
 
 def q_nearest_index(spark, sf):
-    return nearest.nearest_index(a.downbeats(spark, sf), a.beats(spark, sf), KEY, a.DAY)
+    return nearest.nearest_index(a.downbeats(spark, sf), a.beats(spark, sf), KEY)
 
 
 Q_NEAREST_INDEX = a.ctes("downbeats", "beats") + "," + _nearest_sql("downbeats", "beats", "n") + " SELECT DISTINCT track_id, near_idx AS idx FROM n WHERE near_idx IS NOT NULL"
 
 
 def q_beat_midpoints(spark, sf):
-    return nearest.midpoints(a.beats(spark, sf), KEY, a.DAY)
+    return nearest.midpoints(a.beats(spark, sf), KEY)
 
 
 Q_BEAT_MIDPOINTS = a.ctes("beats") + " SELECT track_id, (t + n) // 2 AS t, idx FROM (SELECT *, lead(t) OVER (PARTITION BY track_id ORDER BY t, idx) AS n FROM beats) WHERE n IS NOT NULL"
 
 
 def q_tempo(spark, sf):
-    return stats.tempo(a.beats(spark, sf), KEY, a.DAY)
+    return stats.tempo(a.beats(spark, sf), KEY)
 
 
 _TEMPO = """
@@ -154,7 +154,7 @@ def _by_value(spark, sf):
 
 
 def q_monotonic_violations(spark, sf):
-    return sequences.not_increasing(_by_value(spark, sf), KEY, 5000).select("track_id", "t", "previous")
+    return sequences.not_increasing(_by_value(spark, sf), KEY).select("track_id", "t", "previous")
 
 
 Q_MONOTONIC_VIOLATIONS = """
@@ -216,7 +216,7 @@ Q_NEAREST_TOLERANCE = (
 
 
 def q_nearest_word(spark, sf):
-    found = nearest.nearest(a.onsets(spark, sf).select("track_id", "t", F.col("idx").alias("chord")), {"word": a.words(spark, sf).select("track_id", F.col("t0").alias("t"), "idx")}, KEY, "t", a.DAY)
+    found = nearest.nearest(a.onsets(spark, sf).select("track_id", "t", F.col("idx").alias("chord")), {"word": a.words(spark, sf).select("track_id", F.col("t0").alias("t"), "idx")}, KEY, "t")
     return found.where(F.abs(F.col("t") - F.col("word.t")) < 24 * HOUR).select("track_id", "chord", F.col("word.idx").alias("word"))
 
 
@@ -254,7 +254,7 @@ Q_ORPHANS = a.ctes("onsets", "beats", "words") + "," + _CASCADE + " SELECT track
 
 def _near_words(spark, sf):
     beats = a.beats(spark, sf)
-    words = a.words(spark, sf).join(stats.tempo(beats, KEY, a.DAY).select("track_id", "mean_gap"), KEY)
+    words = a.words(spark, sf).join(stats.tempo(beats, KEY).select("track_id", "mean_gap"), KEY)
     return nearest.nearest_interval(beats.withColumnRenamed("idx", "beat"), words, KEY, ["beat"], F.col("mean_gap"), a.DAY)
 
 
@@ -281,7 +281,7 @@ SELECT track_id, beat, word, distance, CASE WHEN s = 'before' OR (s = 'inside' A
 
 
 def q_measure_position(spark, sf):
-    return sequences.measure_positions(a.grid(spark, sf), KEY, F.col("downbeat"), a.DAY).select("track_id", "idx", "measure", "position")
+    return sequences.measure_positions(a.grid(spark, sf), KEY, F.col("downbeat")).select("track_id", "idx", "measure", "position")
 
 
 Q_MEASURE_POSITION = (
@@ -293,12 +293,12 @@ SELECT track_id, idx, measure, row_number() OVER (PARTITION BY track_id, measure
 
 def _frames(spark, sf):
     e = a.table(spark, sf, "events").select(F.col("user_id").alias("track_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col("event_id").alias("idx"), "event_type")
-    frames = blocks.numbered(blocks.with_block(e, "t", a.DAY), KEY, ["t", "idx"], "frame").drop(blocks.BLOCK)
+    frames = blocks.numbered(e, KEY, ["t", "idx"], "frame")
     return frames.select("track_id", (F.col("frame") - 1).alias("frame"), F.when(F.col("event_type").isin("view", "click"), "word").otherwise(F.col("event_type")).alias("token"))
 
 
 def q_rle(spark, sf):
-    found = sequences.runs(_frames(spark, sf), KEY, "frame", "token", F.col("token") == "error", 16)
+    found = sequences.runs(_frames(spark, sf), KEY, "frame", "token", F.col("token") == "error")
     return found.select("track_id", "token", "first", "last", "n")
 
 
@@ -310,7 +310,7 @@ Q_RLE = _RUNS + " SELECT track_id, token, min(frame) AS first, max(frame) AS las
 
 
 def q_word_spans(spark, sf):
-    found = sequences.runs(_frames(spark, sf), KEY, "frame", "token", F.col("token") == "error", 16)
+    found = sequences.runs(_frames(spark, sf), KEY, "frame", "token", F.col("token") == "error")
     return sequences.spans_to_words(found, KEY, "token")
 
 
@@ -320,7 +320,7 @@ Q_WORD_SPANS = _RUNS + ", s AS (SELECT track_id, token, min(frame) AS first, max
 def q_positional_zip(spark, sf):
     left = a.onsets(spark, sf).select("track_id", F.col("t").alias("lt"), F.col("idx").alias("chord"))
     right = a.downbeats(spark, sf).select("track_id", F.col("t").alias("rt"), F.col("idx").alias("downbeat"))
-    return sequences.positional_zip(left, right, KEY, ["lt", "chord"], ["rt", "downbeat"], a.DAY).select("track_id", "position", "chord", "downbeat")
+    return sequences.positional_zip(left, right, KEY, ["lt", "chord"], ["rt", "downbeat"]).select("track_id", "position", "chord", "downbeat")
 
 
 Q_POSITIONAL_ZIP = (
@@ -332,7 +332,7 @@ SELECT track_id, position, chord, downbeat FROM l JOIN r USING (track_id, positi
 
 
 def _numbered_onsets(spark, sf):
-    found = blocks.numbered(blocks.with_block(a.onsets(spark, sf), "t", a.DAY), KEY, ["t", "idx"], "n").drop(blocks.BLOCK)
+    found = blocks.numbered(a.onsets(spark, sf), KEY, ["t", "idx"], "n")
     return found.select("track_id", (F.col("n") - 1).alias("idx"), "label")
 
 
@@ -361,11 +361,11 @@ SELECT track_id, duration, win AS window, win * 86400000000 AS t0, least(duratio
 def _refined(spark, sf):
     onsets = a.onsets(spark, sf)
     label = (F.col("pc") % 3).cast("string")
-    ref = intervals.onset_intervals(onsets.withColumn("label", label), KEY, "label", None, tail=HOUR, width=a.DAY).select("track_id", "t0", "t1", "label")
+    ref = intervals.onset_intervals(onsets.withColumn("label", label), KEY, "label", None, tail=HOUR).select("track_id", "t0", "t1", "label")
     est_points = a.downbeats(spark, sf).join(a.table(spark, sf, "events").select(F.col("event_id").alias("idx"), F.get_json_object("props", "$.k").cast("int").alias("k")), "idx")
-    est = intervals.onset_intervals(est_points.withColumn("label", (F.col("k") % 3).cast("string")), KEY, "label", None, tail=HOUR, width=a.DAY).select("track_id", "t0", "t1", "label")
+    est = intervals.onset_intervals(est_points.withColumn("label", (F.col("k") % 3).cast("string")), KEY, "label", None, tail=HOUR).select("track_id", "t0", "t1", "label")
     both = ref.select("track_id").distinct().join(est.select("track_id").distinct(), "track_id")
-    return intervals.refinement(ref.join(both, KEY, "left_semi"), est.join(both, KEY, "left_semi"), KEY, a.DAY)
+    return intervals.refinement(ref.join(both, KEY, "left_semi"), est.join(both, KEY, "left_semi"), KEY)
 
 
 def q_wcsr(spark, sf):

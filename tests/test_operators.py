@@ -37,9 +37,9 @@ def slow_nearest(t, grid):
     return min(grid, key=lambda g: (abs(g[0] - t), g[0], g[1]), default=None)
 
 
-@pytest.mark.parametrize("width", [3, 17, 10_000])
+@pytest.mark.parametrize("width", [3, 17, 10_000, None])
 def test_nearest_equals_brute_force_at_any_block_width(spark, width):
-    rng = random.Random(width)
+    rng = random.Random(width or 0)
     left = [(k, rng.randint(0, 60), i) for k in "abc" for i in range(30)]
     right = [(k, rng.randint(0, 60), i) for k in "ab" for i in range(12)]
     found = nearest.nearest(frame(spark, left, "t bigint, idx bigint"), {"r": frame(spark, right, "t bigint, idx bigint")}, KEY, "t", width).collect()
@@ -69,7 +69,7 @@ def test_blocks_equal_plain_windows(spark):
     rng = random.Random(0)
     rows = [("ab"[rng.randrange(2)], rng.randint(0, 40), i, rng.randint(-3, 3)) for i in range(120)]
     df = frame(spark, rows, "t bigint, idx bigint, v bigint")
-    for width in (1, 5, 1000):
+    for width in (1, 5, 1000, None):
         b = blocks.with_block(df, "t", width)
         lag = {(r["idx"]): r["p"] for r in blocks.lagged(b, KEY, ["t", "idx"], {"p": "v"}).collect()}
         lead = {(r["idx"]): r["n"] for r in blocks.led(b, KEY, ["t", "idx"], {"n": "v"}).collect()}
@@ -115,21 +115,21 @@ RULES = {"instrumental": (8.0, 4 * S), "line": (2.5, S)}
 
 
 def test_gap_thresholds(spark):
-    one = sessions.gap_thresholds(words(spark, (0, 1), (1.1, 2), (2.1, 3)), KEY, RULES, width=S).first()
+    one = sessions.gap_thresholds(words(spark, (0, 1), (1.1, 2), (2.1, 3)), KEY, RULES, block=S).first()
     assert (one["instrumental"], one["line"]) == (4.0 * S, 1.0 * S)
-    wide = sessions.gap_thresholds(words(spark, (0, 1), (2, 3), (5, 6)), KEY, RULES, width=S).first()
+    wide = sessions.gap_thresholds(words(spark, (0, 1), (2, 3), (5, 6)), KEY, RULES, block=S).first()
     assert wide["instrumental"] == 8.0 * 1.5 * S
     alone = sessions.gap_thresholds(words(spark, (0, 1)), KEY, RULES, F.lit(6.0 * S), S).first()
     assert (alone["instrumental"], alone["line"]) == (6.0 * S, 6.0 * S)
 
 
 def test_gap_sessions_break_strictly_beyond_the_threshold(spark):
-    found = sessions.gap_sessions(words(spark, (0, 1), (2, 3), (4.000001, 5)), KEY, F.lit(S), width=2 * S)
+    found = sessions.gap_sessions(words(spark, (0, 1), (2, 3), (4.000001, 5)), KEY, F.lit(S), block=2 * S)
     assert [r["block"] for r in found.orderBy("idx").collect()] == [0, 0, 1]
 
 
 def sectioned(spark, spans, duration, threshold=4.0):
-    marked = sessions.gap_sessions(words(spark, *spans), KEY, F.lit(threshold * S), width=S)
+    marked = sessions.gap_sessions(words(spark, *spans), KEY, F.lit(threshold * S), block=S)
     tracks = frame(spark, [("t", int(duration * S))], "duration bigint")
     found = sessions.sections(sessions.summarised(marked, KEY, ["block"], F.lit(threshold * S).alias("threshold")), tracks, KEY)
     return [(r["label"], r["t0"] / S, r["t1"] / S) for r in found.orderBy("seq").collect()]
@@ -146,7 +146,7 @@ def test_sections(spark):
 
 def cascaded(spark, chord, syllables, spans, grid=()):
     syl = frame(spark, [("t", int(a * S), int(b * S), i, s) for i, (a, b, s) in enumerate(syllables)], "t0 bigint, t1 bigint, idx bigint, stressed boolean")
-    row = cascade.place(beats(spark, chord), beats(spark, *grid), syl, words(spark, *spans), KEY, width=S).first()
+    row = cascade.place(beats(spark, chord), beats(spark, *grid), syl, words(spark, *spans), KEY, width=S, block=S).first()
     return row["strategy"], row["target"]
 
 
@@ -197,7 +197,7 @@ def test_beat_agreement(spark):
 def test_runs_and_spans(spark):
     tokens = ["a"] * 3 + ["-"] * 2 + ["a", "b", "b"]
     df = frame(spark, [("t", i, x) for i, x in enumerate(tokens)], "frame bigint, token string")
-    for width in (1, 2, 100):
+    for width in (1, 2, 100, None):
         got = sorted((r["first"], r["last"], r["token"]) for r in sequences.runs(df, KEY, "frame", "token", F.col("token") == "-", width).collect())
         assert got == [(0, 2, "a"), (5, 5, "a"), (6, 7, "b")]
     spans = frame(spark, [("t", 0, 9, 0), ("t", 10, 19, 0), ("t", 20, 29, 0)], "first bigint, last bigint, word bigint")
