@@ -8,8 +8,8 @@ level per unit of weight holds for the rest.
 Within a source, every document is repeated ``floor(target / words)`` times. The remainder goes to documents
 in the order of a seeded digest until it is used up, the last one in part, so a source's taken words equal its
 target to within one word. The order is found in two steps: words are summed by the digest's first three hex
-digits (4,096 buckets a source), the buckets are cumulated, and only rows of one bucket are sorted together.
-A source with a third of all rows is thereby spread over 4,096 groups.
+digits (4,096 buckets a source), the buckets are cumulated, and only rows of one bucket are sorted together. The texts are
+read once, or twice where columns of them are kept; the sums in between are a table in the shared folder. A source with a third of all rows is thereby spread over 4,096 groups.
 
 Defined results: null text counts as no words; a null source is a source of its own, last in order; a null
 doc_id is dealt out like any other; identical rows share a digest and are told apart by nothing, so either may
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .common import word_count, written
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
@@ -61,8 +61,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: in
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(docs["doc_id"].cast("string"), F.lit(""))).cast("binary")).alias("digest"),
         *[docs[c].alias(f"__kept_{c}") for c in keep],
     ).withColumn("bucket", F.substring("digest", 1, 3))
-    targets = source_targets(sizes.select("source", "size"), weights, max_epochs)
-    buckets = sizes.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    if not keep:
+        sizes = written(sizes, "sizes")  # narrow rows: the texts are read once
+    buckets = written(sizes.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "buckets")
+    targets = source_targets(buckets.select("source", F.col("bucket_size").alias("size")), weights, max_epochs)
     so_far = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("before_bucket", F.coalesce(F.sum("bucket_size").over(so_far), F.lit(0)))
     plan = buckets.join(targets, buckets["source"].eqNullSafe(targets["source"])).select(
