@@ -241,10 +241,14 @@ def _segment_rows(batches):
 
 
 def _cut_rows(batches):
-    """Texts with a list of wanted segments to one row per segment."""
+    """Texts with a list of wanted segments to one row per segment; copies that follow each other are cut once."""
+    last = None
     for batch in batches:
         rows = []
         for text, th, tc, wanted in zip(*(batch.column(c).to_pylist() for c in ("text", "th", "tc", "wanted"))):
+            if (th, tc) == last:
+                continue
+            last = (th, tc)
             rows += [(th, tc, w["first"], w["single"], w["key"], w["whole"], w["crowded"], text[w["first"] : w["first"] + w["windows"] + LENGTH - 1]) for w in wanted]
             if len(rows) > 5000:
                 yield _cut_batch(rows)
@@ -264,9 +268,7 @@ def _cut_batch(rows):
 def _bucket_marks(table: pa.Table) -> pa.Table:
     """Marks of one bucket's single segments."""
     columns = {c: table.column(c).to_pylist() for c in ("th", "tc", "first", "single", "key", "whole", "data")}
-    # A repeated row gives its segment more than once; it must not match itself.
-    rows = {(k, w): i for i, (k, w) in enumerate(zip(columns["key"], columns["whole"]))}
-    chosen = sorted(rows.values(), key=lambda i: (columns["key"][i], columns["whole"][i]))
+    chosen = sorted(range(len(table)), key=lambda i: (columns["key"][i], columns["whole"][i]))
     out = []
     for i, windows in zip(chosen, marked_windows([columns["data"][i] for i in chosen])):
         if columns["single"][i]:
@@ -301,12 +303,12 @@ def marks(texts: DataFrame) -> DataFrame:
     item = F.struct("first", "windows", "key", "whole", (F.col("n") == 1).alias("single"), (F.col("kinds") > CROWDED).alias("crowded"))
     lists = wanted.groupBy(*TEXT).agg(F.collect_list(item).alias("wanted"))
     cut = texts.select("text", *TEXT).join(lists, TEXT).mapInArrow(_cut_rows, CUT)
-    cut = written(cut, "cut-segments")
+    # Every copy of a text gives its segments again: one row of each is kept, so that it doesn't match itself and BUCKET bounds a group.
+    cut = written(cut.dropDuplicates(["key", "whole"]), "cut-segments")
     shelved = cut.where("not crowded").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
     indexed = shelved.groupBy("bucket").applyInArrow(_bucket_marks, MARK)
 
-    crowded = cut.where("crowded").groupBy("key", "whole").agg(F.first("data").alias("data"), F.min(F.struct("th", "tc", "first")).alias("one"), F.first("single").alias("single"))
-    crowded = crowded.select("data", "one.*", F.when(F.col("single"), 1).otherwise(2).cast("long").alias("n"))
+    crowded = cut.where("crowded").select("data", *TEXT, "first", F.when(F.col("single"), 1).otherwise(2).cast("long").alias("n"))
     windows = crowded.mapInArrow(_window_rows, "h1 long, h2 long, th long, tc long, at long, n long")
     often = windows.groupBy("h1", "h2").agg(F.sum("n").alias("all")).where(F.col("all") > 1).select("h1", "h2")
     counted_windows = windows.join(often, ["h1", "h2"]).select(*TEXT, F.col("at").alias("s"), (F.col("at") + LENGTH).alias("e"))

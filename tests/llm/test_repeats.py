@@ -46,6 +46,19 @@ def test_equals_brute_force(spark, monkeypatch, seed, crowded, bucket):
     assert [g for g, w in zip(got, want) if g != w] == [] and len(got) == len(want)
 
 
+def test_copies_give_a_segment_once(spark, monkeypatch):
+    rng = random.Random(5)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    texts = [base] * 40 + [base[:1500] + "#" + base[1501:], "".join(rng.choice("abcdefgh ") for _ in range(900))]
+    tables = {}
+    write = repeats.written
+    monkeypatch.setattr(repeats, "written", lambda df, label: tables.setdefault(label, write(df, label)))
+    got = sorted(tuple(r) for r in repeats.digest(repeats.without_repeats(docs_frame(spark, texts).repartition(4, "doc_id"))).collect())
+    assert got == [(i, *x) for i, x in enumerate(slow(texts, 400))]
+    cut = tables["cut-segments"]
+    assert 0 < cut.count() == cut.select("key", "whole").distinct().count()
+
+
 def test_matching_statistics_equal_brute_force():
     rng = random.Random(0)
     for _ in range(30):
