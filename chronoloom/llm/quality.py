@@ -28,6 +28,8 @@ FOLDS = 5
 SAMPLE = 3000
 PIECE = 64
 PIECES = 8
+#: Lines compressed at a time.
+BLOCK = 256
 BINS = 10
 STEPS = 120
 THRESHOLD = 0.3
@@ -44,6 +46,15 @@ def lines_of(text: bytes) -> list[bytes]:
     return text.split(b"\n")
 
 
+def packed(lines: list[bytes]) -> int:
+    """Compressed size of all lines with the line feeds between them, without joining them."""
+    deflate = zlib.compressobj(1)
+    out = 0
+    for i in range(0, len(lines), BLOCK):
+        out += len(deflate.compress(b"\n".join(lines[i : i + BLOCK]) + b"\n" * (i + BLOCK < len(lines))))
+    return out + len(deflate.flush())
+
+
 def features(lines: list[bytes]) -> np.ndarray:
     """One row of numbers per line."""
     out = np.empty((len(lines), len(_NAMES)), np.float32)
@@ -74,9 +85,7 @@ def features(lines: list[bytes]) -> np.ndarray:
         last = line
     size = sum(map(len, lines))
     out[:, 12] = len(vocabulary) / max(1, total) ** 0.8
-    step = max(1, len(lines) // 64)
-    joined = b"\n".join(lines[::step])  # a long document's repetition is told from evenly spaced lines; the lines' own features see all of it
-    out[:, 13] = len(zlib.compress(joined, 1)) / len(joined) if size > 40 and joined else 1.0
+    out[:, 13] = packed(lines) / (size + len(lines) - 1) if size > 40 else 1.0
     return out
 
 

@@ -36,6 +36,15 @@ def test_neighbours_stop_at_documents():
     assert got[:, 2].tolist() == [2 * width + 1, 2 * width + 2, 2 * width + 3, none, 2 * width + 5, none]
 
 
+def test_compression_sees_every_line():
+    rng = np.random.default_rng(3)
+    column = quality._NAMES.index("doc_packed")
+    noise = [bytes(rng.integers(97, 123, 60, dtype=np.uint8)) for _ in range(1000)]
+    for lines in (noise, noise[:130], [b"again and again the same line, at that"] * 200, [b"same" * 20 if i % 15 else x for i, x in enumerate(noise)]):
+        joined = b"\n".join(lines)
+        assert np.allclose(quality.features(lines)[:, column], len(zlib.compress(joined, 1)) / len(joined), atol=2e-3)
+
+
 @pytest.mark.parametrize("query, column, least", [(registry.op7_quality_crf, "quality", 0.95), (registry.op2_toxicity, "toxic", 0.8)])
 def test_held_out_accuracy(spark, query, column, least):
     sf = "/root/testdata/sf0.1"
