@@ -1,24 +1,26 @@
 """Exact long repeats across a corpus with run-length indexes.
 
-Every byte covered by a ``LENGTH``-byte string that starts anywhere else in the corpus is marked; strings never cross documents.
+Two kinds of windows are looked up: strings of ``LENGTH`` bytes that start anywhere else in the corpus (kind 0; their bytes are removed), and
+passages of ``WORDS`` words, with the white space between them, that occur in another document too (kind 1; only counted). Windows never cross documents.
 
-Routing. A window (a string of LENGTH bytes at one position) is filed under the least hash of its ``GRAM``-byte substrings; equal windows
-have equal keys, and neighbouring windows mostly share theirs. A segment is a maximal run of windows of one document with one key
-(about 137 windows), its text those windows' bytes. Every window belongs to exactly one segment. Keys that occur once in the corpus have nothing to repeat,
-segments that occur as a whole more than once repeat entirely: both are settled by counting hashes of segments, summed up before and after a
-shuffle. A segment can repeat within itself only where its least hash occurs at two places of its text; such (periodic) segments are told at once.
+Routing. A window is filed under the least hash of its grams (``GRAMS`` bytes or words); equal windows have equal keys, and neighbouring windows
+mostly share theirs. A segment is a maximal run of windows of one document with one key, its text those windows' bytes. Every window
+belongs to exactly one segment. Counting keys, before and after a shuffle, tells which can hold a repeat at all: a key that
+occurs once has none, unless its gram occurs at two places of its segment (which is told at once).
 
-Index. The different segments of the keys that are left go to buckets of bounded size. A bucket's segments, with a separator of their own each,
-are sorted to a run-length Burrows-Wheeler transform; the text positions at run heads and run tails are sampled with the length
-of their common prefix with the neighbour across the run's border. All other values follow: inside a run, the
-common prefix of a position with its neighbour is one less than that of the position before. One stream over the text from sample to
-sample therefore gives the matching statistics of every position against everything else in the bucket, and where they reach LENGTH, a repeat is marked.
+Index. The different segments of all other keys go to buckets of bounded size; those that stand at several places as two copies. Texts that
+several rows have count once here, and go to buckets as long segments of their own, as two copies. A bucket's segments, with a separator after each, are sorted to a run-length Burrows-Wheeler transform; the text positions at run heads and run tails are
+sampled with the length of their common prefix with the neighbour across the run's border. All other values follow: inside a
+run, the common prefix of a position with its neighbour is one less than that of the position before. One stream over the text from
+sample to sample gives the matching statistics of every position against everything else in the bucket, and where they
+reach the window's length, a repeat is marked. Marks of a segment hold for every document that has it.
 
-A key with more than ``CROWDED`` different segments (a passage shared by very many documents has one at each end) would outgrow a bucket; its windows
-are counted one by one under two 64-bit hashes instead, which needs no group in one place.
+A key whose different segments would outgrow a bucket (a passage shared by very many documents has a different one at each end) is filed
+again: its segments are cut up by longer grams, which fall apart into rare keys, up to the grams as long as the window, of
+which a key has one. Every level is the same step over the segments of the last one, so all marks come from the index.
 
 Texts are identified by two hashes of their content: marks depend on nothing else. Segments and marks are narrow; the texts
-are shuffled twice, once to cut out segments for the buckets and once to take the marks out.
+are shuffled twice, once to cut out segments for the buckets (one copy of a text a task) and once to take the marks out.
 
 Defined results: null is empty; texts below LENGTH bytes have no marks; repeated rows repeat each other and each give a row; a
 null doc_id is kept; an empty table gives no rows; extra columns are ignored.
@@ -34,15 +36,21 @@ from pyspark.sql import functions as F
 from .common import text_of, written
 
 LENGTH = 400
-GRAM = 128
-#: Windows of one piece of a long text, windows of one segment, bytes of one bucket, different segments of one key.
+WORDS = 51
+#: Gram lengths of the levels: bytes, and words.
+GRAMS = ((128, 256, 384, LENGTH), (12, 24, 48, WORDS))
+#: Bytes of one piece of a long text, windows of one segment, windows of one segment of a copied text, bytes of one bucket.
 PIECE = 1 << 20
 LONGEST = 4096
-BUCKET = 2 << 20
-CROWDED = 1500
+COPIED = 1 << 16
+BUCKET = 1 << 20
+#: Bytes compared at once before prefix doubling.
+WIDTH = 8
+END = 0xFF  # no byte of UTF-8
 
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _POWERS: dict = {}
+_BLANK = np.isin(np.arange(256), (32, 9, 10, 11, 12, 13))
 
 
 def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,259 +98,382 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[:n], left[width - 1 : width - 1 + n])
 
 
-def segments(data: bytes):
-    """Arrays key, segment hash, first window, number of windows, whether the key may occur at two places of the segment."""
-    out = []
-    total = len(data) - LENGTH + 1
-    for at in range(0, max(0, total), PIECE):
-        piece = data[at : at + PIECE + LENGTH - 1]
-        prefix = _prefix(piece, _BASES[0])
-        places = np.arange(len(piece) - GRAM + 1)
-        grams, width = substring_hashes(prefix, places, places + GRAM, _BASES[0]), LENGTH - GRAM + 1
-        keys = sliding_minimum(grams, width)
-        # Places that are the least of some window: no larger than the greatest key of the windows around them.
-        around = ~sliding_minimum(np.pad(~keys, width - 1, constant_values=np.iinfo(np.uint64).max), width)
-        values, counts = np.unique(grams[grams == around], return_counts=True)
-        new = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-        starts = np.concatenate([[0], new])
+def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes of words, and first bytes after them."""
+    blank = np.concatenate([[True], _BLANK[np.frombuffer(data, np.uint8)], [True]])
+    change = np.flatnonzero(blank[1:] != blank[:-1])
+    return change[::2], change[1::2]
+
+
+def _runs(kind: int, grams: np.ndarray, width: int):
+    """Keys of windows of width grams each, cut to segments: key, first window, windows, whether the key may occur at two places."""
+    keys = sliding_minimum(grams, width)
+    # Places that are the least of some window: no larger than the greatest key of the windows around them.
+    around = ~sliding_minimum(np.pad(~keys, width - 1, constant_values=np.iinfo(np.uint64).max), width)
+    values, counts = np.unique(grams[grams == around], return_counts=True)
+    starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
+    sizes = np.diff(np.append(starts, len(keys)))
+    if sizes.max() > LONGEST:
+        starts = np.concatenate([np.arange(s, s + n, LONGEST) for s, n in zip(starts, sizes)])
         sizes = np.diff(np.append(starts, len(keys)))
-        if len(sizes) and sizes.max() > LONGEST:
-            starts = np.concatenate([np.arange(s, s + n, LONGEST) for s, n in zip(starts, sizes)])
-            sizes = np.diff(np.append(starts, len(keys)))
-        whole = substring_hashes(prefix, starts, starts + sizes + LENGTH - 1, _BASES[0])
-        out.append((keys[starts].view(np.int64), whole.view(np.int64), starts + at, sizes, np.isin(keys[starts], values[counts > 1])))
-    if not out:
-        return (*(np.empty(0, np.int64) for _ in range(4)), np.empty(0, bool))
+    found = keys[starts]
+    return (found & ~np.uint64(1)) | np.uint64(kind), starts, sizes, np.isin(found, values[counts > 1])
+
+
+def segments(data: bytes, level: int = 0, kinds=(0, 1)):
+    """Arrays key (its lowest bit is the kind), segment hash, first byte, bytes, whether the key may occur at two places of the segment."""
+    out = [tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int64, bool))]
+    words, ends = word_bounds(data) if 1 in kinds else (np.empty(0, np.int64),) * 2
+    for at in range(0, len(data), PIECE):
+        here = min(PIECE, len(data) - LENGTH + 1 - at) if 0 in kinds else 0
+        a, b = np.searchsorted(words, (at, at + PIECE))
+        there = min(b, len(words) - WORDS + 1) - a
+        if here <= 0 and there <= 0:
+            continue
+        last = max(at + here + LENGTH - 1 if here > 0 else 0, ends[a + there + WORDS - 2] if there > 0 else 0)
+        prefix = _prefix(data[at:last], _BASES[0])
+        if here > 0:
+            gram = GRAMS[0][level]
+            places = np.arange(here + LENGTH - gram)
+            key, first, n, inner = _runs(0, substring_hashes(prefix, places, places + gram, _BASES[0]), LENGTH - gram + 1)
+            out.append((key.view(np.int64), substring_hashes(prefix, first, first + n + LENGTH - 1, _BASES[0]).view(np.int64), first + at, n + LENGTH - 1, inner))
+        if there > 0:
+            gram = GRAMS[1][level]
+            places = np.arange(a, a + there + WORDS - gram)
+            key, first, n, inner = _runs(1, substring_hashes(prefix, words[places] - at, ends[places + gram - 1] - at, _BASES[0]), WORDS - gram + 1)
+            s, e = words[a + first], ends[a + first + n + WORDS - 2]
+            out.append((key.view(np.int64), substring_hashes(prefix, s - at, e - at, _BASES[0]).view(np.int64), s, e - s, inner))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def suffix_order(symbols: np.ndarray, longest: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Suffix array by prefix doubling, and the ranks by prefixes of 1, 2, 4, ... symbols.
+def _order(key: np.ndarray, bits: int) -> np.ndarray:
+    """Stable order of keys of so many bits."""
+    n = len(key)
+    if bits + n.bit_length() > 64:
+        return np.argsort(key, kind="stable")
+    packed = (key.astype(np.uint64) << np.uint64(n.bit_length())) | np.arange(n, dtype=np.uint64)
+    packed.sort()
+    return (packed & np.uint64((1 << n.bit_length()) - 1)).astype(np.int64)
+
 
-    symbols: dense ranks of single symbols; separators are unique, so suffixes differ within ``longest`` symbols.
+def suffix_order(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Suffix array by prefix doubling, and the ranks by prefixes of WIDTH, 2 * WIDTH, ... symbols.
+
+    data: texts with an END after each; ends: every position's END. A suffix stops at its END; equal suffixes go by position.
     """
-    n = len(symbols)
-    rank = symbols.astype(np.int64)
-    ranks, width = [rank], 1
-    active = np.arange(n)
-    while width <= longest:
-        after = np.zeros(len(active), np.int64)
-        inside = active + width < n
-        after[inside] = rank[active[inside] + width] + 1
-        key = rank[active] * (n + 1) + after
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
+    n = len(data)
+    left = ends - np.arange(n)
+    key = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(WIDTH - 1, np.uint8)), WIDTH).copy().view(f">u{WIDTH}").ravel().astype(np.uint64)
+    short = np.flatnonzero(left < WIDTH - 1)  # nothing counts after an END
+    key[short] &= ~np.uint64(0) << (np.uint64(8) * (WIDTH - 1 - left[short]).astype(np.uint64))
+    order = np.argsort(key, kind="quicksort")
+    ordered = key[order]
+    new = np.append(True, ordered[1:] != ordered[:-1])
+    place = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    rank = np.empty(n, np.int64)
+    rank[order] = place
+    size = np.diff(np.append(np.flatnonzero(new), n))
+    active = order[np.repeat(size > 1, size)]
+    ranks, width, bits = [rank.astype(np.int32)], WIDTH, n.bit_length()
+    while True:
+        active = active[left[active] >= width]  # the others are equal to their ends
+        if not len(active):
+            break
+        key = (rank[active] << bits) | rank[active + width]
+        order = _order(key, 2 * bits)
+        active, ordered = active[order], key[order]
         new = np.append(True, ordered[1:] != ordered[:-1])
+        group = np.append(True, (ordered[1:] >> bits) != (ordered[:-1] >> bits))
+        at = np.arange(len(order))
         # A group keeps its place: the rank is the number of suffixes before it.
-        first = np.flatnonzero(new)
-        place = rank[active[order]]
-        group_start = np.append(True, place[1:] != place[:-1])
-        base = np.maximum.accumulate(np.where(group_start, np.arange(len(order)), 0))
-        heads = first[np.cumsum(new) - 1]
-        fresh = rank.copy()
-        fresh[active[order]] = place + (heads - base)
-        size = np.diff(np.append(first, len(order)))
-        rank = fresh
-        ranks.append(rank)
+        rank[active] = rank[active] + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(group, at, 0))
         width *= 2
-        active = active[order][np.repeat(size > 1, size)]
-        if not len(active):
-            break
-    order = np.empty(n, np.int64)
-    order[rank] = np.arange(n)
-    return order, ranks
+        ranks.append(rank.astype(np.int32))
+        size = np.diff(np.append(np.flatnonzero(new), len(order)))
+        active = active[np.repeat(size > 1, size)]
+    return _order(rank, bits), ranks
 
 
-def common_prefix(p: np.ndarray, q: np.ndarray, ranks: list[np.ndarray]) -> np.ndarray:
-    """Lengths of the common prefixes of suffixes p and q."""
-    p, q, n = p.copy(), q.copy(), len(ranks[0])
+def common_prefix(p: np.ndarray, q: np.ndarray, data: np.ndarray, ends: np.ndarray, ranks: list[np.ndarray]) -> np.ndarray:
+    """Lengths of the common prefixes of suffixes p and q, which end with their texts."""
+    n = len(data)
+    most = np.minimum(ends[p] - p, ends[q] - q)
     out = np.zeros(len(p), np.int64)
     for level in range(len(ranks) - 1, -1, -1):
-        inside = (p < n) & (q < n)
-        same = np.zeros(len(p), bool)
-        same[inside] = ranks[level][p[inside]] == ranks[level][q[inside]]
-        step = same.astype(np.int64) << level
-        p, q, out = p + step, q + step, out + step
-    return out
+        out += (ranks[level][np.minimum(p + out, n - 1)] == ranks[level][np.minimum(q + out, n - 1)]).astype(np.int64) * (WIDTH << level)
+    going = out < most
+    for _ in range(WIDTH - 1):
+        going &= data[np.minimum(p + out, n - 1)] == data[np.minimum(q + out, n - 1)]
+        out += going
+    return np.minimum(out, most)
 
 
 def _streamed(n: int, places: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Value at every text position from the samples: one less at every step away from the last sample."""
-    last = np.zeros(n, np.int64)
-    value = np.zeros(n, np.int64)
-    last[places] = places
-    value[places] = lengths
-    last = np.maximum.accumulate(last)
-    return value[last] - (np.arange(n) - last)
+    """Value at every text position from the samples: one less at every step away from the sample that reaches furthest."""
+    reach = np.zeros(n, np.int64)
+    np.maximum.at(reach, places, places + lengths)
+    return np.maximum.accumulate(reach) - np.arange(n)
 
 
-def matching_statistics(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
+def matching_statistics(texts: list[bytes], copies=None) -> tuple[np.ndarray, np.ndarray, int]:
     """For every position of the texts, laid end to end with a separator after each: longest match that starts anywhere else.
 
-    Also the texts' first positions and the number of runs of the transform.
+    copies: how often each text stands there, once or twice; a copy follows its text, and so do its suffixes in order, so only
+    different texts are sorted. Also the texts' first positions and the number of runs of the transform.
     """
     sizes = np.array([len(t) for t in texts])
-    data = np.frombuffer(b"".join(t + b"\xff" for t in texts), np.uint8).astype(np.int64)
-    ends = np.cumsum(sizes + 1) - 1
-    symbols = data + len(texts)
-    symbols[ends] = np.arange(len(texts))
-    # Dense ranks as "number of symbols before".
-    counts = np.bincount(symbols)
-    dense = (np.cumsum(counts) - counts)[symbols]
-    order, ranks = suffix_order(dense, int(sizes.max()) + 1)
-    n = len(order)
-    bwt = symbols[order - 1]  # of the first position: the last separator, unlike any neighbour
-    border = np.flatnonzero(bwt[1:] != bwt[:-1]) + 1  # heads of runs but the first
-    heads, tails = order[border], order[border - 1]
-    shared = common_prefix(heads, tails, ranks)
-    before = _streamed(n, np.append(heads, order[0]), np.append(shared, 0))
-    after = _streamed(n, np.append(tails, order[-1]), np.append(shared, 0))
-    return np.maximum(np.maximum(before, after), 0), np.append(0, ends[:-1] + 1), len(border) + 1
-
-
-def marked_windows(texts: list[bytes]) -> list[np.ndarray]:
-    """Per text, the positions from which LENGTH bytes occur elsewhere among the texts."""
-    statistics, starts, _ = matching_statistics(texts)
-    hits = np.flatnonzero(statistics >= LENGTH)
-    owner = np.searchsorted(starts, hits, side="right") - 1
-    cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
-    return [hits[cuts[i] : cuts[i + 1]] - starts[i] for i in range(len(texts))]
-
-
-def covered(windows: np.ndarray) -> list[tuple[int, int]]:
-    """Union of [w, w + LENGTH) over sorted windows."""
-    if not len(windows):
+    twice = np.zeros(len(texts), bool) if copies is None else np.asarray(copies) > 1
+    data = np.frombuffer(b"".join(t + b"\xff" for t in texts), np.uint8)
+    stops = np.cumsum(sizes + 1) - 1
+    ends = np.repeat(stops, sizes + 1)
+    order, ranks = suffix_order(data, ends)
+    # Every suffix of a text that stands there twice is followed by its copy's, whose place is the text's length later.
+    number = 1 + np.repeat(twice, sizes + 1).astype(np.int64)[order]
+    suffix = np.repeat(order, number)
+    bwt = data[suffix - 1]  # of the first position: the last separator
+    border = np.flatnonzero((bwt[1:] != bwt[:-1]) | (bwt[1:] == END)) + 1  # heads of runs but the first; separators differ from each other
+    heads, tails = suffix[border], suffix[border - 1]
+    shared = np.where(heads == tails, ends[heads] - heads, 0)
+    other = heads != tails
+    shared[other] = common_prefix(heads[other], tails[other], data, ends, ranks)
+    # Both copies of a text have the same statistics, so their samples are laid out over the text once.
+    n = len(data)
+    before = _streamed(n, heads, shared)
+    after = _streamed(n, tails, shared)
+    return np.maximum(np.maximum(before, after), 0), np.append(0, stops[:-1] + 1), len(border) + 1
+
+
+def covered(first: np.ndarray, last: np.ndarray) -> list[tuple[int, int]]:
+    """Union of [first, last) over sorted windows."""
+    if not len(first):
         return []
-    new = np.append(True, np.diff(windows) > LENGTH)
-    last = np.append(np.flatnonzero(new)[1:] - 1, len(windows) - 1)
-    return list(zip(windows[new].tolist(), (windows[last] + LENGTH).tolist()))
+    new = np.append(True, first[1:] > last[:-1])
+    ends = np.append(np.flatnonzero(new)[1:] - 1, len(first) - 1)
+    return list(zip(first[new].tolist(), last[ends].tolist()))
 
 
-TEXT = ["th", "tc"]
-SEGMENT = "th long, tc long, key long, whole long, first long, windows long, inner boolean"
-MARK = "th long, tc long, s long, e long"
+def marked_bytes(texts: list[bytes], copies) -> list[list[tuple[int, int]]]:
+    """Per text, the stretches covered by LENGTH bytes that start elsewhere among the texts."""
+    statistics, starts, _ = matching_statistics(texts, copies)
+    hits = np.flatnonzero(statistics >= LENGTH)
+    cuts = np.searchsorted(hits, np.append(starts, len(statistics)))
+    return [covered(w := hits[cuts[i] : cuts[i + 1]] - starts[i], w + LENGTH) for i in range(len(texts))]
+
+
+def marked_passages(texts: list[bytes], copies, colors: list) -> list[list[tuple[int, int]]]:
+    """Per text, the stretches of WORDS words that occur in a text of another color; a text without a color is of several."""
+    statistics, starts, _ = matching_statistics(texts, copies)
+    owner, first, last, hashes = [], [], [], []
+    for i, t in enumerate(texts):
+        s, e = word_bounds(t)
+        s, e = s[: len(s) - WORDS + 1], e[WORDS - 1 :]
+        hit = statistics[starts[i] + s] >= e - s
+        s, e = s[hit], e[hit]
+        owner.append(np.full(len(s), i))
+        first.append(s)
+        last.append(e)
+        hashes.append(substring_hashes(_prefix(t, _BASES[0]), s, e, _BASES[0]))
+    owner, first, last, hashes = (np.concatenate(x) for x in (owner, first, last, hashes))
+    # The index tells that a passage is repeated; which documents have it is checked over equal windows.
+    color = np.array([0 if c is None else c for c in colors], np.int64)[owner]
+    several = np.array([c is None for c in colors], bool)[owner]
+    _, group = np.unique(hashes, return_inverse=True)
+    groups = int(group.max()) + 1 if len(group) else 0
+    least, most = np.full(groups, np.iinfo(np.int64).max), np.full(groups, np.iinfo(np.int64).min)
+    np.minimum.at(least, group, color)
+    np.maximum.at(most, group, color)
+    other = (least < most) | (np.bincount(group, several, groups) > 0)
+    kept = other[group]
+    cuts = np.searchsorted(owner[kept], np.arange(len(texts) + 1))
+    first, last = first[kept], last[kept]
+    return [covered(first[cuts[i] : cuts[i + 1]], last[cuts[i] : cuts[i + 1]]) for i in range(len(texts))]
+
+
+#: A piece is a text (level 0: its two hashes) or a crowded segment of the level before (its key and hash); n: 2 if it stands at several places, else 1;
+#: color: the hash of the only text that has it, null for several.
+PIECE_ID = ["pk", "pw"]
+FOUND = "pk long, pw long, key long, whole long, first long, size long, inner boolean"
+CUT = "key long, whole long, n long, color long, load long, single boolean, pk long, pw long, first long, data binary"
+SEGMENT_MARK = "key long, whole long, s long, e long, single boolean, pk long, pw long, first long"
 
 
 def _identified(docs: DataFrame) -> DataFrame:
     """doc_id, text (binary), and the two hashes that stand for the text."""
     text = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).cast("binary").alias("text"))
-    return text.withColumn("th", F.xxhash64("text")).withColumn("tc", F.crc32("text"))
+    return text.withColumn("pk", F.xxhash64("text")).withColumn("pw", F.crc32("text"))
 
 
-def _segment_rows(batches):
-    for batch in batches:
-        parts = []
-        for text, th, tc in zip(batch.column("text").to_pylist(), batch.column("th").to_pylist(), batch.column("tc").to_pylist()):
-            if len(text) >= LENGTH:
-                found = segments(text)
-                parts.append((np.full(len(found[0]), th), np.full(len(found[0]), tc), *found))
-        if parts:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], ["th", "tc", "key", "whole", "first", "windows", "inner"])
+def _batch(rows, schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(list(zip(*rows)) or [()] * len(fields), fields)], [f for f, _ in fields])
+
+
+def _segment_rows(level: int):
+    """Segments of texts, or of crowded segments: these are of one kind, and their n and color go along."""
+    along = ["n", "color"] if level else []
+    names = [*(x.split()[0] for x in FOUND.split(", ")), *along]
+
+    def rows(batches):
+        for batch in batches:
+            parts = []
+            for pk, pw, data, *rest in zip(*(batch.column(c).to_pylist() for c in ("pk", "pw", "data", *along))):
+                found = segments(data, level, (pk & 1,) if level else (0, 1))
+                k = len(found[0])
+                if k:
+                    parts.append((np.full(k, pk), np.full(k, pw), *found, *[np.full(k, 0 if x is None else x) for x in rest], np.full(k, None in rest)))
+            if parts:
+                *columns, unknown = (np.concatenate(x) for x in zip(*parts))
+                yield pa.RecordBatch.from_arrays([pa.array(c, mask=unknown if name == "color" else None) for c, name in zip(columns, names)], names)
+
+    return rows
 
 
 def _cut_rows(batches):
-    """Texts with a list of wanted segments to one row per segment; copies that follow each other are cut once."""
-    last = None
+    """Pieces with a list of wanted segments to one row per segment; copies of a piece in one task are cut once."""
+    done = set()
     for batch in batches:
         rows = []
-        for text, th, tc, wanted in zip(*(batch.column(c).to_pylist() for c in ("text", "th", "tc", "wanted"))):
-            if (th, tc) == last:
+        for pk, pw, data, wanted in zip(*(batch.column(c).to_pylist() for c in ("pk", "pw", "data", "wanted"))):
+            if (pk, pw) in done:
                 continue
-            last = (th, tc)
-            rows += [(th, tc, w["first"], w["single"], w["key"], w["whole"], w["crowded"], text[w["first"] : w["first"] + w["windows"] + LENGTH - 1]) for w in wanted]
-            if len(rows) > 5000:
-                yield _cut_batch(rows)
-                rows = []
+            done.add((pk, pw))
+            for w in wanted:
+                rows.append((w["key"], w["whole"], w["n"], w["color"], w["load"], w["single"], pk, pw, w["first"], data[w["first"] : w["first"] + w["size"]]))
+                if len(rows) >= 4000:
+                    yield _batch(rows, CUT)
+                    rows = []
         if rows:
-            yield _cut_batch(rows)
+            yield _batch(rows, CUT)
 
 
-CUT = "th long, tc long, first long, single boolean, key long, whole long, crowded boolean, data binary"
-
-
-def _cut_batch(rows):
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in CUT.split(", ")])
+def _once(batches):
+    """Rows of pieces, one per task of those that are equal."""
+    done = set()
+    for batch in batches:
+        keep = []
+        for i, piece in enumerate(zip(batch.column("pk").to_pylist(), batch.column("pw").to_pylist())):
+            if piece not in done:
+                done.add(piece)
+                keep.append(i)
+        yield batch if len(keep) == len(batch) else batch.take(pa.array(keep, pa.int64()))
 
 
 def _bucket_marks(table: pa.Table) -> pa.Table:
-    """Marks of one bucket's single segments."""
-    columns = {c: table.column(c).to_pylist() for c in ("th", "tc", "first", "single", "key", "whole", "data")}
-    chosen = sorted(range(len(table)), key=lambda i: (columns["key"][i], columns["whole"][i]))
+    """Marks of one bucket's segments, kind by kind."""
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("key", "whole", "n", "color", "single", "pk", "pw", "first", "data"))), key=lambda r: r[:2])
     out = []
-    for i, windows in zip(chosen, marked_windows([columns["data"][i] for i in chosen])):
-        if columns["single"][i]:
-            out += [(columns["th"][i], columns["tc"][i], columns["first"][i] + s, columns["first"][i] + e) for s, e in covered(windows)]
-    return pa.table([pa.array(c, pa.int64()) for c in (zip(*out) if out else [()] * 4)], ["th", "tc", "s", "e"])
-
-
-def _window_rows(batches):
-    """Every window of crowded keys' segments under two hashes."""
-    for batch in batches:
-        for data, th, tc, first, n in zip(*(batch.column(c).to_pylist() for c in ("data", "th", "tc", "first", "n"))):
-            starts = np.arange(len(data) - LENGTH + 1)
-            hashes = [substring_hashes(_prefix(data, b), starts, starts + LENGTH, b).view(np.int64) for b in _BASES]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[0]), pa.array(hashes[1]), pa.array(np.full(len(starts), th)), pa.array(np.full(len(starts), tc)), pa.array(starts + first), pa.array(np.full(len(starts), n))], ["h1", "h2", "th", "tc", "at", "n"])
+    for kind in (0, 1):
+        mine = [r for r in rows if r[0] & 1 == kind]
+        if mine:
+            found = marked_bytes([r[-1] for r in mine], [r[2] for r in mine]) if kind == 0 else marked_passages([r[-1] for r in mine], [r[2] for r in mine], [r[3] for r in mine])
+            for r, spans in zip(mine, found):
+                out += [(r[0], r[1], s, e, *r[4:8]) for s, e in spans]
+    return pa.Table.from_batches([_batch(out, SEGMENT_MARK)])
+
+
+def _copied(texts: DataFrame) -> DataFrame:
+    """pk, pw, length of texts that several rows have."""
+    return texts.groupBy(*PIECE_ID).agg(F.count("*").alias("rows"), F.max(F.length("text")).cast("long").alias("length")).where(F.col("rows") > 1).drop("rows")
+
+
+def _copied_segments(copied: DataFrame) -> DataFrame:
+    """Texts that several rows have, cut to long segments of their own: two copies each meet in the index."""
+    cut = copied.where(F.col("length") >= LENGTH).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - LENGTH, F.lit(COPIED).cast("long"))).alias("first"))
+    size = F.least(F.lit(COPIED + LENGTH - 1).cast("long"), F.col("length") - F.col("first"))
+    key = F.xxhash64("pk", "pw", "first").bitwiseAND(-2)
+    return cut.select(key.alias("key"), F.xxhash64("pw", "first", "pk").alias("whole"), F.lit(2).cast("long").alias("n"), F.lit(None).cast("long").alias("color"), size.alias("load"), F.lit(True).alias("single"), "pk", "pw", "first", size.alias("size"))
+
+
+def piece_marks(pieces: DataFrame, level: int = 0, copied: DataFrame | None = None) -> DataFrame:
+    """pk, pw, kind, s, e: stretches of pieces covered by repeats (they may overlap and touch)."""
+    once = pieces.select("data", *PIECE_ID)
+    once = once if level else once.mapInArrow(_once, "data binary, pk long, pw long")
+    found = written(pieces.mapInArrow(_segment_rows(level), FOUND + (", n long, color long" if level else "")), "segments")
+    color = F.col("color" if level else "pk")
+    counted = found.groupBy("key", "whole").agg(
+        F.min(F.struct("pk", "pw", "first", "size")).alias("one"),
+        ((F.min("pk") != F.max("pk")) | (F.min("pw") != F.max("pw")) | (F.min("first") != F.max("first"))).alias("several"),
+        F.max("inner").alias("inner"),
+        F.min(color).alias("least"),
+        F.max(color).alias("most"),
+        *([F.max("n").alias("n"), F.max(F.col("color").isNull()).alias("mixed")] if level else []),
+    )
+    counted = counted if level else counted.withColumns({"n": F.lit(1).cast("long"), "mixed": F.lit(False)})
+    counted = counted.withColumn("n", F.when(F.col("several"), 2).otherwise(F.col("n")).cast("long"))
+    # A key of one place has no repeat, and one of a single text has no passage of another document.
+    keys = counted.groupBy("key").agg(F.sum("n").alias("all"), F.sum("one.size").alias("load"), F.max("inner").alias("any"), ((F.min("least") < F.max("most")) | F.max("mixed")).alias("texts"))
+    keys = keys.where(F.when(F.col("key").bitwiseAND(1) == 0, (F.col("all") > 1) | F.col("any")).otherwise(F.col("texts"))).select("key", "load")
+    color = F.when(~F.col("mixed") & (F.col("least") == F.col("most")), F.col("least"))
+    flagged = counted.join(keys, "key").select("key", "whole", "n", color.alias("color"), "load", (~F.col("several")).alias("single"), "one.*")
+    flagged = written(flagged if copied is None else flagged.unionByName(_copied_segments(copied)), "flagged")
+
+    last = level + 1 == len(GRAMS[0])
+    crowded = F.lit(False) if last else F.col("load") > BUCKET
+    size, more = flagged.agg(F.sum(F.when(~crowded, F.col("size"))), F.max(crowded)).first()
+    buckets = max(1, -(-(size or 0) // BUCKET))
+    item = F.struct("key", "whole", "n", "color", "load", "single", "first", "size")
+    lists = flagged.groupBy(*PIECE_ID).agg(F.collect_list(item).alias("wanted"))
+    # Every copy of a text gives its segments again: one row of each is kept, so that it doesn't match itself and BUCKET bounds a group.
+    cut = written(once.join(lists, PIECE_ID).select("pk", "pw", "data", "wanted").mapInArrow(_cut_rows, CUT).dropDuplicates(["key", "whole"]), "cut-segments")
+    shelved = cut.where(~crowded).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    marked = shelved.groupBy("bucket").applyInArrow(_bucket_marks, SEGMENT_MARK)
+    if more:
+        finer = cut.where(crowded).select(F.col("key").alias("pk"), F.col("whole").alias("pw"), "n", "color", "data")
+        deeper = piece_marks(finer, level + 1).withColumnsRenamed({"pk": "key", "pw": "whole"})
+        where = cut.where(crowded).select("key", "whole", "single", "pk", "pw", "first")
+        marked = marked.unionByName(deeper.join(where, ["key", "whole"]).select(marked.columns))
+    marked = written(marked, "segment-marks")
+    # A segment that stands at one place of one text has it at hand; others are looked up.
+    kind = F.col("key").bitwiseAND(1).cast("int").alias("kind")
+    placed = lambda df: df.select(*PIECE_ID, kind, (F.col("first") + F.col("s")).alias("s"), (F.col("first") + F.col("e")).alias("e"))
+    many = found.select("key", "whole", "pk", "pw", "first").join(marked.where(~F.col("single")).select("key", "whole", "s", "e"), ["key", "whole"])
+    return placed(marked.where("single")).unionByName(placed(many))
 
 
 def marks(texts: DataFrame) -> DataFrame:
-    """th, tc, s, e: stretches of texts covered by repeats (they may overlap and touch)."""
-    found = written(texts.where(F.length("text") >= LENGTH).select("text", *TEXT).mapInArrow(_segment_rows, SEGMENT), "segments")
-    one = F.min(F.struct("th", "tc", "first", "windows"))
-    counted = found.groupBy("key", "whole").agg(F.count("*").alias("n"), one.alias("one"), F.max("inner").alias("inner"))
-    keys = counted.groupBy("key").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"), F.max("inner").alias("any")).where((F.col("all") > 1) | F.col("any")).drop("any")
-    flagged = written(counted.join(keys, "key").select("key", "whole", "n", "kinds", "inner", "one.*"), "flagged")
-
-    # Segments that occur more than once repeat entirely.
-    twice = flagged.where(F.col("n") > 1).select("key", "whole")
-    entire = found.join(twice, ["key", "whole"]).select(*TEXT, F.col("first").alias("s"), (F.col("first") + F.col("windows") + LENGTH - 1).alias("e")).distinct()
-
-    wanted = flagged.where((F.col("kinds") > 1) | (F.col("inner") & (F.col("n") == 1)))
-    size = wanted.where(F.col("kinds") <= CROWDED).agg(F.sum(F.col("windows") + LENGTH)).first()[0] or 0
-    buckets = max(1, -(-size // BUCKET))
-    item = F.struct("first", "windows", "key", "whole", (F.col("n") == 1).alias("single"), (F.col("kinds") > CROWDED).alias("crowded"))
-    lists = wanted.groupBy(*TEXT).agg(F.collect_list(item).alias("wanted"))
-    cut = texts.select("text", *TEXT).join(lists, TEXT).mapInArrow(_cut_rows, CUT)
-    # Every copy of a text gives its segments again: one row of each is kept, so that it doesn't match itself and BUCKET bounds a group.
-    cut = written(cut.dropDuplicates(["key", "whole"]), "cut-segments")
-    shelved = cut.where("not crowded").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
-    indexed = shelved.groupBy("bucket").applyInArrow(_bucket_marks, MARK)
+    """pk, pw, kind, s, e of texts. Texts that several rows have are passages of several documents as a whole."""
+    long = texts.where(F.length("text") >= 2 * WORDS - 1).select(*PIECE_ID, F.col("text").alias("data"))
+    copied = written(_copied(texts), "copied")
+    return piece_marks(long, copied=copied).unionByName(copied.select(*PIECE_ID, F.lit(1).alias("kind"), F.lit(0).cast("long").alias("s"), F.col("length").alias("e")))
+
 
-    crowded = cut.where("crowded").select("data", *TEXT, "first", F.when(F.col("single"), 1).otherwise(2).cast("long").alias("n"))
-    windows = crowded.mapInArrow(_window_rows, "h1 long, h2 long, th long, tc long, at long, n long")
-    often = windows.groupBy("h1", "h2").agg(F.sum("n").alias("all")).where(F.col("all") > 1).select("h1", "h2")
-    counted_windows = windows.join(often, ["h1", "h2"]).select(*TEXT, F.col("at").alias("s"), (F.col("at") + LENGTH).alias("e"))
-    return entire.unionByName(indexed).unionByName(counted_windows)
+def _joined(found: list) -> list[tuple[int, int]]:
+    if not found:
+        return []
+    s, e = np.array(sorted(found), np.int64).T
+    return covered(s, np.maximum.accumulate(e))
 
 
 def _removed_rows(batches):
+    span = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
     for batch in batches:
         rows = []
         for i, text, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "found"))):
-            spans: list = []
-            for m in sorted(found or (), key=lambda m: (m["s"], m["e"])):
-                if spans and m["s"] <= spans[-1]["e"]:
-                    spans[-1]["e"] = max(spans[-1]["e"], m["e"])
-                else:
-                    spans.append({"s": m["s"], "e": m["e"]})
-            at, kept = 0, []
-            for x in spans:
-                kept.append(text[at : x["s"]])
-                at = x["e"]
-            rows.append((i, len(text), spans, b"".join([*kept, text[at:]])))
-        columns = list(zip(*rows)) or [()] * 4
-        span = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], span), pa.array(columns[3], pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+            spans, passages = (_joined([(m["s"], m["e"]) for m in found or () if m["kind"] == k]) for k in (0, 1))
+            at, kept, words = 0, [], 0
+            for s, e in spans:
+                kept.append(text[at:s])
+                at = e
+            if passages:
+                starts, _ = word_bounds(text)
+                if len(starts) >= WORDS:
+                    words = int(np.diff(np.searchsorted(starts, np.array(passages)), axis=1).sum())
+            rows.append((i, len(text), [{"s": s, "e": e} for s, e in spans], b"".join([*kept, text[at:]]), words))
+        columns = list(zip(*rows)) or [()] * 5
+        kinds = (pa.int64(), pa.int64(), span, pa.binary(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "n_bytes", "spans", "kept", "passage_words"])
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, spans (maximal removed stretches), kept (the bytes left)."""
+    """doc_id, n_bytes, spans (maximal removed stretches), kept (the bytes left), passage_words (words in passages of WORDS or more of other documents)."""
     texts = _identified(docs)
-    lists = marks(texts).groupBy(*TEXT).agg(F.collect_set(F.struct("s", "e")).alias("found"))
-    return texts.join(lists, TEXT, "left").select("doc_id", "text", "found").mapInArrow(_removed_rows, "doc_id long, n_bytes long, spans array<struct<s:bigint,e:bigint>>, kept binary")
+    lists = marks(texts).groupBy(*PIECE_ID).agg(F.collect_set(F.struct("kind", "s", "e")).alias("found"))
+    out = "doc_id long, n_bytes long, spans array<struct<s:bigint,e:bigint>>, kept binary, passage_words long"
+    return texts.join(lists, PIECE_ID, "left").select("doc_id", "text", "found").mapInArrow(_removed_rows, out)
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """The contract's columns."""
+    """The contract's columns, and the words of passages that other documents have."""
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"])
-    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "passage_words")

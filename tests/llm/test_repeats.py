@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -32,18 +33,45 @@ def corpus(seed, n=60):
         parts = [rng.choice([prose(rng.randint(0, 500)), rng.choice(shared), rng.choice(shared)[rng.randint(0, 100) :]]) for _ in range(rng.randint(1, 6))]
         texts.append("".join(parts))
     base = prose(3000)
+    texts += [" ".join(rng.choice(["a", "bc", "de\n", "f"]) for _ in range(51)), *[(p := "x " * 30 + " ".join(map(str, range(60))) + " y" * 9)] * 2, "other " + p, "m " + p[70:] + " n"]
     texts += [base, base, base[:1000] + "#" + base[1001:], base[5:2000], base[:1500] + prose(10) + base[1500:]]
     return texts
 
 
-@pytest.mark.parametrize("seed, crowded, bucket", [(1, 1500, 2 << 20), (2, 2, 2 << 20), (3, 1500, 3000)])
-def test_equals_brute_force(spark, monkeypatch, seed, crowded, bucket):
-    monkeypatch.setattr(repeats, "CROWDED", crowded)
+def slow_passages(texts):
+    """Words in passages of 51 words, with the white space between them, that another text has; equal texts are different documents."""
+    data = [(t or "").encode() for t in texts]
+    words = [[(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", d)] for d in data]
+    owners = {}
+    for i, (d, w) in enumerate(zip(data, words)):
+        for k in range(len(w) - 50):
+            owners.setdefault(d[w[k][0] : w[k + 50][1]], set()).add(i)
+    out = []
+    for d, w in zip(data, words):
+        hit = [False] * len(w)
+        for k in range(len(w) - 50):
+            if len(owners[d[w[k][0] : w[k + 50][1]]]) > 1:
+                hit[k : k + 51] = [True] * 51
+        out.append(sum(hit))
+    return out
+
+
+def expected(texts):
+    return [(i, *x, n) for i, (x, n) in enumerate(zip(slow(texts, 400), slow_passages(texts)))]
+
+
+@pytest.mark.parametrize("seed, bucket", [(1, 1 << 20), (2, 3000), (3, 500)])
+def test_equals_brute_force(spark, monkeypatch, seed, bucket):
+    """Also where buckets are so small that keys are crowded at every level."""
     monkeypatch.setattr(repeats, "BUCKET", bucket)
+    monkeypatch.setattr(repeats, "COPIED", 1000 if seed == 2 else 1 << 16)
+    levels = []
+    step = repeats.piece_marks
+    monkeypatch.setattr(repeats, "piece_marks", lambda pieces, level=0, **rest: levels.append(level) or step(pieces, level, **rest))
     texts = corpus(seed)
     got = sorted(tuple(r) for r in repeats.digest(repeats.without_repeats(docs_frame(spark, texts))).collect())
-    want = [(i, *x) for i, x in enumerate(slow(texts, 400))]
-    assert [g for g, w in zip(got, want) if g != w] == [] and len(got) == len(want)
+    assert [(g, w) for g, w in zip(got, expected(texts)) if g != w] == [] and len(got) == len(texts)
+    assert levels == ([0] if seed == 1 else [0, 1, 2, 3])
 
 
 def test_copies_give_a_segment_once(spark, monkeypatch):
@@ -54,7 +82,7 @@ def test_copies_give_a_segment_once(spark, monkeypatch):
     write = repeats.written
     monkeypatch.setattr(repeats, "written", lambda df, label: tables.setdefault(label, write(df, label)))
     got = sorted(tuple(r) for r in repeats.digest(repeats.without_repeats(docs_frame(spark, texts).repartition(4, "doc_id"))).collect())
-    assert got == [(i, *x) for i, x in enumerate(slow(texts, 400))]
+    assert got == expected(texts)
     cut = tables["cut-segments"]
     assert 0 < cut.count() == cut.select("key", "whole").distinct().count()
 
@@ -62,34 +90,42 @@ def test_copies_give_a_segment_once(spark, monkeypatch):
 def test_matching_statistics_equal_brute_force():
     rng = random.Random(0)
     for _ in range(30):
-        texts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 40))) for _ in range(rng.randint(1, 6))]
-        got, starts, runs = repeats.matching_statistics(texts)
-        suffixes = [(i, p, t[p:]) for i, t in enumerate(texts) for p in range(len(t))]
-        for i, p, s in suffixes:
+        texts = list({bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 40))): 0 for _ in range(rng.randint(1, 6))})
+        copies = [rng.choice([1, 2]) for _ in texts]
+        got, starts, runs = repeats.matching_statistics(texts, copies)
+        suffixes = [(i, c, p, t[p:]) for i, t in enumerate(texts) for c in range(copies[i]) for p in range(len(t))]
+        for i, c, p, s in suffixes:
             best = 0
-            for j, q, o in suffixes:
-                if (i, p) != (j, q):
+            for j, d, q, o in suffixes:
+                if (i, c, p) != (j, d, q):
                     k = 0
                     while k < min(len(s), len(o)) and s[k] == o[k]:
                         k += 1
                     best = max(best, k)
             assert got[starts[i] + p] == best
-        assert runs <= sum(map(len, texts)) + len(texts)
+        assert runs <= 2 * (sum(map(len, texts)) + len(texts))
 
 
 def test_pieces_of_long_texts(monkeypatch):
     monkeypatch.setattr(repeats, "PIECE", 1000)
-    data = bytes(np.random.default_rng(1).integers(97, 123, 6000, dtype=np.uint8))
-    keys, whole, first, windows, inner = repeats.segments(data)
-    assert first[0] == 0 and (first[1:] == (first + windows)[:-1]).all() and first[-1] + windows[-1] == len(data) - 399
+    rng = np.random.default_rng(1)
+    data = bytes(rng.integers(97, 123, 6000, dtype=np.uint8))
+    key, whole, first, size, inner = repeats.segments(data, kinds=(0,))
+    assert first[0] == 0 and (first[1:] == (first + size - 399)[:-1]).all() and first[-1] + size[-1] == len(data)
+    words = b" ".join(bytes(rng.integers(97, 123, rng.integers(1, 9), dtype=np.uint8)) for _ in range(2000))
+    found = list(zip(*repeats.segments(words)[2:4], repeats.segments(words)[0] & 1))
+    spans = [words[s : s + n] for s, n, kind in found if kind]
+    # Every run of 51 words is in exactly one segment.
+    assert sum(len(x.split()) - 50 for x in spans) == 2000 - 50 and all(x == x.strip() for x in spans)
     monkeypatch.setattr(repeats, "LONGEST", 50)
-    keys, whole, first, windows, inner = repeats.segments(b"z" * 3000)
-    assert windows.max() <= 50 and windows.sum() == 2601 and inner.all()
+    key, whole, first, size, inner = repeats.segments(b"z" * 3000, kinds=(0,))
+    assert size.max() <= 449 and (size - 399).sum() == 2601 and inner.all()
 
 
 def test_odd_rows(spark):
     odd = odd_frame(spark)
     rows = odd.collect()
     got = sorted((tuple(r) for r in repeats.digest(repeats.without_repeats(odd)).collect()), key=repr)
-    assert got == sorted(((r["doc_id"], *x) for r, x in zip(rows, slow([r["text"] for r in rows], 400))), key=repr)
+    texts = [r["text"] for r in rows]
+    assert got == sorted(((r["doc_id"], *x[1:]) for r, x in zip(rows, expected(texts))), key=repr)
     assert repeats.without_repeats(odd.limit(0)).count() == 0
