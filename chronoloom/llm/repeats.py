@@ -1,7 +1,8 @@
 """Exact long repeats across a corpus with run-length indexes.
 
 Two kinds of windows are looked up: strings of ``LENGTH`` bytes that start anywhere else in the corpus (kind 0; their bytes are removed), and
-passages of ``WORDS`` words, with the white space between them, that occur in another document too (kind 1; only counted). Windows never cross documents.
+passages of ``WORDS`` words, with the white space between them, that occur in another document too (kind 1; only counted, for a column beside the
+removal's). Windows never cross documents.
 
 Routing. A window is filed under the least hash of its grams (``GRAMS`` bytes or words); equal windows have equal keys, and neighbouring windows
 mostly share theirs. A segment is a maximal run of windows of one document with one key, its text those windows' bytes. Every window
@@ -13,11 +14,12 @@ several rows have count once here, and go to buckets as long segments of their o
 sampled with the length of their common prefix with the neighbour across the run's border. All other values follow: inside a
 run, the common prefix of a position with its neighbour is one less than that of the position before. One stream over the text from
 sample to sample gives the matching statistics of every position against everything else in the bucket, and where they
-reach the window's length, a repeat is marked. Marks of a segment hold for every document that has it.
+reach LENGTH, a repeat is marked. Passages are compared by the hashes of their windows in the same buckets. Marks of a segment hold for every
+document that has it.
 
 A key whose different segments would outgrow a bucket (a passage shared by very many documents has a different one at each end) is filed
 again: its segments are cut up by longer grams, which fall apart into rare keys, up to the grams as long as the window, of
-which a key has one. Every level is the same step over the segments of the last one, so all marks come from the index.
+which a key has one. Every level is the same step over the segments of the last one, so all removed bytes come from the index.
 
 Texts are identified by two hashes of their content: marks depend on nothing else. Segments and marks are narrow; the texts
 are shuffled twice, once to cut out segments for the buckets (one copy of a text a task) and once to take the marks out.
@@ -108,16 +110,18 @@ def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 def _runs(kind: int, grams: np.ndarray, width: int):
     """Keys of windows of width grams each, cut to segments: key, first window, windows, whether the key may occur at two places."""
     keys = sliding_minimum(grams, width)
-    # Places that are the least of some window: no larger than the greatest key of the windows around them.
-    around = ~sliding_minimum(np.pad(~keys, width - 1, constant_values=np.iinfo(np.uint64).max), width)
-    values, counts = np.unique(grams[grams == around], return_counts=True)
     starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
     sizes = np.diff(np.append(starts, len(keys)))
     if sizes.max() > LONGEST:
         starts = np.concatenate([np.arange(s, s + n, LONGEST) for s, n in zip(starts, sizes)])
         sizes = np.diff(np.append(starts, len(keys)))
-    found = keys[starts]
-    return (found & ~np.uint64(1)) | np.uint64(kind), starts, sizes, np.isin(found, values[counts > 1])
+    found = (keys[starts] & ~np.uint64(1)) | np.uint64(kind)
+    if kind:  # a passage that one document alone repeats doesn't count
+        return found, starts, sizes, np.zeros(len(found), bool)
+    # Places that are the least of some window: no larger than the greatest key of the windows around them.
+    around = ~sliding_minimum(np.pad(~keys, width - 1, constant_values=np.iinfo(np.uint64).max), width)
+    values, counts = np.unique(grams[grams == around], return_counts=True)
+    return found, starts, sizes, np.isin(keys[starts], values[counts > 1])
 
 
 def segments(data: bytes, level: int = 0, kinds=(0, 1)):
@@ -260,30 +264,19 @@ def marked_bytes(texts: list[bytes], copies) -> list[list[tuple[int, int]]]:
     return [covered(w := hits[cuts[i] : cuts[i + 1]] - starts[i], w + LENGTH) for i in range(len(texts))]
 
 
-def marked_passages(texts: list[bytes], copies, colors: list) -> list[list[tuple[int, int]]]:
+def marked_passages(texts: list[bytes], colors: list) -> list[list[tuple[int, int]]]:
     """Per text, the stretches of WORDS words that occur in a text of another color; a text without a color is of several."""
-    statistics, starts, _ = matching_statistics(texts, copies)
-    owner, first, last, hashes = [], [], [], []
-    for i, t in enumerate(texts):
-        s, e = word_bounds(t)
-        s, e = s[: len(s) - WORDS + 1], e[WORDS - 1 :]
-        hit = statistics[starts[i] + s] >= e - s
-        s, e = s[hit], e[hit]
-        owner.append(np.full(len(s), i))
-        first.append(s)
-        last.append(e)
-        hashes.append(substring_hashes(_prefix(t, _BASES[0]), s, e, _BASES[0]))
-    owner, first, last, hashes = (np.concatenate(x) for x in (owner, first, last, hashes))
-    # The index tells that a passage is repeated; which documents have it is checked over equal windows.
+    bounds = [word_bounds(t) for t in texts]
+    owner = np.repeat(np.arange(len(texts)), [len(s) - WORDS + 1 for s, _ in bounds])
+    first, last = np.concatenate([s[: len(s) - WORDS + 1] for s, _ in bounds]), np.concatenate([e[WORDS - 1 :] for _, e in bounds])
+    hashes = np.concatenate([substring_hashes(_prefix(t, _BASES[0]), s[: len(s) - WORDS + 1], e[WORDS - 1 :], _BASES[0]) for t, (s, e) in zip(texts, bounds)])
     color = np.array([0 if c is None else c for c in colors], np.int64)[owner]
     several = np.array([c is None for c in colors], bool)[owner]
-    _, group = np.unique(hashes, return_inverse=True)
-    groups = int(group.max()) + 1 if len(group) else 0
-    least, most = np.full(groups, np.iinfo(np.int64).max), np.full(groups, np.iinfo(np.int64).min)
-    np.minimum.at(least, group, color)
-    np.maximum.at(most, group, color)
-    other = (least < most) | (np.bincount(group, several, groups) > 0)
-    kept = other[group]
+    order = np.argsort(hashes)
+    heads = np.flatnonzero(np.append(True, hashes[order][1:] != hashes[order][:-1]))
+    other = (np.minimum.reduceat(color[order], heads) < np.maximum.reduceat(color[order], heads)) | np.logical_or.reduceat(several[order], heads)
+    kept = np.empty(len(order), bool)
+    kept[order] = np.repeat(other, np.diff(np.append(heads, len(order))))
     cuts = np.searchsorted(owner[kept], np.arange(len(texts) + 1))
     first, last = first[kept], last[kept]
     return [covered(first[cuts[i] : cuts[i + 1]], last[cuts[i] : cuts[i + 1]]) for i in range(len(texts))]
@@ -366,7 +359,7 @@ def _bucket_marks(table: pa.Table) -> pa.Table:
     for kind in (0, 1):
         mine = [r for r in rows if r[0] & 1 == kind]
         if mine:
-            found = marked_bytes([r[-1] for r in mine], [r[2] for r in mine]) if kind == 0 else marked_passages([r[-1] for r in mine], [r[2] for r in mine], [r[3] for r in mine])
+            found = marked_bytes([r[-1] for r in mine], [r[2] for r in mine]) if kind == 0 else marked_passages([r[-1] for r in mine], [r[3] for r in mine])
             for r, spans in zip(mine, found):
                 out += [(r[0], r[1], s, e, *r[4:8]) for s, e in spans]
     return pa.Table.from_batches([_batch(out, SEGMENT_MARK)])
@@ -390,6 +383,10 @@ def piece_marks(pieces: DataFrame, level: int = 0, copied: DataFrame | None = No
     once = pieces.select("data", *PIECE_ID)
     once = once if level else once.mapInArrow(_once, "data binary, pk long, pw long")
     found = written(pieces.mapInArrow(_segment_rows(level), FOUND + (", n long, color long" if level else "")), "segments")
+    # Most keys occur once: they go before anything wider than a key is shuffled for good.
+    known = found.groupBy("key").agg(F.count("*").alias("rows"), F.max("inner").alias("any"), (F.max("n") if level else F.lit(1)).alias("n"))
+    found = found.join(known.where((F.col("rows") > 1) | F.col("any") | (F.col("n") > 1)).select("key"), "key", "left_semi")
+    found = written(found.select(*[x.split()[0] for x in FOUND.split(", ")], *(["n", "color"] if level else [])), "candidates")
     color = F.col("color" if level else "pk")
     counted = found.groupBy("key", "whole").agg(
         F.min(F.struct("pk", "pw", "first", "size")).alias("one"),
