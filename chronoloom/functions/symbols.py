@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 ROOT = "[A-G][#b]?"
 #: Suffix patterns in order of priority, the label quality, and whether the slash stays (fixed values).
 RULES = (
-    ("m7/(.+)", "min7", True),
-    ("maj7/(.+)", "maj7", True),
-    ("7M/(.+)", "maj7", True),
-    ("m/(.+)", "min", True),
-    ("/(.+)", "maj", True),
+    ("m7/([A-G][#b]?)", "min7", True),
+    ("maj7/([A-G][#b]?)", "maj7", True),
+    ("7M/([A-G][#b]?)", "maj7", True),
+    ("m/([A-G][#b]?)", "min", True),
+    ("/([A-G][#b]?)", "maj", True),
     ("m7", "min7", False),
     ("maj7", "maj7", False),
     ("7M", "maj7", False),
-    ("sus[24]?/(.+)", "maj", True),
+    ("sus[24]?/([A-G][#b]?)", "maj", True),
     ("sus[24]?", "maj", False),
     ("dim|°", "dim", False),
     (r"aug|\+", "aug", False),
@@ -42,6 +42,11 @@ def label(symbol: Column) -> Column:
     return out.otherwise(F.concat(root, F.when(minor, F.lit(":min")).otherwise(F.lit(":maj"))))
 
 
+def labelled(symbol: Column, note: Column) -> Column:
+    """The label of a chord event: the symbol's, with the event's own bass note after it."""
+    return F.concat(label(symbol), F.when(F.coalesce(note, F.lit("")) != "", F.concat(F.lit("/"), note)).otherwise(F.lit("")))
+
+
 def without_bass(name: Column) -> Column:
     return F.regexp_replace(name, "/[A-G][#b]?$", "")
 
@@ -77,10 +82,20 @@ def pitch_letter(number: Column) -> Column:
     return F.when(number.isNotNull(), F.element_at(F.array(*[F.lit(p) for p in PITCHES]), number + 1))
 
 
-def same_triad(a: Column, b: Column) -> Column:
-    """Same root and both minor or both major."""
-    third = lambda x: F.when(F.substring_index(x, ":", -1).startswith("min"), "min").otherwise("maj")
-    return (root(a) == root(b)) & (third(a) == third(b))
+def same_triad(reference: Column, estimate: Column) -> Column:
+    """Whether two labels have the same root and are both major or both minor, or are both N; null where the reference is neither."""
+
+    def kind(x: Column) -> Column:
+        quality = F.regexp_extract(x, ":([^/]*)", 1)
+        return F.when(x == "N", "N").when(quality.isin("maj", "maj7", "7"), "maj").when(quality.isin("min", "min7"), "min")
+
+    ours, theirs = kind(reference), F.coalesce(kind(estimate), F.lit(""))
+    return F.when(ours.isNotNull(), (ours == theirs) & ((ours == "N") | F.coalesce(root(reference) == root(estimate), F.lit(False))))
+
+
+def slash_agrees(symbol: Column, note: Column) -> Column:
+    """V3: what follows a symbol's slash is its bass note, where both are given."""
+    return ~symbol.contains("/") | note.isNull() | (F.substring_index(symbol, "/", -1) == note)
 
 
 def bracket(symbol: Column, note: Column) -> Column:

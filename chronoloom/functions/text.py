@@ -10,12 +10,19 @@ VOWELS = "aeiouyáéíóúýâêîôûãõàèìòùäëïöüAEIOUYÁÉÍÓÚÝ
 #: Written accents that carry stress, and endings of words stressed on the last syllable (fixed values).
 ACCENTED = "áéíóúâêîôûãõàèìòù"
 LAST_STRESSED = ("r", "l", "z", "x", "i", "u", "im", "um", "om", "ins", "uns", "ons")
+#: Elements of one block of a running sum.
+BLOCK = 1024
 #: Phoneme vowels (fixed values).
 ARPABET_VOWELS = ("AA", "AE", "AH", "AO", "AW", "AY", "EH", "ER", "EY", "IH", "IY", "OW", "OY", "UH", "UW")
 _ACCENTS = "áàâãäåéèêëíìîïóòôõöúùûüýÿçñÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÝÇÑ"
 _PLAIN = "aaaaaaeeeeiiiiooooouuuuyycnAAAAAAEEEEIIIIOOOOOUUUUYCN"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body uses it."""
+    return F.transform(F.array(value), lambda bound: body(bound))[0]
+
+
 def syllables(word: Column) -> Column:
     """Parts at hyphens, each cut so that one consonant goes to the next vowel and of several the first stays."""
     v, c = f"[{VOWELS}]", f"[^{VOWELS}]"
@@ -29,7 +36,7 @@ def stress(word: Column, parts: Column) -> Column:
     accent = F.array_position(F.transform(parts, lambda p: F.lower(p).rlike(f"[{ACCENTED}]")), True)
     last = F.size(parts) - 1
     ends = F.lower(word).rlike("(" + "|".join(LAST_STRESSED) + ")$")
-    return F.when(accent > 0, (accent - 1).cast("int")).when(ends, last).otherwise(F.greatest(F.lit(0), last - 1))
+    return let(accent, lambda at: F.when(at > 0, (at - 1).cast("int")).when(ends, last).otherwise(F.greatest(F.lit(0), last - 1)))
 
 
 def lexicon_stress(phones: Column) -> Column:
@@ -50,10 +57,25 @@ def is_vowel(symbol: Column) -> Column:
     return F.when(bare.rlike("^[A-Z]+$"), bare.isin(*ARPABET_VOWELS)).otherwise(bare.rlike(f"^[{VOWELS}ɑæʌəɔɛɝɚɪɨʊʉɐɜøœ]"))
 
 
+def running_sum(values: Column) -> Column:
+    """Sum of an int array's elements before each one, and of all at the end: blocks of BLOCK are summed up one by one, then shifted."""
+    none = F.array().cast("array<int>")
+
+    def sums(items: Column) -> Column:
+        return F.aggregate(items, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x))
+
+    def shifted(blocks: Column) -> Column:
+        ends = sums(F.transform(blocks, lambda b: F.element_at(b, -1)))
+        return let(ends, lambda e: F.array_append(F.flatten(F.transform(blocks, lambda b, i: F.transform(F.slice(b, F.lit(1), F.size(b) - 1), lambda x: x + F.get(e, i)))), F.element_at(e, -1)))
+
+    cut = lambda v: F.transform(F.sequence(F.lit(1), F.size(v), F.lit(BLOCK)), lambda at: sums(F.slice(v, at, F.lit(BLOCK))))
+    return let(F.coalesce(values, none), lambda v: F.when(F.size(v) > 0, let(cut(v), shifted)).otherwise(F.array(F.lit(0))))
+
+
 def phoneme_groups(vowel_flags: Column) -> Column:
     """Syllable number of every symbol by maximal onset: vowels before it, the tail joining the last one; 0 without vowels."""
-    count = lambda a: F.size(F.filter(a, lambda x: x))
-    return F.transform(vowel_flags, lambda _, i: F.least(count(F.slice(vowel_flags, F.lit(1), i)), F.greatest(F.lit(0), count(vowel_flags) - 1)))
+    ones = F.transform(vowel_flags, lambda x: F.when(x, 1).otherwise(0))
+    return let(running_sum(ones), lambda s: F.transform(F.slice(s, F.lit(1), F.size(s) - 1), lambda x: F.least(x, F.greatest(F.lit(0), F.element_at(s, -1) - 1))))
 
 
 def sanitised(word: Column) -> Column:
@@ -63,7 +85,7 @@ def sanitised(word: Column) -> Column:
 
 def word_offsets(words: Column) -> Column:
     """Start of every word in the line joined by single blanks."""
-    return F.transform(words, lambda _, i: F.aggregate(F.slice(words, F.lit(1), i), F.lit(0), lambda a, w: a + F.length(w) + 1))
+    return let(running_sum(F.transform(words, lambda w: F.length(w) + 1)), lambda s: F.slice(s, F.lit(1), F.size(s) - 1))
 
 
 def found_offsets(line: Column, words: Column) -> Column:

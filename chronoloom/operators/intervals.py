@@ -9,17 +9,17 @@ from . import blocks
 from .nearest import HOUR, spread_intervals
 
 
-def onset_intervals(onsets: DataFrame, key: list[str], label: str, end_of_track: Column | None = None, none_label: str = "N", tail: int = 1_000_000, block: int | None = None) -> DataFrame:
+def onset_intervals(onsets: DataFrame, key: list[str], label: str, end_of_track: Column | None = None, none_label: str | None = "N", tail: int = 1_000_000, block: int | None = None) -> DataFrame:
     """Half-open intervals between onsets (t, idx); boundaries labelled none end the one before and are dropped afterwards.
 
-    The last interval ends with the track, or ``tail`` after its start; empty ones are dropped.
+    The last interval ends with the track, or ``tail`` after its start; empty ones are dropped. Without a label for none, all labels stay.
     """
     last = F.col("t") + F.lit(tail)
     last = F.coalesce(end_of_track, last) if end_of_track is not None else last
     ahead = blocks.led(blocks.with_block(onsets, "t", block), key, ["t", "idx"], {"__after": "t"})
     out = ahead.withColumn("t0", F.col("t")).withColumn("t1", F.greatest(F.col("t"), F.coalesce("__after", last)))
-    keep = (F.col(label) != none_label) & (F.col(label) != "") & (F.col("t1") > F.col("t0"))
-    return out.where(keep).drop("t", "__after", blocks.BLOCK)
+    keep = F.col("t1") > F.col("t0")
+    return out.where(keep if none_label is None else keep & (F.col(label) != none_label) & (F.col(label) != "")).drop("t", "__after", blocks.BLOCK)
 
 
 def points_in(points: DataFrame, intervals: DataFrame, key: list[str], width: int = HOUR) -> DataFrame:

@@ -18,46 +18,48 @@ def q_syllables(spark, sf):
 
 
 _DISTINCT = f"words AS (SELECT DISTINCT unnest({a.WORDS_SQL}) AS word FROM documents)"
-#: Hyphens part words first; vowel runs are wrapped, one consonant goes over, of several the first stays.
+#: Letter by letter: hyphens part words; one consonant between vowels goes over to the second, of several the first stays.
 _SYLLABLES = f"""
-parts AS (SELECT word, unnest(list_filter(string_split(word, '-'), lambda p: p <> '')) AS part, generate_subscripts(list_filter(string_split(word, '-'), lambda p: p <> ''), 1) AS pos FROM words),
-runs AS (SELECT word, pos, regexp_replace(part, '([{V}]+)', '<\\1>', 'g') AS x FROM parts),
-one AS (SELECT word, pos, regexp_replace(x, '>([^{V}<>])<', '>\x01\\1<', 'g') AS x FROM runs),
-many AS (SELECT word, pos, regexp_replace(x, '>([^{V}<>\\x01])([^{V}<>\\x01]+)<', '>\\1\x01\\2<', 'g') AS x FROM one),
-syllabified AS (SELECT word, coalesce(string_agg(replace(replace(x, '<', ''), '>', ''), chr(1) ORDER BY pos), '') AS syllables FROM many GROUP BY word),
-syl AS (SELECT word, coalesce(syllables, '') AS syllables FROM words LEFT JOIN syllabified USING (word))"""
+letters AS (SELECT word, unnest(string_split(word, '')) AS c, generate_subscripts(string_split(word, ''), 1) AS pos FROM words),
+parts AS (SELECT word, pos, c, sum(CASE WHEN c = '-' THEN 1 ELSE 0 END) OVER (PARTITION BY word ORDER BY pos) AS part, CASE WHEN regexp_matches(c, '[{V}]') THEN 1 ELSE 0 END AS v FROM letters),
+around AS (SELECT word, pos, c, v, lag(v, 1) OVER o AS v1, lag(v, 2) OVER o AS v2, lead(v) OVER o AS n1, max(v) OVER (PARTITION BY word, part ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later
+  FROM parts WHERE c <> '-' WINDOW o AS (PARTITION BY word, part ORDER BY pos)),
+cuts AS (SELECT word, pos, c, CASE WHEN v1 IS NULL OR (v1 = 1 AND v = 0 AND n1 = 1) OR (v2 = 1 AND v1 = 0 AND v = 0 AND later = 1) THEN 1 ELSE 0 END AS starts FROM around),
+syl AS (SELECT word, pos, c, CAST(sum(starts) OVER (PARTITION BY word ORDER BY pos) AS INT) - 1 AS i FROM cuts)"""
 
 
-Q_SYLLABLES = f"WITH {_DISTINCT},{_SYLLABLES} SELECT word, replace(syllables, chr(1), '|') AS syllables FROM syl"
+Q_SYLLABLES = f"""WITH {_DISTINCT},{_SYLLABLES},
+joined AS (SELECT word, i, string_agg(c, '' ORDER BY pos) AS s FROM syl GROUP BY word, i),
+every AS (SELECT word, string_agg(s, '|' ORDER BY i) AS syllables FROM joined GROUP BY word)
+SELECT word, coalesce(syllables, '') AS syllables FROM words LEFT JOIN every USING (word)"""
+
+
+#: A word without any syllable consists of hyphens.
+HAS_SYLLABLES = "word RLIKE '[^-]'"
 
 
 def q_stress(spark, sf):
-    words = a.distinct_words(spark, sf).select("word", text.syllables(F.col("word")).alias("parts")).where(F.size("parts") > 0)
+    words = a.distinct_words(spark, sf).where(HAS_SYLLABLES).select("word", text.syllables(F.col("word")).alias("parts"))
     return words.select("word", F.size("parts").alias("n"), text.stress(F.col("word"), F.col("parts")).cast("int").alias("stressed"))
 
 
-_ENDINGS = "|".join(text.LAST_STRESSED)
-Q_STRESS = (
-    f"WITH {_DISTINCT},{_SYLLABLES}, s AS (SELECT word, string_split(syllables, chr(1)) AS parts FROM syl WHERE syllables <> '')"
-    + f""" SELECT word, CAST(len(parts) AS INT) AS n, CAST(CASE
-  WHEN coalesce(list_position(list_transform(parts, lambda p: regexp_matches(lower(p), '[{text.ACCENTED}]')), true), 0) > 0 THEN list_position(list_transform(parts, lambda p: regexp_matches(lower(p), '[{text.ACCENTED}]')), true) - 1
-  WHEN regexp_matches(lower(word), '({_ENDINGS})$') THEN len(parts) - 1 ELSE greatest(0, len(parts) - 2) END AS INT) AS stressed FROM s"""
-)
+Q_STRESS = f"""WITH {_DISTINCT},{_SYLLABLES},
+s AS (SELECT word, max(i) + 1 AS n, min(i) FILTER (regexp_matches(lower(c), '[áéíóúâêîôûãõàèìòù]')) AS accent FROM syl GROUP BY word)
+SELECT word, CAST(n AS INT) AS n, CAST(CASE WHEN accent IS NOT NULL THEN accent WHEN regexp_matches(lower(word), '(r|l|z|x|i|u|im|um|om|ins|uns|ons)$') THEN n - 1 ELSE greatest(0, n - 2) END AS INT) AS stressed FROM s"""
 
 
 def q_syllable_time(spark, sf):
     """Every syllable's span in a word that lasts 100 ms a letter."""
-    words = a.distinct_words(spark, sf).select("word", F.size(text.syllables(F.col("word"))).alias("n")).where("n > 0")
+    words = a.distinct_words(spark, sf).where(HAS_SYLLABLES).select("word", F.size(text.syllables(F.col("word"))).alias("n"))
     t1 = F.length("word") * 100_000
     at = words.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     span = lambda k: text.interpolated(F.lit(0), t1, k, F.col("n")).cast("long")
     return at.select("word", "i", span(F.col("i")).alias("t0"), span(F.col("i") + 1).alias("t1"))
 
 
-Q_SYLLABLE_TIME = (
-    f"WITH {_DISTINCT},{_SYLLABLES}, s AS (SELECT word, len(string_split(syllables, chr(1))) AS n FROM syl WHERE syllables <> ''), e AS (SELECT word, n, unnest(range(0, n)) AS i FROM s)"
-    + " SELECT word, CAST(i AS INT) AS i, CAST(i * (length(word) * 100000) // n AS BIGINT) AS t0, CAST(CASE WHEN i + 1 >= n THEN length(word) * 100000 ELSE (i + 1) * (length(word) * 100000) // n END AS BIGINT) AS t1 FROM e"
-)
+Q_SYLLABLE_TIME = f"""WITH {_DISTINCT},{_SYLLABLES},
+s AS (SELECT word, max(i) + 1 AS n FROM syl GROUP BY word), e AS (SELECT word, n, unnest(range(0, n)) AS i FROM s)
+SELECT word, CAST(i AS INT) AS i, CAST(i * (length(word) * 100000) // n AS BIGINT) AS t0, CAST(CASE WHEN i + 1 >= n THEN length(word) * 100000 ELSE (i + 1) * (length(word) * 100000) // n END AS BIGINT) AS t1 FROM e"""
 
 
 def q_phoneme_groups(spark, sf):
@@ -114,50 +116,74 @@ Q_SYLLABLE_OFFSETS = f"WITH {_LINES}, {_OFFSETS} SELECT conv_id, turn, pos, CAST
 
 
 def q_chord_extract(spark, sf):
-    """A document of a directive, a bracketed role and the text's first word in brackets."""
-    first = F.regexp_replace(F.substring_index(F.coalesce("text", F.lit("")), " ", 1), r"[\[\]\n]", "")
-    made = F.concat(F.lit("{c: [X]}\n["), "role", F.lit("]line [ "), first, F.lit(" ] end"))
+    """Documents of a directive and a turn's whole text, its role and every word of letters before a blank in brackets."""
+    made = F.concat(F.lit("{c: [X]}\n["), "role", F.lit("]"), F.regexp_replace(F.coalesce("text", F.lit("")), "([A-Za-z]+) ", "[ $1] "))
     found = a.turns(spark, sf).select("conv_id", "turn", text.bracketed(made).alias("found"))
     return found.select("conv_id", "turn", F.array_join("found", "|").alias("found"))
 
 
 Q_CHORD_EXTRACT = r"""
-WITH m AS (SELECT conv_id, turn, '{c: [X]}' || chr(10) || '[' || role || ']line [ ' || regexp_replace(string_split(coalesce(text, ''), ' ')[1], '[\[\]\n]', '', 'g') || ' ] end' AS doc FROM conversations),
+WITH m AS (SELECT conv_id, turn, '{c: [X]}' || chr(10) || '[' || role || ']' || regexp_replace(coalesce(text, ''), '([A-Za-z]+) ', '[ \1] ', 'g') AS doc FROM conversations),
 l AS (SELECT conv_id, turn, list_filter(string_split(doc, chr(10)), lambda x: NOT regexp_full_match(x, '\s*\{[^}]*\}\s*')) AS lines FROM m)
 SELECT conv_id, turn, array_to_string(list_transform(flatten(list_transform(lines, lambda x: regexp_extract_all(x, '\[([^\[\]]+)\]', 1))), lambda s: trim(s, ' ')), '|') AS found FROM l"""
 
 
-#: Symbols that go with a part's key, in order (fixed values for the query).
-SYMBOLS = ("C", "Gm7", "F7M/A", "Esus/B", "D9", "C+", "Bm7b5", "C13", "N", "Bbm/Db", "Cmaj7", "A6", "Edim", "F#m", "G7", "Dsus4", "hello")
+#: Symbols that go with a part's key, in order, and what the labels' rules say of them: label, label without bass, root, symbol made of the label (fixed values).
+SYMBOLS = (
+    ("C", "C:maj", "C:maj", "C", "C"),
+    ("Gm7", "G:min7", "G:min7", "G", "Gm7"),
+    ("F7M/A", "F:maj7/A", "F:maj7", "F", "Fmaj7/A"),
+    ("Esus/B", "E:maj/B", "E:maj", "E", "Emaj/B"),
+    ("D9", "D:maj", "D:maj", "D", "D"),
+    ("C+", "C:aug", "C:aug", "C", "Caug"),
+    ("Bm7b5", "B:min", "B:min", "B", "Bm"),
+    ("C13", "C:maj", "C:maj", "C", "C"),
+    ("N", "N", "N", None, None),
+    ("Bbm/Db", "Bb:min/Db", "Bb:min", "A#", "Bbm/Db"),
+    ("Cmaj7", "C:maj7", "C:maj7", "C", "Cmaj7"),
+    ("A6", "A:maj", "A:maj", "A", "A"),
+    ("Edim", "E:dim", "E:dim", "E", "Edim"),
+    ("F#m", "F#:min", "F#:min", "F#", "F#m"),
+    ("G7", "G:7", "G:7", "G", "G7"),
+    ("Dsus4", "D:maj", "D:maj", "D", "D"),
+    ("hello", "hello", "hello", None, "hello"),
+    ("C/9", "C:maj", "C:maj", "C", "C"),
+    ("Cm7/x", "C:min", "C:min", "C", "Cm"),
+    ("Gsus4/add9", "G:maj", "G:maj", "G", "G"),
+)
+_NOTES = (None, "E", "", "F#")
+
+
+def _part_symbols(spark, sf):
+    names, notes = F.array(*[F.lit(s[0]) for s in SYMBOLS]), F.array(*[F.lit(n) for n in _NOTES])
+    at = lambda items, n: F.element_at(items, (F.col("p_partkey") % n + 1).cast("int"))
+    return a.table(spark, sf, "part").select("p_partkey", at(names, len(SYMBOLS)).alias("symbol"), at(notes, len(_NOTES)).alias("note"))
 
 
 def q_chord_labels(spark, sf):
-    names = F.array(*[F.lit(s) for s in SYMBOLS])
-    parts = a.table(spark, sf, "part").select("p_partkey", F.element_at(names, (F.col("p_partkey") % len(SYMBOLS) + 1).cast("int")).alias("symbol"))
     label = symbols.label(F.col("symbol"))
-    return parts.select("p_partkey", "symbol", label.alias("label"), symbols.without_bass(label).alias("plain"), symbols.root(F.col("symbol")).alias("root"), symbols.from_engine(label).alias("back"))
+    return _part_symbols(spark, sf).select("p_partkey", "symbol", label.alias("label"), symbols.without_bass(label).alias("plain"), symbols.root(F.col("symbol")).alias("root"), symbols.from_engine(label).alias("back"))
+
+
+def _values(rows) -> str:
+    quoted = lambda x: "NULL" if x is None else f"'{x}'"
+    return "(VALUES " + ", ".join(f"({i}, {', '.join(quoted(x) for x in row)})" for i, row in enumerate(rows)) + ")"
+
+
+_SYMBOL_ROWS = f"{_values(SYMBOLS)} v(i, symbol, label, plain, root, back)"
+Q_CHORD_LABELS = f"SELECT p_partkey, symbol, label, plain, root, back FROM part JOIN {_SYMBOL_ROWS} ON p_partkey % {len(SYMBOLS)} = i"
 
 
-def _labels_sql() -> str:
-    rows = ", ".join(f"({i}, '{s}')" for i, s in enumerate(SYMBOLS))
-    rest = f"regexp_replace(symbol, '^({symbols.ROOT})', '')"
-    root = f"regexp_extract(symbol, '^({symbols.ROOT})', 1)"
-    cases = []
-    for pattern, quality, slash in symbols.RULES:
-        tail = f" || '/' || regexp_extract({rest}, '^{pattern}$', 1)" if slash else ""
-        cases.append(f"WHEN regexp_matches({rest}, '^(?:{pattern})$') THEN {root} || ':{quality}'{tail}")
-    flats = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in symbols.FLATS.items())
-    return f"""
-WITH s(i, symbol) AS (VALUES {rows}),
-l AS (SELECT i, symbol, CASE WHEN symbol = 'N' OR {root} = '' THEN symbol {' '.join(cases)}
-      WHEN {rest} LIKE 'm%' AND {rest} NOT LIKE 'maj%' THEN {root} || ':min' ELSE {root} || ':maj' END AS label,
-      CASE {root} {flats} WHEN '' THEN NULL ELSE {root} END AS root FROM s)
-SELECT p_partkey, symbol, label, regexp_replace(label, '/[A-G][#b]?$', '') AS plain, root,
-       CASE WHEN label = 'N' THEN NULL ELSE replace(regexp_replace(regexp_replace(label, ':maj$', ''), ':min', 'm'), ':', '') END AS back
-FROM part JOIN l ON p_partkey % {len(SYMBOLS)} = i"""
+def q_event_labels(spark, sf):
+    """Labels of chord events with a bass note of their own (F15), and whether it is the one after the symbol's slash (V3)."""
+    label = symbols.labelled(F.col("symbol"), F.col("note"))
+    return _part_symbols(spark, sf).select("p_partkey", label.alias("label"), symbols.slash_agrees(F.col("symbol"), F.nullif("note", F.lit(""))).alias("agrees"))
 
 
-Q_CHORD_LABELS = _labels_sql()
+Q_EVENT_LABELS = f"""
+SELECT p_partkey, label || coalesce('/' || nullif(note, ''), '') AS label,
+  position('/' IN symbol) = 0 OR coalesce(note, '') = '' OR split_part(symbol, '/', 2) = note AS agrees
+FROM part JOIN {_SYMBOL_ROWS} ON p_partkey % {len(SYMBOLS)} = v.i JOIN {_values([(n,) for n in _NOTES])} n(j, note) ON p_partkey % {len(_NOTES)} = n.j"""
 
 
 def _links(spark, sf):
@@ -218,6 +244,7 @@ SELECT l_returnflag, round(coalesce(avg(c), 1.0), 6) AS confidence FROM u GROUP
 
 
 def q_bass_note(spark, sf):
+    """Of chroma vectors; an embedding's first twelve components stand for one."""
     found = stats.bass_note(a.table(spark, sf, "embeddings"), "vec_id", "embedding")
     return found.select("vec_id", symbols.pitch_letter(F.col("pitch_class").cast("int")).alias("note"), F.round("confidence", 6).alias("confidence"))
 
@@ -279,25 +306,25 @@ SELECT track_id, "full", half, beat, inline FROM f JOIN g USING (track_id) JOIN
 def q_render_header(spark, sf):
     c = a.table(spark, sf, "customer")
     metas = F.array(F.concat(F.lit("segment "), "c_mktsegment"))
-    head = render.header(F.col("c_name"), F.when(F.col("c_custkey") % 3 > 0, "c_mktsegment").otherwise(F.lit("")), F.lit("C"), F.col("c_nationkey") + 60, F.lit("4/4"), F.col("c_custkey") % 5, metas)
+    head = render.header(F.col("c_name"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_mktsegment")).otherwise(F.lit("")), F.lit("C"), F.col("c_nationkey") + 60, F.lit("4/4"), F.col("c_custkey") % 5, metas)
     return c.select("c_custkey", head.alias("header"))
 
 
 Q_RENDER_HEADER = """
-SELECT c_custkey, concat_ws(chr(10), '{title: ' || c_name || '}', CASE WHEN c_custkey % 3 > 0 THEN '{artist: c_mktsegment}' END, '{key: C}', '{tempo: ' || (c_nationkey + 60) || '}', '{time: 4/4}',
+SELECT c_custkey, concat_ws(chr(10), '{title: ' || c_name || '}', CASE WHEN c_custkey % 3 > 0 THEN '{artist: ' || c_mktsegment || '}' END, '{key: C}', '{tempo: ' || (c_nationkey + 60) || '}', '{time: 4/4}',
   CASE WHEN c_custkey % 5 > 0 THEN '{capo: ' || (c_custkey % 5) || '}' END, '{meta: segment ' || c_mktsegment || '}') || chr(10) AS header FROM customer"""
 
 
 def q_section_wrap(spark, sf):
     t = a.turns(spark, sf)
     kind = F.element_at(F.array(*[F.lit(k) for k in ("verse", "chorus", "bridge", "intro", "outro")]), (F.col("turn") % 5 + 1).cast("int"))
-    return t.select("conv_id", "turn", render.wrapped(kind, F.initcap(kind), F.col("role")).alias("body"))
+    return t.select("conv_id", "turn", render.wrapped(kind, F.initcap(kind), F.coalesce("text", F.lit(""))).alias("body"))
 
 
 Q_SECTION_WRAP = """
-WITH k AS (SELECT conv_id, turn, role, list_value('verse', 'chorus', 'bridge', 'intro', 'outro')[turn % 5 + 1] AS kind FROM conversations),
+WITH k AS (SELECT conv_id, turn, coalesce(text, '') AS body, list_value('verse', 'chorus', 'bridge', 'intro', 'outro')[turn % 5 + 1] AS kind FROM conversations),
 l AS (SELECT *, upper(kind[1]) || kind[2:] AS label FROM k)
-SELECT conv_id, turn, CASE WHEN kind IN ('verse', 'chorus', 'bridge') THEN '{start_of_' || kind || ': ' || label || '}' || chr(10) || role || chr(10) || '{end_of_' || kind || '}' ELSE '{c: ' || label || '}' || chr(10) || role END AS body FROM l"""
+SELECT conv_id, turn, CASE WHEN kind IN ('verse', 'chorus', 'bridge') THEN '{start_of_' || kind || ': ' || label || '}' || chr(10) || body || chr(10) || '{end_of_' || kind || '}' ELSE '{c: ' || label || '}' || chr(10) || body END AS body FROM l"""
 
 
 def q_render_document(spark, sf):
@@ -335,13 +362,15 @@ Q_FAILURES = "SELECT doc_id, CASE WHEN length(coalesce(text, '')) = 0 THEN 'empt
 
 
 def q_segments(spark, sf):
-    """Turns as speech segments; every tenth is a wholly bracketed mark."""
+    """Turns as speech segments of their whole texts; every tenth is a wholly bracketed mark."""
     t = a.turns(spark, sf)
-    segments = t.select(F.col("conv_id").alias("track_id"), F.col("turn").alias("seq"), F.when(F.col("turn") % 10 == 3, F.concat(F.lit("["), "role", F.lit("]"))).otherwise(F.concat(F.lit("  "), "role", F.lit(" "))).alias("text"), (F.col("turn") * 100).alias("t0_cs"), (F.col("turn") * 100 + F.when(F.col("turn") % 2 == 0, 50).otherwise(-5)).alias("t1_cs"))
+    said = F.when(F.col("turn") % 10 == 3, F.concat(F.lit("["), "role", F.lit("]"))).otherwise(F.concat(F.lit("  "), "text", F.lit(" ")))
+    segments = t.select(F.col("conv_id").alias("track_id"), F.col("turn").alias("seq"), said.alias("text"), (F.col("turn") * 100).alias("t0_cs"), (F.col("turn") * 100 + F.when(F.col("turn") % 2 == 0, 50).otherwise(-5)).alias("t1_cs"))
     return readers.segment_words(segments)
 
 
-Q_SEGMENTS = "SELECT conv_id AS track_id, turn AS seq, role AS text, turn * 1000000 AS t0, greatest(turn * 100, turn * 100 + CASE WHEN turn % 2 = 0 THEN 50 ELSE -5 END) * 10000 AS t1 FROM conversations WHERE turn % 10 <> 3"
+Q_SEGMENTS = """SELECT conv_id AS track_id, turn AS seq, trim(text, ' ') AS text, turn * 1000000 AS t0, greatest(turn * 100, turn * 100 + CASE WHEN turn % 2 = 0 THEN 50 ELSE -5 END) * 10000 AS t1
+FROM conversations WHERE turn % 10 <> 3 AND trim(text, ' ') <> '' AND NOT regexp_full_match(text, '\\s*\\[[^\\[\\]]*\\]\\s*')"""
 
 
 def q_language_counts(spark, sf):
