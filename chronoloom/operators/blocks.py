@@ -1,7 +1,7 @@
 """Ordered operators, with a way to split hot keys.
 
-Without blocks (the default), these are windows over the key: one shuffle, one sort, streamed through a task. Where single keys may
-hold a large share of all rows, ``with_block`` splits them into time blocks: what a row needs from its own block comes from a
+Without blocks (the default), these are windows over the key: one shuffle, one sort, streamed through a task. Where single keys
+hold very many rows (``width_for`` measures it), ``with_block`` splits them into time blocks: what a row needs from its own block comes from a
 window over (key, block), what it needs from earlier or later blocks from a summary with one row per block. That
 spreads a hot key over its blocks at the price of computing the input twice, so materialise an expensive one before. Results do
 not depend on blocks.
@@ -20,6 +20,17 @@ def with_block(df: DataFrame, time: str, width: int | None) -> DataFrame:
     return df if width is None else df.withColumn(BLOCK, F.floor(F.col(time) / F.lit(width)))
 
 
+#: Rows of one key from which on it is split.
+HOT = 1_000_000
+
+
+def width_for(df: DataFrame, key: list[str], time: str, rows: int = HOT) -> int | None:
+    """A block width for the time column by the largest key's size: None while no key has more than so many rows. One narrow aggregation."""
+    sizes = df.groupBy(*key).agg(F.count("*").alias("n"), (F.max(time) - F.min(time)).alias("span"))
+    most = sizes.agg(F.max(F.struct("n", "span")).alias("top")).first()["top"]
+    return None if most is None or most["n"] <= rows else max(1, int(most["span"] or 0) * rows // most["n"])
+
+
 def _inside(key: list[str], order: list) -> Window:
     return Window.partitionBy(*key, BLOCK).orderBy(*order)
 

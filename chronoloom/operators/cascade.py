@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .intervals import first_interval_at
-from .nearest import HOUR, nearest, nearest_within, snap
+from .nearest import HOUR, nearest, snap
 
 STRATEGIES = ("melisma_start", "stressed_syllable", "any_syllable", "before_word", "orphan")
 
@@ -37,18 +37,15 @@ def place(
     long_ones = syllables.where(F.col("t1") - F.col("t0") > long_syllable).select(*key, "t0", "t1", "idx")
     held = first_interval_at(anchored, long_ones, key, [*id_], width).select(*key, *id_, F.struct(F.lit(0).alias("rank"), F.lit(0).cast("long").alias("distance"), F.col("idx").cast("long").alias("idx")).alias("c"))
     starts = syllables.select(*key, F.col("t0").alias("t"), "idx", "stressed")
+    sides = {"stressed": starts.where("stressed").drop("stressed"), "any": starts.drop("stressed"), "word": words.select(*key, F.col("t0").alias("t"), "idx")}
+    near = nearest(anchored, sides, key, "t", block).join(held, [*key, *id_], "left")
 
-    def closest(df: DataFrame, rank: int, tolerance: int) -> DataFrame:
-        found = nearest_within(anchored, df.select(*key, "t", "idx"), key, id_, tolerance)
-        return found.select(*key, *id_, F.struct(F.lit(rank).alias("rank"), F.col("nearest.distance").alias("distance"), F.col("nearest.idx").cast("long").alias("idx")).alias("c"))
+    def within(side: str, rank: int, tolerance: int) -> Column:
+        distance = F.abs(F.col("t") - F.col(f"{side}.t"))
+        return F.when(distance < tolerance, F.struct(F.lit(rank).alias("rank"), distance.alias("distance"), F.col(f"{side}.idx").alias("idx")))
 
-    by_word = nearest(anchored, {"found": words.select(*key, F.col("t0").alias("t"), "idx")}, key, "t", block)
-    far = F.abs(F.col("t") - F.col("found.t"))
-    by_word = by_word.where(far < word).select(*key, *id_, F.struct(F.lit(3).alias("rank"), far.alias("distance"), F.col("found.idx").alias("idx")).alias("c"))
-    every = held.unionByName(closest(starts.where("stressed"), 1, stressed)).unionByName(closest(starts, 2, any_)).unionByName(by_word)
-    best = every.groupBy(*key, *id_).agg(F.min("c").alias("c"))
+    out = near.withColumn("c", F.coalesce("c", within("stressed", 1, stressed), within("any", 2, any_), within("word", 3, word)))
     names = F.array(*[F.lit(s) for s in STRATEGIES])
-    out = anchored.join(best, [*key, *id_], "left")
     return out.select(*key, F.col("chord").alias("idx"), F.col("t").alias("anchor"), F.element_at(names, F.coalesce(F.col("c.rank"), F.lit(4)) + 1).alias("strategy"), F.col("c.idx").alias("target"), F.col("c.distance").alias("distance"))
 
 

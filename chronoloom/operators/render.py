@@ -17,15 +17,13 @@ def joined(pieces: Column, by: str = "") -> Column:
 def lyric_lines(lines: DataFrame, markers: DataFrame, key: list[str]) -> DataFrame:
     """Lines (key, text) with their markers (key, pos, idx, chord) spliced in at character positions; ties by ordinal."""
     listed = markers.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "idx", "chord"))).alias("__m"))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, m):
-        at = F.greatest(acc["at"], F.least(m["pos"].cast("int"), F.length("text")))
-        return F.struct(at.alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, at - acc["at"]), m["chord"]).alias("out"))
-
-    done = F.aggregate(F.coalesce("__m", F.array().cast("array<struct<pos:int,idx:int,chord:string>>")), start, step)
-    rendered = lines.join(listed, key, "left").withColumn("__done", done)
-    return rendered.withColumn("line", F.concat(F.col("__done.out"), F.expr("substring(text, __done.at + 1)"))).drop("__m", "__done")
+    rendered = lines.join(listed, key, "left").withColumn("__n", F.length("text"))
+    # The markers are in order, so every piece of text runs from one to the next.
+    place = lambda i: F.greatest(F.lit(0), F.least(F.get("__m", i)["pos"].cast("int"), F.col("__n")))
+    start = lambda i: F.when(i > 0, place(i - 1)).otherwise(F.lit(0))
+    pieces = F.transform("__m", lambda m, i: F.concat(F.substring(F.col("text"), start(i) + 1, place(i) - start(i)), m["chord"]))
+    tail = F.substring(F.col("text"), place(F.size("__m") - 1) + 1, F.col("__n"))
+    return rendered.withColumn("line", F.when(F.col("__m").isNull(), F.col("text")).otherwise(F.concat(F.array_join(pieces, ""), tail))).drop("__m", "__n")
 
 
 def inline_bars(cells: DataFrame, key: list[str], pattern: str) -> DataFrame:

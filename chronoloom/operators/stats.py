@@ -5,20 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 1024
+BINS = 64
 
 
 def order_statistics(df: DataFrame, key: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
     """Exact elements of every key's sorted values: ``ranks`` maps names to 0-based ranks, as expressions of the count n.
 
-    Values are counted first, then laid into bins between a key's least and greatest; only the bins that hold a wanted rank
-    are sorted, so no task ever holds all values of a key. Returns key, n and a column per rank.
+    Values are counted first, then laid into bins between approximate quantiles of the key's different values (bounded sketches, merged
+    over the tasks); only the bins that hold a wanted rank are sorted, about 1 / BINS of a key each. Returns key, n and a column per rank.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*key, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
-    whole = counts.groupBy(*key).agg(F.sum("__c").alias("n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
-    span = F.col("__hi") - F.col("__lo")
-    place = F.when(span > 0, F.least(F.lit(BINS - 1), F.floor((F.col("__v") - F.col("__lo")) / span * BINS))).otherwise(F.lit(0)).cast("int")
-    binned = counts.join(whole, key).withColumn("__bin", place)
+    edges = F.percentile_approx("__v", F.array(*[F.lit(i / BINS) for i in range(1, BINS)]), 10 * BINS)
+    whole = counts.groupBy(*key).agg(F.sum("__c").alias("n"), edges.alias("__edges"))
+    binned = counts.join(whole, key).withColumn("__bin", F.size(F.filter("__edges", lambda e: e < F.col("__v")))).drop("__edges")
     bins = binned.groupBy(*key, "__bin", "n").agg(F.sum("__c").alias("__in"))
     below = F.coalesce(F.sum("__in").over(Window.partitionBy(*key).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     wanted = bins.withColumn("__below", below).withColumn("__r", F.explode(F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank")) for name, rank in ranks.items()])))

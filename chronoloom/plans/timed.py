@@ -14,13 +14,13 @@ RULES = {"section_gap": (8.0, 12 * HOUR), "line_gap": (2.5, 3 * HOUR)}
 
 
 def _thresholds(spark, sf, words):
-    return sessions.gap_thresholds(words, KEY, RULES)
+    return sessions.gap_thresholds(words, KEY, RULES, block=a.block_width(spark, sf))
 
 
 def _sessions(spark, sf):
     words = a.words(spark, sf)
     marked = words.join(_thresholds(spark, sf, words), KEY)
-    return sessions.gap_sessions(marked, KEY, F.col("section_gap"))
+    return sessions.gap_sessions(marked, KEY, F.col("section_gap"), block=a.block_width(spark, sf))
 
 
 def q_gap_blocks(spark, sf):
@@ -85,7 +85,7 @@ FROM every"""
 
 def q_onset_intervals(spark, sf):
     onsets = a.onsets(spark, sf).join(a.durations(spark, sf), KEY)
-    return intervals.onset_intervals(onsets, KEY, "label", F.col("duration")).select("track_id", "idx", "label", "t0", "t1")
+    return intervals.onset_intervals(onsets, KEY, "label", F.col("duration"), block=a.block_width(spark, sf)).select("track_id", "idx", "label", "t0", "t1")
 
 
 _CHORDS = """
@@ -96,7 +96,7 @@ Q_ONSET_INTERVALS = a.ctes("onsets") + "," + _CHORDS + " SELECT track_id, idx, l
 
 
 def q_snap(spark, sf):
-    return nearest.snap(a.onsets(spark, sf).select("track_id", "idx", "t"), a.beats(spark, sf), KEY, "t", 2 * HOUR, 4 * HOUR)
+    return nearest.snap(a.onsets(spark, sf).select("track_id", "idx", "t"), a.beats(spark, sf), KEY, "t", 2 * HOUR, 4 * HOUR, a.block_width(spark, sf))
 
 
 def _nearest_sql(points: str, grid: str, name: str) -> str:
@@ -124,21 +124,21 @@ Q_SNAP = a.ctes("onsets", "beats") + "," + _SNAP + " SELECT * FROM snapped"
 
 
 def q_nearest_index(spark, sf):
-    return nearest.nearest_index(a.downbeats(spark, sf), a.beats(spark, sf), KEY)
+    return nearest.nearest_index(a.downbeats(spark, sf), a.beats(spark, sf), KEY, a.block_width(spark, sf))
 
 
 Q_NEAREST_INDEX = a.ctes("downbeats", "beats") + "," + _nearest_sql("downbeats", "beats", "n") + " SELECT DISTINCT track_id, near_idx AS idx FROM n WHERE near_idx IS NOT NULL"
 
 
 def q_beat_midpoints(spark, sf):
-    return nearest.midpoints(a.beats(spark, sf), KEY)
+    return nearest.midpoints(a.beats(spark, sf), KEY, a.block_width(spark, sf))
 
 
 Q_BEAT_MIDPOINTS = a.ctes("beats") + " SELECT track_id, (t + n) // 2 AS t, idx FROM (SELECT *, lead(t) OVER (PARTITION BY track_id ORDER BY t, idx) AS n FROM beats) WHERE n IS NOT NULL"
 
 
 def q_tempo(spark, sf):
-    return stats.tempo(a.beats(spark, sf), KEY)
+    return stats.tempo(a.beats(spark, sf), KEY, a.block_width(spark, sf))
 
 
 _TEMPO = """
@@ -217,7 +217,7 @@ Q_NEAREST_TOLERANCE = (
 
 
 def q_nearest_word(spark, sf):
-    found = nearest.nearest(a.onsets(spark, sf).select("track_id", "t", F.col("idx").alias("chord")), {"word": a.words(spark, sf).select("track_id", F.col("t0").alias("t"), "idx")}, KEY, "t")
+    found = nearest.nearest(a.onsets(spark, sf).select("track_id", "t", F.col("idx").alias("chord")), {"word": a.words(spark, sf).select("track_id", F.col("t0").alias("t"), "idx")}, KEY, "t", a.block_width(spark, sf))
     return found.where(F.abs(F.col("t") - F.col("word.t")) < 24 * HOUR).select("track_id", "chord", F.col("word.idx").alias("word"))
 
 
@@ -227,7 +227,7 @@ Q_NEAREST_WORD = a.ctes("onsets", "words") + "," + _WORD_STARTS + "," + _nearest
 
 def q_cascade(spark, sf):
     words = a.words(spark, sf)
-    return cascade.place(a.onsets(spark, sf), a.beats(spark, sf), words, words, KEY, HOUR, 3 * HOUR, 6 * HOUR, 24 * HOUR, 2 * HOUR, 4 * HOUR, a.DAY)
+    return cascade.place(a.onsets(spark, sf), a.beats(spark, sf), words, words, KEY, HOUR, 3 * HOUR, 6 * HOUR, 24 * HOUR, 2 * HOUR, 4 * HOUR, a.DAY, a.block_width(spark, sf))
 
 
 _CASCADE = f"""{_SNAP},
@@ -282,7 +282,7 @@ SELECT track_id, beat, word, distance, CASE WHEN s = 'before' OR (s = 'inside' A
 
 
 def q_measure_position(spark, sf):
-    return sequences.measure_positions(a.grid(spark, sf), KEY, F.col("downbeat")).select("track_id", "idx", "measure", "position")
+    return sequences.measure_positions(a.grid(spark, sf), KEY, F.col("downbeat"), a.block_width(spark, sf)).select("track_id", "idx", "measure", "position")
 
 
 Q_MEASURE_POSITION = (
@@ -368,13 +368,13 @@ def _triads(spark, sf, kind: str):
     pick = lambda names, at: F.element_at(F.array(*[F.lit(n) for n in names]), at + 1)
     label = F.when(k % 12 == 11, "N").otherwise(F.concat(pick(("C", "Db", "E"), k % 3), F.lit(":"), pick(("maj", "min", "min7", "dim"), F.floor(k / 3).cast("int") % 4)))
     points = e.select(F.col("user_id").alias("track_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col("event_id").alias("idx"), label.alias("label"))
-    return intervals.onset_intervals(points, KEY, "label", None, None, HOUR).select("track_id", "t0", "t1", "label")
+    return intervals.onset_intervals(points, KEY, "label", None, None, HOUR, a.block_width(spark, sf)).select("track_id", "t0", "t1", "label")
 
 
 def _scores(spark, sf):
     """Every reference track's score; null where it has no estimate."""
     reference, estimate = _triads(spark, sf, "purchase"), _triads(spark, sf, "signup")
-    found = stats.chord_recall(reference, estimate, KEY, symbols.same_triad)
+    found = stats.chord_recall(reference, estimate, KEY, symbols.same_triad, block=a.block_width(spark, sf))
     return reference.select(*KEY).distinct().join(found, KEY, "left").select("track_id", F.round("score", 9).alias("score"))
 
 
@@ -417,7 +417,28 @@ Q_REPORT_ROLLUP = "WITH " + _WCSR + " SELECT round(coalesce(avg(score) FILTER (s
 
 
 def q_beat_agreement(spark, sf):
-    return validate.beat_agreement(a.beats(spark, sf), a.downbeats(spark, sf), KEY, HOUR)
+    return validate.beat_agreement(a.beats(spark, sf), a.downbeats(spark, sf), KEY, HOUR, block=a.block_width(spark, sf))
+
+
+#: Islands of events no further apart than an hour; in each, every reference in turn takes the first free estimate within the hour.
+Q_BEAT_AGREEMENT = (
+    "WITH RECURSIVE "
+    + a.ctes("beats", "downbeats")[5:]
+    + """,
+refs AS (SELECT track_id, list(t ORDER BY t) AS rs FROM beats GROUP BY track_id),
+ests AS (SELECT track_id, list(t ORDER BY t) AS es FROM downbeats GROUP BY track_id),
+tracks AS (SELECT track_id, coalesce(rs, []::BIGINT[]) AS rs, coalesce(es, []::BIGINT[]) AS es FROM refs FULL JOIN ests USING (track_id)),
+walk AS (
+  SELECT track_id, rs, es, 1 AS i, 1 AS j, 0 AS hits FROM tracks
+  UNION ALL
+  SELECT track_id, rs, es,
+    CASE WHEN j <= len(es) AND es[j] < rs[i] - 3600000000 THEN i ELSE i + 1 END,
+    CASE WHEN j <= len(es) AND es[j] <= rs[i] + 3600000000 THEN j + 1 ELSE j END,
+    CASE WHEN j <= len(es) AND es[j] BETWEEN rs[i] - 3600000000 AND rs[i] + 3600000000 THEN hits + 1 ELSE hits END
+  FROM walk WHERE i <= len(rs)),
+done AS (SELECT track_id, CAST(max(hits) AS BIGINT) AS hits, CAST(any_value(len(rs)) AS BIGINT) AS n_ref, CAST(any_value(len(es)) AS BIGINT) AS n_est FROM walk GROUP BY track_id)
+SELECT track_id, hits, n_ref, n_est, CASE WHEN hits > 0 THEN 2.0 * hits / (n_ref + n_est) ELSE 0.0 END::DOUBLE AS f_measure FROM done"""
+)
 
 
 def q_constraint_violations(spark, sf):
@@ -459,3 +480,27 @@ def q_beat_continuity(spark, sf):
     from ..operators.continuity import continuity
 
     return continuity(a.beats(spark, sf), a.downbeats(spark, sf), KEY).select("track_id", F.round("amlt", 9).alias("amlt"))
+
+
+#: Every estimate against every reference of its track at five metrical levels.
+Q_BEAT_CONTINUITY = (
+    a.ctes("beats", "downbeats")
+    + """,
+own AS (SELECT track_id, t, coalesce(t - lag(t) OVER w, lead(t) OVER w - t) AS own FROM downbeats WINDOW w AS (PARTITION BY track_id ORDER BY t)),
+b AS (SELECT track_id, t::DOUBLE AS t, row_number() OVER w AS n, lead(t) OVER w AS after FROM beats WINDOW w AS (PARTITION BY track_id ORDER BY t)),
+between_ AS (SELECT track_id, (t + after) / 2 AS t FROM b WHERE after IS NOT NULL),
+every AS (
+  SELECT 0 AS level, track_id, t FROM b UNION ALL SELECT 1, track_id, t FROM between_
+  UNION ALL SELECT 2, track_id, t FROM b UNION ALL SELECT 2, track_id, t FROM between_
+  UNION ALL SELECT 3, track_id, t FROM b WHERE n % 2 = 1 UNION ALL SELECT 4, track_id, t FROM b WHERE n % 2 = 0),
+levelled AS (SELECT level, track_id, t, row_number() OVER w AS n, coalesce(t - lag(t) OVER w, lead(t) OVER w - t) AS step FROM every WINDOW w AS (PARTITION BY level, track_id ORDER BY t)),
+near AS (SELECT l.level, o.track_id, o.t, o.own, l.n, l.step, abs(o.t - l.t) AS distance, row_number() OVER (PARTITION BY l.level, o.track_id, o.t ORDER BY abs(o.t - l.t), l.t) AS r
+  FROM own o JOIN levelled l ON l.track_id = o.track_id),
+hits AS (SELECT level, track_id, count(DISTINCT n) AS hits FROM near WHERE r = 1 AND step <> 0 AND distance < 0.175 * step AND abs(1 - own / step) < 0.175 GROUP BY level, track_id),
+sizes AS (SELECT level, track_id, count(*) AS n FROM levelled GROUP BY level, track_id),
+ests AS (SELECT track_id, count(*) AS n FROM downbeats GROUP BY track_id),
+levels AS (SELECT v.level, track_id FROM (VALUES (0), (1), (2), (3), (4)) v(level), ests UNION SELECT level, track_id FROM sizes),
+shares AS (SELECT l.track_id, coalesce(h.hits, 0)::DOUBLE / greatest(coalesce(s.n, 0), coalesce(e.n, 0)) AS share FROM levels l LEFT JOIN hits h ON h.level = l.level AND h.track_id = l.track_id
+  LEFT JOIN sizes s ON s.level = l.level AND s.track_id = l.track_id LEFT JOIN ests e ON e.track_id = l.track_id)
+SELECT track_id, round(max(share), 9) AS amlt FROM shares GROUP BY track_id"""
+)

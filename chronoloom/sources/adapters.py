@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import blocks
+
 TRACK = ["track_id"]
 DAY = 86_400_000_000
 
@@ -19,6 +21,18 @@ def _events(spark, sf_dir, *kinds: str) -> DataFrame:
     return e.select(F.col("user_id").alias("track_id"), micros.alias("t"), F.col("event_id").alias("idx"), "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
+_WIDTHS: dict = {}
+
+
+def block_width(spark, sf_dir) -> int | None:
+    """Block width for the events' tracks, measured once per table and session; None while no track is large."""
+    known = (spark.sparkContext.applicationId, sf_dir)
+    if known not in _WIDTHS:
+        e = table(spark, sf_dir, "events").select(F.col("user_id").alias("track_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+        _WIDTHS[known] = blocks.width_for(e, TRACK, "t")
+    return _WIDTHS[known]
+
+
 def beats(spark, sf_dir) -> DataFrame:
     return _events(spark, sf_dir, "error").select("track_id", "t", "idx")
 
