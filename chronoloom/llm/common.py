@@ -6,6 +6,7 @@ Everything that has to outlive a task is written to the shared folder that the s
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -18,9 +19,12 @@ WORD = rf"[^{SPACES}]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables; one is made only where the session names none (tests)."""
+    """The shared folder for intermediate tables; one is made only in local mode where the session names none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -34,11 +38,30 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: columnar, compressed, scannable twice."""
+_SCRATCH: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Delete, at the end, the tables that were written to the shared folder inside (none may be needed any more). Gives the list of their paths."""
+    paths: list[str] = []
+    _SCRATCH.append(paths)
+    try:
+        yield paths
+    finally:
+        _SCRATCH.remove(paths)
+        for path in paths:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it again: columnar, compressed, scannable twice. keep: not a part of the scratch around it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _SCRATCH and not keep:
+        _SCRATCH[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,14 +8,15 @@ table in the shared folder, so a lost executor costs the re-read of its shards o
 A test phrase is looked up in every shard: its terms are taken from the rarest on (by their frequency in the whole
 index), lists are shifted by the term's offset in the phrase and intersected until nothing or the last term is left.
 Phrases are windows of 13 consecutive words of an item; a shorter item is one phrase. A proximity match of an item
-is a place where its ``NEAR_TERMS`` rarest indexed terms stand within ``NEAR`` words of the rarest one.
+is a place where its rarest indexed term and the rarest others around it in the item (``NEAR_TERMS`` in all, at most ``NEAR`` words
+away) stand within ``NEAR`` words of each other, so a verbatim copy always is one.
 
 Test items are a stated query set; they travel with the tasks in blocks of at most ``BLOCK_WORDS`` words, and results of several
 blocks are merged by document. Only terms of the test items are indexed while these have at most ``BLOCK_WORDS`` words
 in all; beyond it, all terms are.
 
 Defined results: null or wordless documents have zero words and are clean; null or wordless items have no windows; items that
-repeat a text all count; repeated documents each give a row; a null id is kept; extra columns are ignored.
+repeat a text all count; items without an id hit words and count as one, without a name in the digest; repeated documents each give a row; a null id is kept; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ NEAR_TERMS = 4
 _LOWER = bytes((c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20) for c in range(256))
 
 INDEX = (
-    "ids array<bigint>, lengths array<int>, terms array<binary>, starts array<int>, positions array<int>"
+    "ids array<string>, lengths array<int>, terms array<binary>, starts array<int>, positions array<int>"
 )
 
 
@@ -78,7 +79,7 @@ def build_index(docs: DataFrame, vocabulary: list[bytes] | None) -> DataFrame:
 
         def row():
             made = _shard(ids, texts, numbered)
-            arrays = [pa.array([x], t) for x, t in zip(made, (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32())))]
+            arrays = [pa.array([x], t) for x, t in zip(made, (pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32())))]
             return pa.RecordBatch.from_arrays(arrays, ["ids", "lengths", "terms", "starts", "positions"])
 
         for batch in batches:
@@ -92,7 +93,7 @@ def build_index(docs: DataFrame, vocabulary: list[bytes] | None) -> DataFrame:
         if ids:
             yield row()
 
-    return docs.select(docs["doc_id"].cast("long"), text_of(docs).alias("text")).mapInArrow(shards, INDEX)
+    return docs.select(docs["doc_id"].cast("string"), text_of(docs).alias("text")).mapInArrow(shards, INDEX)
 
 
 def frequencies(index: DataFrame) -> DataFrame:
@@ -124,15 +125,28 @@ def _spans(starts: np.ndarray, lengths: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[new].tolist(), ends[np.append(np.flatnonzero(new)[1:] - 1, len(ends) - 1)].tolist()))
 
 
+def _neighbours(words: list[bytes], counts: dict[bytes, int]) -> list[bytes]:
+    """The rarest indexed term, then the rarest others within NEAR words of one of its places; one term alone only where the item has no other word."""
+    known = [w for w in words if w in counts]
+    if not known:
+        return []
+    first = min(known, key=lambda w: (counts[w], w))
+    at = words.index(first)
+    around = {w for w in words[max(0, at - NEAR) : at + NEAR + 1] if w in counts} - {first}
+    terms = [first, *sorted(around, key=lambda w: (counts[w], w))[: NEAR_TERMS - 1]]
+    return terms if len(terms) > 1 or len(set(words)) == 1 else []
+
+
+def _names(found: set) -> list:
+    """Names in order of strings, the missing one last."""
+    return [*sorted(x for x in found if x is not None), *([None] if None in found else [])]
+
+
 def search(index: DataFrame, items: list[tuple[str, list[bytes]]], counts: dict[bytes, int]) -> DataFrame:
     """Per indexed document: doc_id, n_words, spans of hit words, items with a phrase match, items with a proximity match."""
     phrases = list(_windows(items).items())
     ordered = [(sorted(range(len(p)), key=lambda i, p=p: (counts.get(p[i], 0), i)), p, names) for p, names in phrases if all(w in counts for w in p)]
-    rare = []
-    for name, words in items:
-        terms = sorted({w for w in words if w in counts}, key=lambda w: (counts[w], w))[:NEAR_TERMS]
-        if len(terms) == NEAR_TERMS:
-            rare.append((name, terms))
+    rare = [(name, terms) for name, words in items if (terms := _neighbours(words, counts))]
 
     def look_up(batches):
         for batch in batches:
@@ -178,16 +192,16 @@ def search(index: DataFrame, items: list[tuple[str, list[bytes]]], counts: dict[
                 spans = [_spans(*np.array(hits[d], np.int64).T) if d in hits else [] for d in range(n)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(row["ids"], pa.int64()),
+                        pa.array(row["ids"], pa.string()),
                         pa.array(lengths),
                         pa.array([[{"s": s, "e": e} for s, e in x] for x in spans], pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))),
-                        pa.array([sorted(x) for x in exact], pa.list_(pa.string())),
-                        pa.array([sorted(x) for x in near], pa.list_(pa.string())),
+                        pa.array([_names(x) for x in exact], pa.list_(pa.string())),
+                        pa.array([_names(x) for x in near], pa.list_(pa.string())),
                     ],
                     ["doc_id", "n_words", "spans", "items", "near_items"],
                 )
 
-    return index.mapInArrow(look_up, "doc_id bigint, n_words bigint, spans array<struct<s:bigint,e:bigint>>, items array<string>, near_items array<string>")
+    return index.mapInArrow(look_up, "doc_id string, n_words bigint, spans array<struct<s:bigint,e:bigint>>, items array<string>, near_items array<string>")
 
 
 def item_blocks(benchmark: DataFrame):
@@ -196,7 +210,7 @@ def item_blocks(benchmark: DataFrame):
     rows = benchmark.select(benchmark["item_id"].cast("string").alias("item_id"), text_of(benchmark).alias("text"))
     for r in rows.toLocalIterator():
         words = tokens(r["text"].encode())
-        if r["item_id"] is not None and words:
+        if words:
             block.append((r["item_id"], words))
             size += len(words)
         if size >= BLOCK_WORDS:
@@ -217,7 +231,7 @@ def _covered(spans: Column) -> Column:
 
 
 def match(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Index docs, look every item up: doc_id, n_words, spans, items, near_items."""
+    """Index docs, look every item up: doc_id (as a string), n_words, spans, items, near_items."""
     blocks = item_blocks(benchmark)
     first, second = next(blocks), next(blocks, None)
     if second is None:
@@ -246,14 +260,16 @@ def contaminated(n_words: Column, n_hit: Column) -> Column:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """The contract's columns."""
+    """The contract's columns, and the items of proximity matches."""
     return found.withColumn("n_hit", _covered(F.col("spans"))).select(
-        "doc_id",
+        F.col("doc_id").cast("long").alias("doc_id"),
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near"),
+        F.array_join("near_items", ",").alias("near_items"),
     )
 
 
@@ -277,8 +293,25 @@ found AS (
 hit AS (
   SELECT id, count(*)::BIGINT AS n_hit FROM (SELECT DISTINCT id, unnest(range(pos, pos + size)) AS at_word FROM found) GROUP BY id),
 hit_items AS (
-  SELECT id, count(*)::BIGINT AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT id, item FROM found) GROUP BY id)
+  SELECT id, count(*)::BIGINT AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT id, item FROM found) GROUP BY id),
+freq AS (SELECT word, count(*) AS c FROM spread WHERE kind = 'd' AND word IN (SELECT word FROM spread WHERE kind = 'b') GROUP BY word),
+item_words AS (SELECT id, pos, word, c FROM spread JOIN freq USING (word) WHERE kind = 'b'),
+anchors AS (SELECT id, word AS lead_word, min(pos) AS at_pos FROM item_words
+  WHERE (id, word) IN (SELECT (id, arg_min(word, (c, word))) FROM item_words GROUP BY id) GROUP BY id, word),
+around AS (SELECT DISTINCT i.id, i.word, i.c FROM item_words i JOIN anchors a ON a.id = i.id AND i.pos BETWEEN a.at_pos - 20 AND a.at_pos + 20 AND i.word <> a.lead_word),
+terms AS (SELECT id, word FROM around QUALIFY row_number() OVER (PARTITION BY id ORDER BY c, word) <= 3),
+needed AS (SELECT a.id, a.lead_word, (SELECT count(*) FROM terms t WHERE t.id = a.id) AS n FROM anchors a),
+usable AS (SELECT * FROM needed WHERE n > 0 OR id IN (SELECT id FROM spread WHERE kind = 'b' GROUP BY id HAVING count(DISTINCT word) = 1)),
+places AS (SELECT d.id AS doc, d.pos, u.id AS item, u.n FROM spread d JOIN usable u ON d.kind = 'd' AND d.word = u.lead_word),
+near AS (
+  SELECT DISTINCT doc, item FROM places WHERE n = 0
+  UNION
+  SELECT DISTINCT doc, item FROM (
+    SELECT p.doc, p.pos, p.item FROM places p JOIN terms t ON t.id = p.item JOIN spread d ON d.kind = 'd' AND d.id = p.doc AND d.word = t.word AND abs(d.pos - p.pos) <= 20
+    GROUP BY p.doc, p.pos, p.item, p.n HAVING count(DISTINCT t.word) = p.n)),
+near_all AS (SELECT doc AS id, count(*)::BIGINT AS n_near, string_agg(item, ',' ORDER BY item) AS near_items FROM near GROUP BY doc)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM documents JOIN w ON w.kind = 'd' AND w.id = doc_id::VARCHAR LEFT JOIN hit ON hit.id = w.id LEFT JOIN hit_items ON hit_items.id = w.id
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+       coalesce(n_near, 0) AS n_near, coalesce(near_items, '') AS near_items
+FROM documents JOIN w ON w.kind = 'd' AND w.id = doc_id::VARCHAR LEFT JOIN hit ON hit.id = w.id LEFT JOIN hit_items ON hit_items.id = w.id LEFT JOIN near_all ON near_all.id = w.id
 """.replace("LEADS", ", ".join(f"lead(word, {j}) OVER o" for j in range(1, WINDOW)))

@@ -11,8 +11,9 @@ A template that shares a band with a document is then checked exactly: the share
 the document has must reach ``CONTAINMENT``.
 
 Windows without any shingle of any template have J = 0 with all template windows, so only documents that have
-a template shingle are cut into windows; this gate loses nothing. It is an IN list, used while the templates have
-at most ``GATE_LIMIT`` shingles; beyond it, all documents are cut into windows.
+a template shingle are cut into windows, and only documents that have one of the words chosen so that every template shingle
+has one (``telling_words``) are cut into shingles; these gates lose nothing. The first is an IN list, used while the templates have
+at most ``GATE_LIMIT`` shingles; beyond it, all documents with a telling word are cut into windows.
 
 Defined results: null and short texts (below five words) have no shingles and no matches; an empty table gives
 no rows, empty templates no matches; repeated rows each give a row; licences are in code point order.
@@ -84,6 +85,16 @@ def template_frame(spark, templates=TEMPLATES) -> DataFrame:
     return rows.select("license", F.array_distinct(shingles(words(F.col("text")))).alias("shingles")).where(F.size("shingles") > 0)
 
 
+def telling_words(found: list[list[str]]) -> list[str]:
+    """Words of which every shingle has at least one: of each not yet met, its longest."""
+    chosen: set = set()
+    for s in (s for one in found for s in one):
+        parts = s.split(" ")
+        if chosen.isdisjoint(parts):
+            chosen.add(max(parts, key=lambda w: (len(w), w)))
+    return sorted(chosen)
+
+
 def _least(window: Column, number: int) -> Column:
     return F.array_min(F.transform(window, lambda h: F.xxhash64(h, F.lit(number))))
 
@@ -148,7 +159,9 @@ def scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT)
         may = (F.size(cut) > 0) & F.arrays_overlap(cut, gate) if gated else F.size(cut) > 0
         return F.when(may, kept).otherwise(none)
 
-    return _report(docs.select("doc_id", let(let(words(text_of(docs)), shingles), matches).alias("matches")))
+    telling = F.array(*[F.lit(w) for w in telling_words([found for _, found in listed])])
+    told = lambda cut: F.when(F.arrays_overlap(cut, telling), let(shingles(cut), matches)).otherwise(none)
+    return _report(docs.select("doc_id", let(words(text_of(docs)), told).alias("matches")))
 
 
 def _report(found: DataFrame) -> DataFrame:

@@ -11,8 +11,8 @@ target to within one word. The order is found in two steps: words are summed by
 digits (4,096 buckets a source), the buckets are cumulated, and only rows of one bucket are sorted together. The texts are
 read once, or twice where columns of them are kept; the sums in between are a table in the shared folder. A source with a third of all rows is thereby spread over 4,096 groups.
 
-Defined results: null text counts as no words; a null source is a source of its own, last in order; a null
-doc_id is dealt out like any other; identical rows share a digest and are told apart by nothing, so either may
+Defined results: null text counts as no words; a null source is a source of its own, last in order; a row without a
+doc_id is placed by its text's digest; identical rows share a digest and are told apart by nothing, so either may
 take the part; a source without words has target 0; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -58,7 +58,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: in
         "doc_id",
         F.col("source").cast("string").alias("source"),
         word_count(docs["text"]).alias("size"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(docs["doc_id"].cast("string"), F.lit(""))).cast("binary")).alias("digest"),
+        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(docs["doc_id"].cast("string"), F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")))).cast("binary")).alias("digest"),
         *[docs[c].alias(f"__kept_{c}") for c in keep],
     ).withColumn("bucket", F.substring("digest", 1, 3))
     if not keep:
@@ -86,7 +86,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: in
 ORACLE = r"""
 WITH sizes AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('42:' || coalesce(doc_id::VARCHAR, '')) AS digest
+         md5('42:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))) AS digest
   FROM documents),
 weighed AS (
   SELECT source, source_size, 3 * source_size AS clamp,

@@ -5,8 +5,8 @@ quantiles of the training lines, give its log-odds; a matrix of four weights cou
 is fitted by maximum likelihood with the document's label on all its lines, on pieces of at most ``PIECE`` lines.
 A document's score is the mean of its lines' marginal probabilities of "good" (forward-backward), weighted by length in bytes.
 
-Fitting uses at most ``SAMPLE`` documents of each label (a documented bound; weighed back to the labels' shares), and of each at
-most ``PIECES`` pieces. The features see nothing but the text. Scoring is one narrow pass over the whole texts.
+Fitting uses at most ``SAMPLE`` documents of each label, in the order of their ids' digests up to ``LINES`` lines and whole (a documented bound;
+weighed back to the labels' shares). The features see nothing but the text. Scoring is one narrow pass over the whole texts.
 
 Defined results: null and empty texts have one empty line; texts without any labelled document (or with one label alone)
 get the share of label 1, or 0.5 without labels; a null doc_id has held_out null; repeated rows each give a row; an
@@ -19,7 +19,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_fold, labelled_sample, text_of
@@ -27,7 +27,7 @@ from .common import crc_fold, labelled_sample, text_of
 FOLDS = 5
 SAMPLE = 3000
 PIECE = 64
-PIECES = 8
+LINES = 300_000
 #: Lines compressed at a time.
 BLOCK = 256
 BINS = 10
@@ -182,16 +182,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | fl
             for i, text, label in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("label").to_pylist()):
                 x = features(lines_of(text))
                 starts = range(0, len(x), PIECE)
-                chosen = starts[:: max(1, -(-len(starts) // PIECES))]
-                for at in chosen:
+                for at in starts:
                     rows.append(x[at : at + PIECE].tobytes())
                     sizes.append(len(x[at : at + PIECE]))
                     marks.append(label)
-                    owners.append(len(chosen))
+                    owners.append(len(starts))
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(sizes, pa.int32()), pa.array(marks, pa.int32()), pa.array(owners, pa.int32())], ["x", "n", "label", "share"])
 
     found = labelled_sample(docs, labels, "quality", FOLDS, sample)
-    got = found.mapInArrow(pieces, "x binary, n int, label int, share int").toPandas()  # bounded: 2 * SAMPLE * PIECES * PIECE lines at most
+    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1).over(order), F.lit(0))  # over SAMPLE rows a label
+    found = found.withColumn("__before", before).where(F.col("__before") < LINES).select("doc_id", "text", "label")
+    got = found.mapInArrow(pieces, "x binary, n int, label int, share int").toPandas()  # bounded: LINES of each label, one document more
     fold = labels.where(F.col("quality").isNotNull() & (crc_fold(labels["doc_id"], FOLDS) != 0))
     counts = {r["q"]: r["count"] for r in fold.groupBy(F.col("quality").cast("int").alias("q")).count().collect()}
     shares = {q: counts.get(q, 0) / max(1, sum(counts.values())) for q in (0, 1)}

@@ -25,7 +25,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, text_of, written
@@ -112,53 +112,84 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.union(met).distinct()
 
 
+#: Ways that a node's links are spread over.
+SALTS = 16
+
+
+def _spread(links: DataFrame, node: str, other: str, known: DataFrame) -> DataFrame:
+    """links with the row that known has for their node, if any. A node with very many links is spread by its links' other end.
+
+    known has few nodes (those whose links change), each with one row, which stands in every part.
+    """
+    salted = known.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return links.withColumn("__salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")).join(salted, [node, "__salt"], "left").drop("__salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, root for the nodes of (a, b) edges, root being the least node of the component."""
+    """node, root for the nodes of (a, b) edges, a < b, root being the least node of the component.
+
+    In the large-star step a node's greater neighbours move to its least neighbour; a node without a lesser one keeps them,
+    so the hub of a finished star takes part in no join. In the small-star step the lesser neighbours of a node that has several move to the least.
+    """
     edges = checkpointed(edges)
     while True:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root"))
-        large = both.where("b > a").join(least, "a").select(F.col("root").alias("a"), "b").where("a < b")
-        least = large.groupBy("b").agg(F.min("a").alias("root"))
-        small = large.join(least, "b").select(F.col("root").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a < b")
-        after = checkpointed(small.distinct())
+        least = edges.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("root"))
+        between = least.join(edges.select("a").distinct(), "a", "left_semi")
+        large = checkpointed(_spread(edges, "a", "b", between).select(F.coalesce("root", "a").alias("a"), "b").distinct())
+        several = large.groupBy("b").agg(F.min("a").alias("root"), F.count("*").alias("n")).where("n > 1").select("b", "root")
+        joined = _spread(large, "b", "a", several)
+        pairs = F.when(F.col("root").isNull(), F.array(F.struct("a", "b"))).otherwise(F.array(F.struct(F.col("root").alias("a"), F.col("a").alias("b")), F.struct(F.col("root").alias("a"), "b")))
+        after = checkpointed(joined.select(F.inline(pairs)).where("a < b").distinct())
         # A star forest: every node has one parent, and no parent has a parent.
         crowded = after.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-        if not crowded and not after.join(after.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count():
+        if not crowded and not after.select(F.col("b").alias("a")).distinct().join(after.select("a").distinct(), "a", "left_semi").limit(1).count():
             return after.select(F.col("b").alias("node"), F.col("a").alias("root"))
         edges = after
 
 
 def classes(fps: DataFrame) -> DataFrame:
-    """class_fp, class_root, component_id (the least doc_id of all documents whose fingerprints are linked) for distinct fingerprints.
+    """class_fp, class_root, component_id (the least doc_id of all documents whose fingerprints are linked), class_size for distinct fingerprints.
 
     fps: doc_id, fp.
     """
-    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "fingerprints")
+    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "fingerprints")
     stars = components(links(distinct.select("fp")))
-    rooted = distinct.join(stars, distinct["fp"] == stars["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(stars, distinct["fp"] == stars["node"], "left").select("fp", "least_id", "n", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return rooted.join(ids, "root").select(F.col("fp").alias("class_fp"), F.col("root").alias("class_root"), "component_id")
+    return rooted.join(ids, "root").select(F.col("fp").alias("class_fp"), F.col("root").alias("class_root"), "component_id", F.col("n").alias("class_size"))
+
+
+#: Fingerprints that at least one in so many documents has are joined by broadcast; there are at most so many.
+COMMON = 1000
+
+
+def _placed(marked: DataFrame, found: DataFrame) -> DataFrame:
+    """marked (fp, further columns) with the class of its fingerprint; common fingerprints are not shuffled."""
+    found = written(found, "classes")
+    total = found.agg(F.sum("class_size")).first()[0] or 0
+    often = F.broadcast(found.where(F.col("class_size") * COMMON >= total))  # at most COMMON rows
+    near = marked.join(often, marked["fp"] == often["class_fp"])
+    rest = marked.join(often, marked["fp"] == often["class_fp"], "left_anti")
+    rare = found.where(F.col("class_size") * COMMON < total)
+    return near.unionByName(rest.join(rare, rest["fp"] == rare["class_fp"]))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id."""
     fps = written(fingerprints(docs), "document-fingerprints")
-    found = classes(fps)
-    joined = fps.join(found, fps["fp"] == found["class_fp"])
-    return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return _placed(fps, classes(fps)).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each component: the one of least id, then least text; a component without ids keeps its least text.
+    """One document of each component: the one of least id, then of least text hash; a component without ids keeps the least hash.
 
-    The decision is made over narrow rows (id, fingerprint, digest of the text); whole rows are then picked.
+    The decision is made over narrow rows (id, fingerprint, hash of the text); whole rows are then picked, one shuffle of them.
     """
-    marked = fingerprints(docs, keep=docs.columns)
-    narrow = marked.select("doc_id", "fp")
-    found = classes(narrow)
-    placed = marked.join(found, marked["fp"] == found["class_fp"])
-    kept = placed.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = Window.partitionBy("class_root", "doc_id").orderBy(F.xxhash64("__kept_text"), "__kept_text")
-    kept = kept.withColumn("__place", F.row_number().over(first)).where("__place = 1")
-    return kept.select(*[F.col(f"__kept_{c}").alias(c) for c in docs.columns])
+    hashed = docs.withColumn("__hash", F.xxhash64(text_of(docs)))
+    narrow = written(fingerprints(hashed, keep=("__hash",)), "document-fingerprints")
+    placed = _placed(narrow, classes(narrow.select("doc_id", "fp"))).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = placed.groupBy("class_root").agg(F.min(F.struct("doc_id", "__kept___hash")).alias("first"))
+    row = {"__id": F.coalesce("doc_id", F.lit(0)).cast("long"), "__null": F.col("doc_id").isNull()}
+    first = first.select(F.col("first.doc_id").alias("doc_id"), F.col("first.__kept___hash").alias("__hash")).withColumns(row).drop("doc_id")
+    keys = ["__id", "__null", "__hash"]
+    return hashed.withColumns(row).dropDuplicates(keys).join(first, keys, "left_semi").select(*docs.columns)

@@ -56,12 +56,31 @@ def test_licences(spark):
     assert licenses.scan(docs_frame(spark, texts), templates=()).count() == 6
 
 
+def test_licence_gates_lose_nothing(spark, monkeypatch):
+    notices = [t for _, t in licenses.TEMPLATES]
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice([n, n[: len(n) // 2], "x y z", "you may not use this file except", "software license"]) for n in rng.sample(notices, 3)) for _ in range(30)]
+    every = lambda: sorted(tuple(r) for r in licenses.scan(docs_frame(spark, texts)).collect())
+    got = every()
+    monkeypatch.setattr(licenses, "GATE_LIMIT", 0)
+    assert every() == got and any(r[1] for r in got)
+    told = set(licenses.telling_words([r["shingles"] for r in licenses.template_frame(spark).collect()]))
+    assert all(told & set(s.split(" ")) for r in licenses.template_frame(spark).collect() for s in r["shingles"])
+
+
 def test_odd_rows(spark):
     odd = odd_frame(spark)
-    n = odd.count()
-    assert secrets.digest(secrets.scan(odd)).count() == n
-    assert licenses.scan(odd).count() == n
-    assert mixing.mix(odd).count() == n
+    rows = odd.collect()
+    n = len(rows)
+    found = sorted(((r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["spans"]) for r in secrets.digest(secrets.scan(odd)).collect()), key=repr)
+    assert found == sorted(((r["doc_id"], 0, 0, 0, "") for r in rows), key=repr)
+    assert sorted((tuple(r) for r in licenses.scan(odd).collect()), key=repr) == sorted(((r["doc_id"], 0, "", None) for r in rows), key=repr)
+    sizes = [(r["doc_id"], len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))) for r in rows]
+    mixed = mixing.mix(odd, keep=("source",)).collect()
+    assert sorted(((r["doc_id"], r["size"]) for r in mixed), key=repr) == sorted(sizes, key=repr)
+    for source in {r["source"] for r in mixed}:
+        mine = [r for r in mixed if r["source"] == source]
+        assert {r["source_size"] for r in mine} == {sum(r["size"] for r in mine)} and abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 1
     for f in (lambda d: secrets.digest(secrets.scan(d)), licenses.scan, mixing.mix):
         assert f(odd.limit(0)).count() == 0
 

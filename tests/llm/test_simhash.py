@@ -71,6 +71,18 @@ def test_chains_of_links_and_crowded_files(spark, monkeypatch):
     assert [got[f] for f in signed] == slow_components(range(len(fps)), fps)
 
 
+def test_hubs_and_common_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SMALL", 4)
+    monkeypatch.setattr(simhash, "COMMON", 3)  # a fingerprint of a third of all rows
+    hub = (1 << 63) | 12345
+    fps = [hub] * 60 + [hub ^ (1 << i) for i in range(64)] + [hub ^ (1 << i) ^ (1 << (i + 7)) for i in range(50)] + [random.Random(i).getrandbits(64) for i in range(6)]
+    signed = [f - (1 << 64) if f >= 1 << 63 else f for f in fps]
+    rows = spark.createDataFrame([(1000 - i, f) for i, f in enumerate(signed)], "doc_id long, fp long")
+    got = {r["doc_id"]: r["component_id"] for r in simhash._placed(rows, simhash.classes(rows)).collect()}
+    ids = [1000 - i for i in range(len(fps))]
+    assert [got[i] for i in ids] == slow_components(ids, fps)
+
+
 def test_odd_rows(spark):
     odd = odd_frame(spark)
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
