@@ -287,6 +287,7 @@ def marked_passages(texts: list[bytes], colors: list) -> list[list[tuple[int, in
 PIECE_ID = ["pk", "pw"]
 FOUND = "pk long, pw long, key long, whole long, first long, size long, inner boolean"
 CUT = "key long, whole long, n long, color long, load long, single boolean, pk long, pw long, first long, data binary"
+MARK = "pk long, pw long, kind int, s long, e long"
 SEGMENT_MARK = "key long, whole long, s long, e long, single boolean, pk long, pw long, first long"
 
 
@@ -297,7 +298,7 @@ def _identified(docs: DataFrame) -> DataFrame:
 
 
 def _batch(rows, schema: str) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
     fields = [x.split() for x in schema.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(list(zip(*rows)) or [()] * len(fields), fields)], [f for f, _ in fields])
 
@@ -352,6 +353,19 @@ def _once(batches):
         yield batch if len(keep) == len(batch) else batch.take(pa.array(keep, pa.int64()))
 
 
+def _merged(marks: DataFrame) -> DataFrame:
+    """The union of a piece's marks; a piece of this kind is a segment, so its marks are no more than its bytes."""
+
+    def rows(batches):
+        for batch in batches:
+            out = []
+            for pk, pw, kind, found in zip(*(batch.column(c).to_pylist() for c in ("pk", "pw", "kind", "found"))):
+                out += [(pk, pw, kind, s, e) for s, e in _joined([(m["s"], m["e"]) for m in found])]
+            yield _batch(out, MARK)
+
+    return marks.groupBy(*PIECE_ID, "kind").agg(F.collect_set(F.struct("s", "e")).alias("found")).mapInArrow(rows, MARK)
+
+
 def _bucket_marks(table: pa.Table) -> pa.Table:
     """Marks of one bucket's segments, kind by kind."""
     rows = sorted(zip(*(table.column(c).to_pylist() for c in ("key", "whole", "n", "color", "single", "pk", "pw", "first", "data"))), key=lambda r: r[:2])
@@ -380,13 +394,12 @@ def _copied_segments(copied: DataFrame) -> DataFrame:
 
 def piece_marks(pieces: DataFrame, level: int = 0, copied: DataFrame | None = None) -> DataFrame:
     """pk, pw, kind, s, e: stretches of pieces covered by repeats (they may overlap and touch)."""
-    once = pieces.select("data", *PIECE_ID)
-    once = once if level else once.mapInArrow(_once, "data binary, pk long, pw long")
-    found = written(pieces.mapInArrow(_segment_rows(level), FOUND + (", n long, color long" if level else "")), "segments")
+    once = pieces if level else pieces.mapInArrow(_once, "pk long, pw long, data binary")
+    found = written(once.mapInArrow(_segment_rows(level), FOUND + (", n long, color long" if level else "")), "segments")
     # Most keys occur once: they go before anything wider than a key is shuffled for good.
     known = found.groupBy("key").agg(F.count("*").alias("rows"), F.max("inner").alias("any"), (F.max("n") if level else F.lit(1)).alias("n"))
     found = found.join(known.where((F.col("rows") > 1) | F.col("any") | (F.col("n") > 1)).select("key"), "key", "left_semi")
-    found = written(found.select(*[x.split()[0] for x in FOUND.split(", ")], *(["n", "color"] if level else [])), "candidates")
+    found = written(found.select(*[x.split()[0] for x in FOUND.split(", ")], *(["n", "color"] if level else [])).distinct(), "candidates")  # a text's places once, however many copies it has
     color = F.col("color" if level else "pk")
     counted = found.groupBy("key", "whole").agg(
         F.min(F.struct("pk", "pw", "first", "size")).alias("one"),
@@ -412,7 +425,7 @@ def piece_marks(pieces: DataFrame, level: int = 0, copied: DataFrame | None = No
     item = F.struct("key", "whole", "n", "color", "load", "single", "first", "size")
     lists = flagged.groupBy(*PIECE_ID).agg(F.collect_list(item).alias("wanted"))
     # Every copy of a text gives its segments again: one row of each is kept, so that it doesn't match itself and BUCKET bounds a group.
-    cut = written(once.join(lists, PIECE_ID).select("pk", "pw", "data", "wanted").mapInArrow(_cut_rows, CUT).dropDuplicates(["key", "whole"]), "cut-segments")
+    cut = written(once.select("data", *PIECE_ID).join(lists, PIECE_ID).select("pk", "pw", "data", "wanted").mapInArrow(_cut_rows, CUT).dropDuplicates(["key", "whole"]), "cut-segments")
     shelved = cut.where(~crowded).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
     marked = shelved.groupBy("bucket").applyInArrow(_bucket_marks, SEGMENT_MARK)
     if more:
@@ -425,7 +438,8 @@ def piece_marks(pieces: DataFrame, level: int = 0, copied: DataFrame | None = No
     kind = F.col("key").bitwiseAND(1).cast("int").alias("kind")
     placed = lambda df: df.select(*PIECE_ID, kind, (F.col("first") + F.col("s")).alias("s"), (F.col("first") + F.col("e")).alias("e"))
     many = found.select("key", "whole", "pk", "pw", "first").join(marked.where(~F.col("single")).select("key", "whole", "s", "e"), ["key", "whole"])
-    return placed(marked.where("single")).unionByName(placed(many))
+    every = placed(marked.where("single")).unionByName(placed(many))
+    return every if level == 0 else _merged(every)
 
 
 def marks(texts: DataFrame) -> DataFrame:
