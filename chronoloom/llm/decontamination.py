@@ -259,10 +259,10 @@ def contaminated(n_words: Column, n_hit: Column) -> Column:
     return (n_hit > 0) & (n_hit * 20 >= n_words)
 
 
-def digest(found: DataFrame) -> DataFrame:
-    """The contract's columns, and the items of proximity matches."""
+def digest(found: DataFrame, ids: str = "long") -> DataFrame:
+    """The contract's columns, and the items of proximity matches. ids: the type that the documents' ids had."""
     return found.withColumn("n_hit", _covered(F.col("spans"))).select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("doc_id").cast(ids).alias("doc_id"),
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),

@@ -45,7 +45,9 @@ GRAMS = ((128, 256, 384, LENGTH), (12, 24, 48, WORDS))
 PIECE = 1 << 20
 LONGEST = 4096
 COPIED = 1 << 16
-BUCKET = 1 << 20
+BUCKET = 1 << 19
+#: Rows taken up at a time.
+ROWS = 500
 #: Bytes compared at once before prefix doubling.
 WIDTH = 8
 END = 0xFF  # no byte of UTF-8
@@ -166,13 +168,14 @@ def suffix_order(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[n
     data: texts with an END after each; ends: every position's END. A suffix stops at its END; equal suffixes go by position.
     """
     n = len(data)
-    left = ends - np.arange(n)
+    left = (ends - np.arange(n)).astype(np.int32)
     key = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(WIDTH - 1, np.uint8)), WIDTH).copy().view(f">u{WIDTH}").ravel().astype(np.uint64)
     short = np.flatnonzero(left < WIDTH - 1)  # nothing counts after an END
     key[short] &= ~np.uint64(0) << (np.uint64(8) * (WIDTH - 1 - left[short]).astype(np.uint64))
     order = np.argsort(key, kind="quicksort")
-    ordered = key[order]
-    new = np.append(True, ordered[1:] != ordered[:-1])
+    key = key[order]
+    new = np.append(True, key[1:] != key[:-1])
+    del key
     place = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank = np.empty(n, np.int64)
     rank[order] = place
@@ -303,13 +306,20 @@ def _batch(rows, schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(list(zip(*rows)) or [()] * len(fields), fields)], [f for f, _ in fields])
 
 
+def _slices(batches):
+    """Batches of few rows, so that little of the texts is in memory twice."""
+    for batch in batches:
+        for at in range(0, len(batch), ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _segment_rows(level: int):
     """Segments of texts, or of crowded segments: these are of one kind, and their n and color go along."""
     along = ["n", "color"] if level else []
     names = [*(x.split()[0] for x in FOUND.split(", ")), *along]
 
     def rows(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             parts = []
             for pk, pw, data, *rest in zip(*(batch.column(c).to_pylist() for c in ("pk", "pw", "data", *along))):
                 found = segments(data, level, (pk & 1,) if level else (0, 1))
@@ -326,7 +336,7 @@ def _segment_rows(level: int):
 def _cut_rows(batches):
     """Pieces with a list of wanted segments to one row per segment; copies of a piece in one task are cut once."""
     done = set()
-    for batch in batches:
+    for batch in _slices(batches):
         rows = []
         for pk, pw, data, wanted in zip(*(batch.column(c).to_pylist() for c in ("pk", "pw", "data", "wanted"))):
             if (pk, pw) in done:
@@ -458,7 +468,7 @@ def _joined(found: list) -> list[tuple[int, int]]:
 
 def _removed_rows(batches):
     span = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
-    for batch in batches:
+    for batch in _slices(batches):
         rows = []
         for i, text, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "found"))):
             spans, passages = (_joined([(m["s"], m["e"]) for m in found or () if m["kind"] == k]) for k in (0, 1))
