@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.llm import decontamination, mixing, quality, secrets, simhash
-from chronoloom.llm.common import read, text_of, written
+from chronoloom.llm.common import read, scratch, text_of, written
 
 #: SQL cannot express the conditional random field; tests/llm/test_pipeline.py holds every stage against brute force.
 ORACLE_SQL = None
@@ -34,11 +34,11 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by benchmark items; the verdict depends on the text alone and is joined by its hash."""
-    marked = docs.select(F.xxhash64(text_of(docs)).alias("doc_id"), "text")
-    found = decontamination.digest(decontamination.match(marked, read(spark, sf_dir, "benchmark")))
+    """Documents that are not contaminated by benchmark items; the verdict depends on the text alone and is joined by its SHA-256."""
+    marked = docs.select(F.sha2(text_of(docs), 256).alias("doc_id"), "text")
+    found = decontamination.digest(decontamination.match(marked, read(spark, sf_dir, "benchmark")), "string")
     bad = found.where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.xxhash64(text_of(docs)) == F.col("__bad"), "left_anti")
+    return docs.join(bad, F.sha2(text_of(docs), 256) == F.col("__bad"), "left_anti")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,5 +70,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark):  # what a stage writes on its way goes when its result is there
+            docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"), keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
