@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Vowels of the orthographic rules (fixed values): plain, acute, circumflex, tilde, grave, diaeresis.
@@ -39,6 +39,51 @@ def stress(word: Column, parts: Column) -> Column:
     return let(accent, lambda at: F.when(at > 0, (at - 1).cast("int")).when(ends, last).otherwise(F.greatest(F.lit(0), last - 1)))
 
 
+def stress_by_language(language: Column, word: Column, parts: Column) -> Column:
+    """0-based stressed syllable by the language's rules: Portuguese by spelling, all others (English too) the first."""
+    return F.when(language == "pt", stress(word, parts)).otherwise(F.lit(0))
+
+
+def pronounced(words: DataFrame, lexicon: DataFrame, word: str = "word") -> DataFrame:
+    """Words with their lexicon entry's syllables and stress (word, parts, stressed), where there is none by spelling (F8). The lexicon has one row per word."""
+    spelled = syllables(F.col(word))
+    known = lexicon.select(F.col("word").alias("__known"), "parts", "stressed")
+    found = words.join(known, F.lower(F.col(word)) == F.col("__known"), "left")
+    return found.select(*words.columns, F.coalesce("parts", spelled).alias("parts"), F.coalesce("stressed", stress(F.col(word), spelled)).cast("int").alias("stressed"), F.col("__known").isNotNull().alias("in_lexicon"))
+
+
+def part_spans(word: Column, t0: Column, t1: Column) -> Column:
+    """Parts at hyphens with their share of the word's time by length: (part, t0, t1), the last one to the end."""
+    parts = F.filter(F.split(word, "-"), lambda p: p != "")
+
+    def spans(found: Column) -> Column:
+        upto = running_sum(F.transform(found, lambda p: F.length(p)))
+        at = lambda s, i: F.when(i >= F.size(found), t1).otherwise(t0 + F.floor((t1 - t0) * F.get(s, i) / F.element_at(s, -1)))
+        return let(upto, lambda s: F.transform(found, lambda p, i: F.struct(p.alias("part"), at(s, i).cast("long").alias("t0"), at(s, i + 1).cast("long").alias("t1"))))
+
+    return let(parts, spans)
+
+
+def two_decimals(x: Column) -> Column:
+    """A number from 0 to 1 with two decimals, by its exact binary value, ties to even."""
+    scaled = x * F.lit(float(1 << 53))
+    whole = F.floor(scaled).cast("long")
+
+    def rounded(w: Column) -> Column:
+        down = F.shiftright(w * 100, 53)
+        beyond = (w * 100 - F.shiftleft(down, 53) - (1 << 52)).cast("double") + (scaled - w) * 100  # the half cent
+        return down + F.when((beyond > 0) | ((beyond == 0) & (down % 2 == 1)), 1).otherwise(0)
+
+    cent = let(whole, rounded)
+    return let(cent, lambda c: F.concat(F.floor(c / 100).cast("string"), F.lit("."), F.lpad((c % 100).cast("string"), 2, "0")))
+
+
+def failure_message(message: Column, stage: Column, engine: Column, audio_id: Column, cause: Column) -> Column:
+    """A message and what is known of its context, ids cut to twelve characters."""
+    named = lambda name, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{name}="), c))
+    return F.concat_ws(" | ", message, named("stage", stage), named("engine", engine), named("audio_id", F.substring(audio_id, 1, 12)), F.when(cause.isNotNull(), F.concat(F.lit("caused_by="), cause)))
+
+
 def lexicon_stress(phones: Column) -> Column:
     """Ordinal among a pronunciation's vowels of the last one with primary stress; 0 without."""
     vowels = F.filter(phones, lambda p: p.rlike("[0-2]$"))

@@ -71,8 +71,8 @@ def header(title: Column, artist: Column, key: Column, tempo: Column, time: Colu
 
 
 def tags(extensions: Column, prefix: str = "sbp_") -> Column:
-    """Entries of a map under a prefix as one tag directive, in order of their names; null without any."""
-    entries = F.array_sort(F.map_entries(F.map_filter(extensions, lambda k, _: k.startswith(prefix))))
+    """Entries of a map under a prefix as one tag directive, in the map's order; null without any."""
+    entries = F.map_entries(F.map_filter(extensions, lambda k, _: k.startswith(prefix)))
     text = F.array_join(F.transform(entries, lambda e: F.concat(F.substring(e["key"], len(prefix) + 1, 1000), F.lit("="), e["value"])), " ")
     return F.when(F.size(entries) > 0, F.concat(F.lit(f"{{x_{prefix}tags: "), text, F.lit("}")))
 
@@ -93,6 +93,33 @@ PROFILES = {
 }
 
 
+def extension_lines(name: str, extensions: Column) -> Column:
+    """A map's entries as header lines of a profile, in the map's order: ``ccli`` is a directive of its own for propresenter, ``sbp_`` entries are
+    one tag line at the end for songbookpro, all else is meta. Null without any line."""
+    meta = lambda e: F.concat(F.lit("{meta: "), e["key"], F.lit(" "), e["value"], F.lit("}"))
+    line, tagged = meta, F.lit(None).cast("string")
+    if name == "propresenter":
+        line = lambda e: F.when(e["key"] == "ccli", F.concat(F.lit("{ccli: "), e["value"], F.lit("}"))).otherwise(meta(e))
+    if name == "songbookpro":
+        tagged = tags(extensions)
+        extensions = F.map_filter(extensions, lambda k, _: ~k.startswith("sbp_"))
+    return F.nullif(F.concat_ws("\n", F.array_join(F.nullif(F.transform(F.map_entries(extensions), line), F.array().cast("array<string>")), "\n"), tagged), F.lit(""))
+
+
+def profiled_header(name: str, title: Column, artist: Column, key: Column, tempo: Column, time: Column, capo: Column, extensions: Column) -> Column:
+    """A profile's whole header: the directives, then the extensions' lines, then an empty line."""
+    plain = F.rtrim(header(title, artist, key, tempo, time, capo, None, profile(name)["capo"]))
+    return F.concat(F.concat_ws("\n", F.regexp_replace(plain, "\n$", ""), extension_lines(name, extensions)), F.lit("\n"))
+
+
+def routed(name: str, kind: Column, label: Column, lyrics: Column, grid: Column) -> Column:
+    """A section's text: its lyrics between its directives; for chordpro_ref, where it has instrumental lines (grid), a grid block of these alone."""
+    body = wrapped(kind, label, F.concat_ws("\n", lyrics, grid))
+    if name != "chordpro_ref":
+        return body
+    return F.when(grid.isNotNull(), F.concat_ws("\n", F.concat(F.lit("{start_of_grid: "), label, F.lit("}")), grid, F.lit("{end_of_grid}"))).otherwise(body)
+
+
 def profile(name: str) -> dict:
     if name not in PROFILES:
         raise ValueError(f"unknown profile {name!r}; known: {', '.join(sorted(PROFILES))}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import symbols, text
-from ..operators import intervals, render, stats
+from ..operators import blocks, drain, intervals, render, stats
 from ..sources import adapters as a
 from . import timed
 
@@ -140,7 +140,7 @@ def q_profile_tags(spark, sf):
     return c.select("c_custkey", render.tags(ext).alias("tags"))
 
 
-Q_PROFILE_TAGS = "SELECT c_custkey, '{x_sbp_tags: difficulty=' || CASE WHEN c_acctbal > 0 THEN 'easy' ELSE 'hard' END || ' section=' || c_mktsegment || '}' AS tags FROM customer"
+Q_PROFILE_TAGS = "SELECT c_custkey, '{x_sbp_tags: section=' || c_mktsegment || ' difficulty=' || CASE WHEN c_acctbal > 0 THEN 'easy' ELSE 'hard' END || '}' AS tags FROM customer"
 
 
 def q_lexicon_stress(spark, sf):
@@ -154,3 +154,122 @@ WITH l AS (SELECT p_partkey, list_filter(string_split(p_name, ''), lambda c: reg
 c AS (SELECT p_partkey, unnest(cs) AS c, generate_subscripts(cs, 1) - 1 AS i FROM l),
 v AS (SELECT p_partkey, i % 3 = 1 AS primary_mark, row_number() OVER (PARTITION BY p_partkey ORDER BY i) - 1 AS ordinal FROM c WHERE regexp_matches(c, '[aeiou]'))
 SELECT p_partkey, CAST(coalesce(max(ordinal) FILTER (primary_mark), 0) AS INT) AS stressed FROM part LEFT JOIN v USING (p_partkey) GROUP BY p_partkey"""
+
+
+def q_profile_headers(spark, sf):
+    """Customers' headers under all profiles, and a section as every profile routes it."""
+    c = a.table(spark, sf, "customer")
+    ext = F.create_map(F.lit("ccli"), F.col("c_custkey").cast("string"), F.lit("sbp_section"), F.col("c_mktsegment"), F.lit("mood"), F.lit("x"))
+    capo = F.col("c_custkey") % 3
+    header = lambda name: render.profiled_header(name, F.col("c_name"), F.lit(""), F.lit("C"), F.col("c_nationkey") + 60, F.lit("4/4"), capo, ext)
+    grid = F.when(F.col("c_custkey") % 2 == 0, F.lit("| C . . . |"))
+    body = lambda name: render.routed(name, F.lit("verse"), F.lit("Verse 1"), F.lit("[C]la"), grid)
+    rows = F.array(*[F.struct(F.lit(n).alias("profile"), header(n).alias("header"), body(n).alias("body")) for n in sorted(render.PROFILES)])
+    return c.select("c_custkey", F.inline(rows))
+
+
+Q_PROFILE_HEADERS = """
+WITH p AS (SELECT c_custkey, c_name, c_mktsegment, c_nationkey, profile FROM customer, (VALUES ('inline_slash'), ('chordpro_ref'), ('onsong'), ('propresenter'), ('songbookpro')) v(profile))
+SELECT c_custkey, profile,
+  concat_ws(chr(10), '{title: ' || c_name || '}', '{key: C}', '{tempo: ' || (c_nationkey + 60) || '}', '{time: 4/4}',
+    CASE WHEN c_custkey % 3 > 0 THEN CASE WHEN profile = 'onsong' THEN '{x_capo: ' ELSE '{capo: ' END || (c_custkey % 3) || '}' END,
+    CASE WHEN profile = 'propresenter' THEN '{ccli: ' ELSE '{meta: ccli ' END || c_custkey || '}',
+    CASE WHEN profile <> 'songbookpro' THEN '{meta: sbp_section ' || c_mktsegment || '}' END, '{meta: mood x}',
+    CASE WHEN profile = 'songbookpro' THEN '{x_sbp_tags: section=' || c_mktsegment || '}' END) || chr(10) AS header,
+  CASE WHEN profile = 'chordpro_ref' AND c_custkey % 2 = 0 THEN '{start_of_grid: Verse 1}' || chr(10) || '| C . . . |' || chr(10) || '{end_of_grid}'
+    ELSE concat_ws(chr(10), '{start_of_verse: Verse 1}', '[C]la', CASE WHEN c_custkey % 2 = 0 THEN '| C . . . |' END, '{end_of_verse}') END AS body FROM p"""
+
+
+def _lined_words(spark, sf):
+    """Words in document order, eight to a line."""
+    words = blocks.numbered(a.words(spark, sf), a.TRACK, ["t0", "idx"], "n")
+    return words.select("track_id", "idx", "t0", "t1", "n", F.floor((F.col("n") - 1) / 8).alias("line"), F.concat(F.lit("w"), (F.col("idx") % 100).cast("string")).alias("text"))
+
+
+def _drained(spark, sf):
+    beats = a.beats(spark, sf).withColumn("mark", F.concat(F.lit("|"), (F.col("idx") % 4 + 1).cast("string")))
+    return drain.drain(beats, drain.slots(_lined_words(spark, sf), a.TRACK, "line", 4 * 3_600_000_000), a.TRACK, "line", a.block_width(spark, sf))
+
+
+def q_orphan_drain(spark, sf):
+    return _drained(spark, sf).select("track_id", "idx", "slot", "line", "at_word")
+
+
+_DRAIN = """
+n AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY t0, idx) AS n FROM words),
+lined AS (SELECT track_id, idx, t0, t1, n, (n - 1) // 8 AS line FROM n),
+slots AS (SELECT track_id, line, 2 * n AS slot, idx AS at_word, coalesce(lead(t0) OVER w, t1 + 14400000000) AS until FROM lined WINDOW w AS (PARTITION BY track_id, line ORDER BY n)
+  UNION ALL SELECT track_id, line, 2 * min(n) - 1, NULL, arg_min(t0, n) FROM lined GROUP BY track_id, line),
+drained AS (SELECT b.track_id, b.idx, b.t, (SELECT min(s.slot) FROM slots s WHERE s.track_id = b.track_id AND s.until > b.t) AS slot FROM beats b)"""
+Q_ORPHAN_DRAIN = a.ctes("beats", "words") + "," + _DRAIN + " SELECT d.track_id, d.idx, d.slot, s.line, s.at_word FROM drained d LEFT JOIN slots s ON s.track_id = d.track_id AND s.slot = d.slot"
+
+
+def q_beat_document(spark, sf):
+    """Words eight to a line with the beats drained between them."""
+    return drain.rendered(_lined_words(spark, sf), _drained(spark, sf), a.TRACK, "line", "mark")
+
+
+Q_BEAT_DOCUMENT = (
+    a.ctes("beats", "words")
+    + ","
+    + _DRAIN
+    + """,
+marks AS (SELECT track_id, slot, string_agg('|' || (idx % 4 + 1), ' ' ORDER BY t, '|' || (idx % 4 + 1)) AS m FROM drained GROUP BY track_id, slot),
+pieces AS (SELECT l.track_id, l.line, l.n, 'w' || (l.idx % 100) || coalesce(' ' || m.m, '') AS p FROM lined l LEFT JOIN marks m ON m.track_id = l.track_id AND m.slot = 2 * l.n),
+gaps AS (SELECT l.track_id, l.line, m.m FROM lined l JOIN marks m ON m.track_id = l.track_id AND m.slot = 2 * l.n - 1),
+lines AS (SELECT p.track_id, p.line, coalesce(g.m || chr(10), '') || string_agg(p.p, ' ' ORDER BY p.n) AS x FROM pieces p LEFT JOIN gaps g ON g.track_id = p.track_id AND g.line = p.line GROUP BY p.track_id, p.line, g.m),
+bodies AS (SELECT track_id, string_agg(x, chr(10) ORDER BY line) AS x FROM lines GROUP BY track_id),
+rest AS (SELECT track_id, '{c: trailing beats (after last section)}' || chr(10) || m AS x FROM marks WHERE slot IS NULL)
+SELECT track_id, concat_ws(chr(10), b.x, r.x) AS body FROM bodies b FULL JOIN rest r USING (track_id)"""
+)
+
+
+def q_part_spans(spark, sf):
+    """Parts' names with hyphens for blanks, their parts' share of a second a letter."""
+    name = F.replace("p_name", F.lit(" "), F.lit("-"))
+    p = a.table(spark, sf, "part").select("p_partkey", name.alias("word"), (F.length("p_name") * 1_000_000).alias("t1"))
+    return p.select("p_partkey", F.posexplode(text.part_spans(F.col("word"), F.lit(0), F.col("t1"))).alias("i", "x")).select("p_partkey", "i", "x.*")
+
+
+Q_PART_SPANS = """
+WITH w AS (SELECT p_partkey, length(p_name) * 1000000 AS t1, list_filter(string_split(p_name, ' '), lambda x: x <> '') AS ps FROM part),
+e AS (SELECT p_partkey, t1, unnest(ps) AS part, generate_subscripts(ps, 1) - 1 AS i FROM w),
+s AS (SELECT *, sum(length(part)) OVER o AS upto, sum(length(part)) OVER (PARTITION BY p_partkey) AS total, count(*) OVER (PARTITION BY p_partkey) AS k FROM e WINDOW o AS (PARTITION BY p_partkey ORDER BY i))
+SELECT p_partkey, CAST(i AS INT) AS i, part, CAST(t1 * (upto - length(part)) // total AS BIGINT) AS t0, CAST(CASE WHEN i + 1 >= k THEN t1 ELSE t1 * upto // total END AS BIGINT) AS t1 FROM s"""
+
+
+def q_language_stress(spark, sf):
+    """Stress of customers' segments by language, and by a lexicon of three words where it has them."""
+    c = a.table(spark, sf, "customer").select("c_custkey", F.lower("c_mktsegment").alias("word"), F.element_at(F.array(F.lit("pt"), F.lit("en"), F.lit("xx")), (F.col("c_custkey") % 3 + 1).cast("int")).alias("lang"))
+    lexicon = spark.createDataFrame([("building", ["buil", "ding"], 0), ("machinery", ["ma", "chi", "ne", "ry"], 1), ("household", ["house", "hold"], 0)], "word string, parts array<string>, stressed int")
+    known = text.pronounced(c, lexicon)
+    return known.select("c_custkey", F.array_join("parts", "|").alias("syllables"), text.stress_by_language(F.col("lang"), F.col("word"), F.col("parts")).alias("by_rule"), "stressed", "in_lexicon")
+
+
+#: What the rules say of the five segments: parts by lexicon or spelling, stress by Portuguese rules over these, stress with the lexicon, whether it is there (fixed values).
+_SEGMENTS = (
+    ("automobile", "au|to|mo|bi|le", 3, 3, False),
+    ("building", "buil|ding", 0, 0, True),
+    ("furniture", "fur|ni|tu|re", 2, 2, False),
+    ("household", "house|hold", 0, 0, True),
+    ("machinery", "ma|chi|ne|ry", 2, 1, True),
+)
+Q_LANGUAGE_STRESS = (
+    "SELECT c_custkey, syllables, CASE WHEN c_custkey % 3 = 0 THEN pt ELSE 0 END AS by_rule, stressed, in_lexicon FROM customer JOIN (VALUES "
+    + ", ".join(f"('{w}', '{p}', {pt}, {s}, {str(k).lower()})" for w, p, pt, s, k in _SEGMENTS)
+    + ") v(word, syllables, pt, stressed, in_lexicon) ON lower(c_mktsegment) = word"
+)
+
+
+def q_failure_messages(spark, sf):
+    """Messages of failed documents with their context (F24), and a confidence of two decimals by its exact value."""
+    d = a.table(spark, sf, "documents").join(a.table(spark, sf, "labels"), "doc_id").where("quality = 0")
+    message = text.failure_message(F.lit("low quality"), F.lit("quality"), F.when(F.col("toxic") == 1, "en"), F.concat(F.lit("document-"), F.lpad(F.col("doc_id").cast("string"), 8, "0")), F.when(F.col("doc_id") % 2 == 0, "ValueError: no"))
+    return d.select("doc_id", message.alias("message"), text.two_decimals((F.col("doc_id") % 1000) / 1000).alias("confidence"))
+
+
+Q_FAILURE_MESSAGES = """
+WITH d AS (SELECT doc_id, toxic, doc_id % 1000 AS k, CAST(CAST((doc_id % 1000) / 1000.0::DOUBLE AS DOUBLE) * pow(2::DOUBLE, 63) AS HUGEINT) * 1000 - CAST(doc_id % 1000 AS HUGEINT) * CAST(pow(2::DOUBLE, 63) AS HUGEINT) AS off_by FROM documents JOIN labels USING (doc_id) WHERE quality = 0),
+r AS (SELECT *, k // 10 + CASE WHEN k % 10 > 5 OR (k % 10 = 5 AND (off_by > 0 OR (off_by = 0 AND (k // 10) % 2 = 1))) THEN 1 ELSE 0 END AS cents FROM d)
+SELECT doc_id, concat_ws(' | ', 'low quality', 'stage=quality', CASE WHEN toxic = 1 THEN 'engine=en' END, 'audio_id=' || substr('document-' || lpad(CAST(doc_id AS VARCHAR), 8, '0'), 1, 12),
+  CASE WHEN doc_id % 2 = 0 THEN 'caused_by=ValueError: no' END) AS message, (cents // 100) || '.' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0') AS confidence FROM r"""

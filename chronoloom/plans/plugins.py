@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import importlib.util
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 MOCK = "mock"
 
@@ -44,7 +46,22 @@ def select(stage: str, name: str = MOCK) -> Engine:
     return engine
 
 
-def apply(df: DataFrame, stage: str, name: str = MOCK) -> DataFrame:
-    """Run an engine over df in Arrow batches; the output has the engine's schema."""
+def apply(df: DataFrame, stage: str, name: str = MOCK, progress: Callable[[str, str], None] | None = None, **overrides) -> DataFrame:
+    """Run an engine over df in Arrow batches; the output has the engine's schema. progress is told before; its errors stop nothing. overrides go to the engine."""
     engine = select(stage, name)
-    return df.mapInArrow(engine.run, engine.schema)
+    if progress is not None:
+        with contextlib.suppress(Exception):
+            progress(stage, name)
+    return df.mapInArrow(partial(engine.run, **overrides) if overrides else engine.run, engine.schema)
+
+
+@contextlib.contextmanager
+def described(spark: SparkSession, stage: str, engine: str | None = None, track: str | None = None):
+    """Jobs started inside carry stage, engine and track in their description, for logs and the UI."""
+    context = spark.sparkContext
+    before = context.getLocalProperty("spark.job.description")
+    context.setJobDescription(" | ".join(f"{k}={v}" for k, v in (("stage", stage), ("engine", engine), ("track", track)) if v))
+    try:
+        yield
+    finally:
+        context.setLocalProperty("spark.job.description", before)

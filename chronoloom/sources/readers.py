@@ -1,4 +1,4 @@
-"""Sources and sinks: catalogues, title maps, stage tables, hashes, segments."""
+"""Sources: catalogues, title maps, stage tables, hashes, segments (S1-S3, S6, S8, S9, S12, K1, K2, J10); sinks and logs are in sinks.py."""
 
 from __future__ import annotations
 
@@ -31,6 +31,12 @@ def content_ids(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.substring(F.sha2("content", 256), 1, 16).alias("content_id"))
 
 
+def named_ids(files: DataFrame, contents: DataFrame) -> DataFrame:
+    """Ids of listed files (path): of their content, or of the path itself where there is no content to read."""
+    known = contents.select(F.col("path").alias("__path"), "content_id")
+    return files.join(known, files["path"] == known["__path"], "left").select(*files.columns, F.coalesce("content_id", F.substring(F.sha2(files["path"].cast("binary"), 256), 1, 16)).alias("content_id"))
+
+
 def write_stage(df: DataFrame, root: str, stage: str) -> None:
     """Write one stage's table; whole or not at all, by the committer."""
     if stage not in STAGES:
