@@ -34,5 +34,10 @@ def test_tones_are_found():
 
 def test_odd_rows(spark):
     odd = odd_frame(spark)
-    assert media.digest(media.encode(odd)).count() == odd.count()
+    def sizes(text):
+        n = len((text or "").encode())
+        return n, max(576, -(-n // 576) * 576)
+
+    got = sorted(((r["doc_id"], r["n_bytes"], r["payload_bytes"]) for r in media.digest(media.encode(odd)).collect()), key=repr)
+    assert got == sorted(((r["doc_id"], *sizes(r["text"])) for r in odd.collect()), key=repr)
     assert media.digest(media.encode(odd.limit(0))).count() == 0

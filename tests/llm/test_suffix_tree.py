@@ -80,6 +80,13 @@ def test_model_beats_base_on_held_out_texts(spark):
 
 def test_odd_rows(spark):
     odd = odd_frame(spark)
-    assert suffix_tree.score(odd).count() == odd.count()
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    n, want = base(rows)
+    got = sorted(((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 4), r["train_tokens"]) for r in suffix_tree.score(odd).collect()), key=repr)
+    assert got == sorted(((i, k, known, round(s, 4), n) for i, k, known, s in want), key=repr)
+    texts = {}
+    for r in suffix_tree.score(docs_frame(spark, ["same text", "same text", "other"])).collect():
+        texts.setdefault(r["n_tokens"], set()).add(r["score"])
+    assert len(texts[3]) == 1  # equal texts, equal scores
     assert suffix_tree.score(odd.limit(0)).count() == 0
     assert suffix_tree.score(docs_frame(spark, ["only"]).selectExpr("CAST(NULL AS LONG) AS doc_id", "text")).first()["train_tokens"] == 0
