@@ -55,19 +55,12 @@ def nearest_index(points: DataFrame, grid: DataFrame, key: list[str], block: int
     return nearest(points, {"found": grid}, key, "t", block).where("found IS NOT NULL").select(*key, F.col("found.idx").alias("idx")).distinct()
 
 
-def nearest_within(left: DataFrame, right: DataFrame, key: list[str], left_id: list[str], tolerance: int, strict: bool = True) -> DataFrame:
-    """Left rows (with a time t) that have a right row (t, idx, further columns) within the tolerance, with the nearest one's columns.
-
-    Buckets as wide as the tolerance turn the range into an equality; the right side stands in three of them.
-    """
-    payload = [c for c in right.columns if c not in (*key, "t", "idx")]
-    here = left.withColumn("__bucket", F.floor(F.col("t") / tolerance))
-    spread = right.select(*key, F.col("t").alias("__rt"), F.col("idx").alias("__idx"), *[F.col(c).alias(f"__p_{c}") for c in payload], F.floor(F.col("t") / tolerance).alias("__b"))
-    spread = spread.withColumn("__bucket", F.explode(F.array(F.col("__b") - 1, F.col("__b"), F.col("__b") + 1))).drop("__b")
-    distance = F.abs(F.col("t") - F.col("__rt"))
-    pairs = here.join(spread, [*key, "__bucket"]).where(distance < tolerance if strict else distance <= tolerance)
-    best = F.min(F.struct(distance.alias("distance"), F.col("__idx").alias("idx"), F.col("__rt").alias("t"), *[F.col(f"__p_{c}").alias(c) for c in payload]))
-    return pairs.groupBy(*key, *left_id).agg(best.alias("nearest"))
+def nearest_within(left: DataFrame, right: DataFrame, key: list[str], left_id: list[str], tolerance: int, strict: bool = True, block: int | None = None) -> DataFrame:
+    """Left rows (with a time t) whose nearest right row (t, idx) is within the tolerance: key, left_id, nearest (distance, idx, t)."""
+    found = nearest(left.select(*key, *left_id, "t"), {"__near": right.select(*key, "t", "idx")}, key, "t", block)
+    distance = F.abs(F.col("t") - F.col("__near.t"))
+    close = found.where(distance < tolerance if strict else distance <= tolerance)
+    return close.select(*key, *left_id, F.struct(distance.alias("distance"), F.col("__near.idx").alias("idx"), F.col("__near.t").alias("t")).alias("nearest"))
 
 
 def spread_intervals(intervals: DataFrame, start: Column, end: Column, width: int) -> DataFrame:

@@ -204,7 +204,7 @@ Q_POINTS_PER_INTERVAL = a.ctes("onsets", "beats") + "," + _CHORDS + " SELECT c.t
 
 def q_nearest_tolerance(spark, sf):
     starts = a.words(spark, sf).where("stressed").select("track_id", F.col("t0").alias("t"), "idx")
-    found = nearest.nearest_within(a.onsets(spark, sf).select("track_id", "t", F.col("idx").alias("chord")), starts, KEY, ["chord"], 3 * HOUR)
+    found = nearest.nearest_within(a.onsets(spark, sf).select("track_id", "t", F.col("idx").alias("chord")), starts, KEY, ["chord"], 3 * HOUR, block=a.block_width(spark, sf))
     return found.select("track_id", "chord", "nearest.idx", "nearest.distance")
 
 
