@@ -9,7 +9,7 @@ mostly share theirs. A segment is a maximal run of windows of one document with
 belongs to exactly one segment. Counting keys, before and after a shuffle, tells which can hold a repeat at all: a key that
 occurs once has none, unless its gram occurs at two places of its segment (which is told at once).
 
-Index. The different segments of all other keys go to buckets of bounded size; those that stand at several places as two copies. Texts that
+Index. The different segments of all other keys go to buckets of bounded size (BUCKET on average, CROWDED more at most for a key); those that stand at several places as two copies. Texts that
 several rows have count once here, and go to buckets as long segments of their own, as two copies. A bucket's segments, with a separator after each, are sorted to a run-length Burrows-Wheeler transform; the text positions at run heads and run tails are
 sampled with the length of their common prefix with the neighbour across the run's border. All other values follow: inside a
 run, the common prefix of a position with its neighbour is one less than that of the position before. One stream over the text from
@@ -17,7 +17,7 @@ sample to sample gives the matching statistics of every position against everyth
 reach LENGTH, a repeat is marked. Passages are compared by the hashes of their windows in the same buckets. Marks of a segment hold for every
 document that has it.
 
-A key whose different segments would outgrow a bucket (a passage shared by very many documents has a different one at each end) is filed
+A key with more than CROWDED bytes of different segments (a passage shared by very many documents has a different one at each end) is filed
 again: its segments are cut up by longer grams, which fall apart into rare keys, up to the grams as long as the window, of
 which a key has one. Every level is the same step over the segments of the last one, so all removed bytes come from the index.
 
@@ -41,11 +41,13 @@ LENGTH = 400
 WORDS = 51
 #: Gram lengths of the levels: bytes, and words.
 GRAMS = ((128, 256, 384, LENGTH), (12, 24, 48, WORDS))
-#: Bytes of one piece of a long text, windows of one segment, windows of one segment of a copied text, bytes of one bucket.
+#: Bytes of one piece of a long text, windows of one segment, windows of one segment of a copied text, bytes of one bucket, bytes of one key's different
+#: segments from which on it is filed again (a bucket may hold so many more).
 PIECE = 1 << 20
 LONGEST = 4096
 COPIED = 1 << 16
 BUCKET = 1 << 19
+CROWDED = 1 << 21
 #: Rows taken up at a time.
 ROWS = 500
 #: Bytes compared at once before prefix doubling.
@@ -429,7 +431,7 @@ def piece_marks(pieces: DataFrame, level: int = 0, copied: DataFrame | None = No
     flagged = written(flagged if copied is None else flagged.unionByName(_copied_segments(copied)), "flagged")
 
     last = level + 1 == len(GRAMS[0])
-    crowded = F.lit(False) if last else F.col("load") > BUCKET
+    crowded = F.lit(False) if last else F.col("load") > CROWDED
     size, more = flagged.agg(F.sum(F.when(~crowded, F.col("size"))), F.max(crowded)).first()
     buckets = max(1, -(-(size or 0) // BUCKET))
     item = F.struct("key", "whole", "n", "color", "load", "single", "first", "size")

@@ -64,6 +64,7 @@ def expected(texts):
 def test_equals_brute_force(spark, monkeypatch, seed, bucket):
     """Also where buckets are so small that keys are crowded at every level."""
     monkeypatch.setattr(repeats, "BUCKET", bucket)
+    monkeypatch.setattr(repeats, "CROWDED", bucket)
     monkeypatch.setattr(repeats, "COPIED", 1000 if seed == 2 else 1 << 16)
     levels = []
     step = repeats.piece_marks
