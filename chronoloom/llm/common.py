@@ -10,6 +10,8 @@ import contextlib
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,6 +91,19 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), lambda bound: body(bound))[0]
 
 
+def by_bytes(batches, column: str, limit: int = 4 << 20, rows: int = 2000):
+    """Arrow batches cut to slices of about ``limit`` bytes of a text or binary column (one value more at most) and at most ``rows`` rows."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        filled = np.cumsum(sizes)
+        at = 0
+        while at < len(batch):
+            before = filled[at - 1] if at else 0
+            end = min(at + rows, max(at + 1, int(np.searchsorted(filled, before + limit, side="right"))))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, bound: int) -> DataFrame:
     """doc_id, text, label for at most ``bound`` labelled documents of each label, never of fold 0.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontamination, licenses, media, mixing, quality, repeats, secrets, simhash, suffix_tree, toxicity
+from . import decontamination, importance, infilling, licenses, media, mixing, quality, repeats, secrets, simhash, suffix_tree, topk, toxicity
 from .common import read
 
 
@@ -48,13 +48,51 @@ def op10_secret_scan(spark, sf_dir):
     return secrets.digest(secrets.scan(read(spark, sf_dir, "documents")))
 
 
+def op11_importance_resampling(spark, sf_dir):
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_fill_in_middle(spark, sf_dir):
+    return infilling.digest(infilling.transform(read(spark, sf_dir, "documents")))
+
+
+def op13_top_k_search(spark, sf_dir):
+    return topk.search(read(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
+QUERIES = (
+    op1_license_scan,
+    op2_toxicity,
+    op3_repeats_run_length_index,
+    op4_simhash_near_dedup,
+    op5_suffix_tree_scoring,
+    op6_decontamination,
+    op7_quality_crf,
+    op8_media_columns,
+    op9_mixing,
+    op10_secret_scan,
+    op11_importance_resampling,
+    op12_fill_in_middle,
+    op13_top_k_search,
+    pipeline,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_repeats_run_length_index, op4_simhash_near_dedup, op5_suffix_tree_scoring, op6_decontamination, op7_quality_crf, op8_media_columns, op9_mixing, op10_secret_scan, pipeline)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {"op1_license_scan": licenses.oracle(), "op6_decontamination": decontamination.ORACLE, "op9_mixing": mixing.ORACLE, "op10_secret_scan": secrets.oracle()}
+    return {
+        "op1_license_scan": licenses.oracle(),
+        "op6_decontamination": decontamination.ORACLE,
+        "op9_mixing": mixing.ORACLE,
+        "op10_secret_scan": secrets.oracle(),
+        "op11_importance_resampling": importance.ORACLE,
+        "op12_fill_in_middle": infilling.ORACLE,
+        "op13_top_k_search": topk.ORACLE,
+    }
