@@ -9,19 +9,22 @@ mostly share theirs. A segment is a maximal run of windows of one document with
 belongs to exactly one segment. Counting keys, before and after a shuffle, tells which can hold a repeat at all: a key that
 occurs once has none, unless its gram occurs at two places of its segment (which is told at once).
 
-Index. The different segments of all other keys go to buckets of bounded size (BUCKET on average, CROWDED more at most for a key); those that stand at several places as two copies. Texts that
-several rows have count once here, and go to buckets as long segments of their own, as two copies. A bucket's segments, with a separator after each, are sorted to a run-length Burrows-Wheeler transform; the text positions at run heads and run tails are
+Index. Segments are filed by a keyed BLAKE2b hash, whose key is drawn anew by every run. One that stands at several places is cut out at two of them, and so is
+a text that several rows have (as long segments of its own); only if their bytes, compared, are equal, the index takes them as one text that stands there
+twice. The segments of all keys that are left go to buckets of bounded size (BUCKET on average, CROWDED more at most for a key). A bucket's segments, with a
+separator after each, are sorted to a run-length Burrows-Wheeler transform; the text positions at run heads and run tails are
 sampled with the length of their common prefix with the neighbour across the run's border. All other values follow: inside a
 run, the common prefix of a position with its neighbour is one less than that of the position before. One stream over the text from
 sample to sample gives the matching statistics of every position against everything else in the bucket, and where they
-reach LENGTH, a repeat is marked. Passages are compared by the hashes of their windows in the same buckets. Marks of a segment hold for every
-document that has it.
+reach LENGTH, a repeat is marked. Passages are decided the same way on words and white space as symbols: the suffixes' order has runs of one document each,
+and the common prefixes at a run's ends, carried into it, are the matching statistics against other documents; a passage is marked where they reach
+its symbols. Marks of a segment hold for every document that has it.
 
 A key with more than CROWDED bytes of different segments (a passage shared by very many documents has a different one at each end) is filed
 again: its segments are cut up by longer grams, which fall apart into rare keys, up to the grams as long as the window, of
 which a key has one. Every level is the same step over the segments of the last one, so all removed bytes come from the index.
 
-Texts are identified by two hashes of their content: marks depend on nothing else. Segments and marks are narrow; the texts
+Texts are identified by their SHA-256 (two 64-bit hashes of it): marks depend on nothing else. Segments and marks are narrow; the texts
 are shuffled twice, once to cut out segments for the buckets (one copy of a text a task) and once to take the marks out.
 
 Defined results: null is empty; texts below LENGTH bytes have no marks; repeated rows repeat each other and each give a row; a
@@ -30,8 +33,13 @@ null doc_id is kept; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+import re
+import secrets
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,8 +62,9 @@ ROWS = 500
 WIDTH = 8
 END = 0xFF  # no byte of UTF-8
 
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_BASE = 0x9E3779B97F4A7C15  # of the grams' hashes, which only file windows
 _POWERS: dict = {}
+_SYMBOL = re.compile(rb"[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 _BLANK = np.isin(np.arange(256), (32, 9, 10, 11, 12, 13))
 
 
@@ -128,7 +137,13 @@ def _runs(kind: int, grams: np.ndarray, width: int):
     return found, starts, sizes, np.isin(keys[starts], values[counts > 1])
 
 
-def segments(data: bytes, level: int = 0, kinds=(0, 1)):
+def segment_hashes(data: bytes, starts: np.ndarray, sizes: np.ndarray, secret: bytes) -> np.ndarray:
+    """Keyed 64-bit BLAKE2b of the segments' bytes."""
+    view = memoryview(data)
+    return np.frombuffer(b"".join(hashlib.blake2b(view[s : s + n], digest_size=8, key=secret).digest() for s, n in zip(starts.tolist(), sizes.tolist())), np.int64)
+
+
+def segments(data: bytes, level: int = 0, kinds=(0, 1), secret: bytes = b""):
     """Arrays key (its lowest bit is the kind), segment hash, first byte, bytes, whether the key may occur at two places of the segment."""
     out = [tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int64, bool))]
     words, ends = word_bounds(data) if 1 in kinds else (np.empty(0, np.int64),) * 2
@@ -139,18 +154,18 @@ def segments(data: bytes, level: int = 0, kinds=(0, 1)):
         if here <= 0 and there <= 0:
             continue
         last = max(at + here + LENGTH - 1 if here > 0 else 0, ends[a + there + WORDS - 2] if there > 0 else 0)
-        prefix = _prefix(data[at:last], _BASES[0])
+        prefix = _prefix(data[at:last], _BASE)
         if here > 0:
             gram = GRAMS[0][level]
             places = np.arange(here + LENGTH - gram)
-            key, first, n, inner = _runs(0, substring_hashes(prefix, places, places + gram, _BASES[0]), LENGTH - gram + 1)
-            out.append((key.view(np.int64), substring_hashes(prefix, first, first + n + LENGTH - 1, _BASES[0]).view(np.int64), first + at, n + LENGTH - 1, inner))
+            key, first, n, inner = _runs(0, substring_hashes(prefix, places, places + gram, _BASE), LENGTH - gram + 1)
+            out.append((key.view(np.int64), segment_hashes(data, first + at, n + LENGTH - 1, secret), first + at, n + LENGTH - 1, inner))
         if there > 0:
             gram = GRAMS[1][level]
             places = np.arange(a, a + there + WORDS - gram)
-            key, first, n, inner = _runs(1, substring_hashes(prefix, words[places] - at, ends[places + gram - 1] - at, _BASES[0]), WORDS - gram + 1)
+            key, first, n, inner = _runs(1, substring_hashes(prefix, words[places] - at, ends[places + gram - 1] - at, _BASE), WORDS - gram + 1)
             s, e = words[a + first], ends[a + first + n + WORDS - 2]
-            out.append((key.view(np.int64), substring_hashes(prefix, s - at, e - at, _BASES[0]).view(np.int64), s, e - s, inner))
+            out.append((key.view(np.int64), segment_hashes(data, s, e - s, secret), s, e - s, inner))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -174,6 +189,12 @@ def suffix_order(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[n
     key = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(WIDTH - 1, np.uint8)), WIDTH).copy().view(f">u{WIDTH}").ravel().astype(np.uint64)
     short = np.flatnonzero(left < WIDTH - 1)  # nothing counts after an END
     key[short] &= ~np.uint64(0) << (np.uint64(8) * (WIDTH - 1 - left[short]).astype(np.uint64))
+    return doubled(key, WIDTH, left)
+
+
+def doubled(key: np.ndarray, width: int, left: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Suffix array and ranks by prefix doubling from keys of the first width symbols; left: symbols before a position's end."""
+    n = len(key)
     order = np.argsort(key, kind="quicksort")
     key = key[order]
     new = np.append(True, key[1:] != key[:-1])
@@ -183,7 +204,7 @@ def suffix_order(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[n
     rank[order] = place
     size = np.diff(np.append(np.flatnonzero(new), n))
     active = order[np.repeat(size > 1, size)]
-    ranks, width, bits = [rank.astype(np.int32)], WIDTH, n.bit_length()
+    ranks, bits = [rank.astype(np.int32)], n.bit_length()
     while True:
         active = active[left[active] >= width]  # the others are equal to their ends
         if not len(active):
@@ -203,15 +224,15 @@ def suffix_order(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[n
     return _order(rank, bits), ranks
 
 
-def common_prefix(p: np.ndarray, q: np.ndarray, data: np.ndarray, ends: np.ndarray, ranks: list[np.ndarray]) -> np.ndarray:
-    """Lengths of the common prefixes of suffixes p and q, which end with their texts."""
+def common_prefix(p: np.ndarray, q: np.ndarray, data: np.ndarray, ends: np.ndarray, ranks: list[np.ndarray], width: int = WIDTH) -> np.ndarray:
+    """Lengths of the common prefixes of suffixes p and q, which end with their texts; width: symbols of the first ranks."""
     n = len(data)
     most = np.minimum(ends[p] - p, ends[q] - q)
     out = np.zeros(len(p), np.int64)
     for level in range(len(ranks) - 1, -1, -1):
-        out += (ranks[level][np.minimum(p + out, n - 1)] == ranks[level][np.minimum(q + out, n - 1)]).astype(np.int64) * (WIDTH << level)
+        out += (ranks[level][np.minimum(p + out, n - 1)] == ranks[level][np.minimum(q + out, n - 1)]).astype(np.int64) * (width << level)
     going = out < most
-    for _ in range(WIDTH - 1):
+    for _ in range(width - 1):
         going &= data[np.minimum(p + out, n - 1)] == data[np.minimum(q + out, n - 1)]
         out += going
     return np.minimum(out, most)
@@ -269,29 +290,51 @@ def marked_bytes(texts: list[bytes], copies) -> list[list[tuple[int, int]]]:
     return [covered(w := hits[cuts[i] : cuts[i + 1]] - starts[i], w + LENGTH) for i in range(len(texts))]
 
 
+def _least_so_far(values: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Running minimum that begins again where new is true."""
+    below = (np.cumsum(new) * (values.max(initial=0) + 1)).astype(np.int64)
+    return np.minimum.accumulate(values - below) + below
+
+
+def foreign_statistics(symbols: np.ndarray, ends: np.ndarray, color: np.ndarray) -> np.ndarray:
+    """For every position, the longest match with a text of another color; symbols: texts with a separator of their own after each."""
+    order, ranks = doubled(symbols, 1, (ends - np.arange(len(symbols))).astype(np.int32))
+    shared = np.append(0, common_prefix(order[1:], order[:-1], symbols, ends, ranks, 1))  # with the suffix before
+    border = np.append(True, color[order][1:] != color[order][:-1])  # heads of runs of one color
+    up = _least_so_far(shared, border)  # the least from a run's head on: with the last suffix of another color before
+    down = _least_so_far(np.append(shared[1:], 0)[::-1], np.append(border[1:], True)[::-1])[::-1]
+    out = np.empty(len(symbols), np.int64)
+    out[order] = np.maximum(up, down)
+    return out
+
+
 def marked_passages(texts: list[bytes], colors: list) -> list[list[tuple[int, int]]]:
-    """Per text, the stretches of WORDS words that occur in a text of another color; a text without a color is of several."""
-    bounds = [word_bounds(t) for t in texts]
-    owner = np.repeat(np.arange(len(texts)), [len(s) - WORDS + 1 for s, _ in bounds])
-    first, last = np.concatenate([s[: len(s) - WORDS + 1] for s, _ in bounds]), np.concatenate([e[WORDS - 1 :] for _, e in bounds])
-    hashes = np.concatenate([substring_hashes(_prefix(t, _BASES[0]), s[: len(s) - WORDS + 1], e[WORDS - 1 :], _BASES[0]) for t, (s, e) in zip(texts, bounds)])
-    color = np.array([0 if c is None else c for c in colors], np.int64)[owner]
-    several = np.array([c is None for c in colors], bool)[owner]
-    order = np.argsort(hashes)
-    heads = np.flatnonzero(np.append(True, hashes[order][1:] != hashes[order][:-1]))
-    other = (np.minimum.reduceat(color[order], heads) < np.maximum.reduceat(color[order], heads)) | np.logical_or.reduceat(several[order], heads)
-    kept = np.empty(len(order), bool)
-    kept[order] = np.repeat(other, np.diff(np.append(heads, len(order))))
-    cuts = np.searchsorted(owner[kept], np.arange(len(texts) + 1))
-    first, last = first[kept], last[kept]
-    return [covered(first[cuts[i] : cuts[i + 1]], last[cuts[i] : cuts[i + 1]]) for i in range(len(texts))]
+    """Per text, the stretches of WORDS words that occur in a text of another color; a text without a color is of several. Texts begin and end with words."""
+    numbers: dict[bytes, int] = {}
+    cut = [[numbers.setdefault(x, len(numbers)) for x in _SYMBOL.findall(t)] for t in texts]
+    sizes = np.array([len(c) for c in cut])
+    stops = np.cumsum(sizes + 1) - 1
+    symbols = np.full(int(stops[-1]) + 1, len(numbers))
+    starts = stops - sizes
+    for c, s in zip(cut, starts):
+        symbols[s : s + len(c)] = c
+    own = {c: i for i, c in enumerate(dict.fromkeys(colors))}
+    color = np.array([-1 - i if c is None else own[c] for i, c in enumerate(colors)])
+    found = foreign_statistics(symbols, np.repeat(stops, sizes + 1), np.repeat(color, sizes + 1))
+    out = []
+    for t, c, s, n in zip(texts, colors, starts, sizes):
+        first, last = word_bounds(t)
+        hit = np.ones(max(0, len(first) - WORDS + 1), bool) if c is None else found[s : s + n : 2][: max(0, len(first) - WORDS + 1)] >= 2 * WORDS - 1
+        at = np.flatnonzero(hit)
+        out.append(covered(first[at], last[at + WORDS - 1]))
+    return out
 
 
 #: A piece is a text (level 0: its two hashes) or a crowded segment of the level before (its key and hash); n: 2 if it stands at several places, else 1;
 #: color: the hash of the only text that has it, null for several.
 PIECE_ID = ["pk", "pw"]
 FOUND = "pk long, pw long, key long, whole long, first long, size long, inner boolean"
-CUT = "key long, whole long, n long, color long, load long, single boolean, pk long, pw long, first long, data binary"
+CUT = "key long, whole long, n long, color long, load long, single boolean, pk long, pw long, first long, place long, data binary"
 MARK = "pk long, pw long, kind int, s long, e long"
 SEGMENT_MARK = "key long, whole long, s long, e long, single boolean, pk long, pw long, first long"
 
@@ -299,7 +342,8 @@ SEGMENT_MARK = "key long, whole long, s long, e long, single boolean, pk long, p
 def _identified(docs: DataFrame) -> DataFrame:
     """doc_id, text (binary), and the two hashes that stand for the text."""
     text = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).cast("binary").alias("text"))
-    return text.withColumn("pk", F.xxhash64("text")).withColumn("pw", F.crc32("text"))
+    text = text.withColumn("sha", F.sha2("text", 256))
+    return text.select("doc_id", "text", F.xxhash64("sha").alias("pk"), F.xxhash64("sha", F.lit(1)).alias("pw"))
 
 
 def _batch(rows, schema: str) -> pa.RecordBatch:
@@ -315,7 +359,7 @@ def _slices(batches):
             yield batch.slice(at, ROWS)
 
 
-def _segment_rows(level: int):
+def _segment_rows(level: int, secret: bytes):
     """Segments of texts, or of crowded segments: these are of one kind, and their n and color go along."""
     along = ["n", "color"] if level else []
     names = [*(x.split()[0] for x in FOUND.split(", ")), *along]
@@ -324,7 +368,7 @@ def _segment_rows(level: int):
         for batch in _slices(batches):
             parts = []
             for pk, pw, data, *rest in zip(*(batch.column(c).to_pylist() for c in ("pk", "pw", "data", *along))):
-                found = segments(data, level, (pk & 1,) if level else (0, 1))
+                found = segments(data, level, (pk & 1,) if level else (0, 1), secret)
                 k = len(found[0])
                 if k:
                     parts.append((np.full(k, pk), np.full(k, pw), *found, *[np.full(k, 0 if x is None else x) for x in rest], np.full(k, None in rest)))
@@ -336,16 +380,19 @@ def _segment_rows(level: int):
 
 
 def _cut_rows(batches):
-    """Pieces with a list of wanted segments to one row per segment; copies of a piece in one task are cut once."""
-    done = set()
+    """Pieces with a list of wanted segments to one row per segment and place. Of the copies of a piece in one task, one is cut, and two where its copies are wanted (place 2 and above)."""
+    done: dict = {}
+    place = (TaskContext.get().partitionId() << 40) + 2
     for batch in _slices(batches):
         rows = []
         for pk, pw, data, wanted in zip(*(batch.column(c).to_pylist() for c in ("pk", "pw", "data", "wanted"))):
-            if (pk, pw) in done:
+            done[pk, pw] = copies = done.get((pk, pw), 0) + 1
+            if copies > 2:
                 continue
-            done.add((pk, pw))
+            place += 1
             for w in wanted:
-                rows.append((w["key"], w["whole"], w["n"], w["color"], w["load"], w["single"], pk, pw, w["first"], data[w["first"] : w["first"] + w["size"]]))
+                if copies == 1 or w["side"] > 1:
+                    rows.append((w["key"], w["whole"], w["n"], w["color"], w["load"], w["single"], pk, pw, w["first"], place if w["side"] > 1 else w["side"], data[w["first"] : w["first"] + w["size"]]))
                 if len(rows) >= 4000:
                     yield _batch(rows, CUT)
                     rows = []
@@ -353,16 +400,28 @@ def _cut_rows(batches):
             yield _batch(rows, CUT)
 
 
-def _once(batches):
-    """Rows of pieces, one per task of those that are equal."""
-    done = set()
-    for batch in batches:
-        keep = []
-        for i, piece in enumerate(zip(batch.column("pk").to_pylist(), batch.column("pw").to_pylist())):
-            if piece not in done:
-                done.add(piece)
-                keep.append(i)
-        yield batch if len(keep) == len(batch) else batch.take(pa.array(keep, pa.int64()))
+def _compared(cut: DataFrame) -> DataFrame:
+    """One row per segment; n: 2 if its bytes at two places, or in two copies of its text, are equal."""
+    same = [c for c in ("n", "color", "load", "single")]
+    both = cut.groupBy("key", "whole").agg(*[F.max(c).alias(c) for c in same], F.min(F.struct("pk", "pw", "first")).alias("at"), F.min("place").alias("p"), F.max("place").alias("q"), F.min_by("data", "place").alias("data"), F.max_by("data", "place").alias("other"))
+    n = F.when(F.col("p") == F.col("q"), F.col("n")).when(F.col("data") == F.col("other"), 2).otherwise(F.raise_error("two segments have one hash; run again, with another key"))
+    return both.select("key", "whole", n.cast("long").alias("n"), "color", "load", "single", "at.*", "data")
+
+
+def _copies(most: int):
+    """Rows of pieces, so many per task of those that are equal."""
+
+    def rows(batches):
+        seen: dict = {}
+        for batch in batches:
+            keep = []
+            for i, piece in enumerate(zip(batch.column("pk").to_pylist(), batch.column("pw").to_pylist())):
+                seen[piece] = n = seen.get(piece, 0) + 1
+                if n <= most:
+                    keep.append(i)
+            yield batch if len(keep) == len(batch) else batch.take(pa.array(keep, pa.int64()))
+
+    return rows
 
 
 def _merged(marks: DataFrame) -> DataFrame:
@@ -397,17 +456,17 @@ def _copied(texts: DataFrame) -> DataFrame:
 
 
 def _copied_segments(copied: DataFrame) -> DataFrame:
-    """Texts that several rows have, cut to long segments of their own: two copies each meet in the index."""
+    """Texts that several rows have, cut to long segments of their own, of two rows each."""
     cut = copied.where(F.col("length") >= LENGTH).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - LENGTH, F.lit(COPIED).cast("long"))).alias("first"))
     size = F.least(F.lit(COPIED + LENGTH - 1).cast("long"), F.col("length") - F.col("first"))
     key = F.xxhash64("pk", "pw", "first").bitwiseAND(-2)
-    return cut.select(key.alias("key"), F.xxhash64("pw", "first", "pk").alias("whole"), F.lit(2).cast("long").alias("n"), F.lit(None).cast("long").alias("color"), size.alias("load"), F.lit(True).alias("single"), "pk", "pw", "first", size.alias("size"))
+    return cut.select(key.alias("key"), F.xxhash64("pw", "first", "pk").alias("whole"), F.lit(1).cast("long").alias("n"), F.lit(None).cast("long").alias("color"), size.alias("load"), F.lit(True).alias("single"), F.lit(2).alias("side"), "pk", "pw", "first", size.alias("size"))
 
 
-def piece_marks(pieces: DataFrame, level: int = 0, copied: DataFrame | None = None) -> DataFrame:
+def piece_marks(pieces: DataFrame, secret: bytes, level: int = 0, copied: DataFrame | None = None) -> DataFrame:
     """pk, pw, kind, s, e: stretches of pieces covered by repeats (they may overlap and touch)."""
-    once = pieces if level else pieces.mapInArrow(_once, "pk long, pw long, data binary")
-    found = written(once.mapInArrow(_segment_rows(level), FOUND + (", n long, color long" if level else "")), "segments")
+    few = lambda most: pieces if level else pieces.mapInArrow(_copies(most), "pk long, pw long, data binary")
+    found = written(few(1).mapInArrow(_segment_rows(level, secret), FOUND + (", n long, color long" if level else "")), "segments")
     # Most keys occur once: they go before anything wider than a key is shuffled for good.
     known = found.groupBy("key").agg(F.count("*").alias("rows"), F.max("inner").alias("any"), (F.max("n") if level else F.lit(1)).alias("n"))
     found = found.join(known.where((F.col("rows") > 1) | F.col("any") | (F.col("n") > 1)).select("key"), "key", "left_semi")
@@ -415,6 +474,7 @@ def piece_marks(pieces: DataFrame, level: int = 0, copied: DataFrame | None = No
     color = F.col("color" if level else "pk")
     counted = found.groupBy("key", "whole").agg(
         F.min(F.struct("pk", "pw", "first", "size")).alias("one"),
+        F.max(F.struct("pk", "pw", "first", "size")).alias("other"),
         ((F.min("pk") != F.max("pk")) | (F.min("pw") != F.max("pw")) | (F.min("first") != F.max("first"))).alias("several"),
         F.max("inner").alias("inner"),
         F.min(color).alias("least"),
@@ -422,27 +482,29 @@ def piece_marks(pieces: DataFrame, level: int = 0, copied: DataFrame | None = No
         *([F.max("n").alias("n"), F.max(F.col("color").isNull()).alias("mixed")] if level else []),
     )
     counted = counted if level else counted.withColumns({"n": F.lit(1).cast("long"), "mixed": F.lit(False)})
-    counted = counted.withColumn("n", F.when(F.col("several"), 2).otherwise(F.col("n")).cast("long"))
     # A key of one place has no repeat, and one of a single text has no passage of another document.
-    keys = counted.groupBy("key").agg(F.sum("n").alias("all"), F.sum("one.size").alias("load"), F.max("inner").alias("any"), ((F.min("least") < F.max("most")) | F.max("mixed")).alias("texts"))
+    keys = counted.groupBy("key").agg(F.sum(F.when(F.col("several"), 2).otherwise(F.col("n"))).alias("all"), F.sum("one.size").alias("load"), F.max("inner").alias("any"), ((F.min("least") < F.max("most")) | F.max("mixed")).alias("texts"))
     keys = keys.where(F.when(F.col("key").bitwiseAND(1) == 0, (F.col("all") > 1) | F.col("any")).otherwise(F.col("texts"))).select("key", "load")
     color = F.when(~F.col("mixed") & (F.col("least") == F.col("most")), F.col("least"))
-    flagged = counted.join(keys, "key").select("key", "whole", "n", color.alias("color"), "load", (~F.col("several")).alias("single"), "one.*")
+    places = F.posexplode(F.when(F.col("several"), F.array("one", "other")).otherwise(F.array("one"))).alias("side", "at")
+    flagged = counted.join(keys, "key").select("key", "whole", "n", color.alias("color"), "load", (~F.col("several")).alias("single"), places)
+    flagged = flagged.select("key", "whole", "n", "color", "load", "single", "side", "at.*")
     flagged = written(flagged if copied is None else flagged.unionByName(_copied_segments(copied)), "flagged")
 
     last = level + 1 == len(GRAMS[0])
     crowded = F.lit(False) if last else F.col("load") > CROWDED
-    size, more = flagged.agg(F.sum(F.when(~crowded, F.col("size"))), F.max(crowded)).first()
+    size, more = flagged.agg(F.sum(F.when(~crowded & (F.col("side") != 1), F.col("size"))), F.max(crowded)).first()
     buckets = max(1, -(-(size or 0) // BUCKET))
-    item = F.struct("key", "whole", "n", "color", "load", "single", "first", "size")
+    item = F.struct("key", "whole", "n", "color", "load", "single", "side", "first", "size")
     lists = flagged.groupBy(*PIECE_ID).agg(F.collect_list(item).alias("wanted"))
-    # Every copy of a text gives its segments again: one row of each is kept, so that it doesn't match itself and BUCKET bounds a group.
-    cut = written(once.select("data", *PIECE_ID).join(lists, PIECE_ID).select("pk", "pw", "data", "wanted").mapInArrow(_cut_rows, CUT).dropDuplicates(["key", "whole"]), "cut-segments")
+    # Copies of a text give its segments again: one row of each is kept, so that BUCKET bounds a group.
+    cut = few(2).select("data", *PIECE_ID).join(lists, PIECE_ID).select("pk", "pw", "data", "wanted").mapInArrow(_cut_rows, CUT)
+    cut = written(_compared(cut), "cut-segments")
     shelved = cut.where(~crowded).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
     marked = shelved.groupBy("bucket").applyInArrow(_bucket_marks, SEGMENT_MARK)
     if more:
         finer = cut.where(crowded).select(F.col("key").alias("pk"), F.col("whole").alias("pw"), "n", "color", "data")
-        deeper = piece_marks(finer, level + 1).withColumnsRenamed({"pk": "key", "pw": "whole"})
+        deeper = piece_marks(finer, secret, level + 1).withColumnsRenamed({"pk": "key", "pw": "whole"})
         where = cut.where(crowded).select("key", "whole", "single", "pk", "pw", "first")
         marked = marked.unionByName(deeper.join(where, ["key", "whole"]).select(marked.columns))
     marked = written(marked, "segment-marks")
@@ -458,7 +520,7 @@ def marks(texts: DataFrame) -> DataFrame:
     """pk, pw, kind, s, e of texts. Texts that several rows have are passages of several documents as a whole."""
     long = texts.where(F.length("text") >= 2 * WORDS - 1).select(*PIECE_ID, F.col("text").alias("data"))
     copied = written(_copied(texts), "copied")
-    return piece_marks(long, copied=copied).unionByName(copied.select(*PIECE_ID, F.lit(1).alias("kind"), F.lit(0).cast("long").alias("s"), F.col("length").alias("e")))
+    return piece_marks(long, secrets.token_bytes(16), copied=copied).unionByName(copied.select(*PIECE_ID, F.lit(1).alias("kind"), F.lit(0).cast("long").alias("s"), F.col("length").alias("e")))
 
 
 def _joined(found: list) -> list[tuple[int, int]]:

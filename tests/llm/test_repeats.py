@@ -68,7 +68,7 @@ def test_equals_brute_force(spark, monkeypatch, seed, bucket):
     monkeypatch.setattr(repeats, "COPIED", 1000 if seed == 2 else 1 << 16)
     levels = []
     step = repeats.piece_marks
-    monkeypatch.setattr(repeats, "piece_marks", lambda pieces, level=0, **rest: levels.append(level) or step(pieces, level, **rest))
+    monkeypatch.setattr(repeats, "piece_marks", lambda pieces, secret, level=0, **rest: levels.append(level) or step(pieces, secret, level, **rest))
     texts = corpus(seed)
     got = sorted(tuple(r) for r in repeats.digest(repeats.without_repeats(docs_frame(spark, texts))).collect())
     assert [(g, w) for g, w in zip(got, expected(texts)) if g != w] == [] and len(got) == len(texts)
@@ -107,6 +107,61 @@ def test_matching_statistics_equal_brute_force():
         assert runs <= 2 * (sum(map(len, texts)) + len(texts))
 
 
+def thue_morse(order):
+    bits = np.zeros(1, np.uint8)
+    for _ in range(order):
+        bits = np.concatenate([bits, 1 - bits])
+    return bits
+
+
+def test_segments_that_a_polynomial_hash_takes_for_equal(spark):
+    """Thue-Morse bits and their complements collide modulo powers of two, whatever the base; nothing of these texts is repeated over 400 bytes."""
+    rng = np.random.default_rng(7)
+    with np.errstate(over="ignore"):
+        grams = [bytes(rng.integers(97, 123, 128, dtype=np.uint8)) for _ in range(20000)]
+        hashes = np.array([repeats.substring_hashes(repeats._prefix(g, repeats._BASE), np.array([0]), np.array([128]), repeats._BASE)[0] for g in grams])
+    gram = grams[int(hashes.argmin())]  # the least of any window
+    noise = [rng.integers(97, 121, 128, dtype=np.uint8) for _ in range(8)]
+    texts = []
+    for side in (0, 1):
+        blocks = [gram + bytes(x + (thue_morse(7) ^ polarity ^ side)) for x, polarity in zip(noise, thue_morse(3))]
+        texts.append((b"".join(blocks) + gram).decode())
+    prefixes = [repeats._prefix(t.encode(), repeats._BASE) for t in texts]
+    assert len({int(repeats.substring_hashes(p, np.array([0]), np.array([len(texts[0])]), repeats._BASE)[0]) for p in prefixes}) == 1
+    got = sorted(tuple(r) for r in repeats.digest(repeats.without_repeats(docs_frame(spark, texts))).collect())
+    assert got == expected(texts) and got[0][2] == got[1][2] == 0
+
+
+def test_statistics_against_other_colors():
+    rng = random.Random(3)
+    for _ in range(40):
+        texts = [[rng.randint(0, 2) for _ in range(rng.randint(1, 25))] for _ in range(rng.randint(1, 6))]
+        colors = [rng.randint(0, 2) for _ in texts]
+        symbols = np.array([x for t in texts for x in [*t, 3]])
+        sizes = np.array([len(t) for t in texts])
+        stops = np.cumsum(sizes + 1) - 1
+        got = repeats.foreign_statistics(symbols, np.repeat(stops, sizes + 1), np.repeat(colors, sizes + 1))
+        for t, c, stop in zip(texts, colors, stops):
+            for p in range(len(t)):
+                best = 0
+                for u, d in zip(texts, colors):
+                    for q in range(len(u) if c != d else 0):
+                        k = 0
+                        while k < min(len(t) - p, len(u) - q) and t[p + k] == u[q + k]:
+                            k += 1
+                        best = max(best, k)
+                assert got[stop - len(t) + p] == best
+
+
+def test_hash_decides_nothing(spark):
+    """Segments of one hash whose bytes differ are told, not taken for equal."""
+    rows = [(1, 0, 1, None, 10, False, 1, 1, 0, side, data) for side, data in enumerate((b"same", b"same"))] + [(2, 0, 1, None, 10, True, 1, 1, 0, 0, b"once")]
+    got = {r["key"]: r["n"] for r in repeats._compared(spark.createDataFrame(rows, repeats.CUT)).collect()}
+    assert got == {1: 2, 2: 1}
+    with pytest.raises(Exception, match="two segments have one hash"):
+        repeats._compared(spark.createDataFrame([(1, 0, 1, None, 10, False, 1, 1, 0, side, data) for side, data in enumerate((b"one", b"two"))], repeats.CUT)).collect()
+
+
 def test_pieces_of_long_texts(monkeypatch):
     monkeypatch.setattr(repeats, "PIECE", 1000)
     rng = np.random.default_rng(1)
