@@ -49,9 +49,10 @@ LENGTH = 400
 WORDS = 51
 #: Gram lengths of the levels: bytes, and words.
 GRAMS = ((128, 256, 384, LENGTH), (12, 24, 48, WORDS))
-#: Bytes of one piece of a long text, windows of one segment, windows of one segment of a copied text, bytes of one bucket, bytes of one key's different
+#: Bytes of one piece of a long text, bytes of short texts taken together, windows of one segment, windows of one segment of a copied text, bytes of one bucket, bytes of one key's different
 #: segments from which on it is filed again (a bucket may hold so many more).
 PIECE = 1 << 20
+GATHERED = 1 << 16
 LONGEST = 4096
 COPIED = 1 << 16
 BUCKET = 1 << 19
@@ -120,33 +121,84 @@ def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return change[::2], change[1::2]
 
 
-def _runs(kind: int, grams: np.ndarray, width: int):
-    """Keys of windows of width grams each, cut to segments: key, first window, windows, whether the key may occur at two places."""
-    keys = sliding_minimum(grams, width)
-    starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
+def _within(n: int, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Whether each of n places is in one of the ranges, which don't overlap."""
+    change = np.zeros(n + 1, np.int64)
+    change[first] += 1
+    np.subtract.at(change, stop, 1)
+    return np.cumsum(change)[:n] > 0
+
+
+def _runs(kind: int, grams: np.ndarray, width: int, first: np.ndarray, stop: np.ndarray):
+    """Keys of the windows (of width grams each) that begin in the ranges, cut to segments: key, first window, windows, whether the key may occur at two places."""
+    least = sliding_minimum(grams, width)
+    windows = np.flatnonzero(_within(len(least), first, stop))
+    keys = least[windows]
+    starts = np.append(0, np.flatnonzero((keys[1:] != keys[:-1]) | (windows[1:] != windows[:-1] + 1)) + 1)
     sizes = np.diff(np.append(starts, len(keys)))
     if sizes.max() > LONGEST:
         starts = np.concatenate([np.arange(s, s + n, LONGEST) for s, n in zip(starts, sizes)])
         sizes = np.diff(np.append(starts, len(keys)))
     found = (keys[starts] & ~np.uint64(1)) | np.uint64(kind)
     if kind:  # a passage that one document alone repeats doesn't count
-        return found, starts, sizes, np.zeros(len(found), bool)
+        return found, windows[starts], sizes, np.zeros(len(found), bool)
     # Places that are the least of some window: no larger than the greatest key of the windows around them.
-    around = ~sliding_minimum(np.pad(~keys, width - 1, constant_values=np.iinfo(np.uint64).max), width)
-    values, counts = np.unique(grams[grams == around], return_counts=True)
-    return found, starts, sizes, np.isin(keys[starts], values[counts > 1])
+    outside = np.full(len(least) + 2 * width - 2, np.iinfo(np.uint64).max)
+    outside[windows + width - 1] = ~keys
+    around = ~sliding_minimum(outside, width)
+    values, counts = np.unique(grams[(grams == around) & _within(len(grams), first, stop + width - 1)], return_counts=True)
+    return found, windows[starts], sizes, np.isin(keys[starts], values[counts > 1])
 
 
 def segment_hashes(data: bytes, starts: np.ndarray, sizes: np.ndarray, secret: bytes) -> np.ndarray:
     """Keyed 64-bit BLAKE2b of the segments' bytes."""
-    view = memoryview(data)
-    return np.frombuffer(b"".join(hashlib.blake2b(view[s : s + n], digest_size=8, key=secret).digest() for s, n in zip(starts.tolist(), sizes.tolist())), np.int64)
-
-
-def segments(data: bytes, level: int = 0, kinds=(0, 1), secret: bytes = b""):
-    """Arrays key (its lowest bit is the kind), segment hash, first byte, bytes, whether the key may occur at two places of the segment."""
-    out = [tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int64, bool))]
-    words, ends = word_bounds(data) if 1 in kinds else (np.empty(0, np.int64),) * 2
+    view, keyed = memoryview(data), hashlib.blake2b(digest_size=8, key=secret)
+    out = []
+    for s, n in zip(starts.tolist(), sizes.tolist()):
+        one = keyed.copy()
+        one.update(view[s : s + n])
+        out.append(one.digest())
+    return np.frombuffer(b"".join(out), np.int64)
+
+
+def _found(data: bytes, bytewise, words: np.ndarray, ends: np.ndarray, wordwise, level: int, secret: bytes):
+    """Arrays key, segment hash, first byte, bytes, inner of the windows that begin in the ranges (of bytes, and of words)."""
+    prefix, out = _prefix(data, _BASE), []
+    if len(bytewise[0]):
+        gram = GRAMS[0][level]
+        places = np.arange(len(data) - gram + 1)
+        key, first, n, inner = _runs(0, substring_hashes(prefix, places, places + gram, _BASE), LENGTH - gram + 1, *bytewise)
+        out.append((key.view(np.int64), first, n + LENGTH - 1, inner))
+    if len(wordwise[0]):
+        gram = GRAMS[1][level]
+        places = np.arange(len(words) - gram + 1)
+        key, first, n, inner = _runs(1, substring_hashes(prefix, words[places], ends[places + gram - 1], _BASE), WORDS - gram + 1, *wordwise)
+        out.append((key.view(np.int64), words[first], ends[first + n + WORDS - 2] - words[first], inner))
+    key, first, size, inner = (np.concatenate(x) for x in zip(*out))
+    return key, segment_hashes(data, first, size, secret), first, size, inner
+
+
+_NONE = (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def _of_short(texts: list[bytes], level: int, kinds, secret: bytes):
+    """The texts' segments in one go; a blank between texts, and no window over it."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    begin = np.cumsum(sizes + 1) - sizes - 1
+    data = b"\n".join(texts)
+    words, ends = word_bounds(data) if 1 in kinds else _NONE
+    a, b = np.searchsorted(words, begin), np.searchsorted(words, begin + sizes)
+    long, wordy = (sizes >= LENGTH) & (0 in kinds), b - a >= WORDS
+    bytewise, wordwise = (begin[long], (begin + sizes - LENGTH + 1)[long]), (a[wordy], (b - WORDS + 1)[wordy])
+    if len(bytewise[0]) or len(wordwise[0]):
+        key, whole, first, size, inner = _found(data, bytewise, words, ends, wordwise, level, secret)
+        owner = np.searchsorted(begin, first, side="right") - 1
+        yield owner, key, whole, first - begin[owner], size, inner
+
+
+def _of_long(data: bytes, level: int, kinds, secret: bytes):
+    """A long text's segments, piece by piece."""
+    words, ends = word_bounds(data) if 1 in kinds else _NONE
     for at in range(0, len(data), PIECE):
         here = min(PIECE, len(data) - LENGTH + 1 - at) if 0 in kinds else 0
         a, b = np.searchsorted(words, (at, at + PIECE))
@@ -154,21 +206,34 @@ def segments(data: bytes, level: int = 0, kinds=(0, 1), secret: bytes = b""):
         if here <= 0 and there <= 0:
             continue
         last = max(at + here + LENGTH - 1 if here > 0 else 0, ends[a + there + WORDS - 2] if there > 0 else 0)
-        prefix = _prefix(data[at:last], _BASE)
-        if here > 0:
-            gram = GRAMS[0][level]
-            places = np.arange(here + LENGTH - gram)
-            key, first, n, inner = _runs(0, substring_hashes(prefix, places, places + gram, _BASE), LENGTH - gram + 1)
-            out.append((key.view(np.int64), segment_hashes(data, first + at, n + LENGTH - 1, secret), first + at, n + LENGTH - 1, inner))
-        if there > 0:
-            gram = GRAMS[1][level]
-            places = np.arange(a, a + there + WORDS - gram)
-            key, first, n, inner = _runs(1, substring_hashes(prefix, words[places] - at, ends[places + gram - 1] - at, _BASE), WORDS - gram + 1)
-            s, e = words[a + first], ends[a + first + n + WORDS - 2]
-            out.append((key.view(np.int64), segment_hashes(data, s, e - s, secret), s, e - s, inner))
+        span = lambda n: (np.array([0]), np.array([n])) if n > 0 else _NONE
+        piece = slice(a, a + max(0, there + WORDS - 1))
+        key, whole, first, size, inner = _found(data[at:last], span(here), words[piece] - at, ends[piece] - at, span(there), level, secret)
+        yield np.zeros(len(key), np.int64), key, whole, first + at, size, inner
+
+
+def segments_of(texts: list[bytes], level: int = 0, kinds=(0, 1), secret: bytes = b""):
+    """Arrays text's number, key (its lowest bit is the kind), segment hash, first byte, bytes, whether the key may occur at two places of the segment."""
+    out = [tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int64, bool))]
+    most = min(GATHERED, PIECE)
+    filled = np.cumsum([len(t) for t in texts])
+    at = 0
+    while at < len(texts):
+        if len(texts[at]) > most:
+            end, found = at + 1, _of_long(texts[at], level, kinds, secret)
+        else:
+            end = max(at + 1, int(np.searchsorted(filled, most + (filled[at - 1] if at else 0), side="right")))
+            found = _of_short(texts[at:end], level, kinds, secret)
+        out += [(owner + at, *rest) for owner, *rest in found]
+        at = end
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def segments(data: bytes, level: int = 0, kinds=(0, 1), secret: bytes = b""):
+    """The same of one text, without its number."""
+    return segments_of([data], level, kinds, secret)[1:]
+
+
 def _order(key: np.ndarray, bits: int) -> np.ndarray:
     """Stable order of keys of so many bits."""
     n = len(key)
@@ -192,8 +257,8 @@ def suffix_order(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[n
     return doubled(key, WIDTH, left)
 
 
-def doubled(key: np.ndarray, width: int, left: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Suffix array and ranks by prefix doubling from keys of the first width symbols; left: symbols before a position's end."""
+def doubled(key: np.ndarray, width: int, left: np.ndarray, most: int | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Suffix array and ranks by prefix doubling from keys of the first width symbols; left: symbols before a position's end; most: symbols that count."""
     n = len(key)
     order = np.argsort(key, kind="quicksort")
     key = key[order]
@@ -207,7 +272,7 @@ def doubled(key: np.ndarray, width: int, left: np.ndarray) -> tuple[np.ndarray,
     ranks, bits = [rank.astype(np.int32)], n.bit_length()
     while True:
         active = active[left[active] >= width]  # the others are equal to their ends
-        if not len(active):
+        if not len(active) or (most and width >= most):
             break
         key = (rank[active] << bits) | rank[active + width]
         order = _order(key, 2 * bits)
@@ -296,10 +361,16 @@ def _least_so_far(values: np.ndarray, new: np.ndarray) -> np.ndarray:
     return np.minimum.accumulate(values - below) + below
 
 
-def foreign_statistics(symbols: np.ndarray, ends: np.ndarray, color: np.ndarray) -> np.ndarray:
-    """For every position, the longest match with a text of another color; symbols: texts with a separator of their own after each."""
-    order, ranks = doubled(symbols, 1, (ends - np.arange(len(symbols))).astype(np.int32))
-    shared = np.append(0, common_prefix(order[1:], order[:-1], symbols, ends, ranks, 1))  # with the suffix before
+def foreign_statistics(symbols: np.ndarray, ends: np.ndarray, color: np.ndarray, most: int) -> np.ndarray:
+    """For every position, the longest match with a text of another color, exact up to most symbols; symbols: texts with a separator after each, all from 1 on."""
+    left = (ends - np.arange(len(symbols))).astype(np.int32)
+    bits = int(symbols.max()).bit_length()
+    width = max(1, 62 // bits)
+    key = symbols.copy()
+    for i in range(1, width):  # nothing counts after a separator
+        key = (key << bits) | np.where(left >= i, np.append(symbols[i:], np.zeros(i, symbols.dtype))[: len(symbols)], 0)
+    order, ranks = doubled(key, width, left, most)
+    shared = np.append(0, common_prefix(order[1:], order[:-1], symbols, ends, ranks, width))  # with the suffix before
     border = np.append(True, color[order][1:] != color[order][:-1])  # heads of runs of one color
     up = _least_so_far(shared, border)  # the least from a run's head on: with the last suffix of another color before
     down = _least_so_far(np.append(shared[1:], 0)[::-1], np.append(border[1:], True)[::-1])[::-1]
@@ -311,16 +382,16 @@ def foreign_statistics(symbols: np.ndarray, ends: np.ndarray, color: np.ndarray)
 def marked_passages(texts: list[bytes], colors: list) -> list[list[tuple[int, int]]]:
     """Per text, the stretches of WORDS words that occur in a text of another color; a text without a color is of several. Texts begin and end with words."""
     numbers: dict[bytes, int] = {}
-    cut = [[numbers.setdefault(x, len(numbers)) for x in _SYMBOL.findall(t)] for t in texts]
+    cut = [[numbers.setdefault(x, len(numbers) + 1) for x in _SYMBOL.findall(t)] for t in texts]
     sizes = np.array([len(c) for c in cut])
     stops = np.cumsum(sizes + 1) - 1
-    symbols = np.full(int(stops[-1]) + 1, len(numbers))
+    symbols = np.full(int(stops[-1]) + 1, len(numbers) + 1)
     starts = stops - sizes
     for c, s in zip(cut, starts):
         symbols[s : s + len(c)] = c
     own = {c: i for i, c in enumerate(dict.fromkeys(colors))}
     color = np.array([-1 - i if c is None else own[c] for i, c in enumerate(colors)])
-    found = foreign_statistics(symbols, np.repeat(stops, sizes + 1), np.repeat(color, sizes + 1))
+    found = foreign_statistics(symbols, np.repeat(stops, sizes + 1), np.repeat(color, sizes + 1), 2 * WORDS - 1)
     out = []
     for t, c, s, n in zip(texts, colors, starts, sizes):
         first, last = word_bounds(t)
@@ -366,15 +437,14 @@ def _segment_rows(level: int, secret: bytes):
 
     def rows(batches):
         for batch in _slices(batches):
-            parts = []
-            for pk, pw, data, *rest in zip(*(batch.column(c).to_pylist() for c in ("pk", "pw", "data", *along))):
-                found = segments(data, level, (pk & 1,) if level else (0, 1), secret)
-                k = len(found[0])
-                if k:
-                    parts.append((np.full(k, pk), np.full(k, pw), *found, *[np.full(k, 0 if x is None else x) for x in rest], np.full(k, None in rest)))
-            if parts:
-                *columns, unknown = (np.concatenate(x) for x in zip(*parts))
-                yield pa.RecordBatch.from_arrays([pa.array(c, mask=unknown if name == "color" else None) for c, name in zip(columns, names)], names)
+            data = batch.column("data").to_pylist()
+            given = {c: batch.column(c) for c in ("pk", "pw", *along)}
+            for kinds in ((0,), (1,)) if level else ((0, 1),):
+                mine = np.flatnonzero((given["pk"].to_numpy() & 1) == kinds[0]) if level else np.arange(len(batch))
+                owner, *found = segments_of([data[i] for i in mine], level, kinds, secret)
+                owner = pa.array(mine[owner])
+                columns = {"pk": given["pk"].take(owner), "pw": given["pw"].take(owner)} | dict(zip(("key", "whole", "first", "size", "inner"), map(pa.array, found)))
+                yield pa.RecordBatch.from_arrays([columns[c] if c in columns else given[c].take(owner) for c in names], names)
 
     return rows
 

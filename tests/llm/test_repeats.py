@@ -137,10 +137,10 @@ def test_statistics_against_other_colors():
     for _ in range(40):
         texts = [[rng.randint(0, 2) for _ in range(rng.randint(1, 25))] for _ in range(rng.randint(1, 6))]
         colors = [rng.randint(0, 2) for _ in texts]
-        symbols = np.array([x for t in texts for x in [*t, 3]])
+        symbols = np.array([x + 1 for t in texts for x in [*t, 3]])
         sizes = np.array([len(t) for t in texts])
         stops = np.cumsum(sizes + 1) - 1
-        got = repeats.foreign_statistics(symbols, np.repeat(stops, sizes + 1), np.repeat(colors, sizes + 1))
+        got = repeats.foreign_statistics(symbols, np.repeat(stops, sizes + 1), np.repeat(colors, sizes + 1), 25)
         for t, c, stop in zip(texts, colors, stops):
             for p in range(len(t)):
                 best = 0
@@ -162,6 +162,18 @@ def test_hash_decides_nothing(spark):
         repeats._compared(spark.createDataFrame([(1, 0, 1, None, 10, False, 1, 1, 0, side, data) for side, data in enumerate((b"one", b"two"))], repeats.CUT)).collect()
 
 
+def test_short_texts_together(monkeypatch):
+    """Texts taken together give the segments they give alone, each window in one of them; an inner key may be told of too many."""
+    texts = [(t or "").encode() for t in corpus(4)]
+    alone = {(i, *map(int, x[:4])): bool(x[4]) for i, t in enumerate(texts) for x in zip(*repeats.segments(t, secret=b"s"))}
+    for gathered in (1 << 18, 3000):
+        monkeypatch.setattr(repeats, "GATHERED", gathered)
+        rows = [tuple(int(v) for v in x) for x in zip(*repeats.segments_of(texts, secret=b"s"))]
+        together = {x[:5]: bool(x[5]) for x in rows}
+        assert together.keys() == alone.keys() and len(rows) == len(together)
+        assert all(together[x] for x, inner in alone.items() if inner)
+
+
 def test_pieces_of_long_texts(monkeypatch):
     monkeypatch.setattr(repeats, "PIECE", 1000)
     rng = np.random.default_rng(1)
