@@ -23,12 +23,31 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), lambda bound: body(bound))[0]
 
 
-def syllables(word: Column) -> Column:
-    """Parts at hyphens, each cut so that one consonant goes to the next vowel and of several the first stays."""
+def _cut(part: Column) -> Column:
+    """A part without hyphens, cut so that one consonant goes to the next vowel and of several the first stays."""
     v, c = f"[{VOWELS}]", f"[^{VOWELS}]"
-    cut = f"(?<={v})(?={c}{v})|(?<={v}{c})(?={c}+{v})"
-    parts = F.filter(F.split(word, "-"), lambda p: p != "")
-    return F.flatten(F.transform(parts, lambda p: F.split(p, cut)))
+    return F.split(part, f"(?<={v})(?={c}{v})|(?<={v}{c})(?={c}+{v})")
+
+
+def _parts(word: Column) -> Column:
+    """Parts at hyphens; a word of nothing but hyphens is its own part."""
+    found = F.filter(F.split(word, "-"), lambda p: p != "")
+    return F.when((F.size(found) == 0) & (word != ""), F.array(word)).otherwise(found)
+
+
+def syllables(word: Column) -> Column:
+    """The syllables of a word's parts at hyphens; hyphens alone are one syllable, an empty word has none (F1)."""
+    return F.flatten(F.transform(_parts(word), _cut))
+
+
+def syllable_spans(word: Column, t0: Column, t1: Column) -> Column:
+    """Syllables with their time (syllable, t0, t1): parts share the word's by length, syllables a part's in equal steps."""
+
+    def steps(part: Column) -> Column:
+        at = lambda s, k: interpolated(part["t0"], part["t1"], k, F.size(s)).cast("long")
+        return let(_cut(part["part"]), lambda s: F.transform(s, lambda x, k: F.struct(x.alias("syllable"), at(s, k).alias("t0"), at(s, k + 1).alias("t1"))))
+
+    return F.flatten(F.transform(part_spans(word, t0, t1), steps))
 
 
 def stress(word: Column, parts: Column) -> Column:
@@ -54,14 +73,13 @@ def pronounced(words: DataFrame, lexicon: DataFrame, word: str = "word") -> Data
 
 def part_spans(word: Column, t0: Column, t1: Column) -> Column:
     """Parts at hyphens with their share of the word's time by length: (part, t0, t1), the last one to the end."""
-    parts = F.filter(F.split(word, "-"), lambda p: p != "")
 
     def spans(found: Column) -> Column:
         upto = running_sum(F.transform(found, lambda p: F.length(p)))
         at = lambda s, i: F.when(i >= F.size(found), t1).otherwise(t0 + F.floor((t1 - t0) * F.get(s, i) / F.element_at(s, -1)))
         return let(upto, lambda s: F.transform(found, lambda p, i: F.struct(p.alias("part"), at(s, i).cast("long").alias("t0"), at(s, i + 1).cast("long").alias("t1"))))
 
-    return let(parts, spans)
+    return let(_parts(word), spans)
 
 
 def two_decimals(x: Column) -> Column:

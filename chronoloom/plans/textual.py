@@ -18,48 +18,49 @@ def q_syllables(spark, sf):
 
 
 _DISTINCT = f"words AS (SELECT DISTINCT unnest({a.WORDS_SQL}) AS word FROM documents)"
-#: Letter by letter: hyphens part words; one consonant between vowels goes over to the second, of several the first stays.
-_SYLLABLES = f"""
-letters AS (SELECT word, unnest(string_split(word, '')) AS c, generate_subscripts(string_split(word, ''), 1) AS pos FROM words),
-parts AS (SELECT word, pos, c, sum(CASE WHEN c = '-' THEN 1 ELSE 0 END) OVER (PARTITION BY word ORDER BY pos) AS part, CASE WHEN regexp_matches(c, '[{V}]') THEN 1 ELSE 0 END AS v FROM letters),
-around AS (SELECT word, pos, c, v, lag(v, 1) OVER o AS v1, lag(v, 2) OVER o AS v2, lead(v) OVER o AS n1, max(v) OVER (PARTITION BY word, part ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later
-  FROM parts WHERE c <> '-' WINDOW o AS (PARTITION BY word, part ORDER BY pos)),
-cuts AS (SELECT word, pos, c, CASE WHEN v1 IS NULL OR (v1 = 1 AND v = 0 AND n1 = 1) OR (v2 = 1 AND v1 = 0 AND v = 0 AND later = 1) THEN 1 ELSE 0 END AS starts FROM around),
-syl AS (SELECT word, pos, c, CAST(sum(starts) OVER (PARTITION BY word ORDER BY pos) AS INT) - 1 AS i FROM cuts)"""
 
 
-Q_SYLLABLES = f"""WITH {_DISTINCT},{_SYLLABLES},
-joined AS (SELECT word, i, string_agg(c, '' ORDER BY pos) AS s FROM syl GROUP BY word, i),
-every AS (SELECT word, string_agg(s, '|' ORDER BY i) AS syllables FROM joined GROUP BY word)
-SELECT word, coalesce(syllables, '') AS syllables FROM words LEFT JOIN every USING (word)"""
+def _cut_sql(part: str) -> str:
+    """Syllables of a part: breaks before one consonant between vowels, or after the first of several; a match takes its last vowel along, so each rule is applied twice."""
+    one, several = f"'([{V}])([^{V}\x01][{V}])', '\\1\x01\\2', 'g'", f"'([{V}][^{V}\x01])([^{V}\x01]+[{V}])', '\\1\x01\\2', 'g'"
+    return f"string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace({part}, {one}), {one}), {several}), {several}), '\x01')"
 
 
-#: A word without any syllable consists of hyphens.
-HAS_SYLLABLES = "word RLIKE '[^-]'"
+#: Words and their parts at hyphens; a word of hyphens alone is its own part.
+_PARTS = """
+found AS (SELECT word, list_filter(string_split(word, '-'), lambda x: x <> '') AS f FROM words),
+parted AS (SELECT word, CASE WHEN len(f) = 0 THEN [word] ELSE f END AS parts FROM found)"""
+_SYLLABLES = f"""{_PARTS},
+syl AS (SELECT word, flatten(list_transform(parts, lambda p: {_cut_sql("p")})) AS s FROM parted)"""
+
+
+Q_SYLLABLES = f"""WITH {_DISTINCT},{_SYLLABLES} SELECT word, array_to_string(s, '|') AS syllables FROM syl"""
 
 
 def q_stress(spark, sf):
-    words = a.distinct_words(spark, sf).where(HAS_SYLLABLES).select("word", text.syllables(F.col("word")).alias("parts"))
+    words = a.distinct_words(spark, sf).select("word", text.syllables(F.col("word")).alias("parts"))
     return words.select("word", F.size("parts").alias("n"), text.stress(F.col("word"), F.col("parts")).cast("int").alias("stressed"))
 
 
 Q_STRESS = f"""WITH {_DISTINCT},{_SYLLABLES},
-s AS (SELECT word, max(i) + 1 AS n, min(i) FILTER (regexp_matches(lower(c), '[áéíóúâêîôûãõàèìòù]')) AS accent FROM syl GROUP BY word)
-SELECT word, CAST(n AS INT) AS n, CAST(CASE WHEN accent IS NOT NULL THEN accent WHEN regexp_matches(lower(word), '(r|l|z|x|i|u|im|um|om|ins|uns|ons)$') THEN n - 1 ELSE greatest(0, n - 2) END AS INT) AS stressed FROM s"""
+s AS (SELECT word, len(s) AS n, list_position(list_transform(s, lambda x: regexp_matches(lower(x), '[áéíóúâêîôûãõàèìòù]')), true) - 1 AS accent FROM syl)
+SELECT word, CAST(n AS INT) AS n, CAST(CASE WHEN accent >= 0 THEN accent WHEN regexp_matches(lower(word), '(r|l|z|x|i|u|im|um|om|ins|uns|ons)$') THEN n - 1 ELSE greatest(0, n - 2) END AS INT) AS stressed FROM s"""
 
 
 def q_syllable_time(spark, sf):
-    """Every syllable's span in a word that lasts 100 ms a letter."""
-    words = a.distinct_words(spark, sf).where(HAS_SYLLABLES).select("word", F.size(text.syllables(F.col("word"))).alias("n"))
-    t1 = F.length("word") * 100_000
-    at = words.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    span = lambda k: text.interpolated(F.lit(0), t1, k, F.col("n")).cast("long")
-    return at.select("word", "i", span(F.col("i")).alias("t0"), span(F.col("i") + 1).alias("t1"))
+    """Every syllable's span in a word that lasts 100 ms a letter: parts at hyphens by length, syllables in equal steps."""
+    words = a.distinct_words(spark, sf)
+    spans = text.syllable_spans(F.col("word"), F.lit(0), F.length("word") * 100_000)
+    return words.select("word", F.posexplode(spans).alias("i", "x")).select("word", "i", "x.*")
 
 
-Q_SYLLABLE_TIME = f"""WITH {_DISTINCT},{_SYLLABLES},
-s AS (SELECT word, max(i) + 1 AS n FROM syl GROUP BY word), e AS (SELECT word, n, unnest(range(0, n)) AS i FROM s)
-SELECT word, CAST(i AS INT) AS i, CAST(i * (length(word) * 100000) // n AS BIGINT) AS t0, CAST(CASE WHEN i + 1 >= n THEN length(word) * 100000 ELSE (i + 1) * (length(word) * 100000) // n END AS BIGINT) AS t1 FROM e"""
+Q_SYLLABLE_TIME = f"""WITH {_DISTINCT},{_PARTS},
+e AS (SELECT word, length(word) * 100000 AS d, parts, unnest(parts) AS part, generate_subscripts(parts, 1) AS p FROM parted),
+shared AS (SELECT *, list_sum(list_transform(parts[1:p - 1], lambda x: length(x))) AS before, list_sum(list_transform(parts, lambda x: length(x))) AS total FROM e),
+timed AS (SELECT word, p, {_cut_sql("part")} AS s, CASE WHEN p = 1 THEN 0 ELSE d * before // total END AS a, CASE WHEN p = len(parts) THEN d ELSE d * (coalesce(before, 0) + length(part)) // total END AS b FROM shared),
+steps AS (SELECT word, p, a, b, len(s) AS n, unnest(s) AS syllable, generate_subscripts(s, 1) - 1 AS k FROM timed)
+SELECT word, CAST(row_number() OVER (PARTITION BY word ORDER BY p, k) - 1 AS INT) AS i, syllable,
+       CAST(a + k * (b - a) // n AS BIGINT) AS t0, CAST(CASE WHEN k + 1 = n THEN b ELSE a + (k + 1) * (b - a) // n END AS BIGINT) AS t1 FROM steps"""
 
 
 def q_phoneme_groups(spark, sf):

@@ -222,7 +222,7 @@ def value(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
 
-@pytest.mark.parametrize("word, parts, stressed", [("amigo", "a-mi-go", 1), ("música", "mú-si-ca", 0), ("hello", "hel-lo", 0), ("beautiful", "beau-ti-ful", 2), ("vindo", "vin-do", 0), ("bem-vindo", "bem-vin-do", 1), ("open", "o-pen", 0), ("xyz", "xyz", 0), ("", "", None), ("amor", "a-mor", 1), ("papel", "pa-pel", 1), ("casa", "ca-sa", 0), ("café", "ca-fé", 1), ("pão", "pão", 0), ("ruim", "ruim", 0)])
+@pytest.mark.parametrize("word, parts, stressed", [("amigo", "a-mi-go", 1), ("música", "mú-si-ca", 0), ("hello", "hel-lo", 0), ("beautiful", "beau-ti-ful", 2), ("vindo", "vin-do", 0), ("bem-vindo", "bem-vin-do", 1), ("open", "o-pen", 0), ("xyz", "xyz", 0), ("", "", None), ("amor", "a-mor", 1), ("papel", "pa-pel", 1), ("casa", "ca-sa", 0), ("café", "ca-fé", 1), ("pão", "pão", 0), ("ruim", "ruim", 0), ("self-aware", "self-a-wa-re", 2), ("-a-", "a", 0)])
 def test_syllables_and_stress(spark, word, parts, stressed):
     found = text.syllables(F.lit(word))
     assert "-".join(value(spark, found)) == parts
@@ -230,6 +230,15 @@ def test_syllables_and_stress(spark, word, parts, stressed):
         assert value(spark, text.stress(F.lit(word), found)) == stressed
 
 
+def test_syllable_spans(spark):
+    """Parts of a word share its time by length, syllables a part's time in equal steps; hyphens alone are one syllable."""
+    spans = lambda word, t1: [tuple(x) for x in value(spark, text.syllable_spans(F.lit(word), F.lit(0), F.lit(t1)))]
+    assert spans("bem-vindo", 800) == [("bem", 0, 300), ("vin", 300, 550), ("do", 550, 800)]
+    assert spans("amigo", 900) == [("a", 0, 300), ("mi", 300, 600), ("go", 600, 900)]
+    assert spans("--", 500) == [("--", 0, 500)] and spans("", 500) == [] and spans("-x", 7) == [("x", 0, 7)]
+    assert value(spark, text.syllables(F.lit("--"))) == ["--"] and value(spark, text.syllables(F.lit("-"))) == ["-"]
+
+
 def test_text_functions(spark):
     assert [value(spark, text.sanitised(F.lit(w))) for w in ("Coração", "a'b", "123 abc", "   ")] == ["coracao", "ab", "abc", ""]
     la = F.array(F.lit("la"), F.lit("la"))
