@@ -34,12 +34,16 @@ def register(stage: str, engine: Engine) -> None:
     _ENGINES.setdefault(stage, {})[engine.name] = engine
 
 
+def known(stage: str, name: str) -> bool:
+    return name in _ENGINES.get(stage, {})
+
+
 def select(stage: str, name: str = MOCK) -> Engine:
     """The engine by name; fails on the driver where it or a module is missing."""
-    known = _ENGINES.get(stage, {})
-    if name not in known:
-        raise ValueError(f"unknown engine {name!r} for {stage}; known: {', '.join(sorted(known))}")
-    engine = known[name]
+    engines = _ENGINES.get(stage, {})
+    if name not in engines:
+        raise ValueError(f"unknown engine {name!r} for {stage}; known: {', '.join(sorted(engines))}")
+    engine = engines[name]
     absent = [m for m in engine.modules if importlib.util.find_spec(m) is None]
     if absent:
         raise EngineUnavailableError(f"{name} needs {', '.join(absent)}")

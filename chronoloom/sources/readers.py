@@ -1,4 +1,4 @@
-"""Sources: catalogues, title maps, stage tables, hashes, segments (S1-S3, S6, S8, S9, S12, K1, K2, J10); sinks and logs are in sinks.py."""
+"""Sources: catalogues, title maps, hashes, segments (S1, S2, S6, S8, S9, S12, J10); stage tables are in stages.py, sinks and logs in sinks.py."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import link_id
 
-STAGES = ("separation", "transcription", "alignment", "chords", "beats", "syllables", "document")
-
 
 def read_corpus(spark: SparkSession, path: str, required=("title", "external_link", "chordpro")) -> tuple[DataFrame, DataFrame]:
     """Songs with a known link id, and a one-row count of skipped ones. A missing column is an error."""
@@ -37,19 +35,6 @@ def named_ids(files: DataFrame, contents: DataFrame) -> DataFrame:
     return files.join(known, files["path"] == known["__path"], "left").select(*files.columns, F.coalesce("content_id", F.substring(F.sha2(files["path"].cast("binary"), 256), 1, 16)).alias("content_id"))
 
 
-def write_stage(df: DataFrame, root: str, stage: str) -> None:
-    """Write one stage's table; whole or not at all, by the committer."""
-    if stage not in STAGES:
-        raise ValueError(f"unknown stage {stage!r}; known: {', '.join(STAGES)}")
-    df.write.mode("overwrite").parquet(f"{root}/{stage}")
-
-
-def read_stage(spark: SparkSession, root: str, stage: str) -> DataFrame:
-    if stage not in STAGES:
-        raise ValueError(f"unknown stage {stage!r}; known: {', '.join(STAGES)}")
-    return spark.read.parquet(f"{root}/{stage}")
-
-
 def parsed_cache(rows: DataFrame, json: str, schema: str) -> DataFrame:
     """Cached JSON values; corrupt ones become null and so count as missing."""
     return rows.withColumn("value", F.from_json(json, schema, {"mode": "PERMISSIVE"}))
@@ -60,12 +45,6 @@ def missing(wanted: DataFrame, cached: DataFrame, key: list[str]) -> DataFrame:
     return wanted.join(cached.select(*key), key, "left_anti")
 
 
-def compute_missing(wanted: DataFrame, cached: DataFrame, key: list[str], compute) -> DataFrame:
-    """Cached rows and, for the other keys, computed ones."""
-    hits = cached.join(wanted.select(*key), key, "left_semi")
-    return hits.unionByName(compute(missing(wanted, cached, key)))
-
-
 def segment_words(segments: DataFrame) -> DataFrame:
     """Segments in centiseconds to words in microseconds: trimmed, empty and wholly bracketed ones dropped, ends not before starts."""
     text = F.trim("text")
@@ -73,10 +52,15 @@ def segment_words(segments: DataFrame) -> DataFrame:
     return kept.select("track_id", "seq", text.alias("text"), (F.col("t0_cs") * 10_000).cast("long").alias("t0"), (F.greatest("t0_cs", "t1_cs") * 10_000).cast("long").alias("t1"))
 
 
-def stems(files: DataFrame, wanted=("Vocals", "Drums", "Bass", "Other")) -> DataFrame:
-    """One row per track with a path per stem, and the names that are missing."""
+def stems(files: DataFrame, wanted=("Vocals", "Drums", "Bass", "Other"), strict: bool = False) -> DataFrame:
+    """One row per track with a path per stem, and the names that are missing. strict: a track without exactly one file of each is an error when its row is made."""
     named = files.withColumn("stem", F.regexp_extract("path", r"\(([A-Za-z]+)\)", 1))
     wide = named.groupBy("track_id").pivot("stem", list(wanted)).agg(F.min("path"))
+    if strict:
+        sizes = named.groupBy("track_id").agg(F.count("*").alias("__files"))
+        whole = (F.col("__files") == len(wanted)) & F.forall(F.array(*wanted), lambda p: p.isNotNull())
+        told = F.concat(F.lit(f"not exactly {len(wanted)} stems: "), F.col("track_id"))
+        wide = wide.join(sizes, "track_id").withColumn("track_id", F.when(whole, F.col("track_id")).otherwise(F.raise_error(told))).drop("__files")
     return wide.withColumn("missing", F.array_compact(F.array(*[F.when(F.col(w).isNull(), F.lit(w)) for w in wanted])))
 
 

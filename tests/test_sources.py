@@ -21,16 +21,9 @@ def test_corpus(spark, tmp_path):
         readers.read_corpus(spark, str(path))
 
 
-def test_stages_and_misses(spark, tmp_path):
-    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
-    readers.write_stage(df, str(tmp_path), "chords")
-    again = readers.read_stage(spark, str(tmp_path), "chords")
-    wanted = spark.createDataFrame([(2,), (3,)], "id int")
-    assert [r["id"] for r in readers.missing(wanted, again, ["id"]).collect()] == [3]
-    both = readers.compute_missing(wanted, again, ["id"], lambda d: d.withColumn("v", F.lit("new")))
-    assert sorted(tuple(r) for r in both.collect()) == [(2, "b"), (3, "new")]
-    with pytest.raises(ValueError):
-        readers.read_stage(spark, str(tmp_path), "nothing")
+def test_missing(spark):
+    wanted, there = spark.createDataFrame([(2,), (3,)], "id int"), spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    assert [r["id"] for r in readers.missing(wanted, there, ["id"]).collect()] == [3]
 
 
 def test_corrupt_cache_counts_as_missing(spark):
@@ -50,6 +43,12 @@ def test_content_ids_and_stems(spark, tmp_path):
     assert readers.content_ids(spark, str(tmp_path)).first()["content_id"] == "ba7816bf8f01cfea"
     files = spark.createDataFrame([("t", "a_(Vocals).wav"), ("t", "a_(Drums).wav")], "track_id string, path string")
     assert readers.stems(files).first()["missing"] == ["Bass", "Other"]
+    with pytest.raises(Exception, match="not exactly 4 stems: t"):
+        readers.stems(files, strict=True).collect()
+    four = spark.createDataFrame([("t", f"a_({n}).wav") for n in ("Vocals", "Drums", "Bass", "Other")], "track_id string, path string")
+    assert readers.stems(four, strict=True).first()["Bass"] == "a_(Bass).wav"
+    with pytest.raises(Exception, match="not exactly"):
+        readers.stems(four.unionByName(spark.createDataFrame([("t", "b_(Bass).wav")], files.schema)), strict=True).collect()
 
 
 def test_fixtures(spark):
