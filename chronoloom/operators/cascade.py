@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .intervals import first_interval_at
-from .nearest import HOUR, nearest, snap
+from .nearest import nearest, snap
 
 STRATEGIES = ("melisma_start", "stressed_syllable", "any_syllable", "before_word", "orphan")
 
@@ -23,19 +23,18 @@ def place(
     word: int = 500_000,
     beat_tolerance: int = 70_000,
     half_tolerance: int = 150_000,
-    width: int = HOUR,
     block: int | None = None,
 ) -> DataFrame:
     """Where each chord (t, idx) goes: key, idx, anchor, strategy, target (ordinal of syllable or word), distance.
 
     The anchor is the chord's time snapped to beats. In order: the first long syllable that holds the anchor; the closest stressed
     syllable within (strictly) ``stressed``; the closest syllable within ``any_``; the closest word within ``word``; else an orphan.
-    syllables: t0, t1, idx, stressed; words: t0, idx. width: of the range join's buckets; block: see blocks.
+    syllables: t0, t1, idx, stressed; words: t0, idx. block: see blocks.
     """
     anchored = snap(chords.select(*key, "t", "idx"), beats, key, "t", beat_tolerance, half_tolerance, block).select(*key, F.col("idx").alias("chord"), F.col("snapped").alias("t"))
     id_ = ["chord"]
     long_ones = syllables.where(F.col("t1") - F.col("t0") > long_syllable).select(*key, "t0", "t1", "idx")
-    held = first_interval_at(anchored, long_ones, key, [*id_], width).select(*key, *id_, F.struct(F.lit(0).alias("rank"), F.lit(0).cast("long").alias("distance"), F.col("idx").cast("long").alias("idx")).alias("c"))
+    held = first_interval_at(anchored, long_ones, key, [*id_]).select(*key, *id_, F.struct(F.lit(0).alias("rank"), F.lit(0).cast("long").alias("distance"), F.col("idx").cast("long").alias("idx")).alias("c"))
     starts = syllables.select(*key, F.col("t0").alias("t"), "idx", "stressed")
     sides = {"stressed": starts.where("stressed").drop("stressed"), "any": starts.drop("stressed"), "word": words.select(*key, F.col("t0").alias("t"), "idx")}
     near = nearest(anchored, sides, key, "t", block).join(held, [*key, *id_], "left")

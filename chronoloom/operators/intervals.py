@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks
-from .nearest import HOUR, spread_intervals
+from .nearest import _CELL, LEAST, _cell, asking, indexed
 
 
 def onset_intervals(onsets: DataFrame, key: list[str], label: str, end_of_track: Column | None = None, none_label: str | None = "N", tail: int = 1_000_000, block: int | None = None) -> DataFrame:
@@ -22,39 +22,51 @@ def onset_intervals(onsets: DataFrame, key: list[str], label: str, end_of_track:
     return out.where(keep if none_label is None else keep & (F.col(label) != none_label) & (F.col(label) != "")).drop("t", "__after", blocks.BLOCK)
 
 
-def points_in(points: DataFrame, intervals: DataFrame, key: list[str], width: int = HOUR) -> DataFrame:
-    """Pairs of points (t) and closed intervals (t0, t1) that hold them; by equality of time buckets, each pair once."""
-    spread = spread_intervals(intervals, F.col("t0"), F.col("t1"), width)
-    return points.withColumn("__bucket", F.floor(F.col("t") / width)).join(spread, [*key, "__bucket"]).where("t BETWEEN t0 AND t1").drop("__bucket")
+def points_in(points: DataFrame, intervals: DataFrame, key: list[str]) -> DataFrame:
+    """Pairs of points (t) and closed intervals (t0, t1) that hold them, each pair once.
+
+    By equality of cells: an interval stands in one or two, on the level of its own length, and a point asks one cell on each level in use. So
+    long intervals make no more rows than short ones, and there is no width to choose.
+    """
+    index = indexed(intervals, F.col("t0"), F.col("t1"))
+    return asking(points, F.col("t"), key, index).join(index, [*key, *_CELL]).where("t BETWEEN t0 AND t1").drop(*_CELL)
 
 
-def first_interval_at(points: DataFrame, intervals: DataFrame, key: list[str], point_id: list[str], width: int = HOUR) -> DataFrame:
+def first_interval_at(points: DataFrame, intervals: DataFrame, key: list[str], point_id: list[str]) -> DataFrame:
     """For each point, the interval of lowest ordinal that holds it."""
-    pairs = points_in(points, intervals.select(*key, "t0", "t1", F.col("idx").alias("__idx")), key, width)
+    pairs = points_in(points, intervals.select(*key, "t0", "t1", F.col("idx").alias("__idx")), key)
     return pairs.groupBy(*key, *point_id).agg(F.min("__idx").alias("idx"))
 
 
-def points_per_interval(intervals: DataFrame, points: DataFrame, key: list[str], interval_id: list[str], width: int = HOUR) -> DataFrame:
+def points_per_interval(intervals: DataFrame, points: DataFrame, key: list[str], interval_id: list[str]) -> DataFrame:
     """Intervals with the number of points inside, both ends included; none counts as 0."""
     named = intervals.select(*key, *interval_id, "t0", "t1")
-    counts = points_in(points.select(*key, "t"), named, key, width).groupBy(*key, *interval_id).agg(F.count("*").alias("n"))
+    counts = points_in(points.select(*key, "t"), named, key).groupBy(*key, *interval_id).agg(F.count("*").alias("n"))
     return named.join(counts, [*key, *interval_id], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
-def overlaps(left: DataFrame, right: DataFrame, key: list[str], width: int = HOUR) -> DataFrame:
+def overlaps(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
     """Pairs of intervals (t0, t1) and (u0, u1) that overlap strictly: t0 < u1 and t1 > u0.
 
-    Both sides stand in all buckets they touch; a pair counts in the first bucket that they share.
+    The longer one of a pair stands in its cells, the other asks on all levels from its own up, where it touches two cells at most; a pair counts in
+    the first cell that they share.
     """
-    a = spread_intervals(left.withColumn("__a", F.floor(F.col("t0") / width)), F.col("t0"), F.col("t1"), width)
-    b = spread_intervals(right.withColumn("__b", F.floor(F.col("u0") / width)), F.col("u0"), F.col("u1"), width)
-    pairs = a.join(b, [*key, "__bucket"]).where((F.col("t0") < F.col("u1")) & (F.col("t1") > F.col("u0")))
-    return pairs.where(F.col("__bucket") == F.greatest("__a", "__b")).drop("__a", "__b", "__bucket")
+    names = [*key, *[c for c in left.columns if c not in key], *[c for c in right.columns if c not in key]]
+    a, b = indexed(left, F.col("t0"), F.col("t1")), indexed(right, F.col("u0"), F.col("u1"))
+    own = lambda df, start, end: df.withColumn("__own", F.greatest(F.lit(LEAST), F.ceil(F.log2(F.col(end) - F.col(start) + 1)).cast("int"))).where(F.col(end) >= F.col(start))
+
+    def met(index: DataFrame, others: DataFrame, start: str, end: str, or_equal: bool) -> DataFrame:
+        asked = others.join(index.select(*key, "__level").distinct(), key).where(F.col("__level") >= F.col("__own") if or_equal else F.col("__level") > F.col("__own"))
+        asked = asked.withColumn("__cell", F.explode(F.sequence(_cell(F.col(start), F.col("__level")), _cell(F.col(end), F.col("__level")))))
+        pairs = index.join(asked, [*key, *_CELL]).where((F.col("t0") < F.col("u1")) & (F.col("t1") > F.col("u0")))
+        return pairs.where(F.col("__cell") == F.greatest(_cell(F.col("t0"), F.col("__level")), _cell(F.col("u0"), F.col("__level")))).select(*names)
+
+    return met(a, own(right, "u0", "u1"), "u0", "u1", True).unionByName(met(b, own(left, "t0", "t1"), "t0", "t1", False))
 
 
-def starts_in(points: DataFrame, ranges: DataFrame, key: list[str], width: int = HOUR) -> DataFrame:
+def starts_in(points: DataFrame, ranges: DataFrame, key: list[str]) -> DataFrame:
     """Pairs of points (t) and half-open ranges (t0, t1) with t0 <= t < t1."""
-    return points_in(points, ranges, key, width).where("t < t1")
+    return points_in(points, ranges, key).where("t < t1")
 
 
 def equal_intervals(items: DataFrame, key: list[str], order: list[str], duration: Column) -> DataFrame:

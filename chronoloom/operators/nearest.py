@@ -63,18 +63,35 @@ def nearest_within(left: DataFrame, right: DataFrame, key: list[str], left_id: l
     return close.select(*key, *left_id, F.struct(distance.alias("distance"), F.col("__near.idx").alias("idx"), F.col("__near.t").alias("t")).alias("nearest"))
 
 
-def spread_intervals(intervals: DataFrame, start: Column, end: Column, width: int) -> DataFrame:
-    """Intervals once per time bucket that they touch (__bucket)."""
-    return intervals.withColumn("__bucket", F.explode(F.sequence(F.floor(start / width), F.floor(end / width))))
+#: Intervals up to 2**LEAST long (a second) share the lowest level.
+LEAST = 20
+_CELL = ("__level", "__cell")
 
 
-def nearest_interval(points: DataFrame, intervals: DataFrame, key: list[str], point_id: list[str], tolerance: Column, width: int = HOUR) -> DataFrame:
+def _cell(t: Column, level: Column) -> Column:
+    return F.call_function("shiftright", t.cast("long"), level)
+
+
+def indexed(intervals: DataFrame, start: Column, end: Column) -> DataFrame:
+    """Intervals in the cells of their own level: the least whose cells, 2**level long, are as long as the interval, so it touches two at most."""
+    marked = intervals.withColumns({"__from": F.floor(start), "__to": F.ceil(end)}).where("__to >= __from")
+    marked = marked.withColumn("__level", F.greatest(F.lit(LEAST), F.ceil(F.log2(F.col("__to") - F.col("__from") + 1)).cast("int")))
+    return marked.withColumn("__cell", F.explode(F.sequence(_cell(F.col("__from"), F.col("__level")), _cell(F.col("__to"), F.col("__level"))))).drop("__from", "__to")
+
+
+def asking(points: DataFrame, time: Column, key: list[str], index: DataFrame) -> DataFrame:
+    """Points with their cell on every level that the index has for their key (some tens of rows a key, whatever lies in them)."""
+    return points.join(index.select(*key, "__level").distinct(), key).withColumn("__cell", _cell(time, F.col("__level")))
+
+
+def nearest_interval(points: DataFrame, intervals: DataFrame, key: list[str], point_id: list[str], tolerance: Column) -> DataFrame:
     """Points with the closed interval (t0, t1, idx) at least distance (0 inside), if within the tolerance.
 
-    tolerance: a column of the intervals. Adds nearest: (distance, idx, t0, t1).
+    tolerance: a column of the intervals, which are looked up as if they were longer by it at both ends. Adds nearest: (distance, idx, t0, t1).
     """
-    spread = spread_intervals(intervals.select(*key, "t0", "t1", F.col("idx").alias("__idx"), tolerance.cast("double").alias("__tolerance")), F.col("t0") - F.col("__tolerance"), F.col("t1") + F.col("__tolerance"), width)
+    wide = intervals.select(*key, "t0", "t1", F.col("idx").alias("__idx"), tolerance.cast("double").alias("__tolerance"))
+    index = indexed(wide, F.col("t0") - F.col("__tolerance"), F.col("t1") + F.col("__tolerance"))
     distance = F.greatest(F.lit(0).cast("long"), F.col("t0") - F.col("t"), F.col("t") - F.col("t1"))
-    pairs = points.withColumn("__bucket", F.floor(F.col("t") / width)).join(spread, [*key, "__bucket"]).where(distance <= F.col("__tolerance"))
+    pairs = asking(points, F.col("t"), key, index).join(index, [*key, *_CELL]).where(distance <= F.col("__tolerance"))
     best = F.min(F.struct(distance.alias("distance"), F.col("__idx").alias("idx"), "t0", "t1"))
     return pairs.groupBy(*key, *point_id, "t").agg(best.alias("nearest"))

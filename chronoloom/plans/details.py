@@ -16,7 +16,7 @@ KEY = a.TRACK
 def q_melisma(spark, sf):
     """Words of over an hour with more than one beat inside."""
     long_words = a.words(spark, sf).where(F.col("t1") - F.col("t0") > HOUR)
-    return intervals.points_per_interval(long_words, a.beats(spark, sf), KEY, ["idx"], a.DAY).where("n > 1").select("track_id", "idx", "n")
+    return intervals.points_per_interval(long_words, a.beats(spark, sf), KEY, ["idx"]).where("n > 1").select("track_id", "idx", "n")
 
 
 Q_MELISMA = a.ctes("words", "beats") + " SELECT w.track_id, w.idx, count(*) AS n FROM words w JOIN beats b ON w.track_id = b.track_id AND b.t BETWEEN w.t0 AND w.t1 WHERE w.t1 - w.t0 > 3600000000 GROUP BY ALL HAVING count(*) > 1"

@@ -168,7 +168,7 @@ def _chord_intervals(spark, sf):
 
 
 def q_point_in_interval(spark, sf):
-    return intervals.first_interval_at(a.beats(spark, sf).withColumnRenamed("idx", "beat"), _chord_intervals(spark, sf), KEY, ["beat"], a.DAY)
+    return intervals.first_interval_at(a.beats(spark, sf).withColumnRenamed("idx", "beat"), _chord_intervals(spark, sf), KEY, ["beat"])
 
 
 Q_POINT_IN_INTERVAL = a.ctes("onsets", "beats") + "," + _CHORDS + " SELECT b.track_id, b.idx AS beat, min(c.idx) AS idx FROM beats b JOIN chords c ON b.track_id = c.track_id AND b.t BETWEEN c.t0 AND c.t1 GROUP BY b.track_id, b.idx"
@@ -177,7 +177,7 @@ Q_POINT_IN_INTERVAL = a.ctes("onsets", "beats") + "," + _CHORDS + " SELECT b.tra
 def q_overlap(spark, sf):
     chords = _chord_intervals(spark, sf).select("track_id", F.col("idx").alias("chord"), "t0", "t1")
     lines = a.words(spark, sf).select("track_id", F.col("idx").alias("word"), F.col("t0").alias("u0"), F.col("t1").alias("u1"))
-    return intervals.overlaps(chords, lines, KEY, a.DAY).select("track_id", "chord", "word")
+    return intervals.overlaps(chords, lines, KEY).select("track_id", "chord", "word")
 
 
 Q_OVERLAP = a.ctes("onsets", "words") + "," + _CHORDS + " SELECT c.track_id, c.idx AS chord, w.idx AS word FROM chords c JOIN words w ON c.track_id = w.track_id AND c.t0 < w.t1 AND c.t1 > w.t0"
@@ -186,7 +186,7 @@ Q_OVERLAP = a.ctes("onsets", "words") + "," + _CHORDS + " SELECT c.track_id, c.i
 def q_partition_start(spark, sf):
     points = a.onsets(spark, sf).select("track_id", "t", F.col("idx").alias("chord"))
     ranges = q_sections(spark, sf).where("kind IN ('intro', 'instrumental', 'outro')").select("track_id", "seq", "t0", "t1")
-    return intervals.starts_in(points, ranges, KEY, a.DAY).select("track_id", "chord", "seq")
+    return intervals.starts_in(points, ranges, KEY).select("track_id", "chord", "seq")
 
 
 Q_PARTITION_START = (
@@ -196,7 +196,7 @@ Q_PARTITION_START = (
 
 
 def q_points_per_interval(spark, sf):
-    return intervals.points_per_interval(_chord_intervals(spark, sf), a.beats(spark, sf), KEY, ["idx"], a.DAY)
+    return intervals.points_per_interval(_chord_intervals(spark, sf), a.beats(spark, sf), KEY, ["idx"])
 
 
 Q_POINTS_PER_INTERVAL = a.ctes("onsets", "beats") + "," + _CHORDS + " SELECT c.track_id, c.idx, c.t0, c.t1, count(b.t) AS n FROM chords c LEFT JOIN beats b ON c.track_id = b.track_id AND b.t BETWEEN c.t0 AND c.t1 GROUP BY ALL"
@@ -227,7 +227,7 @@ Q_NEAREST_WORD = a.ctes("onsets", "words") + "," + _WORD_STARTS + "," + _nearest
 
 def q_cascade(spark, sf):
     words = a.words(spark, sf)
-    return cascade.place(a.onsets(spark, sf), a.beats(spark, sf), words, words, KEY, HOUR, 3 * HOUR, 6 * HOUR, 24 * HOUR, 2 * HOUR, 4 * HOUR, a.DAY, a.block_width(spark, sf))
+    return cascade.place(a.onsets(spark, sf), a.beats(spark, sf), words, words, KEY, HOUR, 3 * HOUR, 6 * HOUR, 24 * HOUR, 2 * HOUR, 4 * HOUR, a.block_width(spark, sf))
 
 
 _CASCADE = f"""{_SNAP},
@@ -256,7 +256,7 @@ Q_ORPHANS = a.ctes("onsets", "beats", "words") + "," + _CASCADE + " SELECT track
 def _near_words(spark, sf):
     beats = a.beats(spark, sf)
     words = a.words(spark, sf).join(stats.tempo(beats, KEY).select("track_id", "mean_gap"), KEY)
-    return nearest.nearest_interval(beats.withColumnRenamed("idx", "beat"), words, KEY, ["beat"], F.col("mean_gap"), a.DAY)
+    return nearest.nearest_interval(beats.withColumnRenamed("idx", "beat"), words, KEY, ["beat"], F.col("mean_gap"))
 
 
 def q_nearest_interval(spark, sf):

@@ -61,7 +61,7 @@ def test_nearest_within_is_strict_and_prefers_the_first(spark):
 def test_nearest_interval_distance_inside_is_zero(spark):
     spans = frame(spark, [("t", 0, 10, 0), ("t", 20, 30, 1), ("t", 28, 40, 2)], "t0 bigint, t1 bigint, idx bigint")
     points = frame(spark, [("t", t, i) for i, t in enumerate((5, 14, 15, 29, 45, 46))], "t bigint, p bigint")
-    got = {r["p"]: (r["nearest"]["idx"], r["nearest"]["distance"]) for r in nearest.nearest_interval(points, spans, KEY, ["p"], F.lit(5), 7).collect()}
+    got = {r["p"]: (r["nearest"]["idx"], r["nearest"]["distance"]) for r in nearest.nearest_interval(points, spans, KEY, ["p"], F.lit(5)).collect()}
     assert got == {0: (0, 0), 1: (0, 4), 2: (0, 5), 3: (1, 0), 4: (2, 5)}
 
 
@@ -95,7 +95,7 @@ def test_overlaps_are_strict_and_counted_once(spark):
     rng = random.Random(4)
     make = lambda n: [(k, a, a + rng.randint(0, 25), i) for k in "ab" for i in range(n) for a in [rng.randint(0, 80)]]
     left, right = make(15), make(15)
-    got = intervals.overlaps(frame(spark, left, "t0 bigint, t1 bigint, a bigint"), frame(spark, right, "u0 bigint, u1 bigint, b bigint"), KEY, 9)
+    got = intervals.overlaps(frame(spark, left, "t0 bigint, t1 bigint, a bigint"), frame(spark, right, "u0 bigint, u1 bigint, b bigint"), KEY)
     want = sorted((k, i, j) for k, s, e, i in left for kk, u, v, j in right if k == kk and s < v and e > u)
     assert sorted((r["track_id"], r["a"], r["b"]) for r in got.collect()) == want
 
@@ -103,8 +103,8 @@ def test_overlaps_are_strict_and_counted_once(spark):
 def test_points_in_closed_intervals(spark):
     spans = frame(spark, [("t", S, 2 * S, 0), ("t", S, 3 * S, 1)], "t0 bigint, t1 bigint, idx bigint")
     points = beats(spark, 0.9, 1.0, 2.0, 3.0, 3.1).withColumnRenamed("idx", "p")
-    assert {r["p"]: r["idx"] for r in intervals.first_interval_at(points, spans, KEY, ["p"], S).collect()} == {1: 0, 2: 0, 3: 1}
-    assert {r["idx"]: r["n"] for r in intervals.points_per_interval(spans, points, KEY, ["idx"], S).collect()} == {0: 2, 1: 3}
+    assert {r["p"]: r["idx"] for r in intervals.first_interval_at(points, spans, KEY, ["p"]).collect()} == {1: 0, 2: 0, 3: 1}
+    assert {r["idx"]: r["n"] for r in intervals.points_per_interval(spans, points, KEY, ["idx"]).collect()} == {0: 2, 1: 3}
 
 
 def words(spark, *spans):
@@ -146,7 +146,7 @@ def test_sections(spark):
 
 def cascaded(spark, chord, syllables, spans, grid=()):
     syl = frame(spark, [("t", int(a * S), int(b * S), i, s) for i, (a, b, s) in enumerate(syllables)], "t0 bigint, t1 bigint, idx bigint, stressed boolean")
-    row = cascade.place(beats(spark, chord), beats(spark, *grid), syl, words(spark, *spans), KEY, width=S, block=S).first()
+    row = cascade.place(beats(spark, chord), beats(spark, *grid), syl, words(spark, *spans), KEY, block=S).first()
     return row["strategy"], row["target"]
 
 
@@ -218,6 +218,25 @@ def test_windows_with_context(spark):
     assert [r["frame"] for r in sequences.cropped(frames, 20_000).collect()] == [100, 1599]
 
 
+def test_long_intervals_make_few_rows(spark):
+    """One interval as long as the track stands in two cells like any other; points ask a cell for each level in use."""
+    rng = random.Random(5)
+    day = 86_400 * S
+    spans = [("t", 0, 400 * day, 0), *[("t", a := rng.randint(0, 400 * day), a + rng.choice([0, 1, S, 3000 * S, 5 * day]), i) for i in range(1, 300)], ("t", 9, 3, 300), ("u", -5 * S, 7 * S, 301)]
+    points = [("t", rng.choice([rng.randint(0, 400 * day), rng.choice(spans)[1], rng.choice(spans)[2]]), i) for i in range(200)] + [("u", -S, 200), ("v", 0, 201)]
+    intervals_ = spark.createDataFrame(spans, "track_id string, t0 bigint, t1 bigint, i bigint")
+    index = nearest.indexed(intervals_, F.col("t0"), F.col("t1"))
+    assert index.groupBy("i").count().agg({"count": "max"}).first()[0] <= 2
+    asked = nearest.asking(spark.createDataFrame(points, "track_id string, t bigint, p bigint"), F.col("t"), KEY, index)
+    assert asked.groupBy("p").count().agg({"count": "max"}).first()[0] <= 5
+    got = intervals.points_in(spark.createDataFrame(points, "track_id string, t bigint, p bigint"), intervals_, KEY).select("p", "i").collect()
+    assert sorted(map(tuple, got)) == sorted((p, i) for k, t, p in points for m, a, b, i in spans if k == m and a <= t <= b)
+    others = [("t", a := rng.randint(0, 400 * day), a + rng.choice([0, S, 40 * day]), i) for i in range(150)]
+    right = spark.createDataFrame(others, "track_id string, u0 bigint, u1 bigint, j bigint")
+    pairs = intervals.overlaps(intervals_, right, KEY).select("i", "j").collect()
+    assert sorted(map(tuple, pairs)) == sorted((i, j) for k, a, b, i in spans for m, c, d, j in others if k == m and a <= b and a < d and b > c)
+
+
 def value(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
