@@ -76,22 +76,32 @@ def equal_intervals(items: DataFrame, key: list[str], order: list[str], duration
     return items.withColumn("t0", at * duration / n).withColumn("t1", (at + 1) * duration / n)
 
 
+def swept(left: DataFrame, right: DataFrame, key: list[str], block: int | None = None, gaps: tuple | None = None) -> DataFrame:
+    """Every boundary t of either side's intervals (t0, t1, label) with the next one, t1 (null at the last), and what each side began last, left and right: (t, begun, label).
+
+    One stream of events, sorted once: both sides' starts and ends, of which one a time is left. gaps: labels that ends begin, where nothing starts with them.
+    """
+    kind = f"struct<t:bigint,begun:int,label:{left.schema['label'].dataType.simpleString()}>"
+
+    def events(df: DataFrame, side: int) -> DataFrame:
+        start = F.struct(F.col("t0").cast("long").alias("t"), F.lit(1).alias("begun"), F.col("label")).cast(kind)
+        end = F.lit(None).cast(kind) if gaps is None else F.struct(F.col("t1").cast("long").alias("t"), F.lit(0).alias("begun"), F.lit(gaps[side]).alias("label")).cast(kind)
+        both = F.array(F.struct(F.col("t0").alias("t"), start.alias("mark")), F.struct(F.col("t1").alias("t"), end.alias("mark")))
+        columns = {name: F.col("__e.mark") if side == k else F.lit(None).cast(kind) for k, name in enumerate(("left", "right"))}
+        return df.select(*key, F.explode(both).alias("__e")).select(*key, "__e.t", *[c.alias(n) for n, c in columns.items()])
+
+    every = events(left, 0).unionByName(events(right, 1))
+    # Dealt by the key once: counting times, ordering them and whatever is summed up by key afterwards need no other shuffle.
+    every = every.repartition(*key) if block is None else every
+    marks = blocks.with_block(every.groupBy(*key, "t").agg(F.max("left").alias("left"), F.max("right").alias("right")), "t", block)
+    held = blocks.carried(blocks.led(marks, key, ["t"], {"t1": "t"}), key, ["t"], ["left", "right"])
+    return held.select(*key, "t", "t1", F.col("prev_left").alias("left"), F.col("prev_right").alias("right"))
+
+
 def refinement(left: DataFrame, right: DataFrame, key: list[str], block: int | None = None) -> DataFrame:
     """Common refinement of two labelled interval sets (t0, t1, label): key, t0, t1, left_label, right_label.
 
     Every boundary of either side cuts; a stretch carries the label of the interval begun last on each side.
     """
-    bounds = None
-    for df in (left, right):
-        for c in ("t0", "t1"):
-            part = df.select(*key, F.col(c).alias("t"))
-            bounds = part if bounds is None else bounds.union(part)
-    bounds = bounds.distinct()
-    marks = [df.groupBy(*key, "t0").agg(F.max("label").alias(name)).withColumnRenamed("t0", "t") for df, name in ((left, "left_label"), (right, "right_label"))]
-    cut = bounds
-    for df, name in zip(marks, ("left_label", "right_label")):
-        cut = cut.join(df, [*key, "t"], "left").withColumn(f"__{name}", F.when(F.col(name).isNotNull(), F.struct("t", F.col(name).alias("label")))).drop(name)
-    cut = blocks.with_block(cut, "t", block)
-    cut = blocks.led(cut, key, ["t"], {"t1": "t"})
-    cut = blocks.carried(cut, key, ["t"], ["__left_label", "__right_label"])
-    return cut.where("t1 IS NOT NULL").select(*key, F.col("t").alias("t0"), "t1", F.col("prev___left_label.label").alias("left_label"), F.col("prev___right_label.label").alias("right_label"))
+    cut = swept(left, right, key, block).where("t1 IS NOT NULL")
+    return cut.select(*key, F.col("t").alias("t0"), "t1", F.col("left.label").alias("left_label"), F.col("right.label").alias("right_label"))

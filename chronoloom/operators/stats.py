@@ -74,21 +74,23 @@ def bass_note(vectors: DataFrame, id_: str, vector: str, least: float = 0.5) ->
     return vectors.where(F.size(vector) >= 12).select(id_, F.when((top > 0) & (sure >= least), at).alias("pitch_class"), sure.alias("confidence"))
 
 
-def chord_recall(reference: DataFrame, estimate: DataFrame, key: list[str], judge, silence: str = "N", block: int | None = None) -> DataFrame:
-    """Duration-weighted share of every reference's span (t0, t1, label) that the estimate meets, for keys that have both.
+def chord_recall(reference: DataFrame, estimate: DataFrame, key: list[str], judge, silence: str = "N", block: int | None = None, every: bool = False) -> DataFrame:
+    """Duration-weighted share of every reference's span (t0, t1, label) that the estimate meets, for keys that have both; every: all keys with a reference, null without an estimate.
 
-    The estimate is clipped to the reference's span and padded with silence; judge(reference label, estimated label) is null where a stretch doesn't count.
+    The estimate is clipped to the reference's intervals and padded with silence; judge(reference label, estimated label) is null where a stretch doesn't count.
+    Both sides are read once and swept together.
     """
-    from .intervals import refinement
-
-    spans = reference.groupBy(*key).agg(F.min("t0").alias("__lo"), F.max("t1").alias("__hi"))
-    known = estimate.select(*key).distinct()
-    # An interval's end is a label of its own, so that gaps are silent.
-    ended = lambda df, label: df.unionByName(df.select(*key, F.col("t1").alias("t0"), "t1", F.lit(label).alias("label")).join(df.select(*key, F.col("t0").alias("t1")), [*key, "t1"], "left_anti"))
-    cut = refinement(ended(reference.join(known, key, "left_semi"), None), ended(estimate, silence), key, block)
-    cut = cut.join(spans, key).where((F.col("t0") >= F.col("__lo")) & (F.col("t1") <= F.col("__hi")))
-    judged = judge(F.col("left_label"), F.coalesce("right_label", F.lit(silence)))
-    return weighted_agreement(cut.withColumn("__hit", judged), key, F.col("__hit"), F.col("__hit").isNotNull())
+    from .intervals import swept
+
+    cut = swept(reference, estimate, key, block, (None, silence))
+    judged = F.when(F.col("left.label").isNotNull(), judge(F.col("left.label"), F.coalesce("right.label", F.lit(silence))))
+    cut = cut.withColumns({"__hit": judged, "__long": (F.col("t1") - F.col("t")).cast("double")})  # the last boundary has no length
+    hit, all_ = F.sum(F.when(F.col("__hit"), F.col("__long")).otherwise(0.0)), F.sum(F.when(F.col("__hit").isNotNull(), F.col("__long")).otherwise(0.0))
+    found = cut.groupBy(*key).agg(F.when(all_ > 0, hit / all_).otherwise(0.0).alias("score"), F.max(F.col("left").isNotNull()).alias("__referred"), F.max(F.col("right").isNotNull()).alias("__estimated"))
+    found = found.where("__referred")
+    if every:
+        return found.select(*key, F.when(F.col("__estimated"), F.col("score")).alias("score"))
+    return found.where("__estimated").select(*key, "score")
 
 
 def weighted_agreement(refined: DataFrame, key: list[str], match: Column, scorable: Column) -> DataFrame:

@@ -78,6 +78,9 @@ def test_recall_covers_whole_references(spark):
     est = spark.createDataFrame([("x", 5, 8, "C:maj"), ("x", 8, 40, "G:maj")], s)
     # 3 of C, 10 of G; time before the estimate and after the reference counts as silence and not at all.
     assert [tuple(r) for r in stats.chord_recall(ref, est, ["k"], symbols.same_triad).collect()] == [("x", 13 / 20)]
+    for block in (None, 3):
+        every = stats.chord_recall(ref, est, ["k"], symbols.same_triad, block=block, every=True)
+        assert dict(every.collect()) == {r["k"]: 13 / 20 if r["k"] == "x" else None for r in ref.select("k").distinct().collect()}
 
 
 def test_two_decimals_as_printed(spark):
