@@ -16,16 +16,25 @@ def gap_thresholds(words: DataFrame, key: list[str], rules: dict[str, tuple[floa
     floor is then raised to it. Gaps are between a word's end and the next one's start.
     """
     ahead = blocks.led(blocks.with_block(words, "t0", block), key, ["t0", "idx"], {"__next": "t0"})
-    gaps = ahead.select(*key, (F.col("__next") - F.col("t1")).alias("gap")).where("gap > 0")
-    base = words.groupBy(*key).agg(F.count("*").alias("__n"), *([F.max(fallback).alias("__fallback")] if fallback is not None else []))
-    found = base.join(medians(gaps, key, "gap"), key, "left")
-    columns = []
-    for name, (times, floor) in rules.items():
-        value = F.greatest(F.lit(float(floor)), F.coalesce(F.col("median") * times, F.lit(float(floor))))
-        if fallback is not None:
-            value = F.when(F.col("__n") < 2, F.greatest(F.lit(float(floor)), F.coalesce("__fallback", F.lit(0.0)))).otherwise(value)
-        columns.append(value.alias(name))
-    return found.select(*key, *columns)
+    gap = F.col("__next") - F.col("t1")
+    rows = ahead.select(*key, F.when(gap > 0, gap).alias("gap"), (F.lit(None) if fallback is None else fallback).cast("double").alias("__raised"))
+    found = medians(rows, key, "gap", "median", block is not None, {"__n": (F.count("*"), F.sum), "__fallback": (F.max("__raised"), F.max)})
+    return found.select(*key, *[_threshold(times, floor, fallback is not None).alias(name) for name, (times, floor) in rules.items()])
+
+
+def _threshold(times: float, floor: int, raised: bool = False) -> Column:
+    value = F.greatest(F.lit(float(floor)), F.coalesce(F.col("median") * times, F.lit(float(floor))))
+    return F.when(F.col("__n") < 2, F.greatest(F.lit(float(floor)), F.coalesce("__fallback", F.lit(0.0)))).otherwise(value) if raised else value
+
+
+def thresholded(words: DataFrame, key: list[str], rules: dict[str, tuple[float, int]], block: int | None = None) -> DataFrame:
+    """Words with their key's thresholds. Without blocks, these come from windows over the key, in the words' own shuffle; with them, by a join."""
+    if block is not None:
+        return words.join(gap_thresholds(words, key, rules, block=block), key)
+    gap = F.col("__next") - F.col("t1")
+    ahead = blocks.led(words, key, ["t0", "idx"], {"__next": "t0"})
+    marked = ahead.withColumn("median", F.median(F.when(gap > 0, gap)).over(Window.partitionBy(*key)))
+    return marked.withColumns({name: _threshold(*rule) for name, rule in rules.items()}).drop("__next", "median")
 
 
 def gap_sessions(words: DataFrame, key: list[str], threshold: Column, name: str = "block", block: int | None = None) -> DataFrame:

@@ -8,13 +8,28 @@ from pyspark.sql import functions as F
 BINS = 64
 
 
-def order_statistics(df: DataFrame, key: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
-    """Exact elements of every key's sorted values: ``ranks`` maps names to 0-based ranks, as expressions of the count n.
+def order_statistics(df: DataFrame, key: list[str], value: str, ranks: dict[str, Column], spread: bool = False, more: dict | None = None) -> DataFrame:
+    """Exact elements of every key's sorted values: ``ranks`` maps names to 0-based ranks, as expressions of the count n. Returns key, n and a column per rank.
 
-    Values are counted first, then laid into bins between approximate quantiles of the key's different values (bounded sketches, merged
-    over the tasks); only the bins that hold a wanted rank are sorted, about 1 / BINS of a key each. Returns key, n and a column per rank.
+    The input is read once: values are counted (combined before the shuffle), and a key's different values pass one window that sums their counts up.
+    spread: for keys of very many different values, these are laid into bins between approximate quantiles (bounded sketches, merged over the tasks), and only
+    the bins that hold a wanted rank are sorted, about 1 / BINS of a key each; the counts are computed several times. Results are the same.
+    more: further aggregates of all rows, null values included, as name: (aggregate, how it is merged); keys of null values only are kept then, with n = 0.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*key, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
+    more = more or {}
+    counts = df.groupBy(*key, F.col(value).alias("__v")).agg(F.count(value).alias("__c"), *[first.alias(f"__m_{name}") for name, (first, _) in more.items()])
+    merged = [merge(f"__m_{name}").alias(name) for name, (_, merge) in more.items()]
+    if spread:
+        found = _spread_ranks(counts.where("__v IS NOT NULL").select(*key, "__v", "__c"), key, ranks)
+        return counts.groupBy(*key).agg(*merged).join(found, key, "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long"))) if more else found
+    whole = Window.partitionBy(*key)
+    placed = counts.withColumns({"n": F.sum("__c").over(whole), "__upto": F.sum("__c").over(whole.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))})
+    here = lambda rank: (rank.cast("long") < F.col("__upto")) & (rank.cast("long") >= F.col("__upto") - F.col("__c"))
+    found = placed.groupBy(*key).agg(F.max("n").alias("n"), *[F.max(F.when(here(rank), F.col("__v"))).alias(name) for name, rank in ranks.items()], *merged)
+    return found if more else found.where("n > 0")
+
+
+def _spread_ranks(counts: DataFrame, key: list[str], ranks: dict[str, Column]) -> DataFrame:
     edges = F.percentile_approx("__v", F.array(*[F.lit(i / BINS) for i in range(1, BINS)]), 10 * BINS)
     whole = counts.groupBy(*key).agg(F.sum("__c").alias("n"), edges.alias("__edges"))
     binned = counts.join(whole, key).withColumn("__bin", F.size(F.filter("__edges", lambda e: e < F.col("__v")))).drop("__edges")
@@ -28,30 +43,30 @@ def order_statistics(df: DataFrame, key: list[str], value: str, ranks: dict[str,
     return found.groupBy(*key, "n").agg(*[F.max(F.when(F.col("__r.name") == name, F.col("__v"))).alias(name) for name in ranks])
 
 
-def medians(df: DataFrame, key: list[str], value: str, name: str = "median") -> DataFrame:
-    """True median: the mean of the two middle values where their number is even."""
+def medians(df: DataFrame, key: list[str], value: str, name: str = "median", spread: bool = False, more: dict | None = None) -> DataFrame:
+    """True median: the mean of the two middle values where their number is even. more: as in order_statistics."""
     n = F.col("n")
-    found = order_statistics(df, key, value, {"__low": F.floor((n - 1) / 2), "__high": F.floor(n / 2)})
-    return found.select(*key, ((F.col("__low") + F.col("__high")) / 2).alias(name))
+    found = order_statistics(df, key, value, {"__low": F.floor((n - 1) / 2), "__high": F.floor(n / 2)}, spread, more)
+    return found.select(*key, ((F.col("__low") + F.col("__high")) / 2).alias(name), *(more or {}))
 
 
-def confidence(df: DataFrame, key: list[str], value: str) -> DataFrame:
-    """Mean, upper median x[n div 2] and x[n div 10] of the sorted values."""
+def confidence(df: DataFrame, key: list[str], value: str, spread: bool = False) -> DataFrame:
+    """Mean, upper median x[n div 2] and x[n div 10] of the sorted values, all from one read."""
     n = F.col("n")
-    found = order_statistics(df, key, value, {"upper_median": F.floor(n / 2), "p10": F.floor(n / 10)})
-    return found.join(df.groupBy(*key).agg(F.avg(value).alias("mean")), key)
+    ranks = {"upper_median": F.floor(n / 2), "p10": F.floor(n / 10)}
+    return order_statistics(df, key, value, ranks, spread, {"__sum": (F.sum(value), F.sum)}).where("n > 0").withColumn("mean", F.col("__sum") / n).drop("__sum")
 
 
 def tempo(beats: DataFrame, key: list[str], block: int | None = None, default_bpm: float = 60.0) -> DataFrame:
     """Beat period (upper median of gaps, from a default tempo below two beats), tempo, and mean gap (1 s below two beats)."""
     from . import blocks
 
-    gaps = blocks.led(blocks.with_block(beats, "t", block), key, ["t", "idx"], {"__after": "t"}).where("__after IS NOT NULL").select(*key, (F.col("__after") - F.col("t")).alias("gap"))
-    period = order_statistics(gaps, key, "gap", {"period": F.floor(F.col("n") / 2)}).select(*key, "period")
-    whole = beats.groupBy(*key).agg(F.count("*").alias("n_beats"), F.min("t").alias("first"), F.max("t").alias("last"))
+    ahead = blocks.led(blocks.with_block(beats, "t", block), key, ["t", "idx"], {"__after": "t"}).select(*key, "t", (F.col("__after") - F.col("t")).alias("gap"))
+    every = {"n_beats": (F.count("*"), F.sum), "first": (F.min("t"), F.min), "last": (F.max("t"), F.max)}
+    whole = order_statistics(ahead, key, "gap", {"period": F.floor(F.col("n") / 2)}, block is not None, every)
     value = F.coalesce("period", F.lit(int(60e6 / default_bpm)))
     mean = F.when(F.col("n_beats") > 1, (F.col("last") - F.col("first")) / (F.col("n_beats") - 1)).otherwise(F.lit(1e6))
-    return whole.join(period, key, "left").select(*key, "n_beats", value.alias("period"), F.when(value > 0, 60e6 / value).alias("bpm"), mean.alias("mean_gap"))
+    return whole.select(*key, "n_beats", value.alias("period"), F.when(value > 0, 60e6 / value).alias("bpm"), mean.alias("mean_gap"))
 
 
 def union_confidence(parts: list[DataFrame], keys: DataFrame, key: list[str]) -> DataFrame:

@@ -13,14 +13,10 @@ KEY = a.TRACK
 RULES = {"section_gap": (8.0, 12 * HOUR), "line_gap": (2.5, 3 * HOUR)}
 
 
-def _thresholds(spark, sf, words):
-    return sessions.gap_thresholds(words, KEY, RULES, block=a.block_width(spark, sf))
-
-
 def _sessions(spark, sf):
-    words = a.words(spark, sf)
-    marked = words.join(_thresholds(spark, sf, words), KEY)
-    return sessions.gap_sessions(marked, KEY, F.col("section_gap"), block=a.block_width(spark, sf))
+    block = a.block_width(spark, sf)
+    marked = sessions.thresholded(a.words(spark, sf), KEY, RULES, block)
+    return sessions.gap_sessions(marked, KEY, F.col("section_gap"), block=block)
 
 
 def q_gap_blocks(spark, sf):

@@ -94,8 +94,7 @@ def _rendered(tracks: DataFrame, options: Options) -> DataFrame:
     chords = tracks.select(KEY, F.inline("chords"))
     beats = tracks.select(KEY, F.inline("beats.beats"))
     syllables = tracks.select(KEY, F.inline("syllables"))
-    marked = words.join(sessions.gap_thresholds(words, key, RULES), KEY)
-    blocks = sessions.gap_sessions(marked, key, F.col("section_gap"))
+    blocks = sessions.gap_sessions(sessions.thresholded(words, key, RULES), key, F.col("section_gap"))
     lined = sessions.gap_sessions(blocks, [KEY, "block"], F.col("line_gap"), "line")
     lines = lined.groupBy(KEY, "block", "line").agg(F.array_sort(F.collect_list(F.struct("t0", "idx", "text", "t1"))).alias("w"))
     texts = F.transform("w", lambda x: x["text"])

@@ -218,6 +218,32 @@ def test_windows_with_context(spark):
     assert [r["frame"] for r in sequences.cropped(frames, 20_000).collect()] == [100, 1599]
 
 
+def test_order_statistics_both_ways(spark):
+    rng = random.Random(2)
+    rows = [(k, rng.choice([None, *range(m)])) for k, m, n in (("a", 3, 200), ("b", 500, 300), ("c", 1, 5)) for _ in range(n)] + [("none", None)] * 2
+    df = spark.createDataFrame(rows, "k string, v long")
+    n = F.col("n")
+    ranks = {"low": F.floor((n - 1) / 2), "p10": F.floor(n / 10), "top": n - 1}
+    more = {"all": (F.count("*"), F.sum), "sum": (F.sum("v"), F.sum)}
+    want = {}
+    for k in {k for k, _ in rows}:
+        v = sorted(v for i, v in rows if i == k and v is not None)
+        want[k] = (len(v), *((v[(len(v) - 1) // 2], v[len(v) // 10], v[-1]) if v else (None,) * 3), sum(i == k for i, _ in rows), sum(v) if v else None)
+    for spread in (False, True):
+        found = stats.order_statistics(df, ["k"], "v", ranks, spread, more).select("k", "n", *ranks, *more)
+        assert {r[0]: tuple(r[1:]) for r in found.collect()} == want
+        plain = stats.order_statistics(df, ["k"], "v", ranks, spread).select("k", "n", *ranks)
+        assert {r[0]: tuple(r[1:]) for r in plain.collect()} == {k: x[:4] for k, x in want.items() if k != "none"}
+
+
+def test_thresholds_by_windows_or_join(spark):
+    rng = random.Random(3)
+    spans = [(rng.randint(0, 500), rng.randint(1, 9)) for _ in range(80)]
+    w = words(spark, *[(a, a + b) for a, b in spans])
+    got = [sorted(map(tuple, sessions.thresholded(w, KEY, RULES, block).select("idx", *RULES).collect())) for block in (None, 20 * S)]
+    assert got[0] == got[1] and len(got[0]) == 80
+
+
 def test_long_intervals_make_few_rows(spark):
     """One interval as long as the track stands in two cells like any other; points ask a cell for each level in use."""
     rng = random.Random(5)
