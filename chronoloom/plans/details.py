@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import symbols, text
-from ..operators import blocks, drain, intervals, render, stats
+from ..operators import blocks, drain, halo, intervals, render, stats
 from ..sources import adapters as a
 from . import timed
 
@@ -273,3 +274,22 @@ WITH d AS (SELECT doc_id, toxic, doc_id % 1000 AS k, CAST(CAST((doc_id % 1000) /
 r AS (SELECT *, k // 10 + CASE WHEN k % 10 > 5 OR (k % 10 = 5 AND (off_by > 0 OR (off_by = 0 AND (k // 10) % 2 = 1))) THEN 1 ELSE 0 END AS cents FROM d)
 SELECT doc_id, concat_ws(' | ', 'low quality', 'stage=quality', CASE WHEN toxic = 1 THEN 'engine=en' END, 'audio_id=' || substr('document-' || lpad(CAST(doc_id AS VARCHAR), 8, '0'), 1, 12),
   CASE WHEN doc_id % 2 = 0 THEN 'caused_by=ValueError: no' END) AS message, (cents // 100) || '.' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0') AS confidence FROM r"""
+
+
+def _weekly(table):
+    """Sum of seven neighbours."""
+    padded = np.pad(table, ((0, 0), (3, 3)))
+    return sum(padded[:, k : k + table.shape[1]] for k in range(7))
+
+
+def q_halo_windows(spark, sf):
+    """Items shipped in the week around every day, by windows of 30 days with three days of context, stitched."""
+    day = F.datediff(F.to_date("l_shipdate"), F.lit("1990-01-01").cast("date")).cast("long")
+    daily = a.table(spark, sf, "lineitem").groupBy("l_returnflag", day.alias("i")).agg(F.count("*").alias("x"))
+    return halo.stitched(daily, ["l_returnflag"], _weekly, 30, 3).select("l_returnflag", "frame", F.col("value").cast("long").alias("items"))
+
+
+Q_HALO_WINDOWS = """
+WITH daily AS (SELECT l_returnflag, date_diff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE)) AS i, count(*) AS x FROM lineitem GROUP BY ALL),
+days AS (SELECT l_returnflag, unnest(range(0, max(i) + 1)) AS i FROM daily GROUP BY l_returnflag)
+SELECT l_returnflag, i AS frame, CAST(coalesce(sum(x) OVER (PARTITION BY l_returnflag ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 0) AS BIGINT) AS items FROM days LEFT JOIN daily USING (l_returnflag, i)"""
