@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks
-from .nearest import _CELL, LEAST, _cell, asking, indexed
+from .nearest import _CELL, asking, cell_of, indexed, level_of
 
 
 def onset_intervals(onsets: DataFrame, key: list[str], label: str, end_of_track: Column | None = None, none_label: str | None = "N", tail: int = 1_000_000, block: int | None = None) -> DataFrame:
@@ -53,15 +53,15 @@ def overlaps(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
     """
     names = [*key, *[c for c in left.columns if c not in key], *[c for c in right.columns if c not in key]]
     a, b = indexed(left, F.col("t0"), F.col("t1")), indexed(right, F.col("u0"), F.col("u1"))
-    own = lambda df, start, end: df.withColumn("__own", F.greatest(F.lit(LEAST), F.ceil(F.log2(F.col(end) - F.col(start) + 1)).cast("int"))).where(F.col(end) >= F.col(start))
 
     def met(index: DataFrame, others: DataFrame, start: str, end: str, or_equal: bool) -> DataFrame:
-        asked = others.join(index.select(*key, "__level").distinct(), key).where(F.col("__level") >= F.col("__own") if or_equal else F.col("__level") > F.col("__own"))
-        asked = asked.withColumn("__cell", F.explode(F.sequence(_cell(F.col(start), F.col("__level")), _cell(F.col(end), F.col("__level")))))
+        own = level_of(F.col(start), F.col(end))
+        asked = others.where(F.col(end) >= F.col(start)).join(index.select(*key, "__level").distinct(), key).where(F.col("__level") >= own if or_equal else F.col("__level") > own)
+        asked = asked.withColumn("__cell", F.explode(F.sequence(cell_of(F.col(start), F.col("__level")), cell_of(F.col(end), F.col("__level")))))
         pairs = index.join(asked, [*key, *_CELL]).where((F.col("t0") < F.col("u1")) & (F.col("t1") > F.col("u0")))
-        return pairs.where(F.col("__cell") == F.greatest(_cell(F.col("t0"), F.col("__level")), _cell(F.col("u0"), F.col("__level")))).select(*names)
+        return pairs.where(F.col("__cell") == F.greatest(cell_of(F.col("t0"), F.col("__level")), cell_of(F.col("u0"), F.col("__level")))).select(*names)
 
-    return met(a, own(right, "u0", "u1"), "u0", "u1", True).unionByName(met(b, own(left, "t0", "t1"), "t0", "t1", False))
+    return met(a, right, "u0", "u1", True).unionByName(met(b, left, "t0", "t1", False))
 
 
 def starts_in(points: DataFrame, ranges: DataFrame, key: list[str]) -> DataFrame:

@@ -63,25 +63,30 @@ def nearest_within(left: DataFrame, right: DataFrame, key: list[str], left_id: l
     return close.select(*key, *left_id, F.struct(distance.alias("distance"), F.col("__near.idx").alias("idx"), F.col("__near.t").alias("t")).alias("nearest"))
 
 
-#: Intervals up to 2**LEAST long (a second) share the lowest level.
-LEAST = 20
+#: Levels of cells (2**level long): from a second to all that 63 bits hold, a factor of 16 apart.
+LEVELS = tuple(range(20, 63, 4))
 _CELL = ("__level", "__cell")
 
 
-def _cell(t: Column, level: Column) -> Column:
-    return F.call_function("shiftright", t.cast("long"), level)
+def level_of(start: Column, end: Column) -> Column:
+    """The least level whose cells are as long as the closed interval, so that it touches two at most."""
+    step = F.ceil((F.log2(end - start + 1) - LEVELS[0]) / (LEVELS[1] - LEVELS[0])).cast("int")
+    return LEVELS[0] + (LEVELS[1] - LEVELS[0]) * F.greatest(F.lit(0), F.least(F.lit(len(LEVELS) - 1), step))
+
+
+def cell_of(time: Column, level: Column) -> Column:
+    return F.call_function("shiftright", time.cast("long"), level)
 
 
 def indexed(intervals: DataFrame, start: Column, end: Column) -> DataFrame:
-    """Intervals in the cells of their own level: the least whose cells, 2**level long, are as long as the interval, so it touches two at most."""
-    marked = intervals.withColumns({"__from": F.floor(start), "__to": F.ceil(end)}).where("__to >= __from")
-    marked = marked.withColumn("__level", F.greatest(F.lit(LEAST), F.ceil(F.log2(F.col("__to") - F.col("__from") + 1)).cast("int")))
-    return marked.withColumn("__cell", F.explode(F.sequence(_cell(F.col("__from"), F.col("__level")), _cell(F.col("__to"), F.col("__level"))))).drop("__from", "__to")
+    """Intervals in the cells of their own level (__level, __cell)."""
+    marked = intervals.withColumns({"__from": F.floor(start), "__to": F.ceil(end)}).where("__to >= __from").withColumn("__level", level_of(F.col("__from"), F.col("__to")))
+    return marked.withColumn("__cell", F.explode(F.sequence(cell_of(F.col("__from"), F.col("__level")), cell_of(F.col("__to"), F.col("__level"))))).drop("__from", "__to")
 
 
 def asking(points: DataFrame, time: Column, key: list[str], index: DataFrame) -> DataFrame:
-    """Points with their cell on every level that the index has for their key (some tens of rows a key, whatever lies in them)."""
-    return points.join(index.select(*key, "__level").distinct(), key).withColumn("__cell", _cell(time, F.col("__level")))
+    """Points with their cell on every level that the index has for their key (a row for each level at most, a few as a rule)."""
+    return points.join(index.select(*key, "__level").distinct(), key).withColumn("__cell", cell_of(time, F.col("__level")))
 
 
 def nearest_interval(points: DataFrame, intervals: DataFrame, key: list[str], point_id: list[str], tolerance: Column) -> DataFrame:
