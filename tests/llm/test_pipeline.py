@@ -7,6 +7,7 @@ from helpers import DOC, ODD
 from test_decontamination import slow as slow_decontamination
 from test_native import base_spans
 from test_simhash import slow_components, slow_fingerprint
+from test_slow_models import slow_quality
 
 
 def tables(spark, tmp_path, extra):
@@ -44,7 +45,7 @@ def test_stages_equal_brute_force(spark, tmp_path):
         good = corpus_pipeline.keep_good(spark, docs, sf)
         assert good.columns == names
         model = quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
-        want = [r for r in before if quality.score_batch([(r["text"] or "").encode()], model)[0] >= quality.THRESHOLD]
+        want = [r for r in before if slow_quality((r["text"] or "").encode(), model) >= quality.THRESHOLD]
         assert key(good.collect()) == key(want) and 40 <= len(want) < len(before)
         # 2: one row of each component stays.
         one = corpus_pipeline.keep_one_of_each(spark, docs, sf)
