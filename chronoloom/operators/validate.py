@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections import deque
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from . import matching
 
 
 def rules(t0: str | None = None, t1: str | None = None, confidence: str | None = None, ranges: dict[str, tuple] | None = None, sets: dict[str, tuple] | None = None) -> dict[str, Column]:
@@ -52,56 +51,11 @@ def rollup(marked: DataFrame, skipped: int = 0) -> DataFrame:
     return marked.agg(mean.alias("mean_score"), F.count("*").alias("attempted"), failed.alias("failed")).withColumn("skipped", F.lit(skipped))
 
 
-def _greedy(key: list[str], tolerance: int):
-    """Rows sorted by key, island and time to hits per island: every reference takes the first free estimate in reach. What waits is never older than the tolerance."""
-
-    def hits(batches):
-        now, waiting, side, found, out = None, deque(), None, 0, []
-        for batch in batches:
-            names = [*key, "island"]
-            for *at, t, s in zip(*(batch.column(c).to_pylist() for c in (*names, "t", "side"))):
-                if at != now:
-                    if found:
-                        out.append((*now, found))
-                    now, found = at, 0
-                    waiting.clear()
-                while waiting and waiting[0] < t - tolerance:
-                    waiting.popleft()
-                if waiting and side != s:
-                    waiting.popleft()
-                    found += 1
-                else:
-                    side = s
-                    waiting.append(t)
-            if len(out) > 10_000:
-                yield _hits(out, names)
-                out = []
-        if found:
-            out.append((*now, found))
-        if out:
-            yield _hits(out, [*key, "island"])
-
-    return hits
-
-
-def _hits(rows: list, names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], [*names, "hits"])
-
-
 def beat_agreement(reference: DataFrame, estimate: DataFrame, key: list[str], tolerance: int = 70_000, trim: int = 0, block: int | None = None) -> DataFrame:
-    """F-measure of two sets of beat times (t) per key: greedy one-to-one matches in order of time within the tolerance.
+    """F-measure of two sets of beat times (t) per key: one-to-one matches in order of time within the tolerance; every reference takes the first free estimate in reach.
 
-    Both sides are cut into islands at gaps wider than the tolerance, over which no match reaches; islands are spread over the
-    tasks, and each streams through once in order of time, holding only what waits within the tolerance.
+    Times before trim, and null ones, take no part. With blocks, a key's matching is spread over the tasks (``matching``); results do not depend on them.
     """
-    from . import blocks
-
     both = reference.select(*key, "t", F.lit(0).alias("side")).union(estimate.select(*key, "t", F.lit(1).alias("side"))).where(F.col("t") >= trim)
-    marked = blocks.lagged(blocks.with_block(both, "t", block), key, ["t", "side"], {"__last": "t"})
-    islands = blocks.running_sum(marked, key, ["t", "side"], F.when(F.col("t") - F.col("__last") > tolerance, 1).otherwise(0).cast("long"), "island")
-    rows = islands.select(*key, "island", "t", "side").repartition(*key, "island").sortWithinPartitions(*key, "island", "t", "side")
-    schema = T.StructType([*[rows.schema[c] for c in (*key, "island")], T.StructField("hits", T.LongType())])
-    found = rows.mapInArrow(_greedy(key, tolerance), schema).groupBy(*key).agg(F.sum("hits").alias("hits"))
-    sizes = both.groupBy(*key).agg(F.sum(1 - F.col("side")).alias("n_ref"), F.sum("side").alias("n_est"))
-    sums = sizes.join(found, key, "left").select(*key, F.coalesce("hits", F.lit(0)).cast("long").alias("hits"), "n_ref", "n_est")
-    return sums.withColumn("f_measure", F.when(F.col("hits") > 0, 2 * F.col("hits") / (F.col("n_ref") + F.col("n_est"))).otherwise(0.0))
+    found = matching.matched(both, key, tolerance, block)
+    return found.withColumn("f_measure", F.when(F.col("hits") > 0, 2 * F.col("hits") / (F.col("n_ref") + F.col("n_est"))).otherwise(0.0))
