@@ -94,8 +94,8 @@ def same_triad(reference: Column, estimate: Column) -> Column:
 
 
 def slash_agrees(symbol: Column, note: Column) -> Column:
-    """V3: what follows a symbol's slash is its bass note, where both are given."""
-    return ~symbol.contains("/") | note.isNull() | (F.substring_index(symbol, "/", -1) == note)
+    """V3: what follows a symbol's last slash, without white space around, is its bass note, where both are given."""
+    return ~symbol.contains("/") | note.isNull() | (F.regexp_replace(F.substring_index(symbol, "/", -1), r"^\s+|\s+$", "") == note)
 
 
 def bracket(symbol: Column, note: Column) -> Column:

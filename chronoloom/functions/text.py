@@ -14,6 +14,12 @@ LAST_STRESSED = ("r", "l", "z", "x", "i", "u", "im", "um", "om", "ins", "uns", "
 BLOCK = 1024
 #: Phoneme vowels (fixed values).
 ARPABET_VOWELS = ("AA", "AE", "AH", "AO", "AW", "AY", "EH", "ER", "EY", "IH", "IY", "OW", "OY", "UH", "UW")
+#: Phonetic vowels: single, falling together, nasal (fixed values).
+IPA_VOWELS = (
+    ("i", "ɪ", "e", "ɛ", "æ", "a", "ɑ", "ɒ", "ʌ", "ɔ", "o", "ʊ", "u", "y", "ø", "œ", "ɶ", "ɨ", "ʉ", "ɯ", "ə", "ɚ", "ɜ", "ɝ", "ɐ")
+    + ("eɪ", "aɪ", "ɔɪ", "aʊ", "oʊ", "ɛə", "ɪə", "ʊə")
+    + ("ɐ̃", "ẽ", "ĩ", "õ", "ũ", "ɐ̃ʊ̃", "õĩ", "ɐ̃ĩ")
+)
 _ACCENTS = "áàâãäåéèêëíìîïóòôõöúùûüýÿçñÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÝÇÑ"
 _PLAIN = "aaaaaaeeeeiiiiooooouuuuyycnAAAAAAEEEEIIIIOOOOOUUUUYCN"
 
@@ -116,8 +122,9 @@ def stress_level(symbol: Column) -> Column:
 
 
 def is_vowel(symbol: Column) -> Column:
-    bare = F.regexp_replace(symbol, "[ˈˌ0-2]", "")
-    return F.when(bare.rlike("^[A-Z]+$"), bare.isin(*ARPABET_VOWELS)).otherwise(bare.rlike(f"^[{VOWELS}ɑæʌəɔɛɝɚɪɨʊʉɐɜøœ]"))
+    """Whether a symbol, without a digit at its end and stress marks before, is a vowel: capitals by ARPABET, others by the phonetic vowels or as a single letter."""
+    bare = F.regexp_replace(F.regexp_replace(symbol, "[0-2]$", ""), "^[ˈˌ]+", "")
+    return F.when(bare.rlike("^[A-Z]+$"), bare.isin(*ARPABET_VOWELS)).otherwise(bare.isin(*IPA_VOWELS) | bare.rlike(f"^[{VOWELS}]$"))
 
 
 def running_sum(values: Column) -> Column:

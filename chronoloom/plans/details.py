@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import symbols, text
-from ..operators import blocks, drain, halo, intervals, render, stats
+from ..operators import blocks, drain, halo, intervals, nested, phonemes, render, stats
 from ..sources import adapters as a
 from . import timed
 
@@ -293,3 +293,68 @@ Q_HALO_WINDOWS = """
 WITH daily AS (SELECT l_returnflag, date_diff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE)) AS i, count(*) AS x FROM lineitem GROUP BY ALL),
 days AS (SELECT l_returnflag, unnest(range(0, max(i) + 1)) AS i FROM daily GROUP BY l_returnflag)
 SELECT l_returnflag, i AS frame, CAST(coalesce(sum(x) OVER (PARTITION BY l_returnflag ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 0) AS BIGINT) AS items FROM days LEFT JOIN daily USING (l_returnflag, i)"""
+
+
+def order_documents(spark, sf):
+    """Orders as nested documents: a section per return flag, a line per item with its chord, a beat grid of the items' days in order of number; many break rules."""
+    items = a.table(spark, sf, "lineitem").withColumn("day", F.datediff("l_shipdate", F.lit("1995-01-01")))
+    chord = F.struct((F.col("day") - 100).alias("t0"), F.col("day").alias("t1"), (F.col("l_tax") * 13).alias("confidence"), F.concat(F.lit("C/ "), "l_linestatus").alias("symbol"), F.when(F.col("l_linenumber") > 1, F.lit("F")).alias("bass_note"))
+    sung = F.col("l_linenumber") % 2 == 0
+    line = F.struct("l_linenumber", F.when(sung, "lyric").otherwise("instrumental").alias("line_type"), (F.col("l_quantity") - 5).cast("int").alias("measures"), F.when(F.col("l_suppkey") % 5 == 0, "beat").when(F.col("l_suppkey") % 5 == 1, "bar").alias("pattern_hint"), F.array(chord).alias("chords"))
+    sections = items.groupBy("l_orderkey", "l_returnflag").agg(F.array_sort(F.collect_list(line)).alias("lines"), F.max("day").alias("t1"), F.max("l_linenumber").alias("most"), F.collect_list(F.struct("l_linenumber", "day")).alias("days"))
+    section = F.struct(F.when(F.col("l_returnflag") == "N", "verse").when(F.col("l_returnflag") == "A", "chorus").otherwise("refrain").alias("kind"), F.when(F.col("most") < 7, F.col("l_returnflag")).alias("label"), F.lit(1000).alias("t0"), "t1", "lines")
+    days = F.transform(F.array_sort(F.flatten(F.collect_list("days"))), lambda d: d["day"])
+    songs = sections.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(section).alias("sections"), days.alias("beats"))
+    k = F.col("o_orderkey")
+    meta = F.struct(F.when(k % 11 > 0, F.col("o_orderstatus")).alias("title"), F.when(k % 3 > 0, k % 330).alias("tempo"), (k % 14).alias("capo"))
+    grid = F.struct((F.col("o_totalprice") - 50_000).alias("bpm"), "beats", F.struct((k % 6).alias("count"), (k % 10).alias("unit")).alias("meter"))
+    orders = a.table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    return orders.join(songs, "o_orderkey", "left").select("o_orderkey", meta.alias("metadata"), F.when(F.col("beats").isNotNull(), grid).alias("beat_grid"), "sections")
+
+
+def q_document_rules(spark, sf):
+    """How often every nested document breaks each rule (V5)."""
+    return nested.violations(order_documents(spark, sf), ["o_orderkey"])
+
+
+Q_DOCUMENT_RULES = """
+WITH i AS (SELECT *, CAST(l_shipdate AS DATE) - DATE '1995-01-01' AS day FROM lineitem),
+s AS (SELECT l_orderkey AS k, l_returnflag, max(day) AS t1, max(l_linenumber) AS most FROM i GROUP BY ALL),
+d AS (SELECT l_orderkey AS k, day <= lag(day) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, day) AS back FROM i),
+g AS (SELECT o_orderkey AS k, o_totalprice FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),
+broken AS (
+  SELECT o_orderkey AS k, 'title' AS rule FROM orders WHERE o_orderkey % 11 = 0
+  UNION ALL SELECT o_orderkey, 'tempo' FROM orders WHERE o_orderkey % 3 > 0 AND o_orderkey % 330 NOT BETWEEN 20 AND 300
+  UNION ALL SELECT o_orderkey, 'capo' FROM orders WHERE o_orderkey % 14 > 12
+  UNION ALL SELECT k, 'bpm' FROM g WHERE o_totalprice <= 50000
+  UNION ALL SELECT DISTINCT k, 'beats_increasing' FROM d WHERE back AND k IN (SELECT k FROM g)
+  UNION ALL SELECT k, 'meter' FROM g WHERE k % 6 = 0 OR k % 10 NOT IN (2, 4, 8)
+  UNION ALL SELECT k, 'section_kind' FROM s WHERE l_returnflag NOT IN ('N', 'A')
+  UNION ALL SELECT k, 'section_label' FROM s WHERE most >= 7
+  UNION ALL SELECT k, 'section_span' FROM s WHERE t1 < 1000
+  UNION ALL SELECT l_orderkey, 'line_measures' FROM i WHERE l_linenumber % 2 = 1 AND CAST(trunc(l_quantity - 5) AS INT) <= 0
+  UNION ALL SELECT l_orderkey, 'line_hint' FROM i WHERE l_suppkey % 5 = 1
+  UNION ALL SELECT l_orderkey, 'sections_lines_chords_span' FROM i WHERE day < 100
+  UNION ALL SELECT l_orderkey, 'sections_lines_chords_confidence' FROM i WHERE l_tax * 13 > 1
+  UNION ALL SELECT l_orderkey, 'sections_lines_chords_bass' FROM i WHERE l_linenumber > 1 AND l_linestatus <> 'F')
+SELECT k AS o_orderkey, rule, count(*) AS n FROM broken WHERE k IN (SELECT o_orderkey FROM orders) GROUP BY ALL"""
+
+
+def q_phoneme_syllables(spark, sf):
+    """Documents' words with their letters as phonemes of 100 ms, every third one with a stress mark; words of seven letters have none."""
+    words = a.distinct_words(spark, sf).select("word", F.lit(0).alias("idx"), F.col("word").alias("text"), F.lit(0).cast("long").alias("t0"), (F.length("word") * 50_000).cast("long").alias("t1"))
+    letters = words.where(F.length("word") != 7).select(F.col("word").alias("w"), F.posexplode(F.regexp_extract_all("word", F.lit("(?s)(.)"), F.lit(1))).alias("n", "c"))
+    sounds = letters.select(F.col("w").alias("key"), F.lit(0).alias("word"), "n", F.when(F.col("n") % 3 == 2, F.concat(F.lit("ˈ"), "c")).otherwise(F.col("c")).alias("symbol"), (F.col("n") * 100_000).cast("long").alias("t0"), ((F.col("n") + 1) * 100_000).cast("long").alias("t1"))
+    found = phonemes.syllables(words.withColumnRenamed("word", "key"), sounds, ["key"])
+    return found.select(F.col("key").alias("word"), "i", "text", "t0", "t1", "stressed", "first", "last")
+
+
+Q_PHONEME_SYLLABLES = f"""
+WITH words AS (SELECT DISTINCT unnest({a.WORDS_SQL}) AS word FROM documents),
+l AS (SELECT word, unnest(regexp_extract_all(word, '(?s).')) AS c, generate_subscripts(regexp_extract_all(word, '(?s).'), 1) - 1 AS n FROM words WHERE length(word) <> 7),
+v AS (SELECT word, n, CASE WHEN n % 3 = 2 THEN 'ˈ' ELSE '' END || c AS symbol, c = '1' OR n % 3 = 2 AND c NOT IN ('0', '2') AS strong, NOT regexp_full_match(c, '[A-Z]') AND regexp_full_match(c, '[{text.VOWELS}ɪɛæɑɒʌɔʊøœɶɨʉɯəɚɜɝɐẽĩũ]') AS vowel FROM l),
+c AS (SELECT *, coalesce(sum(CAST(vowel AS INT)) OVER (PARTITION BY word ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(CAST(vowel AS INT)) OVER (PARTITION BY word) AS vowels FROM v),
+s AS (SELECT word, least(before, greatest(0, vowels - 1)) AS i, string_agg(symbol, '' ORDER BY n) AS symbols, min(n) AS a, max(n) AS b, bool_or(strong) AS strong, min(vowels) AS vowels FROM c GROUP BY ALL)
+SELECT word, CAST(coalesce(i, 0) AS INT) AS i, CASE WHEN vowels > 0 THEN symbols ELSE word END AS text, CAST(CASE WHEN a IS NULL THEN 0 ELSE a * 100000 END AS BIGINT) AS t0,
+  CAST(CASE WHEN a IS NULL THEN length(word) * 50000 ELSE (b + 1) * 100000 END AS BIGINT) AS t1, coalesce(vowels > 0 AND strong, false) AS stressed, CAST(a AS INT) AS first, CAST(b AS INT) AS last
+FROM words LEFT JOIN s USING (word)"""
