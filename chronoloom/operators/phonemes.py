@@ -20,14 +20,16 @@ def syllables(words: DataFrame, phonemes: DataFrame, key: list[str]) -> DataFram
     by = [*key, "word"]
     w = Window.partitionBy(*by).orderBy("n")
     vowel = F.coalesce(text.is_vowel(F.col("symbol")), F.lit(False)).cast("int")
-    before = F.coalesce(F.sum(vowel).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum(vowel).over(Window.partitionBy(*by))
-    marked = phonemes.select(*by, "n", "symbol", "t0", "t1", before.alias("__before"), total.alias("__vowels"), (F.row_number().over(w) - 1).alias("__at"))
+    primary = F.coalesce(text.stress_level(F.col("symbol")) == 1, F.lit(False))
+    flagged = phonemes.select(*by, "n", "symbol", "t0", "t1", vowel.alias("__vowel"), primary.alias("__primary"))
+    before = F.sum("__vowel").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__vowel")
+    total = F.sum("__vowel").over(Window.partitionBy(*by))
+    marked = flagged.select(*by, "n", "symbol", "t0", "t1", "__primary", before.alias("__before"), total.alias("__vowels"), (F.row_number().over(w) - 1).alias("__at"))
     grouped = marked.groupBy(*by, F.least(F.col("__before"), F.greatest(F.lit(0), F.col("__vowels") - 1)).cast("int").alias("i")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.coalesce("symbol", F.lit("")).alias("s")))), lambda x: x["s"]), "").alias("symbols"),
         F.min(F.struct("n", "t0"))["t0"].alias("__t0"),
         F.max(F.struct("n", "t1"))["t1"].alias("__t1"),
-        F.coalesce(F.bool_or(text.stress_level(F.col("symbol")) == 1), F.lit(False)).alias("stressed"),
+        F.bool_or("__primary").alias("stressed"),
         F.min("__at").alias("first"),
         F.max("__at").alias("last"),
         F.first("__vowels").alias("__vowels"),
