@@ -88,18 +88,23 @@ def part_spans(word: Column, t0: Column, t1: Column) -> Column:
     return let(_parts(word), spans)
 
 
-def two_decimals(x: Column) -> Column:
-    """A number from 0 to 1 with two decimals, by its exact binary value, ties to even."""
-    scaled = x * F.lit(float(1 << 53))
+def decimals(x: Column, places: int) -> Column:
+    """A number from 0 to 1 with up to three decimals, by its exact binary value, ties to even."""
+    scaled, tens = x * F.lit(float(1 << 53)), 10**places
     whole = F.floor(scaled).cast("long")
 
     def rounded(w: Column) -> Column:
-        down = F.shiftright(w * 100, 53)
-        beyond = (w * 100 - F.shiftleft(down, 53) - (1 << 52)).cast("double") + (scaled - w) * 100  # the half cent
+        down = F.shiftright(w * tens, 53)
+        beyond = (w * tens - F.shiftleft(down, 53) - (1 << 52)).cast("double") + (scaled - w) * tens  # the half of a last place
         return down + F.when((beyond > 0) | ((beyond == 0) & (down % 2 == 1)), 1).otherwise(0)
 
-    cent = let(whole, rounded)
-    return let(cent, lambda c: F.concat(F.floor(c / 100).cast("string"), F.lit("."), F.lpad((c % 100).cast("string"), 2, "0")))
+    told = let(whole, rounded)
+    return let(told, lambda c: F.concat(F.floor(c / tens).cast("string"), F.lit("."), F.lpad((c % tens).cast("string"), places, "0")))
+
+
+def two_decimals(x: Column) -> Column:
+    """A number from 0 to 1 with two decimals."""
+    return decimals(x, 2)
 
 
 def failure_message(message: Column, stage: Column, engine: Column, audio_id: Column, cause: Column) -> Column:

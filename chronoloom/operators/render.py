@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
+from . import cascade, validate
+
 #: Section kinds with start and end directives; the others get a comment (fixed values).
 DIRECTIVES = ("verse", "chorus", "bridge")
 
@@ -145,3 +148,38 @@ def report(rows: list, score: str = "score") -> str:
     """Markdown table of a top-n report's rows (already bounded)."""
     lines = ["| # | id | score | severity |", "|---|---|---|---|"]
     return "\n".join(lines + [f"| {i} | {r['id']} | {r[score]:.3f} | {r['severity']} |" for i, r in enumerate(rows, 1)])
+
+
+def report_lines(marked: DataFrame, day: str, skipped: int = 0, n: int = 20) -> DataFrame:
+    """A report of the n worst tracks as rows (part, at, line), to be read in order of part and at.
+
+    marked: id, title, score (from 0 to 1), n_ref, n_est, reason (null where the score counts). After the title come the counts, a table of the n worst by
+    severity, score and id, and every failure, however many. Only the table is ranked as a whole; failures stay rows. marked is read three times: write it before.
+    """
+    good = marked.where(F.col("reason").isNull())
+    text_of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    counts = validate.rollup(marked, skipped)
+    bold = lambda name, value: F.concat(F.lit(f"- {name}: **"), value.cast("string"), F.lit("**"))
+    top = (
+        F.lit(f"# Top {n} divergences — {day}"),
+        F.lit(""),
+        bold("Total attempted", F.col("attempted")),
+        bold("Successful metrics", F.col("attempted") - F.col("failed")),
+        bold("Failures", F.col("failed")),
+        bold("Skipped from corpus (empty URL / non-YouTube)", F.col("skipped")),
+        bold("Mean WCSR-majmin", text.decimals(F.col("mean_score"), 3)),
+        F.lit(""),
+        F.lit("| Rank | Severity | WCSR | Title | YouTube | Chords ref / est |"),
+        F.lit("|-----:|----------|-----:|-------|---------|------------------|"),
+    )
+    titles = F.when(F.col("failed") > 0, F.array(F.lit(""), F.lit("## Failures (no metric computed)"), F.lit(""))).otherwise(F.array().cast("array<string>"))
+    numbered = lambda part, c: F.transform(c, lambda x, i: F.struct(F.lit(part).alias("part"), i.cast("int").alias("at"), x.alias("line")))
+    heads = counts.select(F.inline(F.concat(numbered(0, F.array(*top)), numbered(2, titles))))
+    found = cascade.worst(good, "score", "id", n)
+    rank = F.row_number().over(Window.orderBy("score", "id"))  # over n rows; a worse grade has a lower score
+    row = F.concat(F.lit("| "), rank.cast("string"), F.lit(" | **"), F.col("severity"), F.lit("** | "), text.decimals(F.col("score"), 3), F.lit(" | "), text_of("title"), F.lit(" | `"), text_of("id"), F.lit("` | "), text_of("n_ref"), F.lit(" / "), text_of("n_est"), F.lit(" |"))
+    ranked = found.select(F.lit(1).alias("part"), rank.alias("at"), row.alias("line"))
+    failed = marked.where(F.col("reason").isNotNull())
+    told = F.concat(F.lit("- **"), text_of("title"), F.lit("** (`"), text_of("id"), F.lit("`) — "), F.col("reason"))
+    lines = failed.select(F.lit(3).alias("part"), F.lit(0).alias("at"), told.alias("line"))
+    return heads.union(ranked).union(lines)

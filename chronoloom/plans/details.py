@@ -358,3 +358,23 @@ s AS (SELECT word, least(before, greatest(0, vowels - 1)) AS i, string_agg(symbo
 SELECT word, CAST(coalesce(i, 0) AS INT) AS i, CASE WHEN vowels > 0 THEN symbols ELSE word END AS text, CAST(CASE WHEN a IS NULL THEN 0 ELSE a * 100000 END AS BIGINT) AS t0,
   CAST(CASE WHEN a IS NULL THEN length(word) * 50000 ELSE (b + 1) * 100000 END AS BIGINT) AS t1, coalesce(vowels > 0 AND strong, false) AS stressed, CAST(a AS INT) AS first, CAST(b AS INT) AS last
 FROM words LEFT JOIN s USING (word)"""
+
+
+def q_report_lines(spark, sf):
+    """The divergence report of all tracks: those without an estimate fail; 7 were skipped (K4)."""
+    scores = timed._scores(spark, sf)
+    sizes = a.onsets(spark, sf).groupBy("track_id").agg(F.count("*").alias("n_ref"))
+    reason = F.when(F.col("score").isNull(), "no estimate")
+    marked = scores.join(sizes, "track_id").select(F.col("track_id").alias("id"), F.concat(F.lit("Track "), F.col("track_id").cast("string")).alias("title"), "score", "n_ref", (F.col("n_ref") % 5).alias("n_est"), reason.alias("reason"))
+    return render.report_lines(marked, "2024-01-01", 7)
+
+
+Q_REPORT_LINES = "WITH " + timed._WCSR + f""",
+sizes AS (SELECT track_id, count(*) AS n FROM ref GROUP BY track_id),
+good AS (SELECT *, row_number() OVER (ORDER BY score, track_id) AS rank FROM scores JOIN sizes USING (track_id) WHERE score IS NOT NULL),
+c AS (SELECT count(*) AS attempted, count(*) FILTER (score IS NULL) AS failed, coalesce(avg(score), 0.0) AS mean FROM scores)
+SELECT 0 AS part, unnest(range(10))::INT AS at, unnest(['# Top 20 divergences — 2024-01-01', '', '- Total attempted: **' || attempted || '**', '- Successful metrics: **' || (attempted - failed) || '**', '- Failures: **' || failed || '**',
+  '- Skipped from corpus (empty URL / non-YouTube): **7**', '- Mean WCSR-majmin: **' || printf('%.3f', mean) || '**', '', '| Rank | Severity | WCSR | Title | YouTube | Chords ref / est |', '|-----:|----------|-----:|-------|---------|------------------|']) AS line FROM c
+UNION ALL SELECT 1, rank::INT, '| ' || rank || ' | **' || {timed._SEVERITY} || '** | ' || printf('%.3f', score) || ' | Track ' || track_id || ' | `' || track_id || '` | ' || n || ' / ' || (n % 5) || ' |' FROM good WHERE rank <= 20
+UNION ALL SELECT 2, i::INT, CASE i WHEN 1 THEN '## Failures (no metric computed)' ELSE '' END FROM c, range(3) r(i) WHERE failed > 0
+UNION ALL SELECT 3, 0, '- **Track ' || track_id || '** (`' || track_id || '`) — no estimate' FROM scores WHERE score IS NULL"""

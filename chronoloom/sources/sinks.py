@@ -63,3 +63,10 @@ def pinned(songs: DataFrame, id_: str, ids: list[str]) -> DataFrame:
     if absent:
         raise ValueError(f"not in the corpus: {', '.join(absent)}")
     return songs.join(F.broadcast(wanted), songs[id_].cast("string") == wanted[id_]).orderBy("position").select(*[songs[c] for c in songs.columns])
+
+
+def write_report(lines: DataFrame, folder: str, day: str) -> str:
+    """A report's rows (``render.report_lines``) as text under the day's folder, in order over the part files; a report of the same day is replaced (K4)."""
+    path = f"{folder}/{day}/top-divergences"
+    lines.orderBy("part", "at", "line").select("line").write.mode("overwrite").text(path)
+    return path

@@ -131,3 +131,23 @@ def test_command_line(spark, sf_dir, tmp_path, capsys):
     assert spark.read.parquet(str(tmp_path / "rows")).count() > 0
     with pytest.raises(SystemExit):
         main(["q_unknown", "--tables", sf_dir])
+
+
+def test_report_of_a_day(spark, tmp_path):
+    """Counts, the worst ones in order, every failure; lines in order over the part files."""
+    rows = [("v1", "Good", 0.96, 3, 4, None), ("v2", "Bad", 0.0625, 2, 2, None), ("v3", "Gone", None, 0, 0, "download failed"), ("v0", "Bad too", 0.0625, 1, 0, None), ("v4", "Also gone", None, 0, 0, "timeout")]
+    marked = spark.createDataFrame(rows, "id string, title string, score double, n_ref int, n_est int, reason string")
+    path = sinks.write_report(render.report_lines(marked, "2026-01-02", 5, 2), str(tmp_path), "2026-01-02")
+    assert path == f"{tmp_path}/2026-01-02/top-divergences"
+    parts = sorted((tmp_path / "2026-01-02" / "top-divergences").glob("part-*"))
+    assert "".join(p.read_text() for p in parts).splitlines() == [
+        "# Top 2 divergences — 2026-01-02", "", "- Total attempted: **5**", "- Successful metrics: **3**", "- Failures: **2**", "- Skipped from corpus (empty URL / non-YouTube): **5**", "- Mean WCSR-majmin: **0.362**", "",
+        "| Rank | Severity | WCSR | Title | YouTube | Chords ref / est |", "|-----:|----------|-----:|-------|---------|------------------|",
+        "| 1 | **CRITICAL** | 0.062 | Bad too | `v0` | 1 / 0 |", "| 2 | **CRITICAL** | 0.062 | Bad | `v2` | 2 / 2 |",
+        "", "## Failures (no metric computed)", "", "- **Also gone** (`v4`) — timeout", "- **Gone** (`v3`) — download failed",
+    ]
+    none = render.report_lines(marked.limit(0), "d").orderBy("part", "at").collect()
+    assert len(none) == 10 and none[6]["line"] == "- Mean WCSR-majmin: **0.000**"
+    values = [0.0625, 0.1875, 0.3125, 0.0005, 1.0, 0.9995, 0.99951, 0.0]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select(text.decimals(F.col("x"), 3)).collect()
+    assert [r[0] for r in got] == [f"{v:.3f}" for v in values]
