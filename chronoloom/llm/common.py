@@ -44,17 +44,40 @@ _SCRATCH: list[list[str]] = []
 
 
 @contextlib.contextmanager
-def scratch(spark: SparkSession):
-    """Delete, at the end, the tables that were written to the shared folder inside (none may be needed any more). Gives the list of their paths."""
+def scratch(spark: SparkSession, only: tuple[str, ...] | None = None):
+    """Delete, at the end, the tables that were written to the shared folder inside (none may be needed any more). Gives the list of their paths.
+
+    only: just the tables of these labels; the others are left to the scratch around this one, if there is one.
+    """
     paths: list[str] = []
     _SCRATCH.append(paths)
     try:
         yield paths
     finally:
-        _SCRATCH.remove(paths)
+        _SCRATCH.pop()
         for path in paths:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            if only is None or path.rsplit("/", 1)[1].rsplit("-", 1)[0] in only:
+                where = spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            elif _SCRATCH:
+                _SCRATCH[-1].append(path)
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Shuffle files of what is executed inside go when its result is there, not when the driver happens to collect its garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
 
 
 def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:

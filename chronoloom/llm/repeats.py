@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import scratch, shuffles_dropped, text_of, written
 
 LENGTH = 400
 WORDS = 51
@@ -534,13 +534,15 @@ def _copied_segments(copied: DataFrame) -> DataFrame:
 
 
 def piece_marks(pieces: DataFrame, secret: bytes, level: int = 0, copied: DataFrame | None = None) -> DataFrame:
-    """pk, pw, kind, s, e: stretches of pieces covered by repeats (they may overlap and touch)."""
+    """pk, pw, kind, s, e: stretches of pieces covered by repeats (they may overlap and touch). Tables that no later step reads are deleted on the way."""
+    spark = pieces.sparkSession
     few = lambda most: pieces if level else pieces.mapInArrow(_copies(most), "pk long, pw long, data binary")
-    found = written(few(1).mapInArrow(_segment_rows(level, secret), FOUND + (", n long, color long" if level else "")), "segments")
-    # Most keys occur once: they go before anything wider than a key is shuffled for good.
-    known = found.groupBy("key").agg(F.count("*").alias("rows"), F.max("inner").alias("any"), (F.max("n") if level else F.lit(1)).alias("n"))
-    found = found.join(known.where((F.col("rows") > 1) | F.col("any") | (F.col("n") > 1)).select("key"), "key", "left_semi")
-    found = written(found.select(*[x.split()[0] for x in FOUND.split(", ")], *(["n", "color"] if level else [])).distinct(), "candidates")  # a text's places once, however many copies it has
+    with scratch(spark, only=("segments",)):
+        found = written(few(1).mapInArrow(_segment_rows(level, secret), FOUND + (", n long, color long" if level else "")), "segments")
+        # Most keys occur once: they go before anything wider than a key is shuffled for good.
+        known = found.groupBy("key").agg(F.count("*").alias("rows"), F.max("inner").alias("any"), (F.max("n") if level else F.lit(1)).alias("n"))
+        found = found.join(known.where((F.col("rows") > 1) | F.col("any") | (F.col("n") > 1)).select("key"), "key", "left_semi")
+        found = written(found.select(*[x.split()[0] for x in FOUND.split(", ")], *(["n", "color"] if level else [])).distinct(), "candidates")  # a text's places once, however many copies it has
     color = F.col("color" if level else "pk")
     counted = found.groupBy("key", "whole").agg(
         F.min(F.struct("pk", "pw", "first", "size")).alias("one"),
@@ -559,17 +561,18 @@ def piece_marks(pieces: DataFrame, secret: bytes, level: int = 0, copied: DataFr
     places = F.posexplode(F.when(F.col("several"), F.array("one", "other")).otherwise(F.array("one"))).alias("side", "at")
     flagged = counted.join(keys, "key").select("key", "whole", "n", color.alias("color"), "load", (~F.col("several")).alias("single"), places)
     flagged = flagged.select("key", "whole", "n", "color", "load", "single", "side", "at.*")
-    flagged = written(flagged if copied is None else flagged.unionByName(_copied_segments(copied)), "flagged")
-
-    last = level + 1 == len(GRAMS[0])
-    crowded = F.lit(False) if last else F.col("load") > CROWDED
-    size, more = flagged.agg(F.sum(F.when(~crowded & (F.col("side") != 1), F.col("size"))), F.max(crowded)).first()
-    buckets = max(1, -(-(size or 0) // BUCKET))
-    item = F.struct("key", "whole", "n", "color", "load", "single", "side", "first", "size")
-    lists = flagged.groupBy(*PIECE_ID).agg(F.collect_list(item).alias("wanted"))
-    # Copies of a text give its segments again: one row of each is kept, so that BUCKET bounds a group.
-    cut = few(2).select("data", *PIECE_ID).join(lists, PIECE_ID).select("pk", "pw", "data", "wanted").mapInArrow(_cut_rows, CUT)
-    cut = written(_compared(cut), "cut-segments")
+    with scratch(spark, only=("flagged",)):
+        flagged = written(flagged if copied is None else flagged.unionByName(_copied_segments(copied)), "flagged")
+
+        last = level + 1 == len(GRAMS[0])
+        crowded = F.lit(False) if last else F.col("load") > CROWDED
+        size, more = flagged.agg(F.sum(F.when(~crowded & (F.col("side") != 1), F.col("size"))), F.max(crowded)).first()
+        buckets = max(1, -(-(size or 0) // BUCKET))
+        item = F.struct("key", "whole", "n", "color", "load", "single", "side", "first", "size")
+        lists = flagged.groupBy(*PIECE_ID).agg(F.collect_list(item).alias("wanted"))
+        # Copies of a text give its segments again: one row of each is kept, so that BUCKET bounds a group.
+        cut = few(2).select("data", *PIECE_ID).join(lists, PIECE_ID).select("pk", "pw", "data", "wanted").mapInArrow(_cut_rows, CUT)
+        cut = written(_compared(cut), "cut-segments")
     shelved = cut.where(~crowded).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
     marked = shelved.groupBy("bucket").applyInArrow(_bucket_marks, SEGMENT_MARK)
     if more:
@@ -589,8 +592,10 @@ def piece_marks(pieces: DataFrame, secret: bytes, level: int = 0, copied: DataFr
 def marks(texts: DataFrame) -> DataFrame:
     """pk, pw, kind, s, e of texts. Texts that several rows have are passages of several documents as a whole."""
     long = texts.where(F.length("text") >= 2 * WORDS - 1).select(*PIECE_ID, F.col("text").alias("data"))
-    copied = written(_copied(texts), "copied")
-    return piece_marks(long, secrets.token_bytes(16), copied=copied).unionByName(copied.select(*PIECE_ID, F.lit(1).alias("kind"), F.lit(0).cast("long").alias("s"), F.col("length").alias("e")))
+    with shuffles_dropped(texts.sparkSession):
+        copied = written(_copied(texts), "copied")
+        found = piece_marks(long, secrets.token_bytes(16), copied=copied)
+    return found.unionByName(copied.select(*PIECE_ID, F.lit(1).alias("kind"), F.lit(0).cast("long").alias("s"), F.col("length").alias("e")))
 
 
 def _joined(found: list) -> list[tuple[int, int]]:

@@ -1,12 +1,14 @@
 import hashlib
+import os
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from chronoloom.llm import repeats
+from chronoloom.llm import common, repeats
 from helpers import docs_frame, odd_frame
 
 
@@ -162,6 +164,48 @@ def test_hash_decides_nothing(spark):
         repeats._compared(spark.createDataFrame([(1, 0, 1, None, 10, False, 1, 1, 0, side, data) for side, data in enumerate((b"one", b"two"))], repeats.CUT)).collect()
 
 
+def shuffles(spark):
+    """Shuffle files on this machine's disks."""
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {os.path.basename(x) for x in blocks.split() if "shuffle_" in x and x.endswith(".data")}
+
+
+def test_disk_is_given_back_on_the_way(spark, monkeypatch):
+    """A table goes when the next one stands, and an execution's shuffle files when it ends, at every level of crowded keys too."""
+    monkeypatch.setattr(repeats, "BUCKET", 3000)
+    monkeypatch.setattr(repeats, "CROWDED", 3000)
+    shared = common.shared_dir(spark).removeprefix("file://")
+    tables = lambda: {x.rsplit("-", 1)[0] for x in set(os.listdir(shared)) - before}
+    seen, write = [], repeats.written
+    before, old, flag = set(os.listdir(shared)), shuffles(spark), spark.conf.get(common._CLEANUP, None)
+    monkeypatch.setattr(repeats, "written", lambda df, label: seen.append((label, tables())) or write(df, label))
+    texts = corpus(6)
+    found = repeats.without_repeats(docs_frame(spark, texts))
+    for label, there in seen:
+        assert "flagged" not in there if label != "cut-segments" else "flagged" in there
+        assert "segments" not in there if label != "candidates" else "segments" in there
+    assert [label for label, _ in seen].count("segments") == 4 and tables() == {"copied", "candidates", "cut-segments", "segment-marks"}
+    until = time.time() + 20  # files go in the background
+    while shuffles(spark) - old and time.time() < until:
+        time.sleep(0.2)
+    assert shuffles(spark) - old == set() and spark.conf.get(common._CLEANUP, None) == flag
+    assert sorted(tuple(r) for r in repeats.digest(found).collect()) == expected(texts)
+    assert sorted(tuple(r) for r in repeats.digest(found).collect()) == expected(texts)  # the rows can be asked for again
+
+
+def test_scratch_inside_scratch(spark):
+    """The inner one deletes the tables of its labels; the outer one those that the inner one left."""
+    path = lambda df: os.path.dirname(df.inputFiles()[0].removeprefix("file://"))
+    with common.scratch(spark) as outer:
+        with common.scratch(spark, only=("gone",)):
+            gone, left = (path(common.written(spark.range(3), label)) for label in ("gone", "left-over"))
+            assert os.path.isdir(gone) and os.path.isdir(left)
+        assert not os.path.isdir(gone) and os.path.isdir(left)
+        last = path(common.written(spark.range(3), "last"))
+        assert len(outer) == 2
+    assert not os.path.isdir(left) and not os.path.isdir(last)
+
+
 def test_short_texts_together(monkeypatch):
     """Texts taken together give the segments they give alone, each window in one of them; an inner key may be told of too many."""
     texts = [(t or "").encode() for t in corpus(4)]
